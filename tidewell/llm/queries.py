@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tidewell.llm.fingerprints import op2_fingerprints
 from tidewell.llm.simhash import op7_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_fingerprints": op2_fingerprints,
     "op7_simhash": op7_simhash,
 }
 
