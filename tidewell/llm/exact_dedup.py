@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import ascii_lower, same, shared_dir, small, table, text_batches, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, uploaded as a log of changes; without preallocated files, as each of many partitions has a store.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows up to which a list of ids may be broadcast (about 32 MB); beyond it, Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,13 +54,15 @@ def dedup_index(feed: DataFrame, path: str, files_per_trigger: int | None = None
     def emit(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{states}/changed/batch={batch}")  # a replayed batch writes the same again
 
-    provider, key = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None), "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", f"{states}/stream").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, provider) if provider else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     shape = state.schema
     if not spark._jvm.org.apache.hadoop.fs.Path(f"{states}/changed").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{states}/changed")):
         return spark.createDataFrame([], shape)
