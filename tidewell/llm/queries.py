@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidewell.llm.fingerprints import op2_fingerprints
+from tidewell.llm.language import op4_language
+from tidewell.llm.licenses import op8_licenses
 from tidewell.llm.simhash import op7_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_fingerprints": op2_fingerprints,
+    "op4_language": op4_language,
     "op7_simhash": op7_simhash,
+    "op8_licenses": op8_licenses,
 }
 
 SQL: dict[str, str] = {
