@@ -10,6 +10,7 @@ from tidewell.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidewell.llm.fingerprints import op2_fingerprints
 from tidewell.llm.language import op4_language
 from tidewell.llm.licenses import op8_licenses
+from tidewell.llm.mixing import OP9_SQL, op9_mixing
 from tidewell.llm.quality import op10_quality
 from tidewell.llm.simhash import op7_simhash
 
@@ -19,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op7_simhash": op7_simhash,
     "op8_licenses": op8_licenses,
+    "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op9_mixing": OP9_SQL,
 }
