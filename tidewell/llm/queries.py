@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.bpe import op6_bpe
 from tidewell.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidewell.llm.fingerprints import op2_fingerprints
 from tidewell.llm.language import op4_language
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_fingerprints": op2_fingerprints,
     "op4_language": op4_language,
+    "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
