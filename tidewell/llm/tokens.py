@@ -28,9 +28,9 @@ def coded(words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    """xxHash64 of each word, as signed numbers, as Spark keeps them."""
+    """What Spark's xxhash64() gives for each word."""
     digest = xxhash.xxh64_intdigest
-    return np.fromiter(map(digest, words), np.uint64, len(words)).view(np.int64)
+    return np.fromiter((digest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
 
 
 class Lookup:
