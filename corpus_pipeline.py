@@ -4,22 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.bpe import default_tokenizer, digests, encode
 from tidewell.llm.common import written
 from tidewell.llm.exact_dedup import drop_copies
+from tidewell.llm.mixing import mixed
+from tidewell.llm.quality import drop_low_quality, training_labels
 from tidewell.llm.simhash import drop_near_copies
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as 1; it learns as op10_quality does."""
+    return drop_low_quality(docs, training_labels(spark, sf_dir))
+
+
 def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id."""
     return drop_copies(docs)
 
 
 def dedup_nearly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component, the row with the smallest id."""
     return drop_near_copies(docs)
 
 
-STAGES = [("exact dedup", dedup_exactly), ("SimHash near-dedup", dedup_nearly)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources plays them, up to three times; some sources' rest isn't played."""
+    return mixed(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each row."""
+    path = default_tokenizer()
+    return digests(encode(docs, path), path, keep_ids=True)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", dedup_exactly),
+    ("SimHash near-dedup", dedup_nearly),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", encode_texts),
+]
 
-#: Fingerprints, classifier and tokenizer are beyond SQL; tests/llm compare with brute force.
+#: Classifier, fingerprints and tokenizer are beyond SQL; tests/llm compare with brute force.
 ORACLE_SQL = None
 
 

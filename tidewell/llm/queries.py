@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm.bpe import op6_bpe
 from tidewell.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidewell.llm.fingerprints import op2_fingerprints
+from tidewell.llm.html_text import op3_html
 from tidewell.llm.katz import op5_katz
 from tidewell.llm.language import op4_language
 from tidewell.llm.licenses import op8_licenses
@@ -19,6 +20,7 @@ from tidewell.llm.simhash import op7_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_fingerprints": op2_fingerprints,
+    "op3_html": op3_html,
     "op4_language": op4_language,
     "op5_katz": op5_katz,
     "op6_bpe": op6_bpe,
