@@ -29,7 +29,7 @@ END, START = b"\n", -1
 #: Good-Turing discounts hold for counts up to this.
 DISCOUNTED = 5
 #: Words of the table that tasks hold (16 bytes each); tokens of a block; places of a bucket; places that split a history.
-TABLE_WORDS, BLOCK_TOKENS, BUCKET, HOT = 8_000_000, 1_000_000, 2_000_000, 1_000_000
+TABLE_WORDS, BLOCK_TOKENS, BUCKET, HOT = 8_000_000, 1_000_000, 600_000, 1_000_000
 SMOOTH = 0.1
 
 
@@ -385,24 +385,37 @@ _SCORED = ["doc", "doc_id", "n_tokens", "n_known", "base_score", "score"]
 
 
 def _score(shared, d: np.ndarray, split: dict):
+    """Sums for each document over the blocks of a task, passed on when there are many."""
+
     def run(batches):
         held: Words = shared.value
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add(docs: np.ndarray, values) -> tuple[np.ndarray, np.ndarray]:
+            docs, at = np.unique(docs, return_inverse=True)
+            return docs, np.array([np.bincount(at, x, len(docs)) for x in values])
+
+        def out(kind):
+            docs, a = add(np.concatenate([x[0] for x in sums]), np.hstack([x[1] for x in sums]))
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(docs), pa.nulls(len(docs)).cast(kind), *(pa.array(x.astype(np.int64)) for x in a[:2]), pa.array(a[2]), pa.array(a[3])], _SCORED)
+
         for b in batches:
             kind = b.column("doc_id").type
             plain = b.filter(b.column("block").is_null())
             if plain.num_rows:
                 none = pa.nulls(plain.num_rows)
                 yield pa.RecordBatch.from_arrays([plain.column("doc"), plain.column("doc_id"), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())], _SCORED)
-            for raw in b.column("block").drop_null().to_pylist():
-                a = unpack(raw)
+            for raw in b.column("block").drop_null():
+                a = unpack(raw.as_py())
                 if not len(a["doc"]):
                     continue
-                of = np.repeat(np.arange(len(a["v"])), a["m"])
-                docs, at = np.unique(a["doc"], return_inverse=True)
-                add = lambda x: np.bincount(at, x[of] * a["n"], len(docs))  # noqa: B023, E731
-                whole = lambda x: pa.array(add(x).astype(np.int64))
-                parts = [whole(np.ones(len(a["v"]))), whole(a["cw"] > 0), pa.array(add(held.base(a["cw"]))), pa.array(add(log_probabilities(held, d, split, a)))]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.nulls(len(docs)).cast(kind), *parts], _SCORED)
+                each = (np.ones(len(a["v"])), a["cw"] > 0, held.base(a["cw"]), log_probabilities(held, d, split, a))
+                sums.append(add(a["doc"], [np.repeat(x, a["m"]) * a["n"] for x in each]))
+                if sum(len(x[0]) for x in sums) > BLOCK_TOKENS:
+                    yield out(kind)
+        if sums:
+            yield out(kind)
 
     return run
 
