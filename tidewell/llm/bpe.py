@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import table, text_batches, written
-from tidewell.llm.tokens import Lookup, coded, frequent, hashes, split_words
+from tidewell.llm.tokens import Lookup, coded, frequent, gathered, hashes, joined, split_words
 
 #: Words of the table that tasks hold: about 20 bytes each.
 TABLE_WORDS = 8_000_000
-#: Words counted before a task passes them on.
-COUNT_WORDS = 500_000
+#: Bytes of texts that a task counts at a time.
+COUNT_BYTES = 12_000_000
 
 
 def _tokenizer(path: str):
@@ -35,21 +35,14 @@ def _tokenizer(path: str):
 
 
 def _count(batches):
-    """Distinct words of many batches with their counts."""
-    counts: dict[bytes, int] = {}
+    """Distinct words of many texts with their counts."""
 
-    def out():
-        words = pa.array(list(counts), pa.binary())
-        return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+    def make(held):
+        d = joined([split_words(b.column("text")) for b in held])[1].dictionary_encode()
+        n = np.bincount(d.indices.to_numpy(zero_copy_only=False), minlength=len(d.dictionary))
+        yield pa.RecordBatch.from_arrays([d.dictionary.cast(pa.binary()), pa.array(n)], ["word", "n"])
 
-    for b in batches:
-        codes, words = coded(split_words(b.column("text"))[1])
-        for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
-            counts[w] = counts.get(w, 0) + n
-        if len(counts) >= COUNT_WORDS:
-            yield out()
-            counts.clear()
-    yield out()
+    return gathered(batches, lambda b: b.column("text").nbytes, make, COUNT_BYTES)
 
 
 def _encode(path: str):

@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import crc_mod, partitions, table, text_batches, written
-from tidewell.llm.tokens import Lookup, coded, frequent, hashes, split_words
+from tidewell.llm.tokens import Lookup, coded, frequent, gathered, hashes, joined, split_words
 
 #: The token after the last word; as a history the start of a text stands in its place.
 END, START = b"\n", -1
 #: Good-Turing discounts hold for counts up to this.
 DISCOUNTED = 5
-#: Words of the table that tasks hold (16 bytes each); tokens of a block; places of a bucket; places that split a history.
-TABLE_WORDS, BLOCK_TOKENS, BUCKET, HOT = 8_000_000, 1_000_000, 600_000, 1_000_000
+#: Words of the table that tasks hold (16 bytes each); bytes of texts of a block; places of a bucket; places that split a history.
+TABLE_WORDS, BLOCK_BYTES, BUCKET, HOT = 8_000_000, 6_000_000, 600_000, 1_000_000
 SMOOTH = 0.1
 
 
@@ -87,26 +87,18 @@ class Words:
 
 def _count(batches):
     """word, n (in training texts), places (in all)."""
-    counts: dict[bytes, list[int]] = {}
 
-    def out():
-        n = np.array(list(counts.values()), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(n[:, 0]), pa.array(n[:, 1])], ["word", "n", "places"])
+    def make(held):
+        offsets, words = joined([split_words(b.column("text"), lower=True) for b in held])
+        train = np.concatenate([b.column("train").to_numpy(zero_copy_only=False).astype(bool) for b in held])
+        d = words.dictionary_encode()
+        codes = d.indices.to_numpy(zero_copy_only=False)
+        every = np.bincount(codes, minlength=len(d.dictionary))
+        taught = np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(d.dictionary))
+        names = pa.concat_arrays([d.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+        yield pa.RecordBatch.from_arrays([names, pa.array(np.append(taught, train.sum())), pa.array(np.append(every, len(train)))], ["word", "n", "places"])
 
-    for b in batches:
-        offsets, words = split_words(b.column("text"), lower=True)
-        codes, distinct = coded(words)
-        train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        every = np.bincount(codes, minlength=len(distinct))
-        taught = np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(distinct))
-        for w, n, p in zip([*distinct, END], [*taught.tolist(), int(train.sum())], [*every.tolist(), len(train)], strict=True):
-            c = counts.setdefault(w, [0, 0])
-            c[0] += n
-            c[1] += p
-        if len(counts) >= BLOCK_TOKENS // 2:
-            yield out()
-            counts.clear()
-    yield out()
+    return gathered(batches, lambda b: b.column("text").nbytes, make, BLOCK_BYTES)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -247,31 +239,14 @@ _ROW = ["bucket", "block", "doc", "doc_id"]
 
 def _deal(shared, buckets: int, hot: int):
     def run(batches):
-        held: Words = shared.value
-        texts: list[tuple] = []
-
-        def flush():
-            lengths = np.concatenate([np.diff(t[0]) for t in texts])
-            offsets = np.concatenate(([0], np.cumsum(lengths)))
-            made = list(blocks(held, buckets, hot, *bigrams(held, offsets, pa.concat_arrays([t[1] for t in texts]), *(np.concatenate([t[k] for t in texts]) for k in (2, 3)))))
-            texts.clear()
-            none = pa.nulls(len(made))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary()), none.cast(pa.int64()), none.cast(kind)], _ROW)
+        def make(held):
+            columns = [pa.concat_arrays([b.column(c) for b in held]) for c in ("doc", "doc_id", "train")]
+            doc, train = columns[0].to_numpy(), columns[2].to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(doc % buckets, pa.int32()), pa.nulls(len(doc), pa.binary()), *columns[:2]], _ROW)
+            offsets, words = joined([split_words(b.column("text"), lower=True) for b in held])
+            yield _rows(list(blocks(shared.value, buckets, hot, *bigrams(shared.value, offsets, words, doc, train))), columns[1].type)
 
-        size = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            doc, kind = b.column("doc").to_numpy(), b.column("doc_id").type
-            offsets, words = split_words(b.column("text"), lower=True)
-            texts.append((offsets, words, doc, b.column("train").to_numpy(zero_copy_only=False).astype(bool)))
-            size += offsets[-1] + len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(doc % buckets, pa.int32()), pa.nulls(len(doc), pa.binary()), b.column("doc"), b.column("doc_id")], _ROW)
-            if size >= BLOCK_TOKENS:
-                yield flush()
-                size = 0
-        if texts:
-            yield flush()
+        return gathered(batches, lambda b: b.column("text").nbytes, make, BLOCK_BYTES)
 
     return run
 
@@ -412,7 +387,7 @@ def _score(shared, d: np.ndarray, split: dict):
                     continue
                 each = (np.ones(len(a["v"])), a["cw"] > 0, held.base(a["cw"]), log_probabilities(held, d, split, a))
                 sums.append(add(a["doc"], [np.repeat(x, a["m"]) * a["n"] for x in each]))
-                if sum(len(x[0]) for x in sums) > BLOCK_TOKENS:
+                if sum(len(x[0]) for x in sums) > BUCKET:
                     yield out(kind)
         if sums:
             yield out(kind)

@@ -33,6 +33,28 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
 
 
+def joined(parts: list[tuple[np.ndarray, pa.Array]]) -> tuple[np.ndarray, pa.Array]:
+    """Split batches as one."""
+    lengths = np.concatenate([np.diff(offsets) for offsets, _ in parts])
+    return np.concatenate(([0], np.cumsum(lengths))), pa.concat_arrays([words for _, words in parts])
+
+
+def gathered(batches, size, make, most: int):
+    """make(batches) for runs of input batches in which size adds up to most or more, and for the rest."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += size(b)
+        if n >= most:
+            yield from make(held)
+            held, n = [], 0
+            pa.default_memory_pool().release_unused()
+    if held:
+        yield from make(held)
+
+
 class Lookup:
     """Places of hashes in a sorted array, -1 where missing."""
 
