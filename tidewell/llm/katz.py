@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from tidewell.llm.tokens import Lookup, coded, frequent, gathered, hashes, joine
 END, START = b"\n", -1
 #: Good-Turing discounts hold for counts up to this.
 DISCOUNTED = 5
+#: Buckets that are dealt at once; documents of a group whose sums are added in one task.
+FAN, GROUP = 8192, 16_384
 #: Words of the table that tasks hold (16 bytes each); bytes of texts of a block; places of a bucket; places that split a history.
 TABLE_WORDS, BLOCK_BYTES, BUCKET, HOT = 8_000_000, 6_000_000, 600_000, 1_000_000
 SMOOTH = 0.1
@@ -128,22 +133,29 @@ def held_words(words: DataFrame, most: int, hot: int) -> tuple[Words, int]:
     return held, sums["places"] or 0
 
 
+_KINDS = [np.dtype(k) for k in ("<i1", "<i2", "<i4", "<i8")]
+
+
 def pack(**arrays: np.ndarray) -> bytes:
-    """The arrays as one compressed Arrow message; document keys are kept as distances from their least."""
-    low = arrays["doc"].min() if len(arrays["doc"]) else np.int64(0)
-    arrays["doc"], arrays["low"] = arrays["doc"] - low, np.array([low])
-    small = {k: a.astype(np.int32) if k != "low" and len(a) and a.max() < 1 << 31 and a.min() >= -(1 << 31) else a for k, a in arrays.items()}
-    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a)) for a in small.values()], list(small))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def unpack(raw: bytes) -> dict[str, np.ndarray]:
-    batch = pa.ipc.open_stream(raw).read_next_batch()
-    arrays = {k: batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in batch.schema.names}
-    arrays["doc"] += arrays.pop("low")[0]
+    """The whole numbers of the arrays, in the order that unpack() names, each in the narrowest type, compressed; document keys as distances from their least."""
+    low = int(arrays["doc"].min()) if len(arrays["doc"]) else 0
+    head, body = [struct.pack("<q", low)], []
+    for k, a in arrays.items():
+        a = a - low if k == "doc" else a
+        kind = next(t for t in _KINDS if not len(a) or (np.iinfo(t).min <= a.min() and a.max() <= np.iinfo(t).max))
+        head.append(struct.pack("<BI", _KINDS.index(kind), len(a)))
+        body.append(a.astype(kind).tobytes())
+    return zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress(b"".join(head + body))
+
+
+def unpack(raw: bytes, names=("v", "w", "c", "cw", "m", "sub", "doc", "n")) -> dict[str, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    low, at, arrays = struct.unpack_from("<q", raw)[0], 8 + 5 * len(names), {}
+    for i, k in enumerate(names):
+        kind, n = struct.unpack_from("<BI", raw, 8 + 5 * i)
+        arrays[k] = np.frombuffer(raw, _KINDS[kind], n, at).astype(np.int64)
+        at += n * _KINDS[kind].itemsize
+    arrays["doc"] += low
     return arrays
 
 
@@ -168,51 +180,55 @@ def changes(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _bucket(held: Words, v: np.ndarray, w: np.ndarray, cw: np.ndarray, buckets: int) -> np.ndarray:
-    """By history; by history and word where the history is hot; below 0, by word, where the word's count is unknown."""
-    crowded = held.places(v) > 0
-    bucket = (np.where(crowded, mix(v, w), mix(v)) % np.uint64(buckets)).astype(np.int64)
+def _bucket(held: Words, buckets: int, v: np.ndarray, w: np.ndarray, cw: np.ndarray, sub: np.ndarray) -> np.ndarray:
+    """By history; by history and word (and part) where the history is hot; below 0, by word, where the word's count is unknown."""
+    bucket = np.where(sub > 0, mix(v, w, sub), np.where(held.places(v) > 0, mix(v, w), mix(v))) % np.uint64(buckets)
     if held.whole:
-        return bucket
-    return np.where((w < START) & (cw < 0), -1 - (mix(w) % np.uint64(buckets)).astype(np.int64), bucket)
+        return bucket.astype(np.int64)
+    return np.where((w < START) & (cw < 0), -1 - (mix(w) % np.uint64(buckets)).astype(np.int64), bucket.astype(np.int64))
 
 
-def blocks(held: Words, buckets: int, hot: int, v, w, c, cw, m, doc, n):
-    """(bucket, packed block) of bigrams (v, w, c, cw, m) and their places (doc, n), m of them each, one after another."""
-    sub = np.zeros(len(v), np.int64)
-    pv, pw = held.places(v), held.places(w)
-    bucket = _bucket(held, v, w, cw, buckets)
-    both = np.flatnonzero((pv > 0) & (pw > 0) & (bucket >= 0))
-    if len(both):
-        # Such a pair may have most places of the corpus: its count goes to several buckets, each place to one of them.
-        starts = np.cumsum(m) - m
-        parts = -(-np.minimum(pv[both], pw[both]) // hot)
-        keep = np.setdiff1d(np.arange(len(v)), both)
-        rows, subs, ms, at = [keep], [sub[keep]], [m[keep]], [runs(starts[keep], m[keep])]
-        for i, p in zip(both.tolist(), parts.tolist(), strict=True):
-            own = np.arange(starts[i], starts[i] + m[i])
-            side = doc[own] % p
-            order = np.argsort(side, kind="stable")
-            rows.append(np.full(p, i))
-            subs.append(np.arange(p))
-            ms.append(np.bincount(side, minlength=p))
-            at.append(own[order])
-        rows, sub, m, at = (np.concatenate(x) for x in (rows, subs, ms, at))
-        v, w, c, cw, doc, n, bucket = v[rows], w[rows], c[rows], cw[rows], doc[at], n[at], bucket[rows]
-        bucket = np.where(sub > 0, (mix(v, w, sub) % np.uint64(buckets)).astype(np.int64), bucket)
+def blocks(held: Words, buckets: int, fan: int, v, w, c, cw, m, sub, doc, n):
+    """(bucket // fan, packed block) of bigrams (v, w, c, cw, m, sub) and their places (doc, n), m of them each, one after another."""
+    bucket = _bucket(held, buckets, v, w, cw, sub) // fan
     order = np.lexsort((w, v, bucket))
-    starts = (np.cumsum(m) - m)[order]
-    v, w, c, cw, m, sub, bucket = v[order], w[order], c[order], cw[order], m[order], sub[order], bucket[order]
-    at = runs(starts, m)
-    doc, n, ends = doc[at], n[at], np.concatenate(([0], np.cumsum(m)))
+    at = runs((np.cumsum(m) - m)[order], m[order])
+    a = {"v": v, "w": w, "c": c, "cw": cw, "m": m, "sub": sub}
+    a = {k: x[order] for k, x in a.items()}
+    bucket, doc, n, ends = bucket[order], doc[at], n[at], np.concatenate(([0], np.cumsum(a["m"])))
     cuts = [*changes(bucket).tolist(), len(bucket)] if len(bucket) else [0]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        places = slice(ends[a], ends[b])
-        yield int(bucket[a]), pack(v=v[a:b], w=w[a:b], c=c[a:b], cw=cw[a:b], m=m[a:b], sub=sub[a:b], doc=doc[places], n=n[places])
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield int(bucket[i]), pack(**{k: x[i:j] for k, x in a.items()}, doc=doc[ends[i] : ends[j]], n=n[ends[i] : ends[j]])
+
+
+def parted(held: Words, hot: int, v, w, c, cw, m, doc, n):
+    """The bigrams with sub: pairs of two hot words, which may have most places of the corpus, in several parts.
+
+    Each part has the count, and some of the places.
+    """
+    sub = np.zeros(len(v), np.int64)
+    pv, pw = held.places(v), held.places(w)
+    both = np.flatnonzero((pv > 0) & (pw > 0))
+    if not len(both):
+        return v, w, c, cw, m, sub, doc, n
+    starts, keep = np.cumsum(m) - m, np.setdiff1d(np.arange(len(v)), both)
+    rows, subs, ms, at = [keep], [sub[keep]], [m[keep]], [runs(starts[keep], m[keep])]
+    for i, p in zip(both.tolist(), (-(-np.minimum(pv[both], pw[both]) // hot)).tolist(), strict=True):
+        own = np.arange(starts[i], starts[i] + m[i])
+        side = doc[own] % p
+        rows.append(np.full(p, i))
+        subs.append(np.arange(p))
+        ms.append(np.bincount(side, minlength=p))
+        at.append(own[np.argsort(side, kind="stable")])
+    rows, sub, m, at = (np.concatenate(x) for x in (rows, subs, ms, at))
+    return v[rows], w[rows], c[rows], cw[rows], m, sub, doc[at], n[at]
 
 
 def bigrams(held: Words, offsets: np.ndarray, words: pa.Array, doc: np.ndarray, train: np.ndarray):
-    """Bigrams of texts as arrays v, w, c, cw (-1: to be looked up), m, and places doc, n."""
+    """(bigrams of texts as arrays v, w, c, cw (-1: to be looked up), m, and places doc, n; tokens, known ones and base score of each text).
+
+    Words that may be known though the table hasn't them count in neither sum; _score adds them.
+    """
     codes, distinct = coded(words)
     code = np.append(held.codes(hashes(distinct)), [held.codes(hashes([END]))[0], START])
     d, size = len(offsets) - 1, len(code)
@@ -224,6 +240,9 @@ def bigrams(held: Words, offsets: np.ndarray, words: pa.Array, doc: np.ndarray,
     v = np.concatenate(([size - 1], w[:-1]))
     v[last[:-1] + 1] = size - 1
     key, of = v * size + w, np.repeat(np.arange(d), np.diff(offsets) + 1)
+    count = held.count(code)
+    told = held.whole | (code >= 0)
+    sums = np.diff(offsets) + 1, np.bincount(of, (told & (count > 0))[w], d).astype(np.int64), np.bincount(of, np.where(told, held.base(count), 0)[w], d)
     order = np.argsort(key, kind="stable")
     key, of = key[order], of[order]
     places = changes(key, of)
@@ -231,20 +250,21 @@ def bigrams(held: Words, offsets: np.ndarray, words: pa.Array, doc: np.ndarray,
     key, of = key[places], of[places]
     firsts = changes(key)
     c = np.add.reduceat(n * train[of], firsts)
-    return code[key[firsts] // size], code[key[firsts] % size], c, np.full(len(firsts), -1), np.diff(np.append(firsts, len(key))), doc[of], n
+    return (code[key[firsts] // size], code[key[firsts] % size], c, np.full(len(firsts), -1), np.diff(np.append(firsts, len(key))), doc[of], n), sums
 
 
-_ROW = ["bucket", "block", "doc", "doc_id"]
+_ROW = ["bucket", "block", "doc", "doc_id", "n_tokens", "n_known", "base_score"]
 
 
-def _deal(shared, buckets: int, hot: int):
+def _deal(shared, buckets: int, fan: int, hot: int):
     def run(batches):
         def make(held):
             columns = [pa.concat_arrays([b.column(c) for b in held]) for c in ("doc", "doc_id", "train")]
             doc, train = columns[0].to_numpy(), columns[2].to_numpy(zero_copy_only=False).astype(bool)
-            yield pa.RecordBatch.from_arrays([pa.array(doc % buckets, pa.int32()), pa.nulls(len(doc), pa.binary()), *columns[:2]], _ROW)
             offsets, words = joined([split_words(b.column("text"), lower=True) for b in held])
-            yield _rows(list(blocks(shared.value, buckets, hot, *bigrams(shared.value, offsets, words, doc, train))), columns[1].type)
+            found, sums = bigrams(shared.value, offsets, words, doc, train)
+            yield pa.RecordBatch.from_arrays([pa.array(doc % buckets // fan, pa.int32()), pa.nulls(len(doc), pa.binary()), *columns[:2], *map(pa.array, sums)], _ROW)
+            yield _rows(blocks(shared.value, buckets, fan, *parted(shared.value, hot, *found)), columns[1].type)
 
         return gathered(batches, lambda b: b.column("text").nbytes, make, BLOCK_BYTES)
 
@@ -260,7 +280,7 @@ def _merged(raw: list[bytes]) -> dict[str, np.ndarray]:
     v, w, sub = a["v"][order], a["w"][order], a["sub"][order]
     firsts = changes(v, w, sub)
     add = lambda x: np.add.reduceat(x[order], firsts)
-    return {"v": v[firsts], "w": w[firsts], "sub": sub[firsts], "c": add(a["c"]), "cw": np.maximum.reduceat(a["cw"][order], firsts), "m": add(a["m"]), "doc": a["doc"][at], "n": a["n"][at]}
+    return {"v": v[firsts], "w": w[firsts], "c": add(a["c"]), "cw": np.maximum.reduceat(a["cw"][order], firsts), "m": add(a["m"]), "sub": sub[firsts], "doc": a["doc"][at], "n": a["n"][at]}
 
 
 def _buckets(batches, finish):
@@ -283,9 +303,30 @@ def _buckets(batches, finish):
         yield from finish(now, held, kind)
 
 
-def _rows(made: list[tuple[int, bytes]], kind: pa.DataType) -> pa.RecordBatch:
+def _rows(made, kind: pa.DataType) -> pa.RecordBatch:
+    made = list(made)
     none = pa.nulls(len(made))
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary()), none.cast(pa.int64()), none.cast(kind)], _ROW)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([b for b, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary()), *(none.cast(t) for t in (pa.int64(), kind, pa.int64(), pa.int64(), pa.float64()))], _ROW
+    )
+
+
+def _split(shared, buckets: int):
+    """Cuts blocks of many buckets, dealt to one task, by bucket, many blocks at a time."""
+
+    def run(batches):
+        def make(held):
+            for b in held:
+                plain = b.filter(b.column("block").is_null())
+                if plain.num_rows:
+                    yield plain
+            raw = [r for b in held for r in b.column("block").drop_null().to_pylist()]
+            if raw:
+                yield _rows(blocks(shared.value, buckets, 1, **_merged(raw)), held[0].column("doc_id").type)
+
+        return gathered(batches, lambda b: b.nbytes, make, BLOCK_BYTES)
+
+    return run
 
 
 def _gather(shared):
@@ -297,14 +338,14 @@ def _gather(shared):
     return lambda batches: _buckets(batches, finish)
 
 
-def _count_rare(shared, buckets: int, hot: int):
+def _count_rare(shared, buckets: int, fan: int):
     """Buckets by word hold all of a word's places: counts it, then deals by history."""
 
     def finish(bucket, raw, kind):
         a = _merged(raw)
         names, of = np.unique(a["w"], return_inverse=True)
         cw = np.bincount(of, a["c"], len(names)).astype(np.int64)[of]
-        yield _rows(list(blocks(shared.value, buckets, hot, a["v"], a["w"], a["c"], cw, a["m"], a["doc"], a["n"])), kind)
+        yield _rows(blocks(shared.value, buckets, fan, **(a | {"cw": cw})), kind)
 
     return lambda batches: _buckets(batches, finish)
 
@@ -356,38 +397,54 @@ def log_probabilities(held: Words, d: np.ndarray, split: dict[int, tuple[int, fl
     return np.log10(np.where(seen, own, weight[of] * held.probability(a["cw"])))
 
 
-_SCORED = ["doc", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+_PARTS = ["group", "block", "doc", "doc_id", "n_tokens", "n_known", "base_score"]
+_SUMS = ("doc", "known", "base", "score")
+#: Sums are passed on in whole parts of this.
+GRAIN = 1 << 20
+
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct documents, sums of their values) of (documents, rows of values)."""
+    docs, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return docs, np.array([np.bincount(at, x, len(docs)) for x in np.hstack([p[1] for p in parts])])
 
-def _score(shared, d: np.ndarray, split: dict):
-    """Sums for each document over the blocks of a task, passed on when there are many."""
+
+def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
+    """Documents whose keys are close share a group, which keeps their keys short in a block."""
+    return (mix(doc >> 8) % np.uint64(groups)).astype(np.int64)
+
+
+def _score(shared, d: np.ndarray, split: dict, groups: int):
+    """Sums for each document over the blocks of a task, passed on by groups of documents when there are many."""
 
     def run(batches):
         held: Words = shared.value
         sums: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def add(docs: np.ndarray, values) -> tuple[np.ndarray, np.ndarray]:
-            docs, at = np.unique(docs, return_inverse=True)
-            return docs, np.array([np.bincount(at, x, len(docs)) for x in values])
-
         def out(kind):
-            docs, a = add(np.concatenate([x[0] for x in sums]), np.hstack([x[1] for x in sums]))
+            docs, values = _added(sums)
             sums.clear()
-            return pa.RecordBatch.from_arrays([pa.array(docs), pa.nulls(len(docs)).cast(kind), *(pa.array(x.astype(np.int64)) for x in a[:2]), pa.array(a[2]), pa.array(a[3])], _SCORED)
+            values = np.rint(values * [[1], [GRAIN], [GRAIN]]).astype(np.int64)
+            group = group_of(docs, groups)
+            order = np.argsort(group, kind="stable")
+            cuts = [*changes(group[order]).tolist(), len(order)]
+            made = [(int(group[order[a]]), pack(**dict(zip(_SUMS, (docs[order[a:b]], *values[:, order[a:b]]), strict=True)))) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return _rows(made, kind).rename_columns(_PARTS)
 
         for b in batches:
             kind = b.column("doc_id").type
             plain = b.filter(b.column("block").is_null())
             if plain.num_rows:
-                none = pa.nulls(plain.num_rows)
-                yield pa.RecordBatch.from_arrays([plain.column("doc"), plain.column("doc_id"), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())], _SCORED)
+                group = pa.array(group_of(plain.column("doc").to_numpy(), groups), pa.int32())
+                yield pa.RecordBatch.from_arrays([group, *plain.columns[1:]], _PARTS)
             for raw in b.column("block").drop_null():
                 a = unpack(raw.as_py())
                 if not len(a["doc"]):
                     continue
-                each = (np.ones(len(a["v"])), a["cw"] > 0, held.base(a["cw"]), log_probabilities(held, d, split, a))
-                sums.append(add(a["doc"], [np.repeat(x, a["m"]) * a["n"] for x in each]))
-                if sum(len(x[0]) for x in sums) > BUCKET:
+                late = (a["w"] < START) & (not held.whole)  # words that bigrams() left out
+                each = (late & (a["cw"] > 0), np.where(late, held.base(a["cw"]), 0), log_probabilities(held, d, split, a))
+                sums.append(_added([(a["doc"], np.array([np.repeat(x, a["m"]) * a["n"] for x in each]))]))
+                if sum(len(x[0]) for x in sums) > 2 * BUCKET:
                     yield out(kind)
         if sums:
             yield out(kind)
@@ -395,8 +452,31 @@ def _score(shared, d: np.ndarray, split: dict):
     return run
 
 
+def _total(batches):
+    """Rows sorted by group, blocks first: the sums of a group's documents, then the documents with them."""
+    now, sums = None, []
+    for b in batches:
+        for group in changes(b.column("group").to_numpy()).tolist():
+            rows = b.slice(group)
+            key = rows.column("group")[0].as_py()
+            rows = rows.filter(pc.equal(rows.column("group"), key))
+            if key != now:
+                now, sums = key, []
+            for raw in rows.column("block").drop_null():
+                a = unpack(raw.as_py(), _SUMS)
+                sums.append((a["doc"], np.array([a[k] for k in _SUMS[1:]])))
+                if sum(len(x[0]) for x in sums[1:]) > 4 * BUCKET + len(sums[0][0]):
+                    sums = [_added(sums)]
+            rows = rows.filter(rows.column("block").is_null())
+            if rows.num_rows:
+                sums = [_added(sums)]
+                known, base, score = sums[0][1][:, np.searchsorted(sums[0][0], rows.column("doc").to_numpy())]
+                known, base = rows.column("n_known").to_numpy() + known.astype(np.int64), rows.column("base_score").to_numpy() + base / GRAIN
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_tokens"), *map(pa.array, (known, base, score / GRAIN))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
 def katz_scores(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", *, table_words: int = TABLE_WORDS, bucket: int = BUCKET, hot: int = HOT
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", *, table_words: int = TABLE_WORDS, bucket: int = BUCKET, hot: int = HOT, most_buckets: int = FAN
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of docs; train marks the rows that teach.
 
@@ -408,12 +488,16 @@ def katz_scores(
     rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     held, places = held_words(count_words(rows), table_words, hot)
     shared, n = spark.sparkContext.broadcast(held), max(partitions(spark), -(-places // bucket))
-    schema = f"bucket int, block binary, doc long, doc_id {kind}"
-    dealt = text_batches(rows, _deal(shared, n, hot), schema)
+    rest = f"block binary, doc long, doc_id {kind}, n_tokens long, n_known long, base_score double"
+    schema = f"bucket int, {rest}"
+    fan = -(-n // most_buckets)  # where a block can't be cut into as many parts as there are buckets, it is cut twice
+    dealt = text_batches(rows, _deal(shared, n, fan, hot), schema)
+    by = lambda df: df.repartition(min(n, most_buckets), "bucket").sortWithinPartitions("bucket")
     if not held.whole:
         dealt = written(dealt)
-        rare = dealt.filter("bucket < 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_rare(shared, n, hot), schema)
-        dealt = dealt.filter("bucket >= 0").unionByName(rare)
+        dealt = dealt.filter("bucket >= 0").unionByName(by(dealt.filter("bucket < 0")).mapInArrow(_count_rare(shared, n, fan), schema))
+    if fan > 1:
+        dealt = by(dealt).mapInArrow(_split(shared, n), schema)
     stored = written(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(shared), schema))
     model = stored.filter("block is not null").select("block")
     counts = model.mapInArrow(_spectrum, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
@@ -422,8 +506,10 @@ def katz_scores(
     if len(held.hot):
         sums = model.mapInArrow(_hot_sums(shared, d), "v long, c long, mass double, lower double").groupBy("v").agg(F.sum("c"), F.sum("mass"), F.sum("lower"))
         split = {r[0]: (r[1], r[2], r[3]) for r in sums.collect()}  # one row a hot word
-    parts = stored.select("block", "doc", "doc_id").mapInArrow(_score(shared, d, split), f"doc long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    total = parts.groupBy("doc").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in _SCORED[2:]))
+    groups = min(FAN, max(partitions(spark), -(-stored.filter("block is null").count() // GROUP)))
+    parts = stored.mapInArrow(_score(shared, d, split, groups), f"group int, {rest}")
+    parts = parts.repartition(groups, "group").sortWithinPartitions("group", F.col("block").isNull())
+    total = parts.mapInArrow(_total, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return total.select("doc_id", "n_tokens", "n_known", F.lit(held.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
