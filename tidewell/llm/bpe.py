@@ -9,6 +9,7 @@ tasks as one compact table; texts with other words get those from a shuffle join
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +17,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table, text_batches, written
+from tidewell.llm.common import small, table, text_batches, written
 from tidewell.llm.tokens import Lookup, coded, frequent, gathered, hashes, joined, split_words
 
 #: Words of the table that tasks hold: about 20 bytes each.
 TABLE_WORDS = 8_000_000
 #: Bytes of texts that a task counts at a time.
-COUNT_BYTES = 12_000_000
+COUNT_BYTES = 6_000_000
 
 
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -50,7 +52,7 @@ def _encode(path: str):
         tokenizer = _tokenizer(path)
         for b in batches:
             raw = b.column("word").to_pylist()
-            ids = [e.ids for e in tokenizer.encode_batch([w.decode() for w in raw], add_special_tokens=False)]
+            ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in raw], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(hashes(raw)), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "h", "ids"])
 
     return run
@@ -68,39 +70,50 @@ class Words:
 
     def __init__(self, h: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
         order = np.argsort(h)
-        starts = np.cumsum(lengths) - lengths
+        starts, lengths = (np.cumsum(lengths, dtype=np.int64) - lengths)[order], lengths[order]
         self.find = Lookup(h[order])
-        self.ends = np.concatenate(([0], np.cumsum(lengths[order])))
-        self.ids = ids[_runs(starts[order], lengths[order])].astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32)
+        self.ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))).astype(np.uint32)
+        self.ids = np.concatenate([np.zeros(0, ids.dtype), *(ids[_runs(starts[i : i + 500_000], lengths[i : i + 500_000])] for i in range(0, len(order), 500_000))])
 
     def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each, all ids); -1 has one id, -1."""
-        lengths = np.where(at < 0, 1, self.ends[at + 1] - self.ends[at])
+        lengths = np.where(at < 0, 1, self.ends[at + 1].astype(np.int64) - self.ends[at])
         flat = np.full(lengths.sum(), -1, np.int32)
         known = np.repeat(at >= 0, lengths)
-        flat[known] = self.ids[_runs(self.ends[at[at >= 0]], lengths[at >= 0])]
+        flat[known] = self.ids[_runs(self.ends[at[at >= 0]].astype(np.int64), lengths[at >= 0])]
         return lengths, flat
 
 
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places start, start + 1, ... of each run, one run after another."""
-    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    before = np.cumsum(lengths, dtype=np.int64) - lengths
+    return np.arange(before[-1] + lengths[-1] if len(lengths) else 0) + np.repeat(starts - before, lengths)
 
 
-def frequent_words(words: DataFrame, most: int) -> tuple[Words, bool]:
+def _compact(wide: bool):
+    def run(batches):
+        for b in batches:
+            ids = b.column("ids")
+            parts = (b.column("h").to_numpy(), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.uint32), ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32 if wide else np.uint16))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["h", "lengths", "ids"])
+
+    return run
+
+
+def frequent_words(words: DataFrame, most: int, vocabulary: int) -> tuple[Words, bool]:
     """The words of a least frequency that leaves at most so many, and whether they are all.
 
     Words that share a hash are left to the join on the word.
     """
     some, every = frequent(words, most)
-    rows = some.select("h", "ids").toArrow()
-    ids = rows["ids"].combine_chunks()
-    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-    h, lengths = rows["h"].to_numpy(), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-    shared = words.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    bad = np.array([r["h"] for r in shared.collect()], np.int64)  # two of 10^7 words share a hash once in 10^5 corpora
-    flat, keep = ids.flatten().to_numpy(zero_copy_only=False), ~np.isin(h, bad)
-    return Words(h[keep], lengths[keep], flat[np.repeat(keep, lengths)]), every and not len(bad)
+    shared = words.groupBy("h").agg(F.count("*").alias("same")).filter("same > 1").select("h")
+    shared = written(shared)  # two of 10^7 words share a hash once in 10^5 corpora
+    if not shared.isEmpty():
+        some, every = some.join(small(shared, 1_000_000), "h", "left_anti"), False
+    wide = vocabulary > 1 << 16
+    rows = some.select("h", "ids").mapInArrow(_compact(wide), "h binary, lengths binary, ids binary").toArrow()
+    whole = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
+    return Words(whole("h", np.int64), whole("lengths", np.uint32), whole("ids", np.uint32 if wide else np.uint16)), every
 
 
 def _lists(lengths: np.ndarray, values) -> pa.Array:
@@ -146,7 +159,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     words = word_table(docs, tokenizer, text_col)
-    held, whole = frequent_words(words, table_words)
+    held, whole = frequent_words(words, table_words, _tokenizer(tokenizer).get_vocab_size())
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"row long, doc_id {kind}, ids array<int>"
     filled = text_batches(rows, _fill(spark.sparkContext.broadcast(held), whole), schema + ("" if whole else ", rest array<binary>"))
