@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.bpe import default_tokenizer, digests, encode
+from tidewell.llm.bpe import default_tokenizer, encode_digests
 from tidewell.llm.common import written
 from tidewell.llm.exact_dedup import drop_copies
 from tidewell.llm.mixing import mixed
@@ -34,8 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each row."""
-    path = default_tokenizer()
-    return digests(encode(docs, path), path, keep_ids=True)
+    return encode_digests(docs, default_tokenizer(), keep_ids=True)
 
 
 STAGES = [

@@ -151,7 +151,7 @@ def _patch(batches):
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["row", "doc_id", "ids"])
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, table_words: int = TABLE_WORDS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, table_words: int = TABLE_WORDS, finish=None) -> DataFrame:
     """(row, doc_id, ids array<int>) of each row of docs, as the tokenizers library encodes its whole text.
 
     tokenizer is the path of a tokenizers file on every machine. Null counts as empty and has no ids; repeated rows
@@ -162,14 +162,15 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     held, whole = frequent_words(words, table_words, _tokenizer(tokenizer).get_vocab_size())
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"row long, doc_id {kind}, ids array<int>"
-    filled = text_batches(rows, _fill(spark.sparkContext.broadcast(held), whole), schema + ("" if whole else ", rest array<binary>"))
+    fill = _fill(spark.sparkContext.broadcast(held), whole)
+    last, out = finish or (lambda batches: batches, schema)
     if whole:
-        return filled
-    filled = written(filled)
+        return text_batches(rows, lambda batches: last(fill(batches)), out)
+    filled = written(text_batches(rows, fill, schema + ", rest array<binary>"))
     rest = filled.filter("size(rest) > 0").select("row", F.posexplode("rest").alias("pos", "word"))
     rest = rest.join(words.select("word", F.col("ids").alias("word_ids")), "word")
     found = rest.groupBy(F.col("row").alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word_ids"))), lambda x: x["word_ids"]).alias("found"))
-    return filled.join(found, F.col("row") == F.col("r"), "left").select("row", "doc_id", "ids", "found").mapInArrow(_patch, schema)
+    return filled.join(found, F.col("row") == F.col("r"), "left").select("row", "doc_id", "ids", "found").mapInArrow(lambda batches: last(_patch(batches)), out)
 
 
 def pieces(tokenizer: str) -> pa.Array:
@@ -193,11 +194,11 @@ def _digest(tokenizer: str, keep_ids: bool):
     return run
 
 
-def digests(encoded: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: ids as decimals, and their pieces, each joined by one space."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = False, table_words: int = TABLE_WORDS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: ids as decimals, and their pieces, each joined by one space; ids on demand."""
+    kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return text_batches(encoded, _digest(tokenizer, keep_ids), schema)
+    return encode(docs, tokenizer, id_col, text_col, table_words=table_words, finish=(_digest(tokenizer, keep_ids), schema))
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -216,5 +217,4 @@ def default_tokenizer() -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = default_tokenizer()
-    return digests(encode(table(spark, sf_dir, "documents"), path), path)
+    return encode_digests(table(spark, sf_dir, "documents"), default_tokenizer())
