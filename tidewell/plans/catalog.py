@@ -1,13 +1,8 @@
-"""Every query of the library by name, with the SQL that states the same result."""
+"""Every query of the library by name, each with the SQL that states the same result where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidewell.plans import facts, platform, retrieval, rules, scalars, streams  # noqa: F401  (they register their queries)
+from tidewell.plans.registry import QUERIES, SQL  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-FLAGSHIP = "player_stats"
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+FLAGSHIP = "hybrid_retrieve"
