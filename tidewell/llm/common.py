@@ -65,3 +65,11 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def prefix(df: DataFrame) -> str:
+    """The start of names that no column of df has."""
+    p = "_tw_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p

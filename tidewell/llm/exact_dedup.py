@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ascii_lower, same, shared_dir, small, table, text_batches, written
+from tidewell.llm.common import ascii_lower, prefix, same, shared_dir, small, table, text_batches, written
 
 #: State on disk, uploaded as a log of changes; without preallocated files, as each of many partitions has a store.
 STATE = {
@@ -121,16 +121,17 @@ def _clashes(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str, di
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
+    p = prefix(docs)
     verdict = written(exact_dedup(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"))
     # A repeated row shares id and text with the one that stays; such pairs are told apart below.
-    by = verdict.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_tw_rows"), F.max("kept").alias("_tw_stays")).filter("_tw_rows > 1 or not _tw_stays")
-    out = written(by.select(F.col("doc_id").alias("_tw_id"), F.col("text_sha256").alias("_tw_sha"), "_tw_stays"))
+    by = verdict.groupBy("doc_id", "text_sha256").agg(F.count("*").alias(f"{p}rows"), F.max("kept").alias(f"{p}stays")).filter(f"{p}rows > 1 or not {p}stays")
+    out = written(by.select(F.col("doc_id").alias(f"{p}id"), F.col("text_sha256").alias(f"{p}sha"), f"{p}stays"))
     gone, columns = small(out, BROADCAST_ROWS), [F.col(f"`{c}`") for c in docs.columns]
-    untouched = docs.join(gone, same(docs[id_col], gone._tw_id), "left_anti")
-    rest = docs.join(gone, same(docs[id_col], gone._tw_id), "left_semi").withColumn("_tw_s", F.sha2(ascii_lower(F.col(text_col)), 256))
-    rest = rest.join(out, same(rest[id_col], out._tw_id) & (rest._tw_s == out._tw_sha), "left").filter("_tw_sha is null or _tw_stays")
-    repeated = rest.filter("_tw_stays").dropDuplicates([id_col, "_tw_s"]).select(*columns)
-    return untouched.unionByName(rest.filter("_tw_sha is null").select(*columns)).unionByName(repeated)
+    untouched = docs.join(gone, same(docs[id_col], gone[f"{p}id"]), "left_anti")
+    rest = docs.join(gone, same(docs[id_col], gone[f"{p}id"]), "left_semi").withColumn(f"{p}s", F.sha2(ascii_lower(F.col(text_col)), 256))
+    rest = rest.join(out, same(rest[id_col], out[f"{p}id"]) & (rest[f"{p}s"] == out[f"{p}sha"]), "left").filter(f"{p}sha is null or {p}stays")
+    repeated = rest.filter(f"{p}stays").dropDuplicates([id_col, f"{p}s"]).select(*columns)
+    return untouched.unionByName(rest.filter(f"{p}sha is null").select(*columns)).unionByName(repeated)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

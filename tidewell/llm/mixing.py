@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import same, small, table, written
+from tidewell.llm.common import prefix, same, small, table, written
 
 #: Weights of the sources in order, repeating, and how often a source is played at most.
 WEIGHTS, PASSES = (5, 2, 1), 3
@@ -118,12 +118,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Rows that share an id, which only repeated rows do after dedup, are all repeated as the most played of them.
     """
+    p = prefix(docs)
     lines, sources = laid_out(docs, id_col, text_col, source_col)
     uses = schedule(sources).groupBy("k", "block").agg(F.count("*").alias("uses")).withColumnsRenamed({"k": "uk", "block": "ub"})
     firsts = lines.filter("size > 0").withColumn("block", _block_at(F.col("start")))
     firsts = firsts.join(uses, (F.col("k") == F.col("uk")) & (F.col("block") == F.col("ub")))
-    copies = small(written(firsts.groupBy(F.col("doc_id").alias("_tw_id")).agg(F.max("uses").cast("int").alias("_tw_uses"))), 1_000_000)
-    rows = docs.join(copies, same(docs[id_col], copies._tw_id)).withColumn("_tw_n", F.explode(F.sequence(F.lit(1), F.col("_tw_uses"))))
+    copies = small(written(firsts.groupBy(F.col("doc_id").alias(f"{p}id")).agg(F.max("uses").cast("int").alias(f"{p}uses"))), 1_000_000)
+    rows = docs.join(copies, same(docs[id_col], copies[f"{p}id"])).withColumn(f"{p}n", F.explode(F.sequence(F.lit(1), F.col(f"{p}uses"))))
     return rows.select(*(docs[c] for c in docs.columns))
 
 

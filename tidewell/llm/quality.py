@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import crc_mod, table, text_batches, written
+from tidewell.llm.common import crc_mod, prefix, table, text_batches, written
 
 FEATURES, SEED, RIDGE = 256, 7, 1e-3
 #: Width of the kernel, in standard deviations for each root of the number of statistics.
@@ -181,9 +181,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose predicted quality is 1; rows of one id go only if each of them is rejected."""
+    p = prefix(docs)
     from tidewell.llm.common import same, small
 
     scores = quality_scores(docs, labels, id_col, text_col)
-    gone = scores.groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0").select(F.col("doc_id").alias("_tw_id"))
+    gone = scores.groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0").select(F.col("doc_id").alias(f"{p}id"))
     gone = small(written(gone), 1_000_000)
-    return docs.join(gone, same(docs[id_col], gone._tw_id), "left_anti")
+    return docs.join(gone, same(docs[id_col], gone[f"{p}id"]), "left_anti")

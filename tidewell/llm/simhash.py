@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import partitions, same, small, table, text_batches, written
+from tidewell.llm.common import partitions, prefix, same, small, table, text_batches, written
 from tidewell.llm.components import components
 
 SEED, WORDS, MAX_BITS = 42, 3, 3
@@ -177,9 +177,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the first of their component; rows that share its id stay with it."""
+    p = prefix(docs)
     groups = simhash_groups(docs, id_col, text_col)
-    gone = small(written(groups.filter(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_tw_id")).distinct()), 1_000_000)
-    return docs.join(gone, same(docs[id_col], gone._tw_id), "left_anti")
+    gone = small(written(groups.filter(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias(f"{p}id")).distinct()), 1_000_000)
+    return docs.join(gone, same(docs[id_col], gone[f"{p}id"]), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
