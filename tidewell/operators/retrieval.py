@@ -28,12 +28,12 @@ def semantic_top_k(vectors: DataFrame, query: list[float], k: int, id_col: str =
 def keyword_top_k(docs: DataFrame, terms: list[str], k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keyword_score, keyword_rank): r is the sum over matched terms of tf / (tf + 1), the score r / (1 + r)."""
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    r = F.lit(0.0)
+    r = F.lit(float(len(terms)))
     for t in terms:  # of [a-z0-9]; counted in place, so that the text isn't taken apart into words
         tf = F.regexp_count(text, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])"))
-        r = r + tf / (tf + 1)
-    rows = docs.select(F.col(id_col).alias("id"), F.round(r, 6).alias("r")).filter("r > 0")
-    rows = top_k(rows, [F.desc("r"), F.col("id")], k, "keyword_rank")
+        r = r - 1 / (tf + 1)
+    rows = docs.select(F.col(id_col).alias("id"), F.round(r, 6).alias("r"))
+    rows = top_k(rows, [F.desc("r"), F.col("id")], k, "keyword_rank").filter("r > 0")
     return rows.select("id", F.round(F.col("r") / (1 + F.col("r")), 6).alias("keyword_score"), "keyword_rank")
 
 

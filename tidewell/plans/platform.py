@@ -305,3 +305,79 @@ def graph_optional_expand(spark: SparkSession, d: str) -> DataFrame:
     objects = read(spark, d, "part").filter("p_type = 'ECONOMY'")
     rows = read(spark, d, "orders").join(about, c("l_orderkey") == c("o_orderkey"), "left").join(objects, c("p_partkey") == c("l_partkey"), "left")
     return rows.select("o_orderkey", "l_partkey", "p_name")
+
+
+@query("SELECT o_orderkey, o_orderstatus, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey = 12 AND o_orderstatus = 'F'")
+def user_history(spark: SparkSession, d: str) -> DataFrame:
+    games = conjunction(read(spark, d, "orders"), o_custkey=12, o_orderstatus="F")
+    return games.join(read(spark, d, "customer"), c("c_custkey") == c("o_custkey")).select("o_orderkey", "o_orderstatus", "c_mktsegment")
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey < 5000) + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS position FROM customer")
+def next_position(spark: SparkSession, d: str) -> DataFrame:
+    """Those there already, and the place among those who join now."""
+    there = read(spark, d, "orders").filter("o_orderkey < 5000").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    rows = read(spark, d, "customer").join(there, c("c_custkey") == c("o_custkey"), "left")
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    return rows.select("c_custkey", (F.coalesce("n", F.lit(0)) + place).alias("position"))
+
+
+@query("SELECT quality, count(*) FILTER (toxic = 0) AS won, count(*) FILTER (toxic = 1) AS lost FROM labels GROUP BY 1")
+def objectives_split(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "labels").groupBy("quality").agg(F.count_if(c("toxic") == 0).alias("won"), F.count_if(c("toxic") == 1).alias("lost"))
+
+
+@query("SELECT a.n_nationkey AS pin, b.n_nationkey AS linked FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_regionkey IN (0, 1, 2) AND b.n_regionkey IN (0, 1, 2)")
+def map_visible_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    """Connections with both ends in the discovered regions."""
+    pins = read(spark, d, "nation").filter(c("n_regionkey").isin(0, 1, 2)).select(c("n_nationkey").alias("pin"))
+    links = pins.withColumn("linked", c("pin") + 1)
+    return links.join(pins.select(c("pin").alias("p")), c("linked") == c("p"), "left_semi")
+
+
+@query("SELECT p_partkey, p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AS active FROM part")
+def soft_delete(spark: SparkSession, d: str) -> DataFrame:
+    gone = read(spark, d, "lineitem").filter("l_quantity > 49").select(c("l_partkey").alias("g")).distinct()
+    return read(spark, d, "part").join(gone, c("p_partkey") == c("g"), "left").select("p_partkey", c("g").isNull().alias("active"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O' AND (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_linestatus = 'F')")
+def retry_pending(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus")
+    return rows.filter("l_linestatus = 'O'").join(rows.filter("l_linestatus = 'F'"), ["l_orderkey", "l_linenumber"], "left_anti").drop("l_linestatus")
+
+
+@query("SELECT o_custkey, o_orderstatus, min(o_orderkey) AS share FROM orders GROUP BY 1, 2")
+def get_or_create(spark: SparkSession, d: str) -> DataFrame:
+    """Shares that exist (of early orders), and new ones for the keys that have none."""
+    o = read(spark, d, "orders")
+    have = o.filter("o_orderkey < 4000").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("share"))
+    new = o.join(have, ["o_custkey", "o_orderstatus"], "left_anti").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("share"))
+    return have.unionByName(new)
+
+
+@query("SELECT o_custkey, count(*) FILTER (l_linenumber = 5 AND o_orderpriority <> '5-LOW') AS plays FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def play_count(spark: SparkSession, d: str) -> DataFrame:
+    """A game counts once, when its fifth turn comes, and not as a playtest."""
+    rows = read(spark, d, "orders").join(read(spark, d, "lineitem"), c("l_orderkey") == c("o_orderkey"))
+    return rows.groupBy("o_custkey").agg(F.count_if((c("l_linenumber") == 5) & (c("o_orderpriority") != "5-LOW")).alias("plays"))
+
+
+@query("SELECT event_type, len(json_keys(props))::BIGINT AS names, count(*) AS rows_ FROM events GROUP BY 1, 2")
+def write_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes by label and number of property names, as a sink writes them together."""
+    return read(spark, d, "events").groupBy("event_type", F.size(F.json_object_keys("props")).cast("long").alias("names")).agg(F.count("*").alias("rows_"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN ['view', 'view', 'click'] ELSE ['view', 'view', 'click', event_type] END AS found FROM events")
+def append_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Appended where it isn't there yet; what the list repeats stays."""
+    have = F.array(F.lit("view"), F.lit("view"), F.lit("click"))
+    return read(spark, d, "events").select("event_id", F.when(F.array_contains(have, c("event_type")), have).otherwise(F.concat(have, F.array("event_type"))).alias("found"))
+
+
+@query("SELECT 'lore:' || source || ':' || substr(sha256(coalesce(text, '')), 1, 16) AS record_id, count(*) AS n FROM documents GROUP BY 1")
+def src_content_key(spark: SparkSession, d: str) -> DataFrame:
+    """Records named by their content: an edited text is a new one."""
+    key = F.concat(F.lit("lore:"), "source", F.lit(":"), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16))
+    return read(spark, d, "documents").groupBy(key.alias("record_id")).agg(F.count("*").alias("n"))
