@@ -89,6 +89,18 @@ def test_fingerprints(docs, awkward, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_short_texts(docs):
+    rank = fingerprints.rarity(fingerprints.bin_counts(docs))
+    long = [t for _, t in texts(docs) if len(t) > 1200][:20]
+    found = []
+    for n in range(10, 201):
+        one, two = long[n % 20][300 : 300 + n], long[(n + 7) % 20][500 : 500 + n]
+        a, b, e = fingerprints.digests([t.encode() for t in (one, two, fingerprints.edited(one, two))], rank)
+        found.append((fingerprints.likeness(a, e), fingerprints.likeness(a, b)))
+    # Of a text that repeats one word but for its last quarter, most of what differs is new.
+    assert all(x > 0.3 > y for x, y in found) and sum(x for x, _ in found) > 0.65 * len(found)
+
+
 def test_fingerprint_bins_by_definition():
     import numpy as np
 

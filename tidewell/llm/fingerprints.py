@@ -2,7 +2,8 @@
 
 The entropy of each window of 64 bytes is binned; a corpus-wide histogram of the bins gives each a rank, the rarest
 the lowest. Among each 64 neighbouring windows the leftmost of lowest rank is the winner; windows that win 16 times
-or more are the features. A feature sets 5 bits of a 2048-bit filter; after 160 features a new filter is chained.
+or more are the features. A text with few features, as short ones have, adds all its windows of 8 bytes, and of 4, 2
+and 1 the shorter it is. A feature sets 5 bits of a 2048-bit filter; after 160 features a new filter is chained.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import partitions, table, text_batches, written
 
 WINDOW, NEIGHBOURS, WINS = 64, 64, 16
+#: A text of no feature, or under SHORT_BYTES and of fewer than FEW, adds all windows of SHORT[0] bytes, and those of w bytes
+#: if it is shorter than 8 w. Longer ones are told by their features: windows of repeated lines would outweigh these.
+FEW, SHORT_BYTES, SHORT = 8, 600, (8, 4, 2, 1)
 BINS = 1000
 #: Bins of windows that say little: nearly constant bytes, or nearly all bytes different.
 WEAK = (100, 990)
@@ -109,9 +113,9 @@ def _features(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> tuple[n
     return chosen, np.searchsorted(starts, chosen, "right") - 1
 
 
-def _hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[places]).view(np.uint64)
-    h = np.full(len(places), _MIX[0], np.uint64)
+def _hashes(data: np.ndarray, places: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[places]).view(f"u{min(width, 8)}")
+    h = np.full(len(places), _MIX[0] ^ np.uint64(WINDOW - width), np.uint64)
     for k in range(words.shape[1]):
         h = (h ^ words[:, k]) * _MIX[1]
         h ^= h >> np.uint64(29)
@@ -123,15 +127,20 @@ def _hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
 def digests(texts: list[bytes], rank: np.ndarray) -> list[bytes]:
     """A chain of filters for each text, b"" for an empty one.
 
-    A text without a feature (shorter than a window, or all windows weak) has the hash of the whole text as its one.
+    What a text with few features adds comes after them, so that texts on both sides of FEW still share those.
     """
     out: list[bytes] = [b""] * len(texts)
     for at, data, starts in _blocks(texts):
         places, owner = _features(data, starts, rank)
         hashes = _hashes(data, places) if len(places) else np.zeros(0, np.uint64)
-        bare = [k for k in np.setdiff1d(np.arange(len(at)), owner) if texts[at[k]]]
-        owner = np.append(owner, np.array(bare, np.int64))
-        hashes = np.append(hashes, np.array([int.from_bytes(hashlib.blake2b(texts[at[k]], digest_size=8).digest(), "little") for k in bare], np.uint64))
+        different = np.bincount(np.unique(np.rec.fromarrays([owner, hashes])).f0, minlength=len(at))
+        few = np.flatnonzero((different == 0) | (different < FEW) & (np.diff(starts) < SHORT_BYTES))
+        for width in SHORT:
+            those = [k for k in few if width <= (size := starts[k + 1] - starts[k]) and (width == SHORT[0] or size < 8 * width)]
+            if those:
+                every = np.concatenate([np.arange(starts[k], starts[k + 1] - width + 1) for k in those])
+                owner = np.append(owner, np.searchsorted(starts, every, "right") - 1)
+                hashes = np.append(hashes, _hashes(data, every, width))
         # Each feature once a text, in the order of first places.
         order = np.lexsort((np.arange(len(owner)), hashes, owner))
         first = np.ones(len(order), bool)
