@@ -278,6 +278,23 @@ def test_licenses(docs, awkward, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_license_notices_with_edits_and_no_verb():
+    import random
+
+    rng = random.Random(3)
+    for phrase, label in [*(x for x in licenses.BASE if len(x[0]) >= 12), ("apache license version 2 0", "apache-2"), ("gnu general public license", "gpl"), *licenses.FUZZY]:
+        name = re.sub(r"[0-9 ]*$", "", phrase)
+        for edits in range(min(2, len(phrase) // 12) + 1):
+            for _ in range(20):
+                at = sorted(rng.sample(range(1, len(name) - 1), edits), reverse=True)
+                text = phrase
+                for k in at:
+                    text = text[:k] + rng.choice(["", "q", text[k] + "q"]) + text[k + 1 :]
+                assert label in licenses.scan(f"Distributed, by us; {text}. See there")["labels"].split(","), text
+    for text, label in (("Distributed under the MIT licence", "mit"), ("Apache Licence, Version 2.0", "apache-2"), ("GNU General Public Licence v3", "gpl"), ("Licensed under the Apache License, Version 1.1", ""), ("GNU Lesser General Public License", "lgpl")):
+        assert licenses.scan(text)["labels"] == label
+
+
 def test_mixing(spark, docs, awkward, empty):
     for df in (docs, awkward):
         found = mixing.mix(df).collect()

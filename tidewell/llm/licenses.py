@@ -31,7 +31,7 @@ FUZZY = [
     ("licensed under the apache license version 2 0", "apache-2"),
     ("licensed under cc by nc", "cc-by-nc"),
     ("creative commons attribution noncommercial", "cc-by-nc"),
-    ("licensed under the gnu general public license", "gpl"),
+    ("gnu general public license", "gpl"),
     ("gnu lesser general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
     ("mozilla public license version", "mpl"),
@@ -41,6 +41,8 @@ FUZZY = [
 ]
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 12
+#: All that is searched with bounded errors: a shorter phrase of BASE has no edit to spare.
+SEARCHED = tuple(FUZZY + [n for n in BASE if len(n[0]) >= CHARS_PER_EDIT])
 
 _SPACED = bytes(
     b + 32 if 0x41 <= b <= 0x5A else 32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)
@@ -65,7 +67,9 @@ def _machine(notices: tuple[tuple[str, str], ...]):
             seed = notice[at:end]
             seeds.add_word(seed, [*seeds.get(seed, []), (i, at)])
             at = end
-        rules.append((regex.compile(rf"(?b)(?<=\s)(?:{regex.escape(notice)}){{e<={edits}}}(?=\s)"), edits, len(notice), label))
+        name = notice.rstrip("0123456789 ")
+        name = notice[: len(name) + 1]  # a version after it is another license if it differs, so it takes no edit
+        rules.append((regex.compile(rf"(?b)(?<=\s)(?:{regex.escape(name)}){{e<={edits}}}{regex.escape(notice[len(name) :])}(?=\s)"), edits, len(notice), label))
     seeds.make_automaton()
     return seeds, rules
 
@@ -100,7 +104,7 @@ def scan(text: str) -> dict:
             places.append(raw.count(b" ", 0, at))
             base.add(label)
             at = raw.find(wanted, at + 1)
-    spans = fuzzy_spans(raw.decode("utf-8", "surrogatepass"), tuple(FUZZY))
+    spans = fuzzy_spans(raw.decode("utf-8", "surrogatepass"), SEARCHED)
     labels = base | {s[2] for s in spans}
     best = 1.0 if base else max((1 - s[3] / max(1, s[1] - s[0]) for s in spans), default=0.0)
     return {
