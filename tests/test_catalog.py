@@ -12,6 +12,12 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(found) == rows(wanted)
 
 
+def test_reader_context_has_whole_turns(spark):
+    found = {r.conv_id: r.context for r in catalog.QUERIES["reader_context_whole"](spark, DATA).collect()}
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet").collect()
+    assert max(len(r.text) for r in turns) > 20 and all(f"[{r.turn} | {r.role}]: {r.text}" in found[r.conv_id] for r in turns)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 

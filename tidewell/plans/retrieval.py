@@ -157,8 +157,19 @@ def eval_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT string_agg('[' || turn || ' | ' || role || ']: ' || left(text, 20), chr(10) ORDER BY turn) AS context, conv_id FROM conversations GROUP BY conv_id")
 def reader_context(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.lit("["), "turn", F.lit(" | "), "role", F.lit("]: "), F.substring("text", 1, 20))
-    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("a"))
+    """The start of each turn."""
+    return _context(read(spark, d, "conversations").withColumn("text", F.substring("text", 1, 20)))
+
+
+@query("SELECT string_agg('[' || turn || ' | ' || role || ']: ' || text, chr(10) ORDER BY turn) AS context, conv_id FROM conversations GROUP BY conv_id")
+def reader_context_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole text of each turn."""
+    return _context(read(spark, d, "conversations"))
+
+
+def _context(turns: DataFrame) -> DataFrame:
+    line = F.concat(F.lit("["), "turn", F.lit(" | "), "role", F.lit("]: "), "text")
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("a"))
     return rows.select(F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("context"), "conv_id")
 
 
