@@ -212,9 +212,18 @@ def lookup_enrich(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'conflict' WHEN o_orderkey % 3 = 1 THEN 'updated' ELSE 'missing' END AS outcome FROM orders WHERE o_orderkey < 3000""")
 def optimistic_update(spark: SparkSession, d: str) -> DataFrame:
     """Updates expecting version 1 of rows whose stored version is 1, 2 or none."""
+    return _update(read(spark, d, "orders").filter("o_orderkey < 3000"))
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'conflict' WHEN o_orderkey % 3 = 1 THEN 'updated' ELSE 'missing' END AS outcome FROM orders""")
+def optimistic_update_all(spark: SparkSession, d: str) -> DataFrame:
+    return _update(read(spark, d, "orders"))
+
+
+def _update(orders: DataFrame) -> DataFrame:
     k = c("o_orderkey")
-    updates = read(spark, d, "orders").filter(k < 3000).select("o_orderkey", "o_custkey", F.lit(1).alias("expected"))
-    stored = read(spark, d, "orders").filter((k < 3000) & (k % 3 != 2)).select(k.alias("id"), F.when(k % 3 == 0, 2).otherwise(1).alias("version"))
+    updates = orders.select("o_orderkey", "o_custkey", F.lit(1).alias("expected"))
+    stored = orders.filter(k % 3 != 2).select(k.alias("id"), F.when(k % 3 == 0, 2).otherwise(1).alias("version"))
     rows = updates.join(stored, k == c("id"), "left")
     outcome = F.when(c("id").isNull(), "missing").when(c("version") == c("expected"), "updated").otherwise("conflict")
     return rows.select("o_orderkey", "o_custkey", outcome.alias("outcome"))
@@ -247,9 +256,18 @@ def slot_default_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::BIGINT AS pos, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 2000")
 def inventory_explode(spark: SparkSession, d: str) -> DataFrame:
-    lists = read(spark, d, "lineitem").filter("l_orderkey < 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    return _explode(read(spark, d, "lineitem").filter("l_orderkey < 2000"), read(spark, d, "part"))
+
+
+@query("SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::BIGINT AS pos, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")
+def inventory_explode_all(spark: SparkSession, d: str) -> DataFrame:
+    return _explode(read(spark, d, "lineitem"), read(spark, d, "part"))
+
+
+def _explode(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    lists = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
     items = lists.select("l_orderkey", F.posexplode("items").alias("pos", "item"))
-    return items.join(read(spark, d, "part"), c("item.l_partkey") == c("p_partkey")).select("l_orderkey", c("pos").cast("long").alias("pos"), "p_name")
+    return items.join(part, c("item.l_partkey") == c("p_partkey")).select("l_orderkey", c("pos").cast("long").alias("pos"), "p_name")
 
 
 @query("""SELECT l_orderkey + 1000000 AS new_order, l_partkey + 2000000 AS new_part FROM lineitem WHERE l_orderkey % 2 = 0 AND l_partkey % 3 <> 0""")
@@ -270,9 +288,18 @@ def guard_in_use(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name, list_sort(list(DISTINCT s_name)) AS aliases FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_partkey < 200 GROUP BY ALL")
 def entity_alias_hydrate(spark: SparkSession, d: str) -> DataFrame:
-    links = read(spark, d, "lineitem").filter("l_partkey < 200").join(read(spark, d, "supplier"), c("s_suppkey") == c("l_suppkey"))
+    return _hydrate(read(spark, d, "lineitem").filter("l_partkey < 200"), read(spark, d, "supplier"), read(spark, d, "part"))
+
+
+@query("SELECT p_partkey, p_name, list_sort(list(DISTINCT s_name)) AS aliases FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL")
+def entity_alias_hydrate_all(spark: SparkSession, d: str) -> DataFrame:
+    return _hydrate(read(spark, d, "lineitem"), read(spark, d, "supplier"), read(spark, d, "part"))
+
+
+def _hydrate(lineitem: DataFrame, supplier: DataFrame, part: DataFrame) -> DataFrame:
+    links = lineitem.join(supplier, c("s_suppkey") == c("l_suppkey"))
     names = links.groupBy("l_partkey").agg(F.sort_array(F.collect_set("s_name")).alias("aliases"))
-    return read(spark, d, "part").join(names, c("p_partkey") == c("l_partkey")).select("p_partkey", "p_name", "aliases")
+    return part.join(names, c("p_partkey") == c("l_partkey")).select("p_partkey", "p_name", "aliases")
 
 
 @query("SELECT doc_id, label FROM documents JOIN embeddings ON vec_id::VARCHAR = doc_id::VARCHAR")

@@ -143,11 +143,25 @@ SELECT query, round(count(*) FILTER (hit AND rank <= 5) / any_value(gold), 6) AS
 round(coalesce(1 / min(rank) FILTER (hit), 0), 6) AS mrr FROM p JOIN v ON v.vec_id = query JOIN g USING (label) GROUP BY query""")
 def eval_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Recall, hit, precision at 5 and reciprocal rank of twenty questions against all vectors; gold is the label."""
+    return _evaluate(read(spark, d, "embeddings"), "vec_id < 20")
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS query, b.vec_id AS id, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_distance(a.e, b.e), 6), b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+g AS (SELECT label, count(*) - 1 AS gold FROM v GROUP BY 1)
+SELECT query, round(count(*) FILTER (hit AND rank <= 5) / any_value(gold), 6) AS recall, (count(*) FILTER (hit AND rank <= 5) > 0)::INT AS hit_at_k, round(count(*) FILTER (hit AND rank <= 5) / 5, 6) AS precision,
+round(coalesce(1 / min(rank) FILTER (hit), 0), 6) AS mrr FROM p JOIN v ON v.vec_id = query JOIN g USING (label) GROUP BY query""")
+def eval_retrieval_twentieth(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every twentieth vector: distances grow with the square of the table."""
+    return _evaluate(read(spark, d, "embeddings"), "vec_id % 20 = 0")
+
+
+def _evaluate(embeddings: DataFrame, asked: str) -> DataFrame:
     from pyspark.sql import Window
 
-    v = read(spark, d, "embeddings").select("vec_id", "label", V.doubles(c("embedding")).alias("e"))
+    v = embeddings.select("vec_id", "label", V.doubles(c("embedding")).alias("e"))
     gold = v.groupBy(c("label").alias("ql")).agg((F.count("*") - 1).alias("gold"))
-    q = v.filter("vec_id < 20").select(c("vec_id").alias("query"), c("label").alias("ql"), c("e").alias("qe")).join(F.broadcast(gold), "ql")
+    q = v.filter(asked).select(c("vec_id").alias("query"), c("label").alias("ql"), c("e").alias("qe")).join(F.broadcast(gold), "ql")
     rows = v.join(F.broadcast(q), c("vec_id") != c("query"))
     w = Window.partitionBy("query").orderBy("distance", "vec_id")
     rows = rows.select("query", "vec_id", "gold", (c("label") == c("ql")).alias("hit"), F.round(1 - V.cosine(c("qe"), c("e")), 6).alias("distance")).withColumn("rank", F.row_number().over(w))
@@ -183,11 +197,33 @@ def rerank_promote(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.row_number().over(Window.orderBy(F.col("at").asc_nulls_last(), "event_id")).cast("long").alias("position"))
 
 
+@query("""WITH top AS (SELECT event_id, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) - 1 AS place FROM events QUALIFY place < 60)
+SELECT event_id, CASE WHEN sel IS NOT NULL THEN sel ELSE 5 + row_number() OVER (ORDER BY sel IS NULL DESC, place) END::BIGINT AS position FROM (SELECT event_id, place, list_position([40, 3, 17, 59, 8], place) AS sel FROM top)""")
+def rerank_promote_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The sixty of highest value; the picks are places among them."""
+    from pyspark.sql import Window
+
+    picks = spark.createDataFrame([(40, 0), (3, 1), (17, 2), (59, 3), (8, 4)], "pick long, at int")
+    ranked = Window.orderBy(F.col("value").desc_nulls_last(), "event_id")
+    top = read(spark, d, "events").select("event_id", "value").orderBy(F.col("value").desc_nulls_last(), "event_id").limit(60)
+    rows = top.withColumn("place", F.row_number().over(ranked) - 1).join(F.broadcast(picks), c("pick") == c("place"), "left")
+    return rows.select("event_id", F.row_number().over(Window.orderBy(F.col("at").asc_nulls_last(), "place")).cast("long").alias("position"))
+
+
 @query("""SELECT p.p_partkey, p.p_name, q.p_partkey AS candidate FROM part p JOIN part q ON lower(p.p_name) = lower(q.p_name) AND p.p_partkey <> q.p_partkey AND p.p_brand = q.p_brand WHERE p.p_partkey < 300""")
 def entity_exact(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of the same canonical surface in one context."""
+    return _namesakes(read(spark, d, "part"), "p_partkey < 300")
+
+
+@query("""SELECT p.p_partkey, p.p_name, q.p_partkey AS candidate FROM part p JOIN part q ON lower(p.p_name) = lower(q.p_name) AND p.p_partkey <> q.p_partkey AND p.p_brand = q.p_brand""")
+def entity_exact_all(spark: SparkSession, d: str) -> DataFrame:
+    return _namesakes(read(spark, d, "part"), "true")
+
+
+def _namesakes(part: DataFrame, asked: str) -> DataFrame:
     from tidewell.functions.text import canonical
 
-    p = read(spark, d, "part").withColumn("key", canonical(c("p_name")))
+    p = part.withColumn("key", canonical(c("p_name")))
     q = p.select(c("p_partkey").alias("candidate"), "key", "p_brand")
-    return p.filter("p_partkey < 300").join(q, ["key", "p_brand"]).filter("p_partkey <> candidate").select("p_partkey", "p_name", "candidate")
+    return p.filter(asked).join(q, ["key", "p_brand"]).filter("p_partkey <> candidate").select("p_partkey", "p_name", "candidate")
