@@ -143,6 +143,20 @@ def test_html(spark):
     assert found[1, None] == 0 and found[1, "u"] == len(html_text.main_text(PAGE)) and len(found) == 3
 
 
+def test_html_marks_beside_other_words():
+    text = "This is a long paragraph of an article that has many words, hardly any links, and goes on for a while to say what it says."
+    article = f"<article><h1>Title</h1><p>{text}</p><p>Short one.</p></article>"
+    for name in ("layout has-sidebar", "page-with-banner", "elementor-widget-wrap", "post form-wide", "no-comments", "noticeBoard widgetArea"):
+        assert html_text.main_text(f'<body><div class="{name}">{article}</div></body>') == f"Title\n{text}\nShort one."
+        assert html_text.main_text(f'<body><div class="{name}"><p>{text}</p><p>{text}</p></div></body>') == f"{text}\n{text}"
+        assert html_text.main_text(f'<article><h1>Title</h1><div class="{name}"><p>{text}</p></div></article>') == f"Title\n{text}"
+    for name in ("sidebar", "cookie-notice", "ad ad-1", "share-buttons", "post-share", "footerLinks"):
+        assert html_text.main_text(f'<body>{article}<div class="{name}"><a href=x>Share</a> it here</div></body>') == f"Title\n{text}\nShort one."
+    for name in ("share-buttons", "related-promo", "sidebar"):
+        assert html_text.main_text(f'<article><p>{text}</p><div class="{name}"><p>Tell all of your friends</p></div><p>{text}</p></article>') == f"{text}\n{text}"
+    assert html_text.main_text(f'<div class="sidebar"><p>{text}</p></div>') == html_text.main_text(f"<aside><p>{text}</p></aside>") == ""
+
+
 def test_html_articles(spark):
     import html
 

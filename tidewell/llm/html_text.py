@@ -29,17 +29,23 @@ CONTENT = {"article", "main"}
 #: Opening one of the keys ends an open one of the values, up to a tag of SCOPE.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "menu"}
-#: Words of a class, id or role that tell boilerplate; the first set alone decides, the second is a hint.
+#: Words of a class, id or role that tell boilerplate. A name of such words alone decides; beside other words ("post-share")
+#: they are a mark on the blocks of the nearest container, unless ABOUT says that they are of something within. HINTS are weaker.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead "
     "comment comments disqus cookie cookies consent notice notices newsletter subscribe popup modal form share sharing social widget complementary contentinfo search".split()
 )
-HINTS = set("related recommended widget widgets toolbar login tags meta byline pagination pager copyright legal disclaimer alert reply replies respond header top bottom side links".split())
+HINTS = set("related recommended widget widgets toolbar login tags meta byline pagination pager copyright legal disclaimer alert reply replies respond header top bottom side links".split()) - MARKS
+ABOUT = {"has", "with", "no", "without"}
+#: Tags that a mark on an outer one doesn't reach into.
+HOLDERS = {"div", "section", "article", "main", "td", "body"}
 GOOD = set("article content main post entry story body text prose".split())
 
 # Weights of the classifier, in units of the cut: for content above zero, for boilerplate below.
 BIAS, PARAGRAPH, HEADING, IN_CONTENT, PER_WORD, MOST_WORDS, LINKED, LIST, STOPS, HINTED, NAMED_GOOD = -3, 4, 3, 12, 0.15, 8, -16, -3, 2, -10, 4
-#: A mark or a boilerplate tag outweighs all else.
+#: A mark; its share on short blocks in an article, and on long paragraphs with few links. LONG counts words.
+MARKED, MARKED_IN_CONTENT, MARKED_LONG, LONG, FEW_LINKS = -32, 0.75, 0.2, 20, 0.2
+#: A name of marks alone or a boilerplate tag outweighs all else.
 CERTAIN = 10_000
 #: Charges for labels that differ: neighbours on the page, less for each step between them in the tree; the next block of one container.
 NEXT, STEP, SIBLING = 6, 1, 3
@@ -55,21 +61,27 @@ _ALONE = {"head", "object"}  # their contents are tags, which are followed
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "content", "certain", "hinted", "good", "tag")
+    __slots__ = ("text", "linked", "path", "content", "certain", "hinted", "good", "marked", "tag")
 
 
-def _names(attributes: str) -> set[str]:
-    if "=" not in attributes:
-        return set()
-    found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
-    return set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found).lower())) - {""}
+def _names(attributes: str) -> tuple[set[str], bool, bool]:
+    """(words of the class, id and role, whether one is of MARKS alone, whether one has a mark beside other words)."""
+    words, alone, beside = set(), False, False
+    if "=" in attributes:
+        for name in " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).split():
+            parts = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())) - {""}
+            words |= parts
+            if parts & MARKS:
+                alone |= parts <= MARKS
+                beside |= not parts <= MARKS and not parts & ABOUT
+    return words, alone, beside
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order. A tag that nothing closes holds until its parent is closed, or to the end."""
     out: list[Block] = []
-    # Open tags: name, number, certain boilerplate, in content, hinted, named good, no text, linked.
-    stack: list[tuple] = [("", 0, False, False, False, False, False, False)]
+    # Open tags: name, number, certain boilerplate, in content, hinted, named good, no text, linked, marked.
+    stack: list[tuple] = [("", 0, False, False, False, False, False, False, False)]
     parts: list[str] = []
     linked = number = 0
     holder = stack[0]
@@ -84,6 +96,7 @@ def blocks(page: str) -> list[Block]:
                 b.text, b.linked = text, min(1.0, linked / len(text))
                 b.path = [x[1] for x in stack[-NEAR:] if x[0] not in INLINE]
                 b.certain, b.content, b.hinted, b.good = holder[2:6]
+                b.marked = holder[8]
                 b.tag = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
                 out.append(b)
         linked = 0
@@ -134,11 +147,12 @@ def blocks(page: str) -> list[Block]:
             close = _END[name].search(page, at)
             if name in RAW:
                 at = close.start() if close else len(page)
-        top, names, number = stack[-1], _names(m[3]), number + 1
+        top, (names, alone, beside), number = stack[-1], _names(m[3]), number + 1
         inside = top[3] or name in CONTENT
         header = name == "header" and top[3] and top[0] in CONTENT  # an article's own title
-        certain = top[2] or name in BOILERPLATE and not header or bool(names & MARKS) and name not in ("html", "body", *CONTENT)
-        stack.append((name, number, certain, inside, top[4] or bool(names & HINTS) and name not in ("html", "body"), top[5] or bool(names & GOOD), top[6] or name in RAW, top[7] or name == "a"))
+        certain = top[2] or name in BOILERPLATE and not header or alone and name not in ("html", "body", *CONTENT)
+        marked = beside and name not in ("html", "body", *CONTENT, *INLINE) or top[8] and name not in HOLDERS
+        stack.append((name, number, certain, inside, top[4] or bool(names & HINTS) and name not in ("html", "body"), top[5] or bool(names & GOOD), top[6] or name in RAW, top[7] or name == "a", marked))
     end()
     return out
 
@@ -151,6 +165,8 @@ def cost(b: Block) -> int:
     s = BIAS + min(MOST_WORDS, PER_WORD * words) + LINKED * b.linked
     s += PARAGRAPH * (b.tag in ("p", "blockquote", "pre", "")) + HEADING * (b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")) + LIST * (b.tag == "li")
     s += IN_CONTENT * b.content + HINTED * b.hinted + NAMED_GOOD * b.good + STOPS * (b.text[-1] in ".!?…。")
+    if b.marked:
+        s += MARKED * (MARKED_LONG if words >= LONG and b.linked < FEW_LINKS else MARKED_IN_CONTENT if b.content else 1)
     return round(s * UNIT)
 
 
