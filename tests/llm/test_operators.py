@@ -324,6 +324,18 @@ def test_mixing(spark, docs, awkward, empty):
     assert mixing.mix(empty).count() == mixing.mixed(empty).count() == 0
 
 
+def test_mixing_small_sources_of_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 16)
+    sizes = {"a": 400, "b": 20, "c": 9, "d": 15}
+    df = spark.createDataFrame([(1000 * k + i, "word " * 1000, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)], "doc_id long, text string, source string")
+    taken, target = collections.Counter(), {}
+    for r in mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(r.blocks >= 256 for r in mixing.laid_out(df)[1].collect())
+    assert all(abs(taken[s] - t) <= 0.02 * t for s, t in target.items())
+
+
 def test_quality(spark, docs, awkward, empty):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", F.col("quality").alias("y"))
     big = spark.read.parquet(f"{DATA}/../sf0.1/documents.parquet")

@@ -17,8 +17,9 @@ from tidewell.llm.common import prefix, same, small, table, written
 #: Weights of the sources in order, repeating, and how often a source is played at most.
 WEIGHTS, PASSES = (5, 2, 1), 3
 GOLDEN = 0.6180339887498949
-#: Words of a block at least; and about so many blocks are made of all words, if that makes them larger.
-BLOCK_WORDS, BLOCKS = 32, 1 << 20
+#: Words of a block at least; and about so many blocks are made of all words, if that makes them larger, but so many of each
+#: source at least: with few, the points of the schedule that fall to a source are too few or too many for its target.
+BLOCK_WORDS, BLOCKS, SOURCE_BLOCKS = 32, 1 << 20, 256
 #: Parts of a source's line, by the start of the MD5, that are summed apart; parts of the cumulative weights for the join.
 PARTS, STEPS = 1024, 4096
 #: Rows up to which the table of sources may be broadcast.
@@ -59,7 +60,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
     fits = F.col("rest") * F.col("w") <= F.col("cap") * F.col("weight")
     level = F.min(F.when(fits, F.struct(F.col("cap") / F.col("w"), "k", (F.col("rest") / F.col("weight")).alias("level")))).over(every)["level"]
     rows = rows.withColumn("target", F.least(F.col("cap").cast("double"), F.col("w") * level))
-    block = F.greatest(F.lit(BLOCK_WORDS), F.ceil(F.col("total") / BLOCKS))
+    block = F.greatest(F.lit(BLOCK_WORDS), F.least(F.ceil(F.col("total") / BLOCKS), F.floor(F.col("source_size") / SOURCE_BLOCKS)))
     rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long"))
     rows = rows.withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("blocks") * F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rows = rows.withColumn("high", F.sum("slots").over(ordered)).withColumn("low", F.col("high") - F.col("slots"))
