@@ -177,45 +177,56 @@ def test_language(spark, docs, awkward, empty):
     assert {r.lang_pred for r in language.identify(awkward, language.sample(empty.withColumnRenamed("doc_id", "id"))).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("limits", [{}, {"table_words": 700, "hot": 100, "bucket": 2000}, {"bucket": 1000, "most_buckets": 5, "hot": 150}])
+class KatzByForce:
+    """Orders 1 to 3 over token lists, by dictionaries."""
+
+    def __init__(self, taught):
+        self.n = [collections.defaultdict(collections.Counter) for _ in range(3)]
+        for s in taught:
+            for k, w in enumerate(s):
+                h = (["", "", *s])[k : k + 2]
+                for order in range(3):
+                    self.n[order][tuple(h[2 - order :])][w] += 1
+        self.uni = self.n[0][()]
+        self.d = [katz.discounts([sum(c == r for x in n.values() for c in x.values()) for r in range(1, 7)]) for n in self.n]
+        self.tokens = sum(self.uni.values())
+        ones, twos = (sum(c == r for c in self.uni.values()) for r in (1, 2))
+        self.left = 1 - sum(self.d[0][min(c, 6)] * c for c in self.uni.values()) / self.tokens
+        self.unseen = max(1, ones**2 / (2 * max(1, twos)))
+        self.weights = {}
+
+    def p(self, h, w):
+        if not h:
+            return self.d[0][min(self.uni[w], 6)] * self.uni[w] / self.tokens if w in self.uni else self.left / self.unseen
+        seen = self.n[len(h)].get(h)
+        if not seen:
+            return self.p(h[1:], w)
+        if h not in self.weights:
+            total, d = sum(seen.values()), self.d[len(h)]
+            mass = sum(d[min(c, 6)] * c / total for c in seen.values())
+            full = mass >= 1 - 1e-12
+            total, mass = (total + 1, total / (total + 1)) if full else (total, mass)
+            self.weights[h] = total, full, (1 - mass) / (1 - sum(self.p(h[1:], x) for x in seen))
+        total, full, weight = self.weights[h]
+        return (1 if full else self.d[len(h)][min(seen[w], 6)]) * seen[w] / total if w in seen else weight * self.p(h[1:], w)
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot": 100, "bucket": 2000}, {"bucket": 1000, "most_parts": 5, "hot": 150}, {"bucket": 500, "hot": 20}])
 def test_katz(docs, awkward, limits):
     df = docs.select("doc_id", "text", "lang", "source").limit(60).unionByName(awkward.select("doc_id", "text", "lang", "source")).cache()
     train = F.coalesce(F.col("doc_id") % 4 != 0, F.lit(True))
-    uni, bi = collections.Counter(), collections.defaultdict(collections.Counter)
     tokens = lambda t: [*words(t), "\n"]
-    for i, t in texts(df):
-        if i is None or i % 4:
-            for v, w in zip(["", *tokens(t)], tokens(t), strict=False):
-                uni[w] += 1
-                bi[v][w] += 1
-    n, types = sum(uni.values()), len(uni)
-    spectrum = lambda counts: [sum(c == r for c in counts) for r in range(1, 7)]
-    du, db = katz.discounts(spectrum(uni.values())), katz.discounts(spectrum([c for x in bi.values() for c in x.values()]))
-    left = 1 - sum(du[min(c, 6)] * c for c in uni.values()) / n
-    ones, twos = spectrum(uni.values())[:2]
-    lower = lambda w: du[min(uni[w], 6)] * uni[w] / n if uni[w] else left / max(1, ones**2 / (2 * max(1, twos)))
-    history = {}
-    for v, x in bi.items():
-        total = sum(x.values())
-        mass = sum(db[min(c, 6)] * c / total for c in x.values())
-        full = mass >= 1 - 1e-12
-        total, mass = (total + 1, total / (total + 1)) if full else (total, mass)
-        history[v] = total, full, (1 - mass) / (1 - sum(map(lower, x)))
-        assert abs(mass + history[v][2] * (sum(lower(w) for w in uni if w not in x) + left) - 1) < 1e-9  # it sums to one
-
-    def p(v, w):
-        if v not in history:
-            return lower(w)
-        total, full, weight = history[v]
-        c = bi[v][w] if w in bi[v] else 0
-        return (1 if full else db[min(c, 6)]) * c / total if c else weight * lower(w)
-
+    force = KatzByForce([tokens(t) for i, t in texts(df) if i is None or i % 4])
+    for h in [*list(force.n[1])[:40], *list(force.n[2])[:40]]:  # each history sums to one
+        assert abs(sum(force.p(h, w) for w in force.uni) + force.unseen * force.p(h, "no such word") - 1) < 1e-9
     wanted = []
     for i, t in texts(df):
         s = tokens(t)
-        base = sum(math.log10((uni.get(w, 0) + 0.1) / (n + 0.1 * (types + 1))) for w in s)
-        wanted.append((i, len(s), sum(w in uni for w in s), n, round(base, 2), round(sum(math.log10(p(v, w)) for v, w in zip(["", *s], s, strict=False)), 2)))
-    found = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 2), round(r.score, 2)) for r in katz.katz_scores(df, train, **limits).collect()]
+        base = sum(math.log10((force.uni.get(w, 0) + 0.1) / (force.tokens + 0.1 * (len(force.uni) + 1))) for w in s)
+        h = ["", "", *s]
+        score = sum(math.log10(force.p(tuple(h[k : k + 2]), w)) for k, w in enumerate(s))
+        wanted.append((i, len(s), sum(w in force.uni for w in s), force.tokens, base, score))
+    found = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.katz_scores(df, train, **limits).collect()]
     key = lambda r: repr(r[:3]) + f"{r[4]:.0f}"
     for a, b in zip(sorted(found, key=key), sorted(wanted, key=key), strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=0.02)
@@ -226,8 +237,8 @@ def test_katz_without_rows(empty, awkward):
     assert all(r.score == r.base_score == 0 for r in katz.katz_scores(awkward, F.lit(False)).collect())
 
 
-@pytest.mark.parametrize("held", [bpe.TABLE_WORDS, 200, 0])
-def test_bpe(docs, awkward, empty, held):
+@pytest.mark.parametrize("block", [bpe.BLOCK_BYTES, 3000])
+def test_bpe(docs, awkward, empty, block):
     path = bpe.default_tokenizer()
     t = bpe._tokenizer(path)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -236,11 +247,11 @@ def test_bpe(docs, awkward, empty, held):
         for i, text in texts(df):
             ids = t.encode(text, add_special_tokens=False).ids
             wanted.append((i, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
-        assert sorted(map(tuple, bpe.encode_digests(df, path, table_words=held).collect()), key=repr) == sorted(wanted, key=repr)
-    encoded = bpe.encode(awkward, path).cache()
+        assert sorted(map(tuple, bpe.encode_digests(df, path, block=block).collect()), key=repr) == sorted(wanted, key=repr)
+    encoded = bpe.encode(awkward, path, block=block).cache()
     decoded = {r.row: r.text for r in bpe.decode(encoded, path).collect()}
     assert decoded == {r.row: t.decode(r.ids, skip_special_tokens=False) for r in encoded.collect()}
-    assert bpe.encode_digests(empty, path, table_words=held).count() == 0
+    assert bpe.encode_digests(empty, path).count() == 0
 
 
 def print_of(text):

@@ -1,9 +1,11 @@
 """BPE encoding and decoding by a table of distinct words.
 
 A text's tokens are those of its white-space separated words, one after another, as the tokenizer's normaliser and
-splitter never look across white space. Words are split and counted in Spark, each distinct one is encoded once, and
-the ids are joined back by position; decoding joins ids to pieces. The most frequent words, up to a bound, go to the
-tasks as one compact table; texts with other words get those from a shuffle join on the word.
+splitter never look across white space. Texts are cut into blocks; each block lists its distinct words. The distinct
+words of all blocks are encoded once each, joined by word to the blocks that asked, and their ids go back to the
+positions of the words in the block's texts. Decoding joins each block's distinct ids to their pieces, which go to the
+positions of the ids. There is one way for words of any number: nothing is collected, and what is broadcast is the
+table of pieces, as large as the vocabulary.
 """
 
 from __future__ import annotations
@@ -14,16 +16,15 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import small, table, text_batches, written
-from tidewell.llm.tokens import Lookup, coded, frequent, gathered, hashes, joined, split_words
+from tidewell.llm.common import dropped, table, text_batches, written
+from tidewell.llm.tokens import BLOCK_BYTES, lists, runs, text_blocks
 
-#: Words of the table that tasks hold: about 20 bytes each.
-TABLE_WORDS = 8_000_000
-#: Bytes of texts that a task counts at a time.
-COUNT_BYTES = 6_000_000
+#: Words that a task puts in order of blocks at a time.
+PACKED = 400_000
 
 
 def _tokenizer(path: str):
@@ -36,178 +37,170 @@ def _tokenizer(path: str):
     return t
 
 
-def _count(batches):
-    """Distinct words of many texts with their counts."""
+def _asked(most: int):
+    """The distinct words of each block."""
 
-    def make(held):
-        d = joined([split_words(b.column("text")) for b in held])[1].dictionary_encode()
-        n = np.bincount(d.indices.to_numpy(zero_copy_only=False), minlength=len(d.dictionary))
-        yield pa.RecordBatch.from_arrays([d.dictionary.cast(pa.binary()), pa.array(n)], ["word", "n"])
+    def run(batches):
+        for block, _, _, _, words in text_blocks(batches, most=most):
+            yield pa.RecordBatch.from_arrays([pa.array([block]), lists(np.array([0, len(words)]), words)], ["block", "words"])
 
-    return gathered(batches, lambda b: b.column("text").nbytes, make, COUNT_BYTES)
+    return run
 
 
-def _encode(path: str):
-    def run(batches):
-        tokenizer = _tokenizer(path)
-        for b in batches:
-            raw = b.column("word").to_pylist()
-            ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in raw], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(hashes(raw)), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "h", "ids"])
+def _encoder(path: str):
+    held = []  # the tokenizer of this worker
 
-    return run
+    @F.arrow_udf("array<int>")
+    def encode(words: pa.Array) -> pa.Array:
+        if not held:
+            held.append(_tokenizer(path))
+        found = held[0].encode_batch_fast([w.decode() for w in words.to_pylist()], add_special_tokens=False)
+        return pa.array([e.ids for e in found], pa.list_(pa.int32()))
 
+    return encode
 
-def word_table(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """(word binary, n, h, ids) of all distinct words of the texts, each encoded once."""
-    counted = text_batches(docs.select(F.col(text_col).cast("string").alias("text")), _count, "word binary, n long")
-    counted = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return written(counted.mapInArrow(_encode(tokenizer), "word binary, n long, h long, ids array<int>"))
 
+def word_table(asked: DataFrame, tokenizer: str) -> DataFrame:
+    """asked(word binary, ...) -> (word, ids): each distinct word, encoded once."""
+    return asked.select("word").distinct().withColumn("ids", _encoder(tokenizer)("word"))
 
-class Words:
-    """Hash of a word -> its ids: hashes in order, and for each the end of its run in one array of ids."""
 
-    def __init__(self, h: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
-        order = np.argsort(h)
-        starts, lengths = (np.cumsum(lengths, dtype=np.int64) - lengths)[order], lengths[order]
-        self.find = Lookup(h[order])
-        self.ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))).astype(np.uint32)
-        self.ids = np.concatenate([np.zeros(0, ids.dtype), *(ids[_runs(starts[i : i + 500_000], lengths[i : i + 500_000])] for i in range(0, len(order), 500_000))])
+def _packed(batches, most: int = PACKED):
+    """Rows (block, code, ids) as one row for each block and some of its words: codes, numbers of ids, ids."""
+    held, n = [], 0
+
+    def out():
+        t = pa.Table.from_batches(held)
+        t = t.take(pc.sort_indices(t, [("block", "ascending"), ("code", "ascending")])).combine_chunks()
+        blocks, codes, ids = (t.column(c).combine_chunks() for c in ("block", "code", "ids"))
+        names = blocks.to_numpy()
+        cuts = np.append(np.flatnonzero(np.append(True, names[1:] != names[:-1])), len(names))
+        lengths = pc.list_value_length(ids)
+        ends = np.append(0, np.cumsum(lengths.to_numpy()))[cuts]
+        return pa.RecordBatch.from_arrays([pa.array(names[cuts[:-1]]), lists(cuts, codes), lists(cuts, lengths), lists(ends, ids.flatten())], ["block", "codes", "lengths", "ids"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= most:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
 
-    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each, all ids); -1 has one id, -1."""
-        lengths = np.where(at < 0, 1, self.ends[at + 1].astype(np.int64) - self.ends[at])
-        flat = np.full(lengths.sum(), -1, np.int32)
-        known = np.repeat(at >= 0, lengths)
-        flat[known] = self.ids[_runs(self.ends[at[at >= 0]].astype(np.int64), lengths[at >= 0])]
-        return lengths, flat
 
+_TEXT = ["block", "row", "doc_id", "ends", "codes"]
 
-def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Places start, start + 1, ... of each run, one run after another."""
-    before = np.cumsum(lengths, dtype=np.int64) - lengths
-    return np.arange(before[-1] + lengths[-1] if len(lengths) else 0) + np.repeat(starts - before, lengths)
 
+def _coded(most: int):
+    """The texts of each block: where their codes end, and on the first row of a block the codes of all, compressed for the way."""
 
-def _compact(wide: bool):
     def run(batches):
-        for b in batches:
-            ids = b.column("ids")
-            parts = (b.column("h").to_numpy(), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.uint32), ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32 if wide else np.uint16))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["h", "lengths", "ids"])
+        for block, rows, offsets, codes, _ in text_blocks(batches, most=most):
+            raw = zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").tobytes())
+            columns = [rows.column(c).combine_chunks() for c in ("row", "doc_id")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), *columns, pa.array(offsets[1:]), pa.array([raw] + [None] * (len(rows) - 1), pa.binary())], _TEXT)
 
     return run
 
 
-def frequent_words(words: DataFrame, most: int, vocabulary: int) -> tuple[Words, bool]:
-    """The words of a least frequency that leaves at most so many, and whether they are all.
+def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """(id, piece): a table as large as the vocabulary."""
+    t = _tokenizer(tokenizer)
+    return spark.createDataFrame([(i, t.id_to_token(i)) for i in range(t.get_vocab_size())], "id int, piece string")
 
-    Words that share a hash are left to the join on the word.
-    """
-    some, every = frequent(words, most)
-    shared = words.groupBy("h").agg(F.count("*").alias("same")).filter("same > 1").select("h")
-    shared = written(shared)  # two of 10^7 words share a hash once in 10^5 corpora
-    if not shared.isEmpty():
-        some, every = some.join(small(shared, 1_000_000), "h", "left_anti"), False
-    wide = vocabulary > 1 << 16
-    rows = some.select("h", "ids").mapInArrow(_compact(wide), "h binary, lengths binary, ids binary").toArrow()
-    whole = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
-    return Words(whole("h", np.int64), whole("lengths", np.uint32), whole("ids", np.uint32 if wide else np.uint16)), every
 
+def _placed(left: pa.Table, right: pa.Table):
+    """(the texts of a block in order, number of ids of each, all ids, right's rows of pieces) from its codes and the ids of its words."""
+    left = left.take(pc.sort_indices(left.column("row"))).combine_chunks()
+    raw = left.column("codes").drop_null()
+    codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[0].as_py()), "<i4") if len(raw) else np.zeros(0, np.int32)
+    packs = right.filter(pc.is_valid(right.column("codes"))).combine_chunks()
+    flat = lambda name: pa.concat_arrays(packs.column(name).chunks).flatten().to_numpy() if len(packs) else np.zeros(0, np.int64)
+    at, lengths, ids = flat("codes"), flat("lengths").astype(np.int64), flat("ids")
+    n = int(codes.max()) + 1 if len(codes) else 0
+    if len(at) != n or len(raw) != (len(left) > 0):
+        raise RuntimeError("a block's words differ between two reads of the texts: write the input to a table first")
+    starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    starts[at], sizes[at] = np.cumsum(lengths) - lengths, lengths
+    sizes = sizes[codes]
+    ids = ids[runs(starts[codes], sizes)]
+    ends = np.append(0, np.cumsum(sizes))[left.column("ends").to_numpy()] if len(left) else np.zeros(0, np.int64)
+    return left, np.diff(ends, prepend=0), ids, right.filter(pc.is_valid(right.column("piece")))
 
-def _lists(lengths: np.ndarray, values) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), values)
 
+def _joined(lengths: np.ndarray, values: pa.Array) -> list[str]:
+    """SHA-256 of each run of values, joined by one space."""
+    texts = pc.binary_join(lists(np.append(0, np.cumsum(lengths)), values), " ")
+    return [hashlib.sha256(t).hexdigest() for t in texts.cast(pa.large_binary()).to_pylist()]
 
-def _fill(shared, whole: bool):
-    """Rows with the ids of each text; where a word isn't in the table, -1 and the word in its place in rest."""
 
-    def run(batches):
-        words: Words = shared.value
-        for b in batches:
-            offsets, split = split_words(b.column("text"))
-            codes, distinct = coded(split)
-            at = words.find(hashes(distinct))
-            lengths, flat = words.ids_of(at[codes]) if len(codes) else (codes, np.zeros(0, np.int32))
-            ends = np.concatenate(([0], np.cumsum(lengths)))[offsets]
-            columns = [b.column("row"), b.column("doc_id"), _lists(np.diff(ends), pa.array(flat, pa.int32()))]
-            if not whole:
-                missing = at[codes] < 0
-                counts = np.concatenate(([0], np.cumsum(missing)))[offsets]
-                columns.append(_lists(np.diff(counts), split.filter(pa.array(missing)).cast(pa.binary())))
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "ids", "rest"][: len(columns)])
-            pa.default_memory_pool().release_unused()
+_ID_COLUMNS = ["row", "doc_id", "ids"]
 
-    return run
 
+def _ids(left: pa.Table, right: pa.Table) -> pa.Table:
+    left, lengths, ids, _ = _placed(left, right)
+    return pa.Table.from_arrays([left.column("row"), left.column("doc_id"), lists(np.append(0, np.cumsum(lengths)), pa.array(ids, pa.int32()))], _ID_COLUMNS)
 
-def _patch(batches):
-    """Puts the ids that the join found (in order, each a list) in the places of -1."""
-    for b in batches:
-        out = []
-        for ids, found in zip(b.column("ids").to_pylist(), b.column("found").to_pylist(), strict=True):
-            more = iter(found or [])
-            out.append([x for i in ids for x in (next(more) if i == -1 else (i,))])
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["row", "doc_id", "ids"])
 
+def _digests(keep_ids: bool):
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, table_words: int = TABLE_WORDS, finish=None) -> DataFrame:
-    """(row, doc_id, ids array<int>) of each row of docs, as the tokenizers library encodes its whole text.
-
-    tokenizer is the path of a tokenizers file on every machine. Null counts as empty and has no ids; repeated rows
-    each have theirs; an empty table gives no rows. With all distinct words in the table nothing is shuffled but words.
-    """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    words = word_table(docs, tokenizer, text_col)
-    held, whole = frequent_words(words, table_words, _tokenizer(tokenizer).get_vocab_size())
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"row long, doc_id {kind}, ids array<int>"
-    fill = _fill(spark.sparkContext.broadcast(held), whole)
-    last, out = finish or (lambda batches: batches, schema)
-    if whole:
-        return text_batches(rows, lambda batches: last(fill(batches)), out)
-    filled = written(text_batches(rows, fill, schema + ", rest array<binary>"))
-    rest = filled.filter("size(rest) > 0").select("row", F.posexplode("rest").alias("pos", "word"))
-    rest = rest.join(words.select("word", F.col("ids").alias("word_ids")), "word")
-    found = rest.groupBy(F.col("row").alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word_ids"))), lambda x: x["word_ids"]).alias("found"))
-    return filled.join(found, F.col("row") == F.col("r"), "left").select("row", "doc_id", "ids", "found").mapInArrow(lambda batches: last(_patch(batches)), out)
-
-
-def pieces(tokenizer: str) -> pa.Array:
-    """The piece of each id: a table as large as the vocabulary."""
-    t = _tokenizer(tokenizer)
-    return pa.array([t.id_to_token(i) for i in range(t.get_vocab_size())], pa.string())
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, lengths, ids, found = _placed(left, right)
+        distinct, at = np.unique(ids, return_inverse=True)
+        found = found.sort_by("id").combine_chunks()
+        if not np.array_equal(found.column("id").to_numpy(), distinct):
+            raise RuntimeError("ids without a piece")
+        piece = pa.concat_arrays(found.column("piece").chunks) if len(found) else pa.array([], pa.string())
+        number = pa.array(distinct).cast(pa.string())
+        columns = [left.column("doc_id"), pa.array(lengths), *(pa.array(_joined(lengths, x.take(pa.array(at))), pa.string()) for x in (number, piece))]
+        return pa.Table.from_arrays([*columns, *([lists(np.append(0, np.cumsum(lengths)), pa.array(ids, pa.int32()))] if keep_ids else [])], names)
 
+    return run
 
-def _digest(tokenizer: str, keep_ids: bool):
-    sha = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts.cast(pa.large_binary()).to_pylist()], pa.string())
 
-    def run(batches):
-        piece = pieces(tokenizer)
-        number = pa.array([str(i) for i in range(len(piece))], pa.string())
-        for b in batches:
-            ids = b.column("ids")
-            flat, lengths = ids.flatten(), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-            joined = [pc.binary_join(_lists(lengths, t.take(flat)), " ") for t in (number, piece)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lengths), *map(sha, joined), *([ids] if keep_ids else [])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
+def _cogrouped(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, decoded: bool, block: int):
+    """(texts by block, words with ids and pieces by block); each text is split twice, so docs must come in the same order again."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    listed = written(text_batches(rows.select("row", "text"), _asked(block), "block long, words array<binary>"))
+    asked = listed.select("block", F.posexplode("words").alias("code", "word"))
+    found = asked.join(word_table(asked, tokenizer), "word").select("block", "code", "ids")
+    packs = written(found.mapInArrow(_packed, "block long, codes array<int>, lengths array<int>, ids array<int>"))
+    dropped(listed)
+    right = packs.withColumns({"id": F.lit(None).cast("int"), "piece": F.lit(None).cast("string")})
+    if decoded:
+        used = packs.select("block", F.explode("ids").alias("id")).distinct()
+        none = {c: F.lit(None).cast("array<int>") for c in ("codes", "lengths", "ids")}
+        known = used.join(F.broadcast(pieces(docs.sparkSession, tokenizer)), "id")
+        right = right.unionByName(known.withColumns(none).select(right.columns))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    texts = text_batches(rows, _coded(block), f"block long, row long, doc_id {kind}, ends long, codes binary")
+    return texts.groupBy("block").cogroup(right.groupBy("block")), kind
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, block: int = BLOCK_BYTES) -> DataFrame:
+    """(row, doc_id, ids array<int>) of each row of docs, as the tokenizers library encodes its whole text.
 
-    return run
+    tokenizer is the path of a tokenizers file on every machine. Null counts as empty and has no ids; repeated rows
+    each have theirs; an empty table gives no rows. docs is read twice and must give its rows in the same order, as
+    tables do; where it doesn't, the job fails.
+    """
+    both, kind = _cogrouped(docs, tokenizer, id_col, text_col, decoded=False, block=block)
+    return both.applyInArrow(_ids, f"row long, doc_id {kind}, ids array<int>")
 
 
-def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = False, table_words: int = TABLE_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: ids as decimals, and their pieces, each joined by one space; ids on demand."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return encode(docs, tokenizer, id_col, text_col, table_words=table_words, finish=(_digest(tokenizer, keep_ids), schema))
+def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = False, block: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: ids as decimals, and their pieces, each joined by one space; ids on demand. See encode()."""
+    both, kind = _cogrouped(docs, tokenizer, id_col, text_col, decoded=True, block=block)
+    return both.applyInArrow(_digests(keep_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """(row, text): each id joined to its piece, pieces joined by one space in order, as decode() does without a decoder."""
-    names = pieces(tokenizer).to_pylist()
-    table = encoded.sparkSession.createDataFrame(list(enumerate(names)), "id int, piece string")  # as large as the vocabulary
     ids = encoded.select("row", F.posexplode_outer("ids").alias("pos", "id"))
-    found = ids.join(F.broadcast(table), "id", "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("all"))
+    found = ids.join(F.broadcast(pieces(encoded.sparkSession, tokenizer)), "id", "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("all"))
     return found.select("row", F.array_join(F.transform("all", lambda x: x["piece"]), " ").alias("text"))
 
 

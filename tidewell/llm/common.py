@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 
-#: Rows of whole texts in one Arrow batch: some documents are long, and Spark counts rows, not bytes.
+#: Rows of whole texts that a function is given at a time; Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,27 +32,46 @@ def crc_mod(key: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared spark.checkpoint.dir.
-
-    Where the session has none, which happens only outside a cluster, one under /tmp is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder under the cluster's shared spark.checkpoint.dir, which must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage and is read as often as needed."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows as a Parquet table in the shared folder: cuts the lineage and is read as often as needed.
+
+    The files of its shuffles go when it is written.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with batches small enough for whole texts."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    rows = BATCH_ROWS
+
+    def run(batches):
+        return function(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,40 +1,46 @@
-"""LM scoring by Katz backoff over bigrams, fitted and evaluated in one deal of the corpus.
+"""LM scoring by Katz backoff over trigrams, from plain tables of n-grams, in buckets by the middle word.
 
-Words are counted first; the counts, up to a bound, go to the tasks as one compact table. Each task then turns its
-texts into blocks of (history, word, training count, documents) and deals them by history, so that a bucket holds all
-that a history is followed by: its counts, its backoff weight and the places where it is asked for. Buckets are stored
-as a table; from it come the Good-Turing counts of counts, then every document's log-probability.
+Texts are cut into blocks of words. All words are counted and ranked by count into a table (word, n, places, id); a
+join by word gives each block the ids of its words, and the texts become a table of ids. Every trigram (u, v, w) of a
+text is dealt by its middle word v, so that a bucket holds all that the backoff of v and of (u, v) needs, and the places
+where it is asked for. Buckets are stored as a table of lists: trigrams, their training counts, their places. From it
+come the counts of counts of both orders, then every text's log-probability:
 
+P(w|u,v) = d(c(u,v,w)) c(u,v,w) / c(u,v) where u v w was seen, else a(u,v) P(w|v), and so on down:
 P(w|v) = d(c(v,w)) c(v,w) / c(v) where v w was seen, else a(v) P(w), with
-a(v) = (1 - sum of P(w|v) over seen w) / (1 - sum of P(w) over seen w), so that each history sums to one.
+a(h) = (1 - sum of P(w|h) over seen w) / (1 - sum of the lower order over seen w), so that each history sums to one.
 P(w) = d(c(w)) c(w) / N where w was seen; what the discounts leave is shared evenly by the unseen words, of which there
-are N1^2 / (2 N2) by Chao's estimate. Histories and words of very many places are split over buckets.
+are N1^2 / (2 N2) by Chao's estimate.
+
+A middle word of very many places is split over buckets by w, and where w has as many, by u too. Sums over such a word
+and over its (u, v) then come from all its buckets: the former are as few as such words, the latter go by a shuffle.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import math
-import struct
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import crc_mod, partitions, table, text_batches, written
-from tidewell.llm.tokens import Lookup, coded, frequent, gathered, hashes, joined, split_words
+from tidewell.llm.common import crc_mod, dropped, partitions, table, text_batches, written
+from tidewell.llm.tokens import Lookup, lists, runs, text_blocks
 
-#: The token after the last word; as a history the start of a text stands in its place.
-END, START = b"\n", -1
+#: Ids: what stands before the first words of a text, the token after its last; words have the following ones. NONE is no word.
+NONE, START, END, FIRST = 0, 1, 2, 3
 #: Good-Turing discounts hold for counts up to this.
 DISCOUNTED = 5
-#: Buckets that are dealt at once; documents of a group whose sums are added in one task.
+#: Places of a bucket; places of a middle word that is split; tokens that are sorted at once.
+BUCKET, HOT, CUT = 600_000, 1_000_000, 1_000_000
+#: Parts that a block of trigrams is cut into at once; texts of a group whose scores are added in one task.
 FAN, GROUP = 8192, 16_384
-#: Words of the table that tasks hold (16 bytes each); bytes of texts of a block; places of a bucket; places that split a history.
-TABLE_WORDS, BLOCK_BYTES, BUCKET, HOT = 8_000_000, 6_000_000, 600_000, 1_000_000
+#: Scores of a part of a text are passed on in whole parts of this.
+GRAIN = 1 << 20
 SMOOTH = 0.1
 
 
@@ -55,29 +61,29 @@ def discounts(spectrum: list[int]) -> np.ndarray:
 
 @dataclasses.dataclass
 class Words:
-    """Counts of training words. Codes: the rank in the table, or below START for words that aren't in it."""
-
-    find: Lookup
-    rank: np.ndarray
-    counts: np.ndarray  # by rank
-    whole: bool  # all training words are in the table
-    tokens: int
-    types: int
-    spectrum: list[int]
-    hot: np.ndarray  # codes of words, or START, with more than HOT places
+    """Counts of all words by id: ids rise as counts fall, so there are at most sqrt(2 N) steps. And the hot words."""
+
+    ends: np.ndarray  # first id beyond each step
+    values: np.ndarray  # count of each step
+    end_count: int
+    hot: np.ndarray  # ids with more than HOT places, ascending
     hot_places: np.ndarray
 
-    def codes(self, h: np.ndarray) -> np.ndarray:
-        at = self.find(h)
-        return np.where(at >= 0, self.rank[at] if len(self.rank) else -1, -2 - (h & np.int64((1 << 62) - 1)))
+    def __post_init__(self):
+        taught = self.values > 0
+        numbers = np.diff(np.append(FIRST, self.ends))
+        self.tokens = int((self.values * numbers).sum()) + self.end_count
+        self.types = int(numbers[taught].sum()) + (self.end_count > 0)
+        self.spectrum = [int(numbers[self.values == r].sum()) + (self.end_count == r) for r in range(1, DISCOUNTED + 2)]
 
-    def count(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes >= 0, self.counts[np.maximum(codes, 0)], 0) if len(self.counts) else np.zeros(len(codes), np.int64)
+    def count(self, ids: np.ndarray) -> np.ndarray:
+        n = np.append(self.values, 0)[np.searchsorted(self.ends, ids, "right")]
+        return np.where(ids == END, self.end_count, np.where(ids < FIRST, 0, n))
 
-    def places(self, codes: np.ndarray) -> np.ndarray:
+    def places(self, ids: np.ndarray) -> np.ndarray:
         """Places of hot words, 0 for the others."""
-        at = Lookup(self.hot)(codes)
-        return np.where(at >= 0, self.hot_places[at], 0) if len(self.hot) else np.zeros(len(codes), np.int64)
+        at = Lookup(self.hot)(ids)
+        return np.where(at >= 0, self.hot_places[at], 0) if len(self.hot) else np.zeros(len(ids), np.int64)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + SMOOTH) / (self.tokens + SMOOTH * (self.types + 1)))
@@ -90,73 +96,90 @@ class Words:
         return np.where(c > 0, d[np.minimum(c, DISCOUNTED + 1)] * c / total, (left or 1) / total / unseen)
 
 
-def _count(batches):
-    """word, n (in training texts), places (in all)."""
-
-    def make(held):
-        offsets, words = joined([split_words(b.column("text"), lower=True) for b in held])
-        train = np.concatenate([b.column("train").to_numpy(zero_copy_only=False).astype(bool) for b in held])
-        d = words.dictionary_encode()
-        codes = d.indices.to_numpy(zero_copy_only=False)
-        every = np.bincount(codes, minlength=len(d.dictionary))
-        taught = np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(d.dictionary))
-        names = pa.concat_arrays([d.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
-        yield pa.RecordBatch.from_arrays([names, pa.array(np.append(taught, train.sum())), pa.array(np.append(every, len(train)))], ["word", "n", "places"])
-
-    return gathered(batches, lambda b: b.column("text").nbytes, make, BLOCK_BYTES)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """docs(text, train) -> the table (word binary, n, places)."""
-    counted = text_batches(docs.select("text", "train"), _count, "word binary, n long, places long")
-    return written(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("places").alias("places")))
-
-
-def held_words(words: DataFrame, most: int, hot: int) -> tuple[Words, int]:
-    """(what tasks hold of the words, places in all)."""
-    spectrum = [F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]
-    sums = words.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types"), F.sum("places").alias("places"), *spectrum).first()
-    some, whole = frequent(words.filter("n > 0"), most)
-    rows = some.select(F.xxhash64("word").alias("h"), "n").toArrow()
-    h, n = rows["h"].to_numpy(), rows["n"].to_numpy()
-    order = np.lexsort((h, -n))  # ties by hash, so that ranks don't depend on the order of rows
-    rank = np.empty(len(n), np.int32)
-    rank[order] = np.arange(len(n), dtype=np.int32)
-    by_hash = np.argsort(h)
-    find, rank = Lookup(h[by_hash]), rank[by_hash]
-    crowded = words.filter(F.col("places") > hot).select(F.xxhash64("word").alias("h"), "places", (F.col("word") == F.lit(END)).alias("end")).collect()  # at most places / hot
-    held = Words(find, rank, n[order], whole, sums["tokens"] or 0, sums["types"], [sums[f"n{r}"] for r in range(1, DISCOUNTED + 2)], np.zeros(0, np.int64), np.zeros(0, np.int64))
-    codes = [*held.codes(np.array([r["h"] for r in crowded], np.int64)), *(START for r in crowded if r["end"])]
-    places = [*(r["places"] for r in crowded), *(r["places"] for r in crowded if r["end"])]
-    order = np.argsort(np.array(codes, np.int64))
-    held.hot, held.hot_places = np.array(codes, np.int64)[order], np.array(places, np.int64)[order]
-    return held, sums["places"] or 0
-
-
-_KINDS = [np.dtype(k) for k in ("<i1", "<i2", "<i4", "<i8")]
-
-
-def pack(**arrays: np.ndarray) -> bytes:
-    """The whole numbers of the arrays, in the order that unpack() names, each in the narrowest type, compressed; document keys as distances from their least."""
-    low = int(arrays["doc"].min()) if len(arrays["doc"]) else 0
-    head, body = [struct.pack("<q", low)], []
-    for k, a in arrays.items():
-        a = a - low if k == "doc" else a
-        kind = next(t for t in _KINDS if not len(a) or (np.iinfo(t).min <= a.min() and a.max() <= np.iinfo(t).max))
-        head.append(struct.pack("<BI", _KINDS.index(kind), len(a)))
-        body.append(a.astype(kind).tobytes())
-    return zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress(b"".join(head + body))
-
-
-def unpack(raw: bytes, names=("v", "w", "c", "cw", "m", "sub", "doc", "n")) -> dict[str, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    low, at, arrays = struct.unpack_from("<q", raw)[0], 8 + 5 * len(names), {}
-    for i, k in enumerate(names):
-        kind, n = struct.unpack_from("<BI", raw, 8 + 5 * i)
-        arrays[k] = np.frombuffer(raw, _KINDS[kind], n, at).astype(np.int64)
-        at += n * _KINDS[kind].itemsize
-    arrays["doc"] += low
-    return arrays
+_BLOCK = ["block", "row", "doc_id", "train", "codes", "words", "n", "places"]
+
+
+def _split(batches):
+    """A row for each text, with the codes of its words; and one for each block, with its words and their counts."""
+    for block, rows, offsets, codes, words in text_blocks(batches, lower=True):
+        train = rows.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        every = np.bincount(codes, minlength=len(words))
+        taught = np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(words))
+        n, none = len(rows), lambda kind, n: pa.nulls(n, kind)
+        one = lambda values: lists(np.array([0, len(values)]), pa.array(values))
+        longs = pa.list_(pa.int64())
+        columns = [rows.column(c).combine_chunks() for c in ("row", "doc_id", "train")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *columns, lists(offsets, pa.array(codes, pa.int32())), none(pa.list_(pa.binary()), n), none(longs, n), none(longs, n)], _BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), *(none(c.type, 1) for c in columns), none(pa.list_(pa.int32()), 1), one(words), one(taught), one(every)], _BLOCK)
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """docs(row, doc_id, train, text) -> the table of blocks."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"block long, row long, doc_id {kind}, train boolean, codes array<int>, words array<binary>, n array<long>, places array<long>"
+    return written(text_batches(docs.select("row", "doc_id", "train", "text"), _split, schema))
+
+
+def ranked_words(blocks: DataFrame) -> DataFrame:
+    """The table (word, n, places, id): all words, ids by falling training count."""
+    each = blocks.filter("words is not null").select(F.inline(F.arrays_zip("words", "n", "places")))
+    counted = each.groupBy(F.col("words").alias("word")).agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
+    at = F.monotonically_increasing_id()
+    ordered = counted.orderBy(F.desc("n"), F.desc("places"), "word").select("word", "n", "places", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND((1 << 33) - 1).alias("at"))
+    ordered = written(ordered)
+    start, starts = FIRST, []
+    for r in sorted(ordered.groupBy("part").count().collect()):  # one row a task
+        starts.append((r["part"], start))
+        start += r["count"]
+    offsets = blocks.sparkSession.createDataFrame(starts, "part int, start long")
+    return ordered.join(F.broadcast(offsets), "part").select("word", "n", "places", (F.col("at") + F.col("start")).alias("id"))
+
+
+def held_words(words: DataFrame, texts: int, taught: int, hot: int) -> Words:
+    """What tasks hold of the words: steps of counts, at most sqrt(2 N) rows, and hot words, at most sqrt(N)."""
+    steps = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
+    places = (words.agg(F.sum("places")).first()[0] or 0) + texts
+    hot = max(hot, math.isqrt(places)) if places > hot**2 else hot
+    crowded = sorted((r["id"], r["places"]) for r in words.filter(F.col("places") > hot).select("id", "places").collect())
+    crowded = [(i, texts) for i in (START, END) if texts > hot] + crowded
+    whole = lambda values: np.array(values, np.int64)
+    held = Words(FIRST + np.cumsum(whole([n for _, n in steps])), whole([c for c, _ in steps]), taught, whole([i for i, _ in crowded]), whole([n for _, n in crowded]))
+    held.all_places, held.least_hot = places, hot
+    return held
+
+
+_TEXT = ["block", "row", "doc_id", "train", "tokens", "n_tokens", "n_known", "base_score"]
+
+
+def _with_ids(shared):
+    """The texts of a block with ids for codes, END last, and what they score by counts of words alone."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held: Words = shared.value
+        ids = np.zeros(len(right), np.int64)
+        ids[right.column("code").to_numpy()] = right.column("id").to_numpy()
+        left = left.take(pc.sort_indices(left.column("row"))).combine_chunks()
+        codes = pa.concat_arrays(left.column("codes").chunks) if len(left) else pa.array([], pa.list_(pa.int32()))
+        lengths = pc.list_value_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = np.full(lengths.sum() + len(left), END, np.int64)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        tokens[runs(starts, lengths)] = ids[codes.flatten().to_numpy(zero_copy_only=False)]
+        c = held.count(tokens)
+        add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
+        sums = [lengths + 1, add((c > 0).astype(np.int64)), add(held.base(c))]
+        return pa.Table.from_arrays([*(left.column(k) for k in ("block", "row", "doc_id", "train")), lists(np.append(starts, len(tokens)), pa.array(tokens)), *map(pa.array, sums)], _TEXT)
+
+    return run
+
+
+def texts_of(blocks: DataFrame, words: DataFrame, shared) -> DataFrame:
+    """The table of texts: (block, row, doc_id, train, tokens, n_tokens, n_known, base_score)."""
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    asked = blocks.filter("words is not null").select("block", F.posexplode("words").alias("code", "word"))
+    found = asked.join(words.select("word", "id"), "word").select(F.col("block").alias("asked_by"), "code", "id")
+    texts = blocks.filter("row is not null").select("block", "row", "doc_id", "train", "codes")
+    schema = f"block long, row long, doc_id {kind}, train boolean, tokens array<long>, n_tokens long, n_known long, base_score double"
+    return written(texts.groupBy("block").cogroup(found.groupBy("asked_by")).applyInArrow(_with_ids(shared), schema))
 
 
 def mix(*keys: np.ndarray) -> np.ndarray:
@@ -169,10 +192,6 @@ def mix(*keys: np.ndarray) -> np.ndarray:
     return h
 
 
-def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-
-
 def changes(*keys: np.ndarray) -> np.ndarray:
     """Places where a run of equal keys begins."""
     new = np.ones(len(keys[0]), bool)
@@ -180,336 +199,474 @@ def changes(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _bucket(held: Words, buckets: int, v: np.ndarray, w: np.ndarray, cw: np.ndarray, sub: np.ndarray) -> np.ndarray:
-    """By history; by history and word (and part) where the history is hot; below 0, by word, where the word's count is unknown."""
-    bucket = np.where(sub > 0, mix(v, w, sub), np.where(held.places(v) > 0, mix(v, w), mix(v))) % np.uint64(buckets)
-    if held.whole:
-        return bucket.astype(np.int64)
-    return np.where((w < START) & (cw < 0), -1 - (mix(w) % np.uint64(buckets)).astype(np.int64), bucket.astype(np.int64))
-
-
-def blocks(held: Words, buckets: int, fan: int, v, w, c, cw, m, sub, doc, n):
-    """(bucket // fan, packed block) of bigrams (v, w, c, cw, m, sub) and their places (doc, n), m of them each, one after another."""
-    bucket = _bucket(held, buckets, v, w, cw, sub) // fan
-    order = np.lexsort((w, v, bucket))
-    at = runs((np.cumsum(m) - m)[order], m[order])
-    a = {"v": v, "w": w, "c": c, "cw": cw, "m": m, "sub": sub}
-    a = {k: x[order] for k, x in a.items()}
-    bucket, doc, n, ends = bucket[order], doc[at], n[at], np.concatenate(([0], np.cumsum(a["m"])))
+@dataclasses.dataclass
+class Deal:
+    """How trigrams fall into buckets: the first by v, the rest for hot v by (v, w), or by (v, w, sub) where w is hot too."""
+
+    buckets: int
+    hot_buckets: int
+    parts: int  # places that split a pair of hot words
+
+    @classmethod
+    def of(cls, held: Words, bucket: int, least: int) -> Deal:
+        hot = int(held.hot_places.sum())
+        up = lambda n: -(-n // bucket)
+        return cls(max(least, up(max(0, held.all_places - hot))), up(hot), held.least_hot)
+
+    @property
+    def all(self) -> int:
+        return self.buckets + self.hot_buckets
+
+    def subs(self, held: Words, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Parts of the pair v, w; 0 where it isn't split."""
+        return -(-np.minimum(held.places(v), held.places(w)) // self.parts)
+
+    def __call__(self, held: Words, v: np.ndarray, w: np.ndarray, sub: np.ndarray, split: np.ndarray) -> np.ndarray:
+        plain = mix(v) % np.uint64(self.buckets)
+        if not self.hot_buckets:
+            return plain.astype(np.int64)
+        hot = np.where(split, mix(v, w, sub), mix(v, w)) % np.uint64(self.hot_buckets) + np.uint64(self.buckets)
+        return np.where(held.places(v) > 0, hot, plain).astype(np.int64)
+
+
+#: Numbers of a trigram, and of a place of one.
+_GRAM, _PLACE = ("v", "u", "w", "c", "m", "sub"), ("doc", "n")
+
+
+def _planes(a: np.ndarray) -> tuple[int, bytes]:
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return width, a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def pack(low: int, names: tuple[str, ...], a: dict[str, np.ndarray]) -> bytes:
+    """Whole numbers from 0, for the way between tasks: sorted ones as steps, documents from low, in planes of bytes, compressed."""
+    head, body = [np.array([low], "<i8").tobytes()], []
+    for k in names:
+        x = a[k]
+        if k == "v":
+            x = np.diff(x, prepend=0)
+        elif k == "u":
+            x = np.where(np.diff(a["v"], prepend=-1) != 0, x, np.diff(x, prepend=0))
+        elif k == "doc":
+            x = x - low
+        width, raw = _planes(x)
+        head.append(np.array([width, len(x)], "<i4").tobytes())
+        body.append(raw)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(b"".join(head + body))
+
+
+def unpack(names: tuple[str, ...], raw: bytes) -> dict[str, np.ndarray]:
+    raw, a = zstandard.ZstdDecompressor().decompress(raw), {}
+    low, head, at = np.frombuffer(raw, "<i8", 1)[0], np.frombuffer(raw, "<i4", 2 * len(names), 8).reshape(-1, 2), 8 + 8 * len(names)
+    for k, (width, n) in zip(names, head.tolist(), strict=True):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T
+        a[k], at = x.view("<i8").ravel(), at + width * n
+    if "v" in a:
+        a["v"] = np.cumsum(a["v"])
+        steps = np.cumsum(a["u"])
+        firsts = changes(a["v"])
+        before = np.append(0, steps)[firsts]
+        a["u"] = steps - np.repeat(before, np.diff(np.append(firsts, len(steps))))
+    if "doc" in a:
+        a["doc"] = a["doc"] + low
+    return a
+
+
+def trigrams(u, v, w, doc, train) -> dict[str, np.ndarray]:
+    """Distinct trigrams in order of v, u, w with their training counts c and numbers m of places; the places (doc, n), in order."""
+    names = np.unique(np.concatenate((u, v, w)))
+    k = len(names)
+    u, v, w = (np.searchsorted(names, x) for x in (u, v, w))
+    if k < 1 << 21:
+        order = np.argsort((v * k + u) * k + w, kind="stable")
+    else:
+        order = np.lexsort((w, u, v))
+    u, v, w, doc, train = (x[order] for x in (u, v, w, doc, train))
+    places = changes(v, u, w, doc)
+    n = np.diff(np.append(places, len(doc)))
+    taught = n * train[places]
+    firsts = changes(v[places], u[places], w[places])
+    at = places[firsts]
+    return {"v": names[v[at]], "u": names[u[at]], "w": names[w[at]], "c": np.add.reduceat(taught, firsts), "m": np.diff(np.append(firsts, len(places))), "doc": doc[places], "n": n}
+
+
+def parted(held: Words, deal: Deal, a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """With sub: the trigrams of two hot words v, w fall into parts by u; each part has a row with u = NONE and the count of v w."""
+    p = deal.subs(held, a["v"], a["w"]) if deal.hot_buckets else np.zeros(len(a["v"]), np.int64)
+    split = p > 0
+    sub = np.where(split, (mix(a["u"]) % np.maximum(p, 1).astype(np.uint64)).astype(np.int64), 0)
+    a = a | {"sub": sub, "split": split}
+    if not split.any():
+        return a
+    v, w, c, p = (x[split] for x in (a["v"], a["w"], a["c"], p))
+    order = np.lexsort((w, v))
+    v, w, c, p = (x[order] for x in (v, w, c, p))
+    firsts = changes(v, w)
+    c, p = np.add.reduceat(c, firsts), p[firsts]
+    rows = np.repeat(np.arange(len(firsts)), p)
+    zero = np.zeros(len(rows), np.int64)
+    more = {"v": v[firsts][rows], "u": zero + NONE, "w": w[firsts][rows], "c": c[rows], "m": zero, "sub": runs(np.zeros(len(p), np.int64), p), "split": zero == 0}
+    return a | {k: np.concatenate((a[k], x)) for k, x in more.items()}
+
+
+def packed(deal: Deal, held: Words, a: dict[str, np.ndarray], fan: int, low: int):
+    """(bucket // fan, packed trigrams with their places), bucket by bucket."""
+    bucket = deal(held, a["v"], a["w"], a["sub"], a["split"]) // fan
+    order = np.lexsort((a["w"], a["u"], a["v"], bucket))
+    at = runs((np.cumsum(a["m"]) - a["m"])[order], a["m"][order])
+    a = {k: a[k][order] for k in _GRAM} | {k: a[k][at] for k in _PLACE}
+    bucket, ends = bucket[order], np.append(0, np.cumsum(a["m"]))
     cuts = [*changes(bucket).tolist(), len(bucket)] if len(bucket) else [0]
     for i, j in zip(cuts, cuts[1:], strict=False):
-        yield int(bucket[i]), pack(**{k: x[i:j] for k, x in a.items()}, doc=doc[ends[i] : ends[j]], n=n[ends[i] : ends[j]])
+        yield int(bucket[i]), pack(low, _GRAM + _PLACE, {k: a[k][i:j] for k in _GRAM} | {k: a[k][ends[i] : ends[j]] for k in _PLACE})
 
 
-def parted(held: Words, hot: int, v, w, c, cw, m, doc, n):
-    """The bigrams with sub: pairs of two hot words, which may have most places of the corpus, in several parts.
+def _packs(made) -> pa.RecordBatch:
+    made = list(made)
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["bucket", "pack"])
+
+
+def _text_runs(batches):
+    """Batches of texts of one block each, of about CUT tokens."""
+    held, block, n = [], None, 0
+    for b in batches:
+        blocks = b.column("block").to_numpy()
+        cuts = [*changes(blocks).tolist(), len(blocks)] if len(blocks) else [0]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if held and (blocks[i] != block or n >= CUT):
+                yield held
+                held, n = [], 0
+            block = blocks[i]
+            held.append(b.slice(i, j - i))
+            n += pc.sum(held[-1].column("n_tokens")).as_py()
+    if held:
+        yield held
 
-    Each part has the count, and some of the places.
-    """
-    sub = np.zeros(len(v), np.int64)
-    pv, pw = held.places(v), held.places(w)
-    both = np.flatnonzero((pv > 0) & (pw > 0))
-    if not len(both):
-        return v, w, c, cw, m, sub, doc, n
-    starts, keep = np.cumsum(m) - m, np.setdiff1d(np.arange(len(v)), both)
-    rows, subs, ms, at = [keep], [sub[keep]], [m[keep]], [runs(starts[keep], m[keep])]
-    for i, p in zip(both.tolist(), (-(-np.minimum(pv[both], pw[both]) // hot)).tolist(), strict=True):
-        own = np.arange(starts[i], starts[i] + m[i])
-        side = doc[own] % p
-        rows.append(np.full(p, i))
-        subs.append(np.arange(p))
-        ms.append(np.bincount(side, minlength=p))
-        at.append(own[np.argsort(side, kind="stable")])
-    rows, sub, m, at = (np.concatenate(x) for x in (rows, subs, ms, at))
-    return v[rows], w[rows], c[rows], cw[rows], m, sub, doc[at], n[at]
-
-
-def bigrams(held: Words, offsets: np.ndarray, words: pa.Array, doc: np.ndarray, train: np.ndarray):
-    """(bigrams of texts as arrays v, w, c, cw (-1: to be looked up), m, and places doc, n; tokens, known ones and base score of each text).
-
-    Words that may be known though the table hasn't them count in neither sum; _score adds them.
-    """
-    codes, distinct = coded(words)
-    code = np.append(held.codes(hashes(distinct)), [held.codes(hashes([END]))[0], START])
-    d, size = len(offsets) - 1, len(code)
-    last = offsets[1:] + np.arange(d)
-    w = np.empty(len(codes) + d, np.int64)
-    is_end = np.zeros(len(w), bool)
-    is_end[last] = True
-    w[is_end], w[~is_end] = size - 2, codes
-    v = np.concatenate(([size - 1], w[:-1]))
-    v[last[:-1] + 1] = size - 1
-    key, of = v * size + w, np.repeat(np.arange(d), np.diff(offsets) + 1)
-    count = held.count(code)
-    told = held.whole | (code >= 0)
-    sums = np.diff(offsets) + 1, np.bincount(of, (told & (count > 0))[w], d).astype(np.int64), np.bincount(of, np.where(told, held.base(count), 0)[w], d)
-    order = np.argsort(key, kind="stable")
-    key, of = key[order], of[order]
-    places = changes(key, of)
-    n = np.diff(np.append(places, len(key)))
-    key, of = key[places], of[places]
-    firsts = changes(key)
-    c = np.add.reduceat(n * train[of], firsts)
-    return (code[key[firsts] // size], code[key[firsts] % size], c, np.full(len(firsts), -1), np.diff(np.append(firsts, len(key))), doc[of], n), sums
-
-
-_ROW = ["bucket", "block", "doc", "doc_id", "n_tokens", "n_known", "base_score"]
-
-
-def _deal(shared, buckets: int, fan: int, hot: int):
-    def run(batches):
-        def make(held):
-            columns = [pa.concat_arrays([b.column(c) for b in held]) for c in ("doc", "doc_id", "train")]
-            doc, train = columns[0].to_numpy(), columns[2].to_numpy(zero_copy_only=False).astype(bool)
-            offsets, words = joined([split_words(b.column("text"), lower=True) for b in held])
-            found, sums = bigrams(shared.value, offsets, words, doc, train)
-            yield pa.RecordBatch.from_arrays([pa.array(doc % buckets // fan, pa.int32()), pa.nulls(len(doc), pa.binary()), *columns[:2], *map(pa.array, sums)], _ROW)
-            yield _rows(blocks(shared.value, buckets, fan, *parted(shared.value, hot, *found)), columns[1].type)
 
-        return gathered(batches, lambda b: b.column("text").nbytes, make, BLOCK_BYTES)
+def _deal(shared, deal: Deal, fan: int):
+    def run(batches):
+        held: Words = shared.value
+        for parts in _text_runs(batches):
+            column = lambda name, parts=parts: pa.concat_arrays([b.column(name) for b in parts])
+            doc, train = column("row").to_numpy(), column("train").to_numpy(zero_copy_only=False).astype(np.int64)
+            w, lengths = column("tokens").flatten().to_numpy(), column("n_tokens").to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            v = np.append(START, w[:-1])
+            v[starts] = START
+            u = np.append(START, v[:-1])
+            u[starts] = START
+            low = int(doc.min())
+            doc, train = np.repeat(doc, lengths), np.repeat(train, lengths)
+            for i in range(0, len(w), CUT):
+                a = trigrams(*(x[i : i + CUT] for x in (u, v, w, doc, train)))
+                yield _packs(packed(deal, held, parted(held, deal, a), fan, low))
 
     return run
 
 
-def _merged(raw: list[bytes]) -> dict[str, np.ndarray]:
-    """Blocks of one bucket as one: each bigram (and part of it) once, with all its places."""
-    parts = [unpack(r) for r in raw]
+def merged(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Trigrams of many packs, each (and each part) once, in order of v, u, w, sub, with all places."""
     a = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    order = np.lexsort((a["sub"], a["w"], a["v"]))
+    order = np.lexsort((a["sub"], a["w"], a["u"], a["v"]))
     at = runs((np.cumsum(a["m"]) - a["m"])[order], a["m"][order])
-    v, w, sub = a["v"][order], a["w"][order], a["sub"][order]
-    firsts = changes(v, w, sub)
-    add = lambda x: np.add.reduceat(x[order], firsts)
-    return {"v": v[firsts], "w": w[firsts], "c": add(a["c"]), "cw": np.maximum.reduceat(a["cw"][order], firsts), "m": add(a["m"]), "sub": sub[firsts], "doc": a["doc"][at], "n": a["n"][at]}
+    keys = {k: a[k][order] for k in ("v", "u", "w", "sub")}
+    firsts = changes(*keys.values())
+    return {k: x[firsts] for k, x in keys.items()} | {k: np.add.reduceat(a[k][order], firsts) for k in ("c", "m")} | {k: a[k][at] for k in _PLACE}
 
 
-def _buckets(batches, finish):
-    """Rows sorted by bucket: calls finish(bucket, its blocks) for each, and passes the rows of documents on."""
+def _by_bucket(batches, finish):
+    """Rows (bucket, pack) sorted by bucket: finish(bucket, its packs) for each."""
     now, held = None, []
     for b in batches:
-        plain = b.filter(b.column("block").is_null())
-        if plain.num_rows:
-            yield plain
-        for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), strict=True):
-            if raw is None:
-                continue
+        for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("pack").to_pylist(), strict=True):
             if bucket != now and held:
-                yield from finish(now, held, b.column("doc_id").type)
+                yield from finish(now, held)
                 held = []
             now = bucket
             held.append(raw)
-        kind = b.column("doc_id").type
     if held:
-        yield from finish(now, held, kind)
+        yield from finish(now, held)
 
 
-def _rows(made, kind: pa.DataType) -> pa.RecordBatch:
-    made = list(made)
-    none = pa.nulls(len(made))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([b for b, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary()), *(none.cast(t) for t in (pa.int64(), kind, pa.int64(), pa.int64(), pa.float64()))], _ROW
-    )
+def _spread(shared, deal: Deal):
+    """Packs of fan buckets each, dealt to one task: many of them are merged and cut by bucket."""
+
+    def run(batches):
+        held: Words = shared.value
+        for b in batches:
+            parts = [unpack(_GRAM + _PLACE, x) for x in b.column("pack").to_pylist()]
+            if parts:
+                a = merged(parts)
+                a["split"] = deal.subs(held, a["v"], a["w"]) > 0
+                yield _packs(packed(deal, held, a, 1, int(a["doc"].min()) if len(a["doc"]) else 0))
 
+    return run
 
-def _split(shared, buckets: int):
-    """Cuts blocks of many buckets, dealt to one task, by bucket, many blocks at a time."""
 
-    def run(batches):
-        def make(held):
-            for b in held:
-                plain = b.filter(b.column("block").is_null())
-                if plain.num_rows:
-                    yield plain
-            raw = [r for b in held for r in b.column("block").drop_null().to_pylist()]
-            if raw:
-                yield _rows(blocks(shared.value, buckets, 1, **_merged(raw)), held[0].column("doc_id").type)
+def _store(batches):
+    names = _GRAM + _PLACE
 
-        return gathered(batches, lambda b: b.nbytes, make, BLOCK_BYTES)
+    def finish(bucket, raw):
+        a = merged([unpack(names, x) for x in raw])
+        one = lambda x: lists(np.array([0, len(x)]), pa.array(x))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket]), *(one(a[k]) for k in names)], ["bucket", *names])
+
+    return _by_bucket(batches, finish)
+
+
+def store(texts: DataFrame, held: Words, shared, deal: Deal, most_parts: int) -> DataFrame:
+    """The table of trigrams: a row a bucket, lists of v, u, w, training count c, number m of places, sub; doc and n of places."""
+    fan = -(-deal.all // most_parts)  # where a block can't be cut into as many parts as there are buckets, it is cut twice
+    rows = texts.select("block", "row", "train", "tokens", "n_tokens")
+    schema = "bucket long, pack binary"
+    dealt = rows.mapInArrow(_deal(shared, deal, fan), schema)
+    if fan > 1:
+        dealt = dealt.repartition(min(deal.all, most_parts), "bucket").mapInArrow(_spread(shared, deal), schema)
+    dealt = dealt.repartition(min(deal.all, 16 * most_parts), "bucket").sortWithinPartitions("bucket")
+    return written(dealt.mapInArrow(_store, "bucket long, " + ", ".join(f"{k} array<long>" for k in _GRAM + _PLACE)))
+
+
+def _rows(batches):
+    """Stored buckets as arrays."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {k: b.column(k)[i].values.to_numpy() if pa.types.is_list(b.column(k).type) else b.column(k)[i].as_py() for k in b.schema.names}
+
+
+def pairs(held: Words, a: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The pairs v, w (and parts of them) of a bucket in order of v, with training counts; and the pair of each trigram."""
+    order = np.lexsort((a["sub"], a["w"], a["v"]))
+    keys = {k: a[k][order] for k in ("v", "w", "sub")}
+    firsts = changes(*keys.values())
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(order))))
+    p = {k: x[firsts] for k, x in keys.items()}
+    # A pair in parts has its count in a row of its own; the other pairs are sums over u.
+    told = np.bincount(of, a["u"] == NONE, len(firsts)) > 0
+    c = np.bincount(of, np.where(told[of] & (a["u"] != NONE), 0, a["c"]), len(firsts)).astype(np.int64)
+    return p | {"c": c}, of
+
+
+def _spectra(shared):
+    """Trigrams and pairs by training count."""
+
+    def run(batches):
+        total = np.zeros((2, DISCOUNTED + 2), np.int64)
+        count = lambda c: np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
+        for a in _rows(batches):
+            p, _ = pairs(shared.value, a)
+            total += [count(p["c"][p["sub"] == 0]), count(a["c"][a["u"] != NONE])]
+        for order in (0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([order + 2] * (DISCOUNTED + 1)), pa.array(np.arange(1, DISCOUNTED + 2)), pa.array(total[order, 1:])], ["ngram", "r", "n"])
 
     return run
 
 
-def _gather(shared):
-    def finish(bucket, raw, kind):
-        a = _merged(raw)
-        a["cw"] = np.where(a["cw"] < 0, shared.value.count(a["w"]), a["cw"])
-        yield _rows([(bucket, pack(**a))], kind)
+@dataclasses.dataclass
+class Backoff:
+    """What scoring needs beside the buckets: discounts of pairs and trigrams; count, discounted mass and lower mass of hot words."""
 
-    return lambda batches: _buckets(batches, finish)
+    pair: np.ndarray
+    trigram: np.ndarray
+    hot: dict[int, tuple[int, float, float]]
 
 
-def _count_rare(shared, buckets: int, fan: int):
-    """Buckets by word hold all of a word's places: counts it, then deals by history."""
+def history_sums(d: np.ndarray, c: np.ndarray, lower: np.ndarray, firsts: np.ndarray, counted: np.ndarray) -> list[np.ndarray]:
+    """For runs of one history each: c(h), what its seen words have of P(w|h) c(h), and of the lower order."""
+    seen = (c > 0) & counted
+    return [np.add.reduceat(np.where(seen, x, 0), firsts) if len(firsts) else x[:0] for x in (c, d[np.minimum(c, DISCOUNTED + 1)] * c, lower)]
 
-    def finish(bucket, raw, kind):
-        a = _merged(raw)
-        names, of = np.unique(a["w"], return_inverse=True)
-        cw = np.bincount(of, a["c"], len(names)).astype(np.int64)[of]
-        yield _rows(blocks(shared.value, buckets, fan, **(a | {"cw": cw})), kind)
 
-    return lambda batches: _buckets(batches, finish)
+def backed_off(d: np.ndarray, c: np.ndarray, lower: np.ndarray, of: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
+    """P(w|h) for each word and its history `of`: one step of the recursion, lower being P(w) of the order below."""
+    count, mass, below = sums
+    # A history without a discounted count keeps one part in c(h) + 1 for its unseen words.
+    full = mass >= count * (1 - 1e-12)
+    total = np.where(full, count + 1, count)
+    left = np.where(full, 1.0, count - mass) / np.maximum(total, 1)
+    weight = np.where(count > 0, left / np.maximum(1 - below, 1e-300), 1.0)
+    own = np.where(full[of], 1.0, d[np.minimum(c, DISCOUNTED + 1)]) * c / np.maximum(total, 1)[of]
+    return np.where(c > 0, own, weight[of] * lower)
 
 
-def _spectrum(batches):
-    total = np.zeros(DISCOUNTED + 2, np.int64)
-    for b in batches:
-        for raw in b.column("block").to_pylist():
-            a = unpack(raw)
-            total += np.bincount(a["c"][(a["sub"] == 0) & (a["c"] <= DISCOUNTED + 1)], minlength=DISCOUNTED + 2)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, DISCOUNTED + 2)), pa.array(total[1:])], ["r", "n"])
+def _run_ids(firsts: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, n)))
 
 
-def _sums(held: Words, d: np.ndarray, a: dict[str, np.ndarray]):
-    """Per history of a block: its first bigrams, its count, and what its seen words have of P(w|v) c(v) and of P(w)."""
-    firsts = changes(a["v"])
-    seen = (a["sub"] == 0) & (a["c"] > 0)
-    add = lambda x: np.add.reduceat(np.where(seen, x, 0), firsts)
-    return firsts, add(a["c"]), add(d[np.minimum(a["c"], DISCOUNTED + 1)] * a["c"]), add(held.probability(a["cw"]))
+def pair_probabilities(held: Words, model: Backoff, a: dict[str, np.ndarray]) -> np.ndarray:
+    """P(w|v) of each trigram of a bucket."""
+    p, of = pairs(held, a)
+    lower = held.probability(held.count(p["w"]))
+    firsts = changes(p["v"])
+    sums = history_sums(model.pair, p["c"], lower, firsts, p["sub"] == 0)
+    v = p["v"][firsts]
+    for i in np.flatnonzero(held.places(v)).tolist():
+        for x, whole in zip(sums, model.hot.get(int(v[i]), (0, 0.0, 0.0)), strict=True):
+            x[i] = whole
+    return backed_off(model.pair, p["c"], lower, _run_ids(firsts, len(p["v"])), sums)[of]
 
 
 def _hot_sums(shared, d: np.ndarray):
+    """For hot v, what its pairs in a bucket add to its sums."""
+
     def run(batches):
         held: Words = shared.value
-        for b in batches:
-            for raw in b.column("block").to_pylist():
-                a = unpack(raw)
-                firsts, c, mass, lower = _sums(held, d, a)
-                v = a["v"][firsts]
-                hot = held.places(v) > 0
-                yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (v, c, mass, lower)], ["v", "c", "mass", "lower"])
+        for a in _rows(batches):
+            p, _ = pairs(held, a)
+            firsts = changes(p["v"])
+            sums = history_sums(d, p["c"], held.probability(held.count(p["w"])), firsts, p["sub"] == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p["v"][firsts], *sums)], ["v", "c", "mass", "lower"])
 
     return run
 
 
-def log_probabilities(held: Words, d: np.ndarray, split: dict[int, tuple[int, float, float]], a: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 P(w|v) of each bigram of a block; split has the sums of the histories that are split over blocks."""
-    firsts, count, mass, lower = _sums(held, d, a)
-    for i in np.flatnonzero(held.places(a["v"][firsts])).tolist():
-        count[i], mass[i], lower[i] = split[int(a["v"][firsts[i]])]
-    # A history without a discounted count keeps one part in c(v) + 1 for its unseen words.
-    full = mass >= count * (1 - 1e-12)
-    total = np.where(full, count + 1, count)
-    left = np.where(full, 1.0, count - mass) / total
-    weight = np.where(count > 0, left / np.maximum(1 - lower, 1e-300), 1.0)
-    of = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(a["v"]))))
-    seen = a["c"] > 0
-    own = np.where(full[of], 1.0, d[np.minimum(a["c"], DISCOUNTED + 1)]) * a["c"] / total[of]
-    return np.log10(np.where(seen, own, weight[of] * held.probability(a["cw"])))
+def _history_parts(shared, model: Backoff):
+    """For hot v, what a bucket adds to the sums of its (u, v)."""
+
+    def run(batches):
+        held: Words = shared.value
+        for a in _rows(batches):
+            firsts = changes(a["v"], a["u"])
+            sums = history_sums(model.trigram, a["c"], pair_probabilities(held, model, a), firsts, a["u"] != NONE)
+            real = a["u"][firsts] != NONE
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(real.sum(), a["bucket"])), *(pa.array(x[real]) for x in (a["u"][firsts], a["v"][firsts], *sums))], ["bucket", "u", "v", "c", "mass", "lower"])
 
+    return run
 
-_PARTS = ["group", "block", "doc", "doc_id", "n_tokens", "n_known", "base_score"]
-_SUMS = ("doc", "known", "base", "score")
-#: Sums are passed on in whole parts of this.
-GRAIN = 1 << 20
 
+def log_probabilities(held: Words, model: Backoff, a: dict[str, np.ndarray], given: list[np.ndarray] | None = None) -> np.ndarray:
+    """log10 P(w|u,v) of each trigram of a bucket; given has the sums of its histories in order where they go beyond it."""
+    lower = pair_probabilities(held, model, a)
+    firsts = changes(a["v"], a["u"])
+    sums = history_sums(model.trigram, a["c"], lower, firsts, a["u"] != NONE)
+    if given is not None:
+        real = a["u"][firsts] != NONE
+        for x, whole in zip(sums, given, strict=True):
+            x[real] = whole
+    with np.errstate(divide="ignore"):
+        return np.log10(backed_off(model.trigram, a["c"], lower, _run_ids(firsts, len(a["v"])), sums))
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct documents, sums of their values) of (documents, rows of values)."""
-    docs, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return docs, np.array([np.bincount(at, x, len(docs)) for x in np.hstack([p[1] for p in parts])])
+
+_SUMS = ("doc", "score")
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    """Documents whose keys are close share a group, which keeps their keys short in a block."""
+    """Texts whose rows are close share a group, which keeps their numbers short in a pack."""
     return (mix(doc >> 8) % np.uint64(groups)).astype(np.int64)
 
 
-def _score(shared, d: np.ndarray, split: dict, groups: int):
-    """Sums for each document over the blocks of a task, passed on by groups of documents when there are many."""
+def _added(docs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    docs, at = np.unique(docs, return_inverse=True)
+    return docs, np.bincount(at, values, len(docs))
+
+
+class _Scores:
+    """Scores of texts over many buckets, passed on by groups of texts."""
+
+    def __init__(self, groups: int):
+        self.groups, self.parts, self.n = groups, [], 0
+
+    def add(self, a: dict[str, np.ndarray], scores: np.ndarray):
+        self.parts.append(_added(a["doc"], np.repeat(scores, a["m"]) * a["n"]))
+        self.n += len(self.parts[-1][0])
+
+    def out(self):
+        docs, values = _added(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        self.parts, self.n = [], 0
+        values, group = np.rint(-values * GRAIN).astype(np.int64), group_of(docs, self.groups)
+        order = np.argsort(group, kind="stable")
+        cuts = [*changes(group[order]).tolist(), len(order)] if len(order) else [0]
+        made = [(int(group[order[i]]), pack(int(docs[order[i]]), _SUMS, {"doc": docs[order[i:j]], "score": values[order[i:j]]})) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["group", "pack"])
 
+
+def _score(shared, model: Backoff, groups: int):
     def run(batches):
-        held: Words = shared.value
-        sums: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out(kind):
-            docs, values = _added(sums)
-            sums.clear()
-            values = np.rint(values * [[1], [GRAIN], [GRAIN]]).astype(np.int64)
-            group = group_of(docs, groups)
-            order = np.argsort(group, kind="stable")
-            cuts = [*changes(group[order]).tolist(), len(order)]
-            made = [(int(group[order[a]]), pack(**dict(zip(_SUMS, (docs[order[a:b]], *values[:, order[a:b]]), strict=True)))) for a, b in zip(cuts, cuts[1:], strict=False)]
-            return _rows(made, kind).rename_columns(_PARTS)
+        scores = _Scores(groups)
+        for a in _rows(batches):
+            scores.add(a, log_probabilities(shared.value, model, a))
+            if scores.n > 2 * BUCKET:
+                yield scores.out()
+        if scores.parts:
+            yield scores.out()
+
+    return run
+
+
+def _score_hot(shared, model: Backoff, groups: int):
+    """One bucket, and the sums of all its histories."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("v", "ascending"), ("u", "ascending")])
+        given = [right.column(k).to_numpy() for k in ("c", "mass", "lower")]
+        scores = _Scores(groups)
+        for a in _rows(left.to_batches()):
+            scores.add(a, log_probabilities(shared.value, model, a, given))
+        return pa.Table.from_batches([scores.out()] if scores.parts else [], pa.schema([("group", pa.int64()), ("pack", pa.binary())]))
+
+    return run
+
+
+_RESULT = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+
+
+def _total(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The texts of a group and all that was scored of them."""
+    docs, total = np.zeros(0, np.int64), np.zeros(0)
+    for raw in right.column("pack"):
+        a = unpack(_SUMS, raw.as_py())
+        docs, total = _added(np.append(docs, a["doc"]), np.append(total, a["score"]))
+    score = -total[np.searchsorted(docs, left.column("row").to_numpy())] / GRAIN if len(left) else total
+    return pa.Table.from_arrays([*(left.column(k) for k in _RESULT[:-1]), pa.array(score)], _RESULT)
+
+
+def _groups(groups: int):
+    def run(batches):
         for b in batches:
-            kind = b.column("doc_id").type
-            plain = b.filter(b.column("block").is_null())
-            if plain.num_rows:
-                group = pa.array(group_of(plain.column("doc").to_numpy(), groups), pa.int32())
-                yield pa.RecordBatch.from_arrays([group, *plain.columns[1:]], _PARTS)
-            for raw in b.column("block").drop_null():
-                a = unpack(raw.as_py())
-                if not len(a["doc"]):
-                    continue
-                late = (a["w"] < START) & (not held.whole)  # words that bigrams() left out
-                each = (late & (a["cw"] > 0), np.where(late, held.base(a["cw"]), 0), log_probabilities(held, d, split, a))
-                sums.append(_added([(a["doc"], np.array([np.repeat(x, a["m"]) * a["n"] for x in each]))]))
-                if sum(len(x[0]) for x in sums) > 2 * BUCKET:
-                    yield out(kind)
-        if sums:
-            yield out(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(group_of(b.column("row").to_numpy(), groups)), *b.columns], ["group", *b.schema.names])
 
     return run
 
 
-def _total(batches):
-    """Rows sorted by group, blocks first: the sums of a group's documents, then the documents with them."""
-    now, sums = None, []
-    for b in batches:
-        for group in changes(b.column("group").to_numpy()).tolist():
-            rows = b.slice(group)
-            key = rows.column("group")[0].as_py()
-            rows = rows.filter(pc.equal(rows.column("group"), key))
-            if key != now:
-                now, sums = key, []
-            for raw in rows.column("block").drop_null():
-                a = unpack(raw.as_py(), _SUMS)
-                sums.append((a["doc"], np.array([a[k] for k in _SUMS[1:]])))
-                if sum(len(x[0]) for x in sums[1:]) > 4 * BUCKET + len(sums[0][0]):
-                    sums = [_added(sums)]
-            rows = rows.filter(rows.column("block").is_null())
-            if rows.num_rows:
-                sums = [_added(sums)]
-                known, base, score = sums[0][1][:, np.searchsorted(sums[0][0], rows.column("doc").to_numpy())]
-                known, base = rows.column("n_known").to_numpy() + known.astype(np.int64), rows.column("base_score").to_numpy() + base / GRAIN
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_tokens"), *map(pa.array, (known, base, score / GRAIN))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-
-def katz_scores(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", *, table_words: int = TABLE_WORDS, bucket: int = BUCKET, hot: int = HOT, most_buckets: int = FAN
-) -> DataFrame:
+def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", *, bucket: int = BUCKET, hot: int = HOT, most_parts: int = FAN) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of docs; train marks the rows that teach.
 
     A-Z are lowered; null counts as empty, which has one token, the end. Repeated rows each have their score, and teach
     as often as they are there. Without rows that teach, all words are unseen and share everything. An empty table
-    gives no rows. Words are told apart by 64 bits of hash in the bigrams.
+    gives no rows.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    held, places = held_words(count_words(rows), table_words, hot)
-    shared, n = spark.sparkContext.broadcast(held), max(partitions(spark), -(-places // bucket))
-    rest = f"block binary, doc long, doc_id {kind}, n_tokens long, n_known long, base_score double"
-    schema = f"bucket int, {rest}"
-    fan = -(-n // most_buckets)  # where a block can't be cut into as many parts as there are buckets, it is cut twice
-    dealt = text_batches(rows, _deal(shared, n, fan, hot), schema)
-    by = lambda df: df.repartition(min(n, most_buckets), "bucket").sortWithinPartitions("bucket")
-    if not held.whole:
-        dealt = written(dealt)
-        dealt = dealt.filter("bucket >= 0").unionByName(by(dealt.filter("bucket < 0")).mapInArrow(_count_rare(shared, n, fan), schema))
-    if fan > 1:
-        dealt = by(dealt).mapInArrow(_split(shared, n), schema)
-    stored = written(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(shared), schema))
-    model = stored.filter("block is not null").select("block")
-    counts = model.mapInArrow(_spectrum, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
-    d = discounts([{r["r"]: r["n"] for r in counts}.get(i, 0) for i in range(1, DISCOUNTED + 2)])
-    split = {}
-    if len(held.hot):
-        sums = model.mapInArrow(_hot_sums(shared, d), "v long, c long, mass double, lower double").groupBy("v").agg(F.sum("c"), F.sum("mass"), F.sum("lower"))
-        split = {r[0]: (r[1], r[2], r[3]) for r in sums.collect()}  # one row a hot word
-    groups = min(FAN, max(partitions(spark), -(-stored.filter("block is null").count() // GROUP)))
-    parts = stored.mapInArrow(_score(shared, d, split, groups), f"group int, {rest}")
-    parts = parts.repartition(groups, "group").sortWithinPartitions("group", F.col("block").isNull())
-    total = parts.mapInArrow(_total, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    blocks = blocks_of(rows)
+    n, taught = blocks.filter("row is not null").agg(F.count("*"), F.count_if("train")).first()
+    words = ranked_words(blocks)
+    held = held_words(words, n, taught, hot)
+    shared, deal = spark.sparkContext.broadcast(held), Deal.of(held, bucket, partitions(spark))
+    texts = texts_of(blocks, words, shared)
+    dropped(blocks)
+    grams = store(texts, held, shared, deal, most_parts)
+    kept = written(texts.select("row", *_RESULT[:-1]))
+    dropped(texts)
+    keys = grams.select("bucket", *_GRAM)
+    counts = {(r["ngram"], r["r"]): r["n"] for r in keys.mapInArrow(_spectra(shared), "ngram long, r long, n long").groupBy("ngram", "r").agg(F.sum("n").alias("n")).collect()}
+    of_order = lambda k: discounts([counts.get((k, r), 0) for r in range(1, DISCOUNTED + 2)])
+    model, groups = Backoff(of_order(2), of_order(3), {}), max(partitions(spark), -(-n // GROUP))
+    kinds = "group long, pack binary"
+    plain = grams.filter(F.col("bucket") < deal.buckets)
+    parts = plain.mapInArrow(_score(shared, model, groups), kinds)
+    if deal.hot_buckets:
+        crowded = F.col("bucket") >= deal.buckets
+        sums = keys.filter(crowded).mapInArrow(_hot_sums(shared, model.pair), "v long, c long, mass double, lower double")
+        model.hot = {r[0]: (r[1], r[2], r[3]) for r in sums.groupBy("v").agg(F.sum("c"), F.sum("mass"), F.sum("lower")).collect()}  # one row a hot word
+        history = Window.partitionBy("u", "v")  # as many rows as v has buckets
+        each = keys.filter(crowded).mapInArrow(_history_parts(shared, model), "bucket long, u long, v long, c long, mass double, lower double")
+        each = written(each.select("bucket", "u", "v", *(F.sum(c).over(history).alias(c) for c in ("c", "mass", "lower"))))
+        hot_scores = grams.filter(crowded).groupBy("bucket").cogroup(each.groupBy("bucket")).applyInArrow(_score_hot(shared, model, groups), kinds)
+        parts = parts.unionByName(hot_scores)
+    parts = written(parts)
+    texts = kept.mapInArrow(_groups(groups), f"group long, row long, doc_id {kind}, n_tokens long, n_known long, base_score double")
+    total = texts.groupBy("group").cogroup(parts.groupBy("group")).applyInArrow(_total, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return total.select("doc_id", "n_tokens", "n_known", F.lit(held.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -1,13 +1,13 @@
-"""Words of whole texts as Arrow arrays, and compact tables of words for tasks."""
+"""Words of whole texts as Arrow arrays, in blocks of many texts."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+#: Bytes of the texts of a block.
+BLOCK_BYTES = 8_000_000
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
@@ -21,18 +21,6 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Ar
     return seen[offsets], words.filter(filled)
 
 
-def coded(words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
-    """(code of each word, the distinct words by code)."""
-    d = words.dictionary_encode()
-    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.cast(pa.large_binary()).to_pylist()
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    """What Spark's xxhash64() gives for each word."""
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
-
-
 def joined(parts: list[tuple[np.ndarray, pa.Array]]) -> tuple[np.ndarray, pa.Array]:
     """Split batches as one."""
     lengths = np.concatenate([np.diff(offsets) for offsets, _ in parts])
@@ -55,8 +43,32 @@ def gathered(batches, size, make, most: int):
         yield from make(held)
 
 
+def text_blocks(batches, lower: bool = False, most: int = BLOCK_BYTES):
+    """Rows (row, ..., text) as blocks: (block, its rows without text, offsets, codes, distinct words by code).
+
+    A block is named by the first of its rows; codes are places in its distinct words.
+    """
+
+    def make(held):
+        offsets, words = joined([split_words(b.column("text"), lower) for b in held])
+        d = words.dictionary_encode()
+        rows = pa.Table.from_batches(held).drop_columns(["text"]).combine_chunks()
+        yield rows.column("row")[0].as_py(), rows, offsets, d.indices.to_numpy(zero_copy_only=False), d.dictionary.cast(pa.binary())
+
+    return gathered(batches, lambda b: b.column("text").nbytes, make, most)
+
+
+def lists(offsets: np.ndarray, values) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run, one run after another."""
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
 class Lookup:
-    """Places of hashes in a sorted array, -1 where missing."""
+    """Places of keys in a sorted array, -1 where missing."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
@@ -66,15 +78,3 @@ class Lookup:
             return np.full(len(wanted), -1)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, at, -1)
-
-
-def frequent(words: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """words(n) at or above the least power of two that leaves at most so many, and whether these are all."""
-    sizes = words.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("words")).orderBy(F.desc("power")).collect()  # 64 rows at most
-    total, least = 0, 64
-    for r in sizes:
-        total += r["words"]
-        if total > most:
-            return words.filter(F.col("n") >= F.lit(2.0**least)), False
-        least = r["power"]
-    return words, True
