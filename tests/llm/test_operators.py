@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import DATA, rows
-from tidewell.llm import bpe, exact_dedup, fingerprints, html_text, katz, language, licenses, mixing, quality, queries, simhash
+from tidewell.llm import bpe, exact_dedup, fingerprints, html_text, katz, language, licenses, mixing, quality, queries, simhash, tokens
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 AWKWARD = [
@@ -177,6 +177,20 @@ def test_language(spark, docs, awkward, empty):
     assert {r.lang_pred for r in language.identify(awkward, language.sample(empty.withColumnRenamed("doc_id", "id"))).collect()} == {"und"}
 
 
+def test_words_of_slices_and_of_many_batches(spark):
+    import pyarrow as pa
+
+    texts_ = pa.array([f"A{i} b  C{i % 7}" for i in range(50)])
+    offsets, found = tokens.split_words(texts_.slice(13, 20), lower=True)
+    assert found.to_pylist() == [w for i in range(13, 33) for w in (f"a{i}", "b", f"c{i % 7}")] and offsets.tolist() == list(range(0, 61, 3))
+    df = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.lit("Doc "), "id", F.lit(" of all")).alias("text")).coalesce(1)
+    assert katz.katz_scores(df, F.lit(True)).agg(F.sum("n_tokens"), F.sum("n_known"), F.max("train_tokens")).first() == (12500, 12500, 12500)
+    path = bpe.default_tokenizer()
+    t = bpe._tokenizer(path)
+    wanted = {i: len(t.encode(f"Doc {i} of all", add_special_tokens=False).ids) for i in range(2500)}
+    assert {r.doc_id: r.n_tokens for r in bpe.encode_digests(df, path).collect()} == wanted
+
+
 class KatzByForce:
     """Orders 1 to 3 over token lists, by dictionaries."""
 

@@ -12,6 +12,7 @@ BLOCK_BYTES = 8_000_000
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """(n + 1 offsets, words): the runs outside `[\\x20\\x09-\\x0D]` of n texts, null as empty; lower folds A-Z only."""
+    texts = texts.take(pa.array(range(len(texts)))) if texts.offset else texts  # a cast reads a slice from the wrong place
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
