@@ -35,8 +35,8 @@ from tidewell.llm.tokens import Lookup, lists, runs, text_blocks
 NONE, START, END, FIRST = 0, 1, 2, 3
 #: Good-Turing discounts hold for counts up to this.
 DISCOUNTED = 5
-#: Places of a bucket; places of a middle word that is split; tokens that are sorted at once.
-BUCKET, HOT, CUT = 600_000, 1_000_000, 1_000_000
+#: Places of a bucket; places of a middle word that is split; tokens that are sorted at once; trigrams of a stored row.
+BUCKET, HOT, CUT, ROW = 600_000, 1_000_000, 600_000, 60_000
 #: Parts that a block of trigrams is cut into at once; texts of a group whose scores are added in one task.
 FAN, GROUP = 8192, 16_384
 #: Scores of a part of a text are passed on in whole parts of this.
@@ -96,27 +96,28 @@ class Words:
         return np.where(c > 0, d[np.minimum(c, DISCOUNTED + 1)] * c / total, (left or 1) / total / unseen)
 
 
-_BLOCK = ["block", "row", "doc_id", "train", "codes", "words", "n", "places"]
+_BLOCK = ["block", "row", "doc_id", "train", "length", "codes", "words", "n", "places"]
 
 
 def _split(batches):
-    """A row for each text, with the codes of its words; and one for each block, with its words and their counts."""
+    """A row for each text; and one for each block, with its words, their counts, and where they stand in its texts (compressed for the way)."""
     for block, rows, offsets, codes, words in text_blocks(batches, lower=True):
         train = rows.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         every = np.bincount(codes, minlength=len(words))
         taught = np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(words))
+        raw = zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").tobytes())
         n, none = len(rows), lambda kind, n: pa.nulls(n, kind)
         one = lambda values: lists(np.array([0, len(values)]), pa.array(values))
-        longs = pa.list_(pa.int64())
-        columns = [rows.column(c).combine_chunks() for c in ("row", "doc_id", "train")]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *columns, lists(offsets, pa.array(codes, pa.int32())), none(pa.list_(pa.binary()), n), none(longs, n), none(longs, n)], _BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), *(none(c.type, 1) for c in columns), none(pa.list_(pa.int32()), 1), one(words), one(taught), one(every)], _BLOCK)
+        kinds = pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())
+        columns = [*(rows.column(c).combine_chunks() for c in ("row", "doc_id", "train")), pa.array(np.diff(offsets))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *columns, *(none(k, n) for k in kinds)], _BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), *(none(c.type, 1) for c in columns), pa.array([raw], pa.binary()), one(words), one(taught), one(every)], _BLOCK)
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
     """docs(row, doc_id, train, text) -> the table of blocks."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, row long, doc_id {kind}, train boolean, codes array<int>, words array<binary>, n array<long>, places array<long>"
+    schema = f"block long, row long, doc_id {kind}, train boolean, length long, codes binary, words array<binary>, n array<long>, places array<long>"
     return written(text_batches(docs.select("row", "doc_id", "train", "text"), _split, schema))
 
 
@@ -148,37 +149,45 @@ def held_words(words: DataFrame, texts: int, taught: int, hot: int) -> Words:
     return held
 
 
-_TEXT = ["block", "row", "doc_id", "train", "tokens", "n_tokens", "n_known", "base_score"]
+_TEXT = ["row", "doc_id", "n_tokens", "n_known", "base_score", "pack"]
+#: Numbers of a block of texts.
+_TOKENS = ("doc", "train", "length", "token")
 
 
 def _with_ids(shared):
-    """The texts of a block with ids for codes, END last, and what they score by counts of words alone."""
+    """The texts of a block with what they score by counts of words alone; and a row with the ids of all their tokens, END last in each."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held: Words = shared.value
+        whole = left.filter(pc.is_valid(left.column("codes"))).column("codes")[0].as_py()
+        left = left.filter(pc.is_valid(left.column("row")))
+        left = left.take(pc.sort_indices(left.column("row"))).combine_chunks()
+        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(whole), "<i4")
         ids = np.zeros(len(right), np.int64)
         ids[right.column("code").to_numpy()] = right.column("id").to_numpy()
-        left = left.take(pc.sort_indices(left.column("row"))).combine_chunks()
-        codes = pa.concat_arrays(left.column("codes").chunks) if len(left) else pa.array([], pa.list_(pa.int32()))
-        lengths = pc.list_value_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+        docs, lengths = left.column("row").to_numpy(), left.column("length").to_numpy()
         tokens = np.full(lengths.sum() + len(left), END, np.int64)
         starts = np.cumsum(lengths + 1) - lengths - 1
-        tokens[runs(starts, lengths)] = ids[codes.flatten().to_numpy(zero_copy_only=False)]
+        tokens[runs(starts, lengths)] = ids[codes]
         c = held.count(tokens)
-        add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
-        sums = [lengths + 1, add((c > 0).astype(np.int64)), add(held.base(c))]
-        return pa.Table.from_arrays([*(left.column(k) for k in ("block", "row", "doc_id", "train")), lists(np.append(starts, len(tokens)), pa.array(tokens)), *map(pa.array, sums)], _TEXT)
+        sums = [lengths + 1, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(held.base(c), starts)]
+        train = left.column("train").to_numpy().astype(np.int64)
+        raw = pack(int(docs[0]), _TOKENS, {"doc": docs, "train": train, "length": lengths + 1, "token": tokens})
+        n = len(left)
+        texts = pa.Table.from_arrays([left.column("row"), left.column("doc_id"), *map(pa.array, sums), pa.nulls(n, pa.binary())], _TEXT)
+        block = pa.Table.from_arrays([*(pa.nulls(1, texts.schema.field(i).type) for i in range(5)), pa.array([raw], pa.binary())], _TEXT)
+        return pa.concat_tables([texts, block])
 
     return run
 
 
 def texts_of(blocks: DataFrame, words: DataFrame, shared) -> DataFrame:
-    """The table of texts: (block, row, doc_id, train, tokens, n_tokens, n_known, base_score)."""
+    """The table of texts (row, doc_id, n_tokens, n_known, base_score), and of blocks of their tokens (pack)."""
     kind = blocks.schema["doc_id"].dataType.simpleString()
     asked = blocks.filter("words is not null").select("block", F.posexplode("words").alias("code", "word"))
     found = asked.join(words.select("word", "id"), "word").select(F.col("block").alias("asked_by"), "code", "id")
-    texts = blocks.filter("row is not null").select("block", "row", "doc_id", "train", "codes")
-    schema = f"block long, row long, doc_id {kind}, train boolean, tokens array<long>, n_tokens long, n_known long, base_score double"
+    texts = blocks.select("block", "row", "doc_id", "train", "length", "codes")
+    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, pack binary"
     return written(texts.groupBy("block").cogroup(found.groupBy("asked_by")).applyInArrow(_with_ids(shared), schema))
 
 
@@ -229,8 +238,9 @@ class Deal:
         return np.where(held.places(v) > 0, hot, plain).astype(np.int64)
 
 
-#: Numbers of a trigram, and of a place of one.
-_GRAM, _PLACE = ("v", "u", "w", "c", "m", "sub"), ("doc", "n")
+#: Numbers of a trigram; those and its places.
+_GRAM = ("v", "u", "w", "c", "m", "sub")
+_PACK = (*_GRAM, "doc")
 
 
 def _planes(a: np.ndarray) -> tuple[int, bytes]:
@@ -274,21 +284,38 @@ def unpack(names: tuple[str, ...], raw: bytes) -> dict[str, np.ndarray]:
 
 
 def trigrams(u, v, w, doc, train) -> dict[str, np.ndarray]:
-    """Distinct trigrams in order of v, u, w with their training counts c and numbers m of places; the places (doc, n), in order."""
-    names = np.unique(np.concatenate((u, v, w)))
+    """Distinct trigrams in order of v, u, w with their training counts c and numbers m of places; the places (doc, once for each time), in order.
+
+    doc ascends; train tells of each place whether it teaches.
+    """
+    names = np.unique(np.concatenate((w, u[:1], v[:1], [START])))
     k = len(names)
-    u, v, w = (np.searchsorted(names, x) for x in (u, v, w))
-    if k < 1 << 21:
-        order = np.argsort((v * k + u) * k + w, kind="stable")
-    else:
-        order = np.lexsort((w, u, v))
-    u, v, w, doc, train = (x[order] for x in (u, v, w, doc, train))
-    places = changes(v, u, w, doc)
-    n = np.diff(np.append(places, len(doc)))
-    taught = n * train[places]
-    firsts = changes(v[places], u[places], w[places])
-    at = places[firsts]
-    return {"v": names[v[at]], "u": names[u[at]], "w": names[w[at]], "c": np.add.reduceat(taught, firsts), "m": np.diff(np.append(firsts, len(places))), "doc": doc[places], "n": n}
+    docs = np.unique(doc)
+    d = len(docs)
+    if k**3 * d >= 1 << 63:  # too many for one number: halves are
+        if len(w) == 1:
+            raise OverflowError("a single place can't have that many words")
+        half = len(w) // 2
+        return _appended([trigrams(*(x[i] for x in (u, v, w, doc, train))) for i in (slice(None, half), slice(half, None))])
+    uc, vc, wc = (np.searchsorted(names, x) for x in (u, v, w))
+    at = np.searchsorted(docs, doc)
+    taught = np.zeros(d, bool)
+    taught[at] = train > 0
+    key = ((vc * k + uc) * k + wc) * d + at
+    key.sort()
+    gram, at = key // d, key % d
+    firsts = changes(gram)
+    g = gram[firsts]
+    m = np.diff(np.append(firsts, len(gram)))
+    return {"v": names[g // (k * k)], "u": names[g // k % k], "w": names[g % k], "c": np.add.reduceat(taught[at].astype(np.int64), firsts), "m": m, "doc": docs[at]}
+
+
+def _appended(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Trigrams of several parts; one that is in two stays two rows, which merged() adds."""
+    a = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    order = np.lexsort((a["w"], a["u"], a["v"]))
+    at = runs((np.cumsum(a["m"]) - a["m"])[order], a["m"][order])
+    return {k: x[at] if k == "doc" else x[order] for k, x in a.items()}
 
 
 def parted(held: Words, deal: Deal, a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -311,15 +338,15 @@ def parted(held: Words, deal: Deal, a: dict[str, np.ndarray]) -> dict[str, np.nd
 
 
 def packed(deal: Deal, held: Words, a: dict[str, np.ndarray], fan: int, low: int):
-    """(bucket // fan, packed trigrams with their places), bucket by bucket."""
+    """(bucket // fan, packed trigrams with their places), bucket by bucket; a is in order but for the rows that parted() added."""
     bucket = deal(held, a["v"], a["w"], a["sub"], a["split"]) // fan
-    order = np.lexsort((a["w"], a["u"], a["v"], bucket))
+    order = np.lexsort((a["w"], a["u"], a["v"], bucket)) if a["split"].any() else np.argsort(bucket.astype(np.uint16) if deal.all <= 1 << 16 else bucket, kind="stable")
     at = runs((np.cumsum(a["m"]) - a["m"])[order], a["m"][order])
-    a = {k: a[k][order] for k in _GRAM} | {k: a[k][at] for k in _PLACE}
+    a = {k: a[k][order] for k in _GRAM} | {"doc": a["doc"][at]}
     bucket, ends = bucket[order], np.append(0, np.cumsum(a["m"]))
     cuts = [*changes(bucket).tolist(), len(bucket)] if len(bucket) else [0]
     for i, j in zip(cuts, cuts[1:], strict=False):
-        yield int(bucket[i]), pack(low, _GRAM + _PLACE, {k: a[k][i:j] for k in _GRAM} | {k: a[k][ends[i] : ends[j]] for k in _PLACE})
+        yield int(bucket[i]), pack(low, _PACK, {k: a[k][i:j] for k in _GRAM} | {"doc": a["doc"][ends[i] : ends[j]]})
 
 
 def _packs(made) -> pa.RecordBatch:
@@ -327,40 +354,21 @@ def _packs(made) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["bucket", "pack"])
 
 
-def _text_runs(batches):
-    """Batches of texts of one block each, of about CUT tokens."""
-    held, block, n = [], None, 0
-    for b in batches:
-        blocks = b.column("block").to_numpy()
-        cuts = [*changes(blocks).tolist(), len(blocks)] if len(blocks) else [0]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if held and (blocks[i] != block or n >= CUT):
-                yield held
-                held, n = [], 0
-            block = blocks[i]
-            held.append(b.slice(i, j - i))
-            n += pc.sum(held[-1].column("n_tokens")).as_py()
-    if held:
-        yield held
-
-
 def _deal(shared, deal: Deal, fan: int):
     def run(batches):
         held: Words = shared.value
-        for parts in _text_runs(batches):
-            column = lambda name, parts=parts: pa.concat_arrays([b.column(name) for b in parts])
-            doc, train = column("row").to_numpy(), column("train").to_numpy(zero_copy_only=False).astype(np.int64)
-            w, lengths = column("tokens").flatten().to_numpy(), column("n_tokens").to_numpy()
-            starts = np.cumsum(lengths) - lengths
-            v = np.append(START, w[:-1])
-            v[starts] = START
-            u = np.append(START, v[:-1])
-            u[starts] = START
-            low = int(doc.min())
-            doc, train = np.repeat(doc, lengths), np.repeat(train, lengths)
-            for i in range(0, len(w), CUT):
-                a = trigrams(*(x[i : i + CUT] for x in (u, v, w, doc, train)))
-                yield _packs(packed(deal, held, parted(held, deal, a), fan, low))
+        for b in batches:
+            for raw in b.column("pack"):
+                a = unpack(_TOKENS, raw.as_py())
+                w, lengths = a["token"], a["length"]
+                starts = np.cumsum(lengths) - lengths
+                v = np.append(START, w[:-1])
+                v[starts] = START
+                u = np.append(START, v[:-1])
+                u[starts] = START
+                low, doc, train = int(a["doc"][0]), np.repeat(a["doc"], lengths), np.repeat(a["train"], lengths)
+                for i in range(0, len(w), CUT):
+                    yield _packs(packed(deal, held, parted(held, deal, trigrams(*(x[i : i + CUT] for x in (u, v, w, doc, train)))), fan, low))
 
     return run
 
@@ -368,11 +376,17 @@ def _deal(shared, deal: Deal, fan: int):
 def merged(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Trigrams of many packs, each (and each part) once, in order of v, u, w, sub, with all places."""
     a = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    order = np.lexsort((a["sub"], a["w"], a["u"], a["v"]))
+    names = np.unique(a["v"])
+    high = [int(a[k].max()) + 1 if len(a[k]) else 1 for k in ("u", "w", "sub")]
+    if len(names) * math.prod(high) < 1 << 63:
+        key = ((np.searchsorted(names, a["v"]) * high[0] + a["u"]) * high[1] + a["w"]) * high[2] + a["sub"]
+        order = np.argsort(key)
+    else:
+        order = np.lexsort((a["sub"], a["w"], a["u"], a["v"]))
     at = runs((np.cumsum(a["m"]) - a["m"])[order], a["m"][order])
     keys = {k: a[k][order] for k in ("v", "u", "w", "sub")}
     firsts = changes(*keys.values())
-    return {k: x[firsts] for k, x in keys.items()} | {k: np.add.reduceat(a[k][order], firsts) for k in ("c", "m")} | {k: a[k][at] for k in _PLACE}
+    return {k: x[firsts] for k, x in keys.items()} | {k: np.add.reduceat(a[k][order], firsts) for k in ("c", "m")} | {"doc": a["doc"][at]}
 
 
 def _by_bucket(batches, finish):
@@ -395,7 +409,7 @@ def _spread(shared, deal: Deal):
     def run(batches):
         held: Words = shared.value
         for b in batches:
-            parts = [unpack(_GRAM + _PLACE, x) for x in b.column("pack").to_pylist()]
+            parts = [unpack(_PACK, x) for x in b.column("pack").to_pylist()]
             if parts:
                 a = merged(parts)
                 a["split"] = deal.subs(held, a["v"], a["w"]) > 0
@@ -404,34 +418,52 @@ def _spread(shared, deal: Deal):
     return run
 
 
+_STORED = ["bucket", "v", "grams", "u", "w", "c", "sub", "places"]
+
+
 def _store(batches):
-    names = _GRAM + _PLACE
+    """A bucket in rows of whole middle words, about ROW trigrams each."""
 
     def finish(bucket, raw):
-        a = merged([unpack(names, x) for x in raw])
+        a = merged([unpack(_PACK, x) for x in raw])
+        ends, n = np.append(0, np.cumsum(a["m"])), len(a["v"])
+        firsts = changes(a["v"])
+        heads = firsts[changes(firsts // ROW)]
         one = lambda x: lists(np.array([0, len(x)]), pa.array(x))
-        yield pa.RecordBatch.from_arrays([pa.array([bucket]), *(one(a[k]) for k in names)], ["bucket", *names])
+        for i, j in zip(heads.tolist(), [*heads[1:].tolist(), n], strict=True):
+            own = firsts[(firsts >= i) & (firsts < j)]
+            grams = np.diff(np.append(own, j))
+            sub = one(a["sub"][i:j]) if a["sub"][i:j].any() else pa.nulls(1, pa.list_(pa.int64()))
+            doc = a["doc"][ends[i] : ends[j]]
+            places = pack(int(doc.min()) if len(doc) else 0, ("m", "doc"), {"m": a["m"][i:j], "doc": doc})
+            yield pa.RecordBatch.from_arrays([pa.array([bucket]), one(a["v"][own]), one(grams), *(one(a[k][i:j]) for k in ("u", "w", "c")), sub, pa.array([places], pa.binary())], _STORED)
 
     return _by_bucket(batches, finish)
 
 
 def store(texts: DataFrame, held: Words, shared, deal: Deal, most_parts: int) -> DataFrame:
-    """The table of trigrams: a row a bucket, lists of v, u, w, training count c, number m of places, sub; doc and n of places."""
+    """The table of trigrams, some middle words a row: lists of v and their numbers of trigrams; of u, w, training count c, and
+    part sub (null for 0); places is packed: how many each trigram has (m), and the texts (doc)."""
     fan = -(-deal.all // most_parts)  # where a block can't be cut into as many parts as there are buckets, it is cut twice
-    rows = texts.select("block", "row", "train", "tokens", "n_tokens")
     schema = "bucket long, pack binary"
-    dealt = rows.mapInArrow(_deal(shared, deal, fan), schema)
+    dealt = texts.filter("pack is not null").select("pack").mapInArrow(_deal(shared, deal, fan), schema)
     if fan > 1:
         dealt = dealt.repartition(min(deal.all, most_parts), "bucket").mapInArrow(_spread(shared, deal), schema)
     dealt = dealt.repartition(min(deal.all, 16 * most_parts), "bucket").sortWithinPartitions("bucket")
-    return written(dealt.mapInArrow(_store, "bucket long, " + ", ".join(f"{k} array<long>" for k in _GRAM + _PLACE)))
+    return written(dealt.mapInArrow(_store, "bucket long, " + ", ".join(f"{k} array<long>" for k in _STORED[1:-1]) + ", places binary"))
 
 
 def _rows(batches):
-    """Stored buckets as arrays."""
+    """Stored rows as arrays of trigrams, and of places where those are read."""
     for b in batches:
         for i in range(b.num_rows):
-            yield {k: b.column(k)[i].values.to_numpy() if pa.types.is_list(b.column(k).type) else b.column(k)[i].as_py() for k in b.schema.names}
+            row = {k: b.column(k)[i] for k in b.schema.names}
+            a = {k: row[k].values.to_numpy() for k in ("v", "grams", "u", "w", "c")}
+            a["v"] = np.repeat(a["v"], a.pop("grams"))
+            a["sub"] = row["sub"].values.to_numpy() if row["sub"].is_valid else np.zeros(len(a["v"]), np.int64)
+            if "places" in row:
+                a |= unpack(("m", "doc"), row["places"].as_py())
+            yield a | {"bucket": row["bucket"].as_py()}
 
 
 def pairs(held: Words, a: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -568,7 +600,7 @@ class _Scores:
         self.groups, self.parts, self.n = groups, [], 0
 
     def add(self, a: dict[str, np.ndarray], scores: np.ndarray):
-        self.parts.append(_added(a["doc"], np.repeat(scores, a["m"]) * a["n"]))
+        self.parts.append(_added(a["doc"], np.repeat(scores, a["m"])))
         self.n += len(self.parts[-1][0])
 
     def out(self):
@@ -599,10 +631,11 @@ def _score_hot(shared, model: Backoff, groups: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by([("v", "ascending"), ("u", "ascending")])
-        given = [right.column(k).to_numpy() for k in ("c", "mass", "lower")]
+        given, v = [right.column(k).to_numpy() for k in ("c", "mass", "lower")], right.column("v").to_numpy()
         scores = _Scores(groups)
         for a in _rows(left.to_batches()):
-            scores.add(a, log_probabilities(shared.value, model, a, given))
+            own = slice(*np.searchsorted(v, [a["v"][0], a["v"][-1] + 1]))
+            scores.add(a, log_probabilities(shared.value, model, a, [x[own] for x in given]))
         return pa.Table.from_batches([scores.out()] if scores.parts else [], pa.schema([("group", pa.int64()), ("pack", pa.binary())]))
 
     return run
@@ -646,9 +679,9 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     texts = texts_of(blocks, words, shared)
     dropped(blocks)
     grams = store(texts, held, shared, deal, most_parts)
-    kept = written(texts.select("row", *_RESULT[:-1]))
+    kept = written(texts.filter("row is not null").drop("pack"))
     dropped(texts)
-    keys = grams.select("bucket", *_GRAM)
+    keys = grams.drop("places")
     counts = {(r["ngram"], r["r"]): r["n"] for r in keys.mapInArrow(_spectra(shared), "ngram long, r long, n long").groupBy("ngram", "r").agg(F.sum("n").alias("n")).collect()}
     of_order = lambda k: discounts([counts.get((k, r), 0) for r in range(1, DISCOUNTED + 2)])
     model, groups = Backoff(of_order(2), of_order(3), {}), max(partitions(spark), -(-n // GROUP))
