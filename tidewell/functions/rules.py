@@ -1,105 +1,194 @@
 """Rules: JSON expression trees compiled to Columns over JSON state, mutations, and validation ladders.
 
-A tree is {"field", "op", "value" or "ref"} and may hold one of AND, OR (lists) or NOT. Two dialects: "turn" (a null
-tree is false, a missing field is null and so differs from any value, one connective a node) and "memory" (a null tree
-is true, any comparison with a missing field is false, AND and OR may stand together).
+A tree is {"field", "op", "value" or "ref"} and may hold another tree under AND, OR or NOT. State is read as a variant,
+so values are compared by type: a number is never equal to a text that looks like it; true and false are 1 and 0.
+
+Dialect "turn": an empty tree is false; a missing field is null; orderings compare what can be read as a number; a
+missing op is "=="; an unknown one is false; the leaf and the one connective of a node are joined by "and", "or" or
+"and not". Dialect "memory": no tree is true; any comparison with a missing field is false; orderings compare numbers
+with numbers and texts with texts; AND takes the place of a true leaf, OR of a false one; field and a known op must be
+there; NOT and ref mean nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERINGS = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
 CONNECTIVES = ("AND", "OR", "NOT")
+#: Texts that count as numbers in orderings.
+NUMERAL = r"(?i)^\s*[+-]?(\d+(\.\d*)?([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf(inity)?)\s*$"
+
 
+def is_entity(root: str) -> bool:
+    try:
+        uuid.UUID(root)
+    except ValueError:
+        return False
+    return True
 
-def path_of(field: str) -> str:
+
+def path_of(field: str, entities: bool = True) -> str:
     """The JSON path of a dotted field; a root that is a UUID lies under entities."""
     parts = field.split(".")
-    if len(parts[0]) == 36 and parts[0].count("-") == 4:
+    if entities and is_entity(parts[0]):
         parts.insert(0, "entities")
     return "$" + "".join(f"['{p}']" for p in parts)
 
 
 def get(state: Column, field: str) -> Column:
+    """The value of a field as text; null where it is missing."""
     return F.get_json_object(state, path_of(field))
 
 
+class State:
+    """JSON state under changes that earlier rules made: a map of fields to JSON values."""
+
+    def __init__(self, base: Column, changes: Column | None = None):
+        self.base, self.changes = base, changes
+
+    def at(self, field: str, entities: bool = True) -> Column:
+        raw = F.try_variant_get(F.try_parse_json(self.base), path_of(field, entities), "variant")
+        if self.changes is None:
+            return raw
+        return F.when(F.map_contains_key(self.changes, field), F.try_parse_json(F.try_element_at(self.changes, F.lit(field)))).otherwise(raw)
+
+
+class Value:
+    """A value of the state, or a literal, with its type."""
+
+    def __init__(self, raw: Column):
+        self.raw = raw
+        self.kind = F.coalesce(F.schema_of_variant(raw), F.lit("VOID"))
+        self.is_null = self.kind == "VOID"
+        self.is_text = self.kind == "STRING"
+        self.is_list = self.kind.startswith("ARRAY")
+        self.is_number = self.kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | self.kind.startswith("DECIMAL")
+        self.text = F.when(self.is_text, F.try_variant_get(raw, "$", "string"))
+        truth = F.when(F.try_variant_get(raw, "$", "boolean"), 1.0).otherwise(0.0)
+        self.number = F.when(self.kind == "BOOLEAN", truth).when(self.is_number, F.try_variant_get(raw, "$", "double"))
+        self.items = F.when(self.is_list, F.try_variant_get(raw, "$", "array<variant>"))
+
+    @classmethod
+    def at(cls, state: Column | State, field: str, entities: bool = True) -> Value:
+        return cls((state if isinstance(state, State) else State(state)).at(field, entities))
+
+    @classmethod
+    def of(cls, value) -> Value:
+        return cls(F.parse_json(F.lit(json.dumps(value))))
+
+    def equals(self, other: Value) -> Column:
+        nested = ~self.is_null & ~self.is_number & ~self.is_text & (self.kind.substr(1, 1) == other.kind.substr(1, 1))
+        found = F.when(self.is_null | other.is_null, self.is_null & other.is_null)
+        found = found.when(self.is_number & other.is_number, self.number == other.number).when(self.is_text & other.is_text, self.text == other.text)
+        return found.when(nested, F.to_json(self.raw) == F.to_json(other.raw)).otherwise(False)
+
+    def holds(self, other: Value) -> Column:
+        """Whether other is one of the items of this list."""
+        return F.coalesce(F.exists(self.items, lambda i: Value(i).equals(other)), F.lit(False))
+
+    def numeral(self) -> Column:
+        """What can be read as a number; else null."""
+        text = F.when(self.text.rlike(NUMERAL), F.trim(self.text).try_cast("double"))
+        return F.coalesce(self.number, text)
+
+
 def number(x: Column) -> Column:
-    """As a number, true as 1 and false as 0; null, never NaN, where it is none."""
-    return F.coalesce(x.try_cast("double"), F.when(x == "true", 1.0).when(x == "false", 0.0))
+    """A text as a number, true as 1 and false as 0; null, never NaN, where it is none."""
+    return F.coalesce(F.when(x.rlike(NUMERAL), F.trim(x).try_cast("double")), F.when(x == "true", 1.0).when(x == "false", 0.0))
 
 
 def fields(tree: dict | None) -> list[str]:
     """The fields that a tree refers to, in order, each once."""
     if not tree:
         return []
-    found = [tree[k] for k in ("field", "ref") if tree.get(k)]
-    for k in ("AND", "OR"):
-        for sub in tree.get(k) or []:
-            found += fields(sub)
-    found += fields(tree.get("NOT"))
+    found = [str(tree[k]) for k in ("field", "ref") if k in tree]
+    for k in CONNECTIVES:
+        if isinstance(tree.get(k), dict):
+            found += fields(tree[k])
     return list(dict.fromkeys(found))
 
 
-def _equal(x: Column, value) -> Column:
-    if isinstance(value, Column):
-        return x.eqNullSafe(value)
-    if isinstance(value, bool) or isinstance(value, (int, float)):
-        return F.coalesce(number(x) == float(value), F.lit(False))
-    return x.eqNullSafe(F.lit(value))
+def _false_if_null(found: Column) -> Column:
+    return F.coalesce(found, F.lit(False))
 
 
-def _compare(state: Column, tree: dict, dialect: str) -> Column:
-    x, op = get(state, tree["field"]), tree["op"]
-    value = get(state, tree["ref"]) if tree.get("ref") else tree.get("value")
+def _turn_leaf(state: Column, tree: dict) -> Column:
+    op = str(tree.get("op", "=="))
+    a = Value.at(state, str(tree["field"]))
+    b = Value.at(state, str(tree["ref"])) if "ref" in tree else Value.of(tree.get("value"))
     if op in ORDERINGS:
-        found = ORDERINGS[op](number(x), number(value) if isinstance(value, Column) else number(F.lit(str(value).lower())))
-    elif op in ("==", "!="):
-        found = _equal(x, value)
-        found = ~found if op == "!=" else found
-    elif dialect == "memory":
-        raise ValueError(f"unknown operator {op}")
-    elif op == "in":
-        found = F.lit(False)
-        for v in value:
-            found = found | _equal(x, v)
-    elif op == "contains":
-        items = F.from_json(x, "array<string>")
-        found = F.coalesce(F.array_contains(items, F.lit(str(value))), F.contains(x, F.lit(str(value))))
-    elif op == "matches":
-        found = F.contains(x, F.lit(str(value)))
-    else:
+        return _false_if_null(ORDERINGS[op](a.numeral(), b.numeral()))
+    if op in ("==", "!="):
+        return a.equals(b) if op == "==" else ~a.equals(b)
+    if op == "in":
+        return b.holds(a)
+    if op == "contains":
+        return a.holds(b) | _false_if_null(F.contains(a.text, b.text))
+    if op == "matches":
+        return _false_if_null(F.contains(a.text, b.text))
+    return F.lit(False)
+
+
+def _memory_leaf(state: Column, tree: dict) -> Column:
+    if "field" not in tree or "op" not in tree:
+        raise ValueError(f"field or op is missing in {tree}")
+    op, a, b = tree["op"], Value.at(state, tree["field"], entities=False), Value.of(tree.get("value"))
+    if op in ORDERINGS:
+        return _false_if_null(ORDERINGS[op](a.number, b.number)) | _false_if_null(ORDERINGS[op](a.text, b.text))
+    if op not in ("==", "!="):
         raise ValueError(f"unknown operator {op}")
-    found = F.coalesce(found, F.lit(False))
-    return found & x.isNotNull() if dialect == "memory" else found
+    return ~a.is_null & (a.equals(b) if op == "==" else ~a.equals(b))
 
 
-def compile_rule(tree: dict | None, state: Column, dialect: str = "turn") -> Column:
-    """The tree as one boolean Column, never null."""
-    if not tree:
-        return F.lit(dialect == "memory")
-    used = [k for k in CONNECTIVES if k in tree]
-    if dialect == "turn" and len(used) > 1:
-        raise ValueError(f"more than one of {', '.join(used)} in a node")
-    found = _compare(state, tree, dialect) if "field" in tree else F.lit(True)
+def _memory_rule(tree: dict | None, state: Column) -> Column:
+    if tree is None:
+        return F.lit(True)
+    found = _memory_leaf(state, tree)
     if "AND" in tree:
-        for sub in tree["AND"]:
-            found = found & compile_rule(sub, state, dialect)
+        found = found & _memory_rule(tree["AND"], state)
     if "OR" in tree:
-        some = F.lit(False)
-        for sub in tree["OR"]:
-            some = some | compile_rule(sub, state, dialect)
-        found = found & some
-    if "NOT" in tree:
-        found = found & ~compile_rule(tree["NOT"], state, dialect)
+        found = found | _memory_rule(tree["OR"], state)
     return found
 
 
-def first_match(rules: list[tuple[str, dict | None]], state: Column, dialect: str = "turn") -> Column:
-    """The name of the first rule that holds, in the order given; null if none does."""
-    return F.coalesce(*(F.when(compile_rule(tree, state, dialect), F.lit(name)) for name, tree in rules), F.lit(None).cast("string"))
+def _turn_rule(tree: dict | None, state: Column) -> Column:
+    if not tree:
+        return F.lit(False)
+    used = [k for k in CONNECTIVES if k in tree]
+    if len(used) > 1:
+        raise ValueError(f"more than one of {', '.join(used)} in a node")
+    leaf = _turn_leaf(state, tree) if "field" in tree else None
+    if not used:
+        return F.lit(False) if leaf is None else leaf
+    if not isinstance(tree[used[0]], dict):
+        raise TypeError(f"{used[0]} must hold one tree")
+    sub = _turn_rule(tree[used[0]], state)
+    sub = ~sub if used[0] == "NOT" else sub
+    if leaf is None:
+        return sub
+    return leaf | sub if used[0] == "OR" else leaf & sub
+
+
+def compile_rule(tree: dict | None, state: Column, dialect: str = "turn") -> Column:
+    """The tree as one boolean Column, never null."""
+    return _memory_rule(tree, state) if dialect == "memory" else _turn_rule(tree, state)
+
+
+def first_match(rules: list[tuple[str, dict | None]], state: Column, dialect: str = "turn", pending: Column | None = None) -> Column:
+    """The name of the first rule that holds, in the order given; null if none does, or while pending holds. A broken tree never holds."""
+    found = []
+    for name, tree in rules:
+        try:
+            found.append(F.when(compile_rule(tree, state, dialect), F.lit(name)))
+        except (TypeError, ValueError):
+            continue
+    first = F.coalesce(*found, F.lit(None).cast("string"))
+    return first if pending is None else F.when(~_false_if_null(pending), first)
 
 
 def active(rules: list[tuple[str, dict | None]], state: Column, dialect: str = "turn") -> Column:
@@ -121,6 +210,155 @@ def mutated(x: Column, op: str, value: float | str) -> Column:
     return F.when(result == F.floor(result), result.cast("long").cast("string")).otherwise(result.cast("string"))
 
 
+def mutated_value(state: Column | State, path: str, op: str, value) -> Column:
+    """The JSON text of a field after set, increment or decrement: whole numbers stay whole, a missing field counts as 0."""
+    if op == "set":
+        return F.lit(json.dumps(value))
+    now, step = Value.at(state, path), float(value) if op == "increment" else -float(value)
+    whole = (now.is_null | (now.kind == "BIGINT")) & F.lit(isinstance(value, int))
+    result = F.coalesce(now.numeral(), F.lit(0.0)) + step
+    return F.when(whole, result.cast("long").cast("string")).otherwise(result.cast("string"))
+
+
+def _changed(changes: Column, path: str, value: Column) -> Column:
+    return F.map_concat(F.map_filter(changes, lambda k, _: k != path), F.create_map(F.lit(path), value))
+
+
+def with_effects(df: DataFrame, state: str, conditions: list[dict], schema: dict, look: dict[str, Column] | None = None) -> DataFrame:
+    """df with active (ids of the conditions that hold, in order) and changes (field -> JSON value after all of them).
+
+    Each condition is {"id", "tree", "mutation": {"path", "op", "value"} or None} and sees the changes of those before
+    it. A mutation that breaks the schema is left out; the condition stays active. look says, per id, whether a
+    condition is looked at at all (see must_reevaluate).
+    """
+    df = df.withColumns({"active": F.array().cast("array<string>"), "changes": F.create_map().cast("map<string,string>")})
+    for x in conditions:
+        now = State(F.col(state), F.col("changes"))
+        df = df.withColumn("_holds", compile_rule(x["tree"], now) & (look or {}).get(x["id"], F.lit(True)))
+        df = df.withColumn("active", F.when(F.col("_holds"), F.array_append("active", F.lit(x["id"]))).otherwise(F.col("active")))
+        m = x.get("mutation")
+        if m:
+            after = _changed(F.col("changes"), m["path"], mutated_value(now, m["path"], m["op"], m["value"]))
+            df = df.withColumn("_after", F.when(F.col("_holds"), after).otherwise(F.col("changes")))
+            sound = F.size(schema_errors(State(F.col(state), F.col("_after")), schema)) == 0
+            df = df.withColumn("changes", F.when(sound, F.col("_after")).otherwise(F.col("changes"))).drop("_after")
+    return df.drop("_holds")
+
+
+#: Texts that count as true or false.
+TRUE, FALSE = ("1", "true", "t", "yes", "y", "on"), ("0", "false", "f", "no", "n", "off")
+
+
+def options(field: dict) -> list[str]:
+    """The options of an enum: texts, or objects with a value."""
+    found = field.get("options") or []
+    return [o if isinstance(o, str) else str(o["value"]) for o in found if isinstance(o, str) or isinstance(o, dict) and "value" in o]
+
+
+def _fits(x: Value, field: dict, kind: str) -> Column:
+    """Whether a value that isn't null can be read as kind."""
+    if kind == "number":
+        ok, n = x.numeral().isNotNull(), x.numeral()
+        if field.get("min") is not None:
+            ok = ok & (n >= field["min"])
+        if field.get("max") is not None:
+            ok = ok & (n <= field["max"])
+        return ok
+    if kind == "boolean":
+        return (x.kind == "BOOLEAN") | _false_if_null(x.number.isin(0.0, 1.0)) | _false_if_null(F.lower(x.text).isin(*TRUE, *FALSE))
+    if kind == "enum" and options(field):
+        return _false_if_null(x.text.isin(*options(field)))
+    return x.is_text if kind in ("string", "enum", "entity_ref") else F.lit(True)
+
+
+def _item_fits(kind: str):
+    return lambda i: _fits(Value(i), {}, kind)
+
+
+def schema_paths(schema: dict, before: str = "") -> list[tuple[str, dict]]:
+    """(dotted path, field) of every field that isn't an object, in order."""
+    found = []
+    for name, field in schema.items():
+        if isinstance(field, dict):
+            inner = field.get("fields") or {}
+            found += schema_paths(inner, f"{before}{name}.") if field.get("type") == "object" else [(before + name, field)]
+    return found
+
+
+def schema_errors(state: Column | State, schema: dict) -> Column:
+    """Paths of the fields whose value doesn't fit; null fits all but a list."""
+    bad = []
+    for path, field in schema_paths(schema):
+        x, kind = Value.at(state, path), field.get("type")
+        if kind == "list":
+            item = field.get("item_type", "string")
+            item = item if item in ("number", "boolean") else "string"
+            fits = F.coalesce(F.forall(x.items, _item_fits(item)), F.lit(False))
+            missing = F.schema_of_variant(x.raw).isNull()
+            bad.append(F.when(~(fits | missing), path))
+        else:
+            bad.append(F.when(~x.is_null & ~_false_if_null(_fits(x, field, kind)), path))
+    return F.filter(F.array(*bad), lambda p: p.isNotNull()) if bad else F.array().cast("array<string>")
+
+
+def tree_errors(tree: dict | None, known: set[str]) -> list[str]:
+    """What is wrong with a tree before it runs: unknown root fields, more than one connective, a connective that holds no tree."""
+    if not isinstance(tree, dict) or not tree:
+        return ["empty"]
+    found = [f"unknown field {tree[k]}" for k in ("field", "ref") if k in tree and str(tree[k]).split(".")[0] not in known and not is_entity(str(tree[k]).split(".")[0])]
+    used = [k for k in CONNECTIVES if k in tree]
+    if len(used) > 1:
+        found.append("more than one connective")
+    for k in used:
+        found += tree_errors(tree[k], known) if isinstance(tree[k], dict) else [f"{k} holds no tree"]
+    return found
+
+
 def first_error(*checks: tuple[Column, str]) -> Column:
     """The text of the first check that fails, null if all hold; a null check fails."""
-    return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for ok, text in checks), F.lit(None).cast("string"))
+    return F.coalesce(*(F.when(~_false_if_null(ok), F.lit(text)) for ok, text in checks), F.lit(None).cast("string"))
+
+
+def outcome(timed_out: Column, binary: Column, won: Column, score: Column, tiers: list[tuple]) -> Column:
+    """timeout, win or lose of a game that can only be won, or the first (low, high, name) of tiers that has the score, ends included."""
+    fits = lambda low, high: (F.lit(True) if low is None else score >= low) & (F.lit(True) if high is None else score <= high)
+    tier = F.coalesce(*(F.when(fits(low, high), F.lit(name)) for low, high, name in tiers))
+    return F.when(timed_out, "timeout").when(binary, F.when(won, "win").otherwise("lose")).otherwise(tier)
+
+
+#: Fixed value: what only the engine keeps.
+RESERVED = ("discovered_location_ids",)
+
+
+def mutation_error(state: Column | State, mutation: dict, schema: dict) -> Column:
+    """What speaks against a change of a field, null if nothing does; the state is looked at as it would be afterwards."""
+    path = mutation.get("path")
+    if not path:
+        return F.lit("Missing mutation target path")
+    if path in RESERVED:
+        return F.lit("system-managed")
+    field = dict(schema_paths(schema)).get(path)
+    if field is None:
+        return F.lit("unknown")
+    if field.get("derived") is True:
+        return F.lit("derived")
+    state = state if isinstance(state, State) else State(state)
+    value = mutated_value(state, path, mutation["op"], mutation["value"])
+    after = F.create_map(F.lit(path), value) if state.changes is None else _changed(state.changes, path, value)
+    return F.when(F.size(schema_errors(State(state.base, after), schema)) > 0, "schema")
+
+
+CALL = "struct<tool_name: string, is_valid: boolean, arguments: struct<path: string, entity_id: string>, result: struct<modifier: bigint>, before: double, after: double>"
+
+
+def turn_summary(calls: DataFrame, turn: str, call: str, names: DataFrame) -> DataFrame:
+    """calls(turn, call JSON) and names(entity, p_name) -> a row a turn: stats, delta, items, dice; calls that aren't valid don't count."""
+    rows = calls.select(turn, F.from_json(call, CALL).alias("c")).filter("c.is_valid").select(turn, "c.*").withColumn("entity", F.col("arguments.entity_id")).join(names, "entity", "left")
+    tool, modifier = F.col("tool_name"), F.col("result.modifier")
+    dice = F.when(tool == "roll_dice", F.when(modifier > 0, F.concat(F.lit("d20+"), modifier)).when(modifier < 0, F.concat(F.lit("d20"), modifier)).otherwise("d20"))
+    listed = lambda x: F.array_join(F.sort_array(F.collect_set(x)), ",")
+    found = rows.groupBy(turn).agg(
+        F.count_if(tool.isin("set_field", "adjust_numeric_field")).alias("stats"), F.sum(F.when(tool == "adjust_numeric_field", F.col("after") - F.col("before"))).cast("long").alias("delta"),
+        listed(F.when(tool == "add_inventory_item", F.coalesce("p_name", "entity"))).alias("items"), listed(dice).alias("dice"),
+    )
+    return calls.select(turn).distinct().join(found, turn, "left").select(turn, F.coalesce("stats", F.lit(0)).alias("stats"), "delta", F.nullif("items", F.lit("")).alias("items"), F.nullif("dice", F.lit("")).alias("dice"))

@@ -61,3 +61,31 @@ def live_ancestors(links: DataFrame, archived: DataFrame, steps: int = 32) -> Da
         if not moved.filter("moving").limit(1).count():
             break
     return hop.join(gone, hop.next == gone.g, "left_anti").select("node", F.col("next").alias("ancestor"))
+
+
+def manifest_merge(incoming: DataFrame, stored: DataFrame, key: str, mutable: tuple[str, ...]) -> DataFrame:
+    """incoming(key, incoming map) and stored(key, stored map) -> key, verdict, merged.
+
+    insert: not stored; same: nothing new; merge: new keys, or other values of mutable ones; conflict (merged is null):
+    another value of an immutable key. Keys that the incoming map leaves out stay.
+    """
+    rows = incoming.join(stored, key, "left")
+    old, new = F.col("stored"), F.col("incoming")
+    differs = F.map_filter(new, lambda k, v: F.map_contains_key(old, k) & ~F.try_element_at(old, k).eqNullSafe(v))
+    broken = F.size(F.array_except(F.map_keys(differs), F.array(*map(F.lit, mutable)))) > 0
+    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    same = (F.size(differs) == 0) & (F.size(merged) == F.size(old))
+    verdict = F.when(old.isNull(), "insert").when(broken, "conflict").when(same, "same").otherwise("merge")
+    return rows.select(key, verdict.alias("verdict"), F.when(old.isNull(), new).when(~broken, merged).alias("merged"))
+
+
+def direct_facts(rows: DataFrame, subject: list[str], content: str, valid_from: str, salt: str) -> DataFrame:
+    """Authored facts with key, kind and valid_to: of each subject, a later fact supersedes the one before and closes it.
+
+    The key hashes subject and content; a superseding fact adds its salt, as it may say again what an older one said.
+    """
+    order = Window.partitionBy(*subject).orderBy(valid_from, salt)
+    later = F.row_number().over(order) > 1
+    text = F.concat_ws("\x1f", *subject, content)
+    hashed = F.sha2(F.when(later, F.concat_ws("\x1f", text, salt)).otherwise(text), 256)
+    return rows.select("*", F.concat(F.lit("fact:direct:"), F.substring(hashed, 1, 24)).alias("key"), F.when(later, "superseding").otherwise("first").alias("kind"), F.lead(valid_from).over(order).alias("valid_to"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ def keyword_top_k(docs: DataFrame, terms: list[str], k: int, id_col: str = "doc_
     """(id, keyword_score, keyword_rank): r is the sum over matched terms of tf / (tf + 1), the score r / (1 + r)."""
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     r = F.lit(float(len(terms)))
-    for t in terms:  # of [a-z0-9]; counted in place, so that the text isn't taken apart into words
-        tf = F.regexp_count(text, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])"))
+    for t in terms:  # counted in place, so that the text isn't taken apart into words, and only where it is there at all
+        pattern = "(?<![a-z0-9])" + re.escape(t) + "(?![a-z0-9])"
+        tf = F.when(F.contains(text, F.lit(t)), F.regexp_count(text, F.lit(pattern))).otherwise(0)
         r = r - 1 / (tf + 1)
     rows = docs.select(F.col(id_col).alias("id"), F.round(r, 6).alias("r"))
     rows = top_k(rows, [F.desc("r"), F.col("id")], k, "keyword_rank").filter("r > 0")
@@ -67,25 +70,52 @@ def best_per_text(df: DataFrame, text_col: str, rank: list[Column]) -> DataFrame
     return filled.unionByName(empty).drop("_key")
 
 
-def co_occurring(edges: DataFrame, fact: str, entity: str, seeds_: DataFrame) -> DataFrame:
-    """(fact, hops, paths) of facts reached from seed entities over one shared fact or two; edges(fact, entity) distinct.
+def entity_paths(edges: DataFrame, fact: str, entity: str, seeds_: DataFrame, archived: Column) -> DataFrame:
+    """(fact, hops, paths) of the facts of seed entities, by paths of up to three edges that begin at a seed.
 
-    The seeds come first, so that the joins grow from them and not from all pairs.
+    A path entity-fact-entity counts one hop, entity-fact-entity-fact two; one through an archived fact doesn't count.
+    It is credited to the candidate facts of the entities at its ends. edges(fact, entity) are distinct. Paths are
+    counted by degrees and never listed.
     """
-    e = edges.select(F.col(fact).alias("f"), F.col(entity).alias("e"))
-    one = e.join(seeds_.select(F.col(entity).alias("e")), "e").select("f", F.col("e").alias("seed"))
-    direct = one.groupBy("f").agg(F.lit(1).alias("hops"), F.count("*").alias("paths"))
-    near = one.join(e, "f").filter("e <> seed").select("seed", "e").distinct()
-    two = near.join(e, "e").join(one.withColumnsRenamed({"f": "f1", "seed": "s1"}), (F.col("f") == F.col("f1")) & (F.col("seed") == F.col("s1")), "left_anti")
-    two = two.groupBy("f").agg(F.lit(2).alias("hops"), F.count("*").alias("paths"))
-    both = direct.unionByName(two).groupBy("f").agg(F.min("hops").alias("hops"), F.sum("paths").alias("paths"))
-    return both.select(F.col("f").alias(fact), "hops", "paths")
-
-
-def retrieval_metrics(ranked: DataFrame, gold_count: Column, k: int) -> DataFrame:
-    """ranked(query, rank, hit): recall, hit, precision at k and the reciprocal rank of each query."""
-    top = F.col("rank") <= k
-    hits = F.count_if(top & F.col("hit"))
-    return ranked.groupBy("query").agg(
-        (hits / gold_count).alias("recall"), (hits > 0).cast("int").alias("hit_at_k"), (hits / k).alias("precision"), F.coalesce(1 / F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0.0)).alias("mrr")
-    )
+    e = edges.filter(~archived).select(F.col(fact).alias("f"), F.col(entity).alias("e"))
+    seed = seeds_.select(F.col(entity).alias("e")).distinct()
+    one = e.join(seed, "e").select("f", F.col("e").alias("s"))
+    steps = one.join(e, "f").filter("s <> e").select("s", "f", "e")  # entity-fact-entity
+    degree = e.join(steps.select("e").distinct(), "e", "left_semi").groupBy("e").agg((F.count("*") - 1).alias("further"))
+    short = steps.groupBy("s").agg(F.count("*").alias("n")).unionByName(steps.groupBy(F.col("e").alias("s")).agg(F.count("*").alias("n"))).withColumn("hops", F.lit(1))
+    long = steps.join(degree, "e").groupBy("s").agg(F.sum("further").alias("n")).filter("n > 0").withColumn("hops", F.lit(2))
+    ends = short.unionByName(long).groupBy(F.col("s").alias("e")).agg(F.sum("n").alias("paths"), F.min("hops").alias("hops"))
+    candidates = edges.select(F.col(fact).alias("f"), F.col(entity).alias("e")).join(one.select("f").distinct(), "f", "left_semi")
+    found = candidates.join(ends, "e").groupBy("f").agg(F.min("hops").alias("hops"), F.sum("paths").alias("paths"))
+    return found.select(F.col("f").alias(fact), "hops", "paths")
+
+
+def retrieval_metrics(pairs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """pairs(query, id, distance, hit) and gold(query, gold): recall, hit, precision at k and the reciprocal rank of each query.
+
+    Only the k nearest of a query are put in order; the rank of its first hit is counted.
+    """
+    place = F.struct("distance", "id")
+    top = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).filter(F.col("rank") <= k)
+    hits = top.groupBy("query").agg(F.count_if("hit").alias("hits"))
+    first = pairs.filter("hit").groupBy(F.col("query").alias("q")).agg(F.min(place).alias("first"))
+    rank = pairs.join(F.broadcast(first), F.col("q") == F.col("query")).filter(place <= F.col("first")).groupBy("query").agg(F.count("*").alias("rank"))
+    found = gold.join(hits, "query").join(rank, "query", "left")
+    hits = F.col("hits")
+    return found.select("query", (hits / F.col("gold")).alias("recall"), (hits > 0).cast("int").alias("hit_at_k"), (hits / k).alias("precision"), F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("mrr"))
+
+
+RELATED = "[related facts from the same conversation turns]:"
+
+
+def reader_context(rows: DataFrame, key: str, top: int, today: Column) -> DataFrame:
+    """rows(key, n, observed, speaker, text), a bounded number a key -> (key, context): ranked facts one a line with date and
+    speaker (user where there is none), then the related ones with date; the day of the question first where today isn't null."""
+    day = F.date_format("observed", "yyyy-MM-dd")
+    ranked = F.concat(F.lit("["), F.coalesce(day, F.lit("Recent")), F.lit(" | "), F.coalesce("speaker", F.lit("user")), F.lit("]: "), "text")
+    related = F.concat(F.lit("- "), F.coalesce(F.concat(F.lit("["), day, F.lit("]: ")), F.lit("")), "text")
+    lines = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", F.when(F.col("n") <= top, ranked).alias("a"), F.when(F.col("n") > top, related).alias("b")))).alias("l"))
+    filled = lambda name: F.filter(F.transform("l", lambda x: x[name]), lambda x: x.isNotNull())
+    head = F.when(today.isNotNull(), F.array(F.concat(F.lit("[today's date is "), today, F.lit("]")))).otherwise(F.array().cast("array<string>"))
+    tail = F.when(F.size(filled("b")) > 0, F.concat(F.array(F.lit(RELATED)), filled("b"))).otherwise(F.array().cast("array<string>"))
+    return lines.select(key, F.array_join(F.concat(head, filled("a"), tail), "\n").alias("context"))

@@ -132,7 +132,10 @@ def rollback_restore(spark: SparkSession, d: str) -> DataFrame:
 
 def _checkpoints(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 @query("""WITH a AS (SELECT event_id, user_id, (epoch_us(ts) // 1000000)::BIGINT AS lo, (epoch_us(ts) // 1000000)::BIGINT + 3600 AS hi, event_type FROM events)

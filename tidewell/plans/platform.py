@@ -129,13 +129,14 @@ def batch_status(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[(count(*) // 2) + 1] AS p50,
 list_sort(list(value))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] AS p95, round(sum(value) / sum(sum(value)) OVER (), 6) AS share FROM events GROUP BY 1""")
 def latency_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """Index-based percentiles by ranking the rows, so that no task gathers a step's values in one array."""
-    rows, w = read(spark, d, "events").select("event_type", "value", "event_id"), Window.partitionBy("event_type")
-    ranked = rows.withColumn("i", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", F.count("*").over(w))
+    """Index-based percentiles from the counts of distinct values: rows are counted before anything is put in order."""
+    counts = read(spark, d, "events").groupBy("event_type", "value").agg(F.count("*").alias("m"))
+    w = Window.partitionBy("event_type")
+    ranked = counts.withColumn("upto", F.sum("m").over(w.orderBy("value"))).withColumn("n", F.sum("m").over(w))
+    at = lambda i: F.min(F.when(c("upto") > i, c("value")))
     steps = ranked.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max(F.when(c("i") == F.floor(c("n") / 2), c("value"))).alias("p50"),
-        F.max(F.when(c("i") == F.floor(0.95 * c("n")), c("value"))).alias("p95"), F.sum("value").alias("s"),
-    )
+        F.sum("m").alias("n"), F.round(F.sum(c("value") * c("m")) / F.sum("m"), 6).alias("mean"), at(F.floor(c("n") / 2)).alias("p50"), at(F.floor(0.95 * c("n"))).alias("p95"), F.sum(c("value") * c("m")).alias("s")
+    )
     return steps.withColumn("share", F.round(c("s") / F.sum("s").over(Window.partitionBy()), 6)).drop("s")
 
 
@@ -244,12 +245,15 @@ def single_flag(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", (F.row_number().over(w) == 1).alias("is_player"))
 
 
+SLOTS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
 @query("SELECT p_brand, p_type, count(p_partkey) AS n FROM (SELECT DISTINCT p_brand FROM part) CROSS JOIN (SELECT DISTINCT p_type FROM part) LEFT JOIN part USING (p_brand, p_type) GROUP BY ALL")
 def slot_default_fill(spark: SparkSession, d: str) -> DataFrame:
     """Every brand has all slots; the slots are a fixed short list."""
     p = read(spark, d, "part")
-    slots = p.select("p_type").distinct().agg(F.sort_array(F.collect_list("p_type")).alias("slots"))
-    every = p.select("p_brand").distinct().join(F.broadcast(slots)).select("p_brand", F.explode("slots").alias("p_type"))
+    slots = F.array(*map(F.lit, SLOTS))
+    every = p.select("p_brand").distinct().select("p_brand", F.explode(slots).alias("p_type"))
     have = p.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
     return every.join(have, ["p_brand", "p_type"], "left").select("p_brand", "p_type", F.coalesce("n", F.lit(0)).alias("n"))
 

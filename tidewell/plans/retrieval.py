@@ -51,22 +51,23 @@ u AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN trim(text) = '' THEN i
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM u WHERE n = 1 QUALIFY rank <= 20""")
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Both channels fused by reciprocal ranks, texts once each, the best twenty."""
-    rows = _seeds(spark, d).join(read(spark, d, "documents").select(c("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text")), c("k") == c("id"), "left")
+    seeds = _seeds(spark, d)
+    ids = [r["id"] for r in seeds.select("id").collect()]  # 2 K at most; the scan of texts then skips what has none of them
+    texts = read(spark, d, "documents").filter(c("doc_id").isin(ids)).select(c("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = seeds.join(F.broadcast(texts), c("k") == c("id"), "left").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("score", R.rrf(c("semantic_rank"), c("keyword_rank")))
     best = R.best_per_text(rows, "text", [F.desc("score"), c("id")])
     return R.top_k(best, [F.desc("score"), c("id")], 20, "rank").select("id", "score", "rank")
 
 
-GRAPH = """edge AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS e FROM lineitem), one AS (SELECT f, e AS seed FROM edge WHERE e < 5),
-direct AS (SELECT f, 1 AS hops, count(*) AS paths FROM one GROUP BY 1),
-near AS (SELECT DISTINCT seed, e FROM one JOIN edge USING (f) WHERE e <> seed),
-two AS (SELECT edge.f, 2 AS hops, count(*) AS paths FROM near JOIN edge USING (e) WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.f = edge.f AND one.seed = near.seed) GROUP BY 1),
-paths AS (SELECT f, min(hops) AS hops, sum(paths)::BIGINT AS paths FROM (SELECT * FROM direct UNION ALL SELECT * FROM two) GROUP BY 1)"""
+GRAPH = """edge AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS e FROM lineitem), live AS (SELECT * FROM edge WHERE f % 17 <> 0), cand AS (SELECT f, e FROM edge WHERE f IN (SELECT f FROM live WHERE e < 5)),
+p3 AS (SELECT a.e AS s, a.f, b.e AS t FROM live a JOIN live b USING (f) WHERE a.e < 5 AND b.e <> a.e), p4 AS (SELECT p3.s FROM p3 JOIN live x ON x.e = p3.t AND x.f <> p3.f),
+ends AS (SELECT s AS e, 1 AS hops FROM p3 UNION ALL SELECT t, 1 FROM p3 UNION ALL SELECT s, 2 FROM p4), paths AS (SELECT f, min(hops) AS hops, count(*) AS paths FROM cand JOIN ends USING (e) GROUP BY 1)"""
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
     edges = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return R.co_occurring(edges, "l_orderkey", "l_partkey", edges.select("l_partkey").distinct().filter("l_partkey < 5"))
+    return R.entity_paths(edges, "l_orderkey", "l_partkey", edges.filter("l_partkey < 5"), c("l_orderkey") % 17 == 0)
 
 
 @query(f"WITH {GRAPH} SELECT f AS l_orderkey, hops, paths FROM paths")
@@ -84,18 +85,37 @@ def structural_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 FUSED = f"""WITH {SEM}, {KEY}, {SEED}, {GRAPH}, st AS (SELECT f AS id, 1 / hops * least(paths, 3) / 3 AS structural FROM paths),
-ch AS (SELECT seed.*, coalesce(round(structural, 6), 0.0) AS structural FROM seed LEFT JOIN st USING (id)),
-r AS (SELECT *, CASE WHEN structural > 0 THEN row_number() OVER (ORDER BY structural DESC, id) END AS structural_rank FROM ch),
-fused AS (SELECT id, semantic_score, keyword_score, structural, round(coalesce(1 / (60 + semantic_rank), 0) + coalesce(1 / (60 + keyword_rank), 0) + coalesce(1 / (60 + structural_rank), 0), 9) AS score FROM r)"""
+ch AS (SELECT seed.*, coalesce(round(structural, 6), 0.0) AS structural, source, coalesce(text, '') AS text, count(*) OVER (PARTITION BY source) AS n FROM seed LEFT JOIN st USING (id) LEFT JOIN documents ON doc_id = id),
+bo AS (SELECT *, CASE WHEN source IN ('src1', 'src2') THEN least(0.5 / greatest(n, 1), 0.5) ELSE 0.0 END::DOUBLE AS boost FROM ch),
+r AS (SELECT *, CASE WHEN structural > 0 THEN row_number() OVER (ORDER BY structural DESC, id) END AS structural_rank, CASE WHEN boost > 0 THEN row_number() OVER (ORDER BY boost DESC, id) END AS boost_rank FROM bo),
+every AS (SELECT *, round(coalesce(1 / (60 + semantic_rank), 0) + coalesce(1 / (60 + keyword_rank), 0) + coalesce(1 / (60 + structural_rank), 0) + coalesce(1 / (60 + boost_rank), 0), 9) AS score FROM r),
+fused AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY CASE WHEN trim(text) = '' THEN id::VARCHAR ELSE lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) END ORDER BY score DESC, id) = 1)"""
+QUESTION = ["the", "src1", "src2"]
+
+
+def _ranked(rows: DataFrame, channel: str) -> DataFrame:
+    """The candidates, at most 2 K, with their rank in a channel where they score above zero."""
+    some = R.top_k(rows.filter(c(channel) > 0), [F.desc(channel), c("id")], 2 * K, f"{channel}_rank").select(c("id").alias("rid"), f"{channel}_rank")
+    return rows.join(some, c("rid") == c("id"), "left").drop("rid")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    """The candidates, at most 2 K, with the rank of their structural score where it is above zero."""
+    """The candidates of both seeds, fused over four channels, each text once; an entity's boost falls with its candidates."""
+    from pyspark.sql import Window
+
+    from tidewell.functions import text as T
+
+    seeds = _seeds(spark, d)
+    ids = [r["id"] for r in seeds.select("id").collect()]  # 2 K at most
+    docs = read(spark, d, "documents").filter(c("doc_id").isin(ids)).select(c("doc_id").alias("k"), "source", F.coalesce("text", F.lit("")).alias("text"))
     st = _paths(spark, d).select(c("l_orderkey").alias("f"), F.round(R.structural(c("hops"), c("paths")), 6).alias("structural"))
-    rows = _seeds(spark, d).join(st, c("f") == c("id"), "left").withColumn("structural", F.coalesce("structural", F.lit(0.0)))
-    ranked = R.top_k(rows.filter("structural > 0"), [F.desc("structural"), c("id")], 2 * K, "structural_rank").select(c("id").alias("rid"), "structural_rank")
-    rows = rows.join(ranked, c("rid") == c("id"), "left")
-    return rows.select("id", "semantic_score", "keyword_score", "structural", R.rrf(c("semantic_rank"), c("keyword_rank"), c("structural_rank")).alias("score"))
+    rows = seeds.join(st, c("f") == c("id"), "left").withColumn("structural", F.coalesce("structural", F.lit(0.0))).join(docs, c("k") == c("id"), "left").withColumn("text", F.coalesce("text", F.lit("")))
+    mentioned = F.coalesce(F.arrays_overlap(T.query_terms(c("source")), F.array(*map(F.lit, QUESTION))), F.lit(False))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("source"))).withColumn("boost", R.entity_boost(c("n"), mentioned))
+    rows = _ranked(_ranked(rows, "structural"), "boost")
+    score = R.rrf(c("semantic_rank"), c("keyword_rank"), c("structural_rank"), c("boost_rank"))
+    rows = rows.select("id", "semantic_score", "keyword_score", "structural", "source", "text", score.alias("score"))
+    return R.best_per_text(rows, "text", [F.desc("score"), c("id")])
 
 
 @query(FUSED + " SELECT id, score FROM fused ORDER BY score DESC, id LIMIT 20")
@@ -157,15 +177,12 @@ def eval_retrieval_twentieth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evaluate(embeddings: DataFrame, asked: str) -> DataFrame:
-    from pyspark.sql import Window
-
     v = embeddings.select("vec_id", "label", V.doubles(c("embedding")).alias("e"))
-    gold = v.groupBy(c("label").alias("ql")).agg((F.count("*") - 1).alias("gold"))
-    q = v.filter(asked).select(c("vec_id").alias("query"), c("label").alias("ql"), c("e").alias("qe")).join(F.broadcast(gold), "ql")
-    rows = v.join(F.broadcast(q), c("vec_id") != c("query"))
-    w = Window.partitionBy("query").orderBy("distance", "vec_id")
-    rows = rows.select("query", "vec_id", "gold", (c("label") == c("ql")).alias("hit"), F.round(1 - V.cosine(c("qe"), c("e")), 6).alias("distance")).withColumn("rank", F.row_number().over(w))
-    found = R.retrieval_metrics(rows, F.first("gold"), 5)
+    q = v.filter(asked).select(c("vec_id").alias("query"), c("label").alias("ql"), c("e").alias("qe"))
+    gold = q.join(v.groupBy(c("label").alias("ql")).agg((F.count("*") - 1).alias("gold")), "ql").select("query", "gold")
+    pairs = v.join(F.broadcast(q), c("vec_id") != c("query"))
+    pairs = pairs.select("query", c("vec_id").alias("id"), (c("label") == c("ql")).alias("hit"), F.round(1 - V.cosine(c("qe"), c("e")), 6).alias("distance"))
+    found = R.retrieval_metrics(pairs, gold, 5)
     return found.select("query", F.round("recall", 6).alias("recall"), "hit_at_k", F.round("precision", 6).alias("precision"), F.round("mrr", 6).alias("mrr"))
 
 
@@ -227,3 +244,49 @@ def _namesakes(part: DataFrame, asked: str) -> DataFrame:
     p = part.withColumn("key", canonical(c("p_name")))
     q = p.select(c("p_partkey").alias("candidate"), "key", "p_brand")
     return p.filter(asked).join(q, ["key", "p_brand"]).filter("p_partkey <> candidate").select("p_partkey", "p_name", "candidate")
+
+
+SITUATION = """SELECT event_id, user_id, event_type, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events
+WHERE coalesce(list_position(['signup', 'view', 'click'], event_type), 0) <= 2 AND coalesce(nullif(user_id % 5, 0) = 3, true) AND NOT (event_id % 17 = 0)"""
+
+
+@query(f"""WITH f AS ({SITUATION}) SELECT f.event_id, f.user_id, place::BIGINT AS place, coalesce(l.source, 'none') AS external_id FROM f LEFT JOIN documents l ON l.doc_id = f.event_id WHERE place <= 3""")
+def retrieve_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Structured facts: gates of checkpoint, participant and turn before the cut, metadata after it; three a subject."""
+    from pyspark.sql import Window
+
+    from tidewell.operators.temporal import holds
+
+    at = F.nullif(F.array_position(F.array(*map(F.lit, ("signup", "view", "click"))), c("event_type")), F.lit(0))
+    rows = read(spark, d, "events").filter(holds(at <= 2) & holds(F.nullif(c("user_id") % 5, F.lit(0)) == 3) & (c("event_id") % 17 != 0))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    best = rows.withColumn("place", place).filter("place <= 3").select("event_id", "user_id", c("place").cast("long").alias("place"))
+    ids = read(spark, d, "documents").select("doc_id", "source")
+    return best.join(ids, c("doc_id") == c("event_id"), "left").select("event_id", "user_id", "place", F.coalesce("source", F.lit("none")).alias("external_id"))
+
+
+@query(f"""WITH {{GRAPH}}, f AS (SELECT e.event_id, e.user_id, ts, value FROM events e WHERE event_id % 17 <> 0 AND ts < TIMESTAMP '2024-01-15'), n AS (SELECT user_id, count(*) AS facts FROM f GROUP BY 1)
+SELECT event_id, user_id, facts, coalesce(hops, 0)::INT AS hops, coalesce(paths, 0)::BIGINT AS paths FROM f JOIN n USING (user_id) LEFT JOIN paths ON paths.f = event_id""".replace("{GRAPH}", GRAPH))
+def graph_expand(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that stand at the question's time, with their entity's number of retained facts and the paths to them."""
+    from pyspark.sql import Window
+
+    rows = read(spark, d, "events").filter((c("event_id") % 17 != 0) & (c("ts") < F.lit("2024-01-15").cast("timestamp_ntz")))
+    rows = rows.withColumn("facts", F.count("*").over(Window.partitionBy("user_id")))
+    rows = rows.join(_paths(spark, d), c("l_orderkey") == c("event_id"), "left")
+    return rows.select("event_id", "user_id", "facts", F.coalesce("hops", F.lit(0)).alias("hops"), F.coalesce("paths", F.lit(0)).alias("paths"))
+
+
+@query("""WITH q AS (SELECT 1 AS one), f AS (SELECT user_id, event_id, '[' || CASE WHEN event_id % 11 = 0 THEN 'Recent' ELSE strftime(ts, '%Y-%m-%d') END || ' | ' || CASE WHEN event_id % 3 = 0 THEN 'user' ELSE event_type END || ']: fact ' || event_id AS line, 1 AS part, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, '- ' || CASE WHEN event_id % 11 = 0 THEN '' ELSE '[' || strftime(ts, '%Y-%m-%d') || ']: ' END || 'fact ' || event_id AS line, 3 AS part, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events),
+l AS (SELECT user_id, part, n, line FROM f WHERE n <= 3 UNION ALL SELECT user_id, part, n, line FROM s WHERE n BETWEEN 4 AND 5 UNION ALL SELECT DISTINCT user_id, 2, 0, '[related facts from the same conversation turns]:' FROM s WHERE n = 4
+UNION ALL SELECT DISTINCT user_id, 0, 0, '[today''s date is 2024-02-01]' FROM events WHERE user_id % 2 = 0)
+SELECT user_id, string_agg(line, chr(10) ORDER BY part, n) AS context FROM l GROUP BY 1""")
+def reader_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader is given of each subject: the date for questions of duration, its three best facts with date and speaker, then related ones."""
+    from pyspark.sql import Window
+
+    k, best = c("event_id"), Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    rows = read(spark, d, "events").withColumn("n", F.row_number().over(best)).filter("n <= 5")
+    rows = rows.select("user_id", "n", F.when(k % 11 != 0, c("ts")).alias("observed"), F.when(k % 3 != 0, c("event_type")).alias("speaker"), F.concat(F.lit("fact "), k).alias("text"))
+    return R.reader_context(rows, "user_id", top=3, today=F.when(c("user_id") % 2 == 0, "2024-02-01")).select("user_id", "context")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import rules as R
@@ -19,23 +19,34 @@ def states(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").withColumn("state", F.to_json(F.struct(k.alias("k"), c("event_type").alias("kind"), F.struct(hp.alias("hp")).alias("stats"))))
 
 
-@query(STATE + """ SELECT event_id, (k >= 50 AND (event_type IN ('click', 'view') OR coalesce(value > 100 AND user_id % 4 <> 0, false)) AND NOT contains(event_type, 'err')) AS holds FROM s""")
+@query(STATE + """ SELECT event_id, k >= 50 AND (event_type IN ('click', 'view') OR (coalesce(value > 100 AND user_id % 4 <> 0, false) AND NOT contains(event_type, 'err'))) AS holds FROM s""")
 def expr_eval(spark: SparkSession, d: str) -> DataFrame:
-    tree = {
-        "AND": [
-            {"field": "k", "op": ">=", "value": "50"},
-            {"OR": [{"field": "kind", "op": "in", "value": ["click", "view"]}, {"field": "stats.hp", "op": ">", "value": 100}]},
-            {"NOT": {"field": "kind", "op": "matches", "value": "err"}},
-        ]
-    }
+    either = {"field": "kind", "op": "in", "value": ["click", "view"]}
+    tree = {"field": "k", "op": ">=", "value": "50", "AND": either}
+    either["OR"] = {"field": "stats.hp", "op": ">", "value": 100, "NOT": {"field": "kind", "op": "matches", "value": "err"}}
     return states(spark, d).select("event_id", R.compile_rule(tree, c("state")).alias("holds"))
 
 
-@query(STATE + " SELECT event_id, user_id % 4 <> 0 AND value <> 5 AND (k < 10 OR k > 90) AS holds, user_id % 4 = 0 OR value <> 5 AS holds_turn FROM s")
+@query("""WITH s AS (SELECT event_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events)
+SELECT event_id, false AS text_is_number, k % 2 = 1 AS one_is_true, k = 5 AS in_list, event_type = 'view' AS has_tag, true AS null_is_missing, k < 10 AS text_orders, false AS unknown_op FROM s""")
+def expr_types(spark: SparkSession, d: str) -> DataFrame:
+    """Values are compared by type: {"n": k, "t": k as text, "odd": boolean, "tags": [event_type, 1]}."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    parts = F.struct(k.alias("n"), k.cast("string").alias("t"), (k % 2 == 1).alias("odd"), F.array("event_type").alias("tags"))
+    rows = read(spark, d, "events").select("event_id", F.to_json(parts).alias("state"))
+    trees = {
+        "text_is_number": {"field": "t", "ref": "n"}, "one_is_true": {"field": "odd", "op": "==", "value": 1}, "in_list": {"field": "n", "op": "in", "value": ["7", 5.0]},
+        "has_tag": {"field": "tags", "op": "contains", "value": "view"}, "null_is_missing": {"field": "none.such", "op": "==", "value": None},
+        "text_orders": {"field": "t", "op": "<", "value": 10}, "unknown_op": {"field": "t", "op": "like", "value": "5"},
+    }
+    return rows.select("event_id", *(R.compile_rule(t, c("state")).alias(name) for name, t in trees.items()))
+
+
+@query(STATE + " SELECT event_id, (k < 10 AND user_id % 4 <> 0 AND value <> 5) OR event_type = 'view' AS holds, user_id % 4 = 0 OR value <> 5 AS holds_turn FROM s")
 def expr_eval_legacy(spark: SparkSession, d: str) -> DataFrame:
-    """A missing field: false in the one dialect, different from any value in the other."""
+    """AND takes the place of what held, OR of what didn't. A missing field: false in the one dialect, different from any value in the other."""
     differs = {"field": "stats.hp", "op": "!=", "value": 5}
-    tree = {"AND": [differs], "OR": [{"field": "k", "op": "<", "value": 10}, {"field": "k", "op": ">", "value": 90}]}
+    tree = {"field": "k", "op": "<", "value": 10, "AND": differs, "OR": {"field": "kind", "op": "==", "value": "view"}}
     return states(spark, d).select("event_id", R.compile_rule(tree, c("state"), "memory").alias("holds"), R.compile_rule(differs, c("state")).alias("holds_turn"))
 
 
@@ -52,10 +63,88 @@ def active_labels(spark: SparkSession, d: str) -> DataFrame:
     return states(spark, d).select("event_id", F.array_join(R.active(RULES, c("state")), ",").alias("labels"))
 
 
-@query(STATE + " SELECT event_id, event_id % 3 = 0 OR event_id < 10 AS look FROM s")
+@query(STATE + """, h AS (SELECT *, CASE WHEN user_id % 4 <> 0 THEN value END AS hp FROM s),
+p AS (SELECT *, lag(event_id) OVER w AS before, lag(hp) OVER w AS hp0 FROM h WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, before IS NULL OR coalesce(hp0 < 10, false) OR hp IS DISTINCT FROM hp0 AS look FROM p""")
 def scoped_reeval(spark: SparkSession, d: str) -> DataFrame:
-    changed = F.when(c("event_id") % 3 == 0, F.array(F.lit("k"), F.lit("x"))).otherwise(F.array(F.lit("stats.mp")))
-    return states(spark, d).select("event_id", R.must_reevaluate(RULES[0][1], changed, F.lit(False), c("event_id") < 10).alias("look"))
+    """Whether the second rule has to be looked at: its field changed since the user's last event, it held then, or there is none."""
+    name, tree = RULES[1]
+    one = Window.partitionBy("user_id").orderBy("event_id")
+    rows = states(spark, d).withColumn("held", R.compile_rule(tree, c("state")))
+    was = lambda x: F.lag(x).over(one)
+    fields = {"k": R.get(c("state"), "k"), "kind": c("event_type"), "stats.hp": R.get(c("state"), "stats.hp")}
+    changed = F.filter(F.array(*(F.when(~x.eqNullSafe(was(x)), f) for f, x in fields.items())), lambda f: f.isNotNull())
+    look = R.must_reevaluate(tree, changed, F.coalesce(was(c("held")), F.lit(False)), was(c("event_id")).isNull())
+    return rows.select("event_id", look.alias("look"))
+
+
+CONDITIONS = [
+    {"id": "warm", "tree": {"field": "k", "op": ">=", "value": 50}, "mutation": {"path": "stats.heat", "op": "increment", "value": 10}},
+    {"id": "fault", "tree": {"field": "kind", "op": "==", "value": "error", "AND": {"field": "stats.heat", "op": ">=", "value": 10}}, "mutation": {"path": "stats.heat", "op": "increment", "value": 4}},
+    {"id": "sale", "tree": {"field": "kind", "op": "==", "value": "purchase"}, "mutation": {"path": "stats.heat", "op": "increment", "value": 5}},
+    {"id": "alarm", "tree": {"field": "stats.heat", "op": ">", "value": 9}, "mutation": {"path": "alarm", "op": "set", "value": True}},
+    {"id": "quiet", "tree": {"NOT": {"field": "alarm", "op": "==", "value": True}}},
+]
+SCHEMA = {"k": {"type": "number", "min": 0, "max": 90}, "kind": {"type": "enum", "options": ["click", "view", {"value": "purchase"}]}, "alarm": {"type": "boolean"}, "stats": {"type": "object", "fields": {"hp": {"type": "number", "min": 1}, "heat": {"type": "number", "max": 14}}}}
+LOOSE = {"stats": SCHEMA["stats"]}
+
+
+@query(STATE + """, h AS (SELECT *, user_id % 4 = 0 OR value >= 1 AS sound FROM s),
+a AS (SELECT *, CASE WHEN k >= 50 AND sound THEN 10 END AS h1 FROM h), b AS (SELECT *, CASE WHEN event_type = 'error' AND h1 = 10 THEN 14 ELSE h1 END AS h2 FROM a),
+e AS (SELECT *, CASE WHEN event_type = 'purchase' AND sound AND h2 IS NULL THEN 5 ELSE h2 END AS h3 FROM b)
+SELECT event_id, array_to_string(list_filter([CASE WHEN k >= 50 THEN 'warm' END, CASE WHEN event_type = 'error' AND h1 = 10 THEN 'fault' END, CASE WHEN event_type = 'purchase' THEN 'sale' END,
+CASE WHEN h3 > 9 THEN 'alarm' END, CASE WHEN h3 IS NULL OR h3 <= 9 THEN 'quiet' END], lambda x: x IS NOT NULL), ',') AS active, h3::BIGINT AS heat, coalesce(h3 > 9, false) AS alarm FROM e""")
+def effects_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions in order, each on the state that the ones before it left; a mutation that breaks the schema doesn't happen."""
+    rows = R.with_effects(states(spark, d), "state", CONDITIONS, LOOSE)
+    heat, alarm = (F.try_element_at("changes", F.lit(f)) for f in ("stats.heat", "alarm"))
+    return rows.select("event_id", F.array_join("active", ",").alias("active"), heat.cast("long").alias("heat"), F.coalesce(alarm == "true", F.lit(False)).alias("alarm"))
+
+
+@query(STATE + """ SELECT event_id, array_to_string(list_filter([CASE WHEN k > 90 THEN 'k' END, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'kind' END,
+CASE WHEN user_id % 4 <> 0 AND value < 1 THEN 'stats.hp' END], lambda x: x IS NOT NULL), ',') AS errors FROM s""")
+def schema_coerce(spark: SparkSession, d: str) -> DataFrame:
+    """Fields whose value doesn't fit the schema; numbers may come as texts."""
+    rows = states(spark, d).withColumn("state", F.regexp_replace("state", r'"k":(\d+)', '"k":"$1"'))
+    return rows.select("event_id", F.array_join(R.schema_errors(c("state"), SCHEMA), ",").alias("errors"))
+
+
+@query("SELECT * FROM (VALUES ('k', 'number'), ('kind', 'enum'), ('alarm', 'boolean'), ('stats.hp', 'number'), ('stats.heat', 'number')) t(path, kind)")
+def schema_paths(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(p, f["type"]) for p, f in R.schema_paths(SCHEMA)], "path string, kind string")
+
+
+@query("SELECT * FROM (VALUES ('fine', ''), ('unknown', 'unknown field mana.max'), ('two', 'more than one connective'), ('deep', 'unknown field gold; AND holds no tree'), ('none', 'empty')) t(rule, errors)")
+def dq_expr_refs(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with rules before they run."""
+    leaf = {"field": "k", "op": ">", "value": 1}
+    rules = {"fine": leaf | {"AND": {"field": "stats.hp", "op": "<", "ref": "k"}}, "unknown": {"field": "mana.max", "op": ">", "value": 1}, "two": leaf | {"AND": leaf, "OR": leaf}, "deep": {"NOT": {"field": "gold", "op": ">", "value": 0, "AND": [leaf]}}, "none": None}
+    return spark.createDataFrame([(name, "; ".join(R.tree_errors(t, set(SCHEMA)))) for name, t in rules.items()], "rule string, errors string")
+
+
+@query(STATE + " SELECT event_id, k, 'drop' AS item FROM s WHERE user_id % 2 = 0 AND (k > 95 OR (k <= 95 AND event_type = 'signup' AND false)) UNION ALL SELECT event_id, k, 'gift' FROM s WHERE user_id % 2 = 0 AND k <= 95 AND event_type = 'signup'")
+def trigger_first_match(spark: SparkSession, d: str) -> DataFrame:
+    """The first trigger that holds, for users who play alone; only the fields that a player may see."""
+    triggers = [("drop", {"field": "k", "op": ">", "value": 95}), ("broken", {"AND": leaf_of("k"), "OR": leaf_of("k")}), ("gift", {"field": "kind", "op": "==", "value": "signup"})]
+    alone = c("user_id") % 2 == 0
+    rows = states(spark, d).withColumn("item", R.first_match(triggers, c("state"), pending=~alone))
+    return rows.filter("item is not null").select("event_id", R.number(R.get(c("state"), "k")).alias("k"), "item")
+
+
+def leaf_of(field: str) -> dict:
+    return {"field": field, "op": ">", "value": 0}
+
+
+@query(STATE + " SELECT event_id FROM s WHERE event_type = 'click' OR (event_type = 'view' AND k < 20)")
+def filter_when_active(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of clicks have no rule and stay; those of views stay while k < 20; others' rule reads a field that isn't there."""
+    rules = {"click": None, "view": {"field": "k", "op": "<", "value": 20}}
+    missing = {"field": "quest.done", "op": "==", "value": True}
+    keeps = lambda t: F.lit(True) if t is None else R.compile_rule(t, c("state"))
+    ladder = F.when(F.lit(False), False)
+    for kind, tree in rules.items():
+        ladder = ladder.when(c("event_type") == kind, keeps(tree))
+    return states(spark, d).filter(ladder.otherwise(keeps(missing))).select("event_id")
 
 
 @query(STATE + " SELECT event_id, (k + 5)::BIGINT::VARCHAR AS raised, CASE WHEN k + 5 > 80 THEN 'above_max' WHEN event_type = 'error' THEN 'frozen' END AS error FROM s")
@@ -72,11 +161,19 @@ def invariant_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN value <= 20 THEN 'fail' WHEN value BETWEEN 20 AND 80 THEN 'partial' WHEN value >= 80 THEN 'success' END AS tier FROM events")
 def tier_range_join(spark: SparkSession, d: str) -> DataFrame:
-    """A score in an inclusive range of a table of tiers; the first that fits counts."""
-    tiers = [(0, None, 20.0, "fail"), (1, 20.0, 80.0, "partial"), (2, 80.0, None, "success")]
-    table = F.broadcast(spark.createDataFrame(tiers, "at int, low double, high double, tier string"))
-    fits = F.coalesce(c("value") >= c("low"), F.lit(True)) & F.coalesce(c("value") <= c("high"), F.lit(True))
-    return read(spark, d, "events").join(table, fits, "left").groupBy("event_id").agg(F.min_by("tier", "at").alias("tier"))
+    """A score in an inclusive range of a short list of tiers; the first that fits counts."""
+    tiers = [(None, 20.0, "fail"), (20.0, 80.0, "partial"), (80.0, None, "success")]
+    fits = [(F.lit(True) if low is None else c("value") >= low) & (F.lit(True) if high is None else c("value") <= high) for low, high, _ in tiers]
+    return read(spark, d, "events").select("event_id", F.coalesce(*(F.when(fit, t[2]) for fit, t in zip(fits, tiers, strict=True))).alias("tier"))
+
+
+@query("""WITH t AS (SELECT event_type AS tier, min(value) AS low, max(value) AS high FROM events GROUP BY 1), o AS (SELECT *, max(high) OVER (ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM t)
+SELECT tier, coalesce(low <= top, false) AS overlaps FROM o""")
+def range_overlap_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of tiers, ends included, that meet one that begins before them."""
+    tiers = read(spark, d, "events").groupBy(c("event_type").alias("tier")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    before = Window.orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)  # one row a tier
+    return tiers.select("tier", F.coalesce(c("low") <= F.max("high").over(before), F.lit(False)).alias("overlaps"))
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'not_active' WHEN user_id % 10 = 0 THEN 'not_member' WHEN user_id % 3 <> event_id % 3 THEN 'not_your_turn' END AS rejection FROM events""")

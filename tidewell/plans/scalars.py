@@ -62,10 +62,21 @@ def fn_query_terms(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.size(T.query_terms(F.coalesce("text", F.lit("")))).cast("long").alias("n_terms"))
 
 
-@query("SELECT item_id, regexp_matches(text, '(?i)\\b(how many|how much|number of|count|total)\\b') AS counts, regexp_matches(text, '(?i)\\b(how long|how many (days|weeks|months|years)|days between|time between)\\b') AS lasts, CASE WHEN regexp_matches(text, '(?i)\\b(how many|how much|number of|count|total)\\b') THEN 40 ELSE 20 END AS k FROM benchmark")
+QUESTIONS = [
+    "How many books do I own?", "How often do I run?", "How long did the trip take?", "How many days passed since May?", "Which cat is mine?", "List all my plants",
+    "What is the average of it?", "Every Monday then?", "How much time did I spend?", "How many trips ago was it?", "Between May and June, how many weeks were dry until it rained for days?", "The sum, please", "Was it two weeks ago?",
+]
+ASKED = "SELECT item_id, (" + repr(QUESTIONS) + ")[item_id % " + str(len(QUESTIONS)) + " + 1] AS q FROM benchmark"
+
+
+@query(f"""WITH q AS ({ASKED}) SELECT item_id, regexp_matches(q, '{T.COUNT_QUESTION}') AS counts, regexp_matches(q, '{T.DURATION_QUESTION}') AS lasts,
+CASE WHEN item_id % 5 = 0 THEN 7 WHEN regexp_matches(q, '{T.COUNT_QUESTION}') THEN 40 ELSE 20 END AS k FROM q""")
 def fn_detect_count(spark: SparkSession, d: str) -> DataFrame:
-    counts = c("text").rlike(T.COUNT_QUESTION)
-    return read(spark, d, "benchmark").select("item_id", counts.alias("counts"), c("text").rlike(T.DURATION_QUESTION).alias("lasts"), F.when(counts, 40).otherwise(20).alias("k"))
+    """Questions for a count or a duration; k is 40 for the former and 20 for others, unless the caller gives it."""
+    q = F.element_at(F.array(*map(F.lit, QUESTIONS)), (c("item_id") % len(QUESTIONS) + 1).cast("int"))
+    rows = read(spark, d, "benchmark").select("item_id", q.alias("q"), F.when(c("item_id") % 5 == 0, 7).alias("given"))
+    counts = c("q").rlike(T.COUNT_QUESTION)
+    return rows.select("item_id", counts.alias("counts"), c("q").rlike(T.DURATION_QUESTION).alias("lasts"), F.coalesce("given", F.when(counts, 40).otherwise(20)).alias("k"))
 
 
 @query("SELECT p_partkey, replace(lower(p_name), ' ', '_') AS slug FROM part")

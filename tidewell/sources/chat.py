@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,12 @@ def turn_records(turns: DataFrame) -> DataFrame:
     )
 
 
+def turn_batches(turns: DataFrame) -> DataFrame:
+    """One batch of one record for each turn of a user or an assistant that says something."""
+    records = turn_records(turns.filter(F.col("role").isin("user", "assistant") & (F.trim("text") != "")))
+    return records.select("conv_id", "turn", F.col("record_id").alias("ingestion_id"), F.array(F.struct("record_id", "role", "occurred_at", "content")).alias("records"))
+
+
 def exploded_sessions(sessions: DataFrame) -> DataFrame:
     """sessions(conv_id, turns array<struct<turn, role, text>>) -> one row a turn with text."""
     return sessions.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.turn", "t.role", "t.text").filter("text <> ''")
@@ -44,14 +50,18 @@ def benchmark_sessions(payloads: DataFrame) -> DataFrame:
 
 
 def parsed_batches(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(records, rejected with reason) of JSON records, one a line."""
-    rows = lines.select(F.col(column).alias("raw"), F.from_json(column, RECORD).alias("r"))
+    """(records, rejected with reason) of JSON records, one a line; a repeated id rejects all that have it."""
+    once = F.count("*").over(Window.partitionBy("r.record_id")) == 1
+    rows = lines.select(F.col(column).alias("raw"), F.from_json(column, RECORD).alias("r"), F.json_object_keys(column).alias("keys"))
     blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
+    known = F.array(*map(F.lit, RECORD.names))
     reason = (
         F.when(F.col("r").isNull() | blank(F.col("r.record_id")), "no_record_id")
         .when(blank(F.col("r.content")), "no_content")
         .when(F.col("r.content_type") != "text/plain", "content_type")
         .when(~F.coalesce(F.col("r.occurred_at").rlike(OFFSET_TIME), F.lit(False)), "occurred_at")
+        .when(F.size(F.array_except("keys", known)) > 0, "unknown_key")
+        .when(~once, "repeated_id")
     )
     rows = rows.withColumn("reason", reason)
     return rows.filter("reason is null").select("r.*"), rows.filter("reason is not null").select("raw", "reason")
