@@ -7,13 +7,13 @@ checked on their full bytes; different texts under one digest are told apart.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
-import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ascii_lower, prefix, same, shared_dir, small, table, text_batches, written
+from tidewell.llm.common import ascii_lower, prefix, same, shared_dir, small, table, written
 
 #: State on disk, uploaded as a log of changes; without preallocated files, as each of many partitions has a store.
 STATE = {
@@ -25,31 +25,34 @@ STATE = {
 BROADCAST_ROWS = 1_000_000
 
 
-def _digests(batches):
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        hexes = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass").lower()).hexdigest() for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(hexes, pa.string()), b.column("file")], ["id", "text_sha256", "file"])
+def located(docs: DataFrame) -> DataFrame:
+    """docs with locator: file and number of the row in it; null where docs isn't read from Parquet files as it is."""
+    try:
+        return docs.select("*", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("locator"))
+    except AnalysisException:
+        return docs.withColumn("locator", F.lit(None).cast("string"))
 
 
-def _feed(docs: DataFrame, id_col: str, text_col: str, digest_hex: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.input_file_name().alias("file"))
-    rows = text_batches(rows, _digests, f"id {kind}, text_sha256 string, file string").withColumn("row", F.monotonically_increasing_id())
-    return rows.select(
-        "id", "row", "text_sha256",
-        F.unhex(F.substring("text_sha256", 1, digest_hex)).alias("digest"),
-        F.concat_ws("#", F.coalesce("file", F.lit("")), F.col("row").cast("string")).alias("locator"),
-    )
+def content_at(docs: DataFrame, locators: DataFrame) -> DataFrame:
+    """The rows of the table docs at locators(locator), with their locator."""
+    return located(docs).join(locators.select("locator").distinct(), "locator", "left_semi")
+
 
+def _feed(docs: DataFrame, id_col: str, text_col: str, digest_hex: int, tag: str) -> DataFrame:
+    """(id, row, text_sha256, digest, locator); a row's name begins with the tag of its feed."""
+    rows = located(docs.select(id_col, text_col) if "locator" in docs.columns else docs)
+    row = F.concat(F.lit(tag), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
+    rows = rows.select(F.col(id_col).alias("id"), row.alias("row"), F.sha2(ascii_lower(F.col(text_col).cast("string")), 256).alias("text_sha256"), "locator")
+    return rows.select("id", "row", "text_sha256", F.unhex(F.substring("text_sha256", 1, digest_hex)).alias("digest"), "locator")
 
-def dedup_index(feed: DataFrame, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Runs the stream over the feed table at path; returns (digest, copies, keeper struct<id, row, locator>)."""
-    spark, states = feed.sparkSession, shared_dir(feed.sparkSession)
+
+def dedup_index(feed: DataFrame, state: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Runs the stream over the feed table in state, on what it holds from former feeds; returns (digest, copies, keeper struct<id, row, locator>)."""
+    spark, states = feed.sparkSession, state
     reader = spark.readStream.schema(feed.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    state = reader.parquet(path).groupBy("digest").agg(F.count("*").alias("copies"), F.max(F.struct("id", "row", "locator")).alias("keeper"))
+    state = reader.parquet(f"{states}/feed").groupBy("digest").agg(F.count("*").alias("copies"), F.max(F.struct("id", "row", "locator")).alias("keeper"))
 
     def emit(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{states}/changed/batch={batch}")  # a replayed batch writes the same again
@@ -71,17 +74,24 @@ def dedup_index(feed: DataFrame, path: str, files_per_trigger: int | None = None
     return last.select("digest", "s.copies", "s.keeper")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest_hex: int = 64, files_per_trigger: int | None = None) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest_hex: int = 64, files_per_trigger: int | None = None, state: str | None = None, earlier: DataFrame | None = None
+) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, locator (of the kept content).
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id stays; a null id is smaller than any. Of repeated rows with one id exactly one stays. An empty table
     gives no rows. Extra columns of docs are ignored. digest_hex shortens the digest, for tests of the byte check.
+
+    state is a shared folder that keeps the index: a later call with it goes on from there, and its rows are compared
+    with all that were fed before, whose ids the rows that stay may have. earlier has those rows for the check of bytes.
     """
-    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    _feed(docs, id_col, text_col, digest_hex).write.parquet(path)
-    feed = spark.read.parquet(path)
-    index = written(dedup_index(feed, path, files_per_trigger))
+    spark = docs.sparkSession
+    folder, tag = state or shared_dir(spark), uuid.uuid4().hex
+    _feed(docs, id_col, text_col, digest_hex, tag).write.mode("append").parquet(f"{folder}/feed")
+    feed = spark.read.parquet(f"{folder}/feed")
+    index = written(dedup_index(feed, folder, files_per_trigger))
+    feed = feed.filter(F.startswith("row", F.lit(tag)))
     hits = index.filter("copies > 1").withColumnRenamed("digest", "hit")
     groups = feed.join(hits, feed.digest == hits.hit, "left")
     verdict = groups.select(
@@ -95,28 +105,32 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     verdict = written(verdict)
     plain = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "locator"]
-    clashes = written(_clashes(docs, verdict, id_col, text_col, digest_hex))
+    bodies = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm"), F.lit(True).alias("own"))
+    if earlier is not None:
+        bodies = bodies.unionByName(earlier.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm"), F.lit(False).alias("own")))
+    clashes = written(_clashes(bodies, verdict, digest_hex))
     if clashes.isEmpty():
         return verdict.select(*plain)
     # Different texts share a digest: their rows are grouped by the bytes themselves.
     apart = verdict.join(clashes, "digest", "left_anti").select(*plain)
-    again = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm"))
-    again = again.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("digest", F.unhex(F.substring("text_sha256", 1, digest_hex)))
+    again = bodies.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("digest", F.unhex(F.substring("text_sha256", 1, digest_hex)))
     again = written(again.join(clashes, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()))
     groups = again.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keeper"))
-    told = again.join(groups, ["digest", "norm"]).select(
+    told = again.filter("own").join(groups, ["digest", "norm"]).select(
         "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keeper.row")).alias("kept"), "text_sha256", F.lit(None).cast("string").alias("locator")
     )
     return apart.unionByName(told)
 
 
-def _clashes(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str, digest_hex: int) -> DataFrame:
+def _clashes(bodies: DataFrame, verdict: DataFrame, digest_hex: int) -> DataFrame:
     """Digests of hits under which more than one text stands; grouping by the text compares all bytes."""
-    ids = small(written(verdict.filter("hit is not null").select(F.col("doc_id").alias("hit_id")).distinct()), BROADCAST_ROWS)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(ids, same(texts.id, ids.hit_id), "left_semi").select(ascii_lower(F.col("text")).alias("norm"))
-    bodies = texts.select(F.unhex(F.substring(F.sha2("norm", 256), 1, digest_hex)).alias("digest"), "norm").groupBy("digest", "norm").agg(F.count("*").alias("n"))
-    return bodies.groupBy("digest").agg(F.count("*").alias("bodies")).filter("bodies > 1").select("digest")
+    hits = verdict.filter("hit is not null")
+    ids = small(written(hits.select(F.col("doc_id").alias("hit_id")).distinct()), BROADCAST_ROWS)
+    texts = bodies.filter("own").join(ids, same(bodies.doc_id, ids.hit_id), "left_semi").select("norm")
+    shortened = F.unhex(F.substring(F.sha2("norm", 256), 1, digest_hex)).alias("digest")
+    old = bodies.filter("not own").select(shortened, "norm").join(hits.select("digest").distinct(), "digest", "left_semi")
+    groups = texts.select(shortened, "norm").unionByName(old).groupBy("digest", "norm").agg(F.count("*").alias("n"))
+    return groups.groupBy("digest").agg(F.count("*").alias("bodies")).filter("bodies > 1").select("digest")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
