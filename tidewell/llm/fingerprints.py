@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidewell.llm.common import partitions, table, text_batches, written
 
@@ -227,14 +229,25 @@ def bin_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return counts
 
 
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts lie below the key, by looking at about twice the root of their number."""
+    step = max(1, math.isqrt(len(cuts)))
+    heads = F.size(F.filter(F.lit(cuts[::step] or [0]), lambda c: c < key)) if cuts else F.lit(0)
+    runs = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    within = F.size(F.filter(F.get(F.lit(runs), F.greatest(heads - 1, F.lit(0))), lambda c: c < key)) if cuts else F.lit(0)
+    return F.when(heads > 0, (heads - 1) * step + within).otherwise(0)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each row's text and of its edited text, with their likeness, and that to the next row's.
 
     Rows follow each other by id, nulls first, ties by text; after the last comes the first. Null counts as empty.
     Of equal texts, fingerprints are equal; two empty ones are alike (1), an empty and another are not (0).
-    The rows are dealt by ranges of ids, and the first of each range also goes to the range before.
+    The rows are dealt by ranges of ids, and the first of each range also goes to the range before. Ids are whole numbers.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be a whole number, as the order of texts is that of their ids")
     rank = rarity(bin_counts(docs, text_col))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -244,8 +257,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0]
     if cuts is None:
         return spark.createDataFrame([], SCHEMA.format(kind=docs.schema[id_col].dataType.simpleString()))
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("k")))
+    part = range_of(F.col("k"), sorted(set(cuts)))
     firsts = [(r["part"], r["k"]) for r in ids.groupBy(part.alias("part")).agg(F.min("k").alias("k")).orderBy("part").collect()]  # one for each range
     before = [(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]  # the first also goes to the last range
     edges = F.broadcast(spark.createDataFrame(before, "edge long, previous int"))
