@@ -1,8 +1,11 @@
 """HTML extraction by minimum cut: blocks of text are content or boilerplate, whichever labelling costs least.
 
-A page is cut into blocks at block-level tags. A linear classifier over a block's tags, links and words gives the cost
-of each label, the capacities of its edges to the two terminals; edges between blocks next to each other, and between
-blocks of one container, charge for labels that differ. The minimum cut labels all blocks of a page at once.
+A page is cut into blocks at block-level tags. A linear classifier over a block's words, links and punctuation gives the
+cost of each label, the capacities of its edges to the two terminals. Elements that tell something by their tag or names
+are nodes too: an article, a menu, a sidebar. Edges between a block and its nearest such element, between that and the
+next one out, between blocks next to each other, and between blocks of one container charge for labels that differ. The
+minimum cut labels blocks and elements of a page at once, so that a short line stays with the article that holds it, and
+a long one goes with its sidebar.
 """
 
 from __future__ import annotations
@@ -29,27 +32,25 @@ CONTENT = {"article", "main"}
 #: Opening one of the keys ends an open one of the values, up to a tag of SCOPE.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "menu"}
-#: Words of a class, id or role that tell boilerplate. A name of such words alone decides; beside other words ("post-share")
-#: they are a mark on the blocks of the nearest container, unless ABOUT says that they are of something within. HINTS are weaker.
+#: Words of a class, id or role that tell boilerplate. A name of such words alone tells it of the element; beside other words
+#: ("post-share") they tell less, and nothing where ABOUT says that they are of something within. HINTS are weaker.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead "
     "comment comments disqus cookie cookies consent notice notices newsletter subscribe popup modal form share sharing social widget complementary contentinfo search".split()
 )
 HINTS = set("related recommended widget widgets toolbar login tags meta byline pagination pager copyright legal disclaimer alert reply replies respond header top bottom side links".split()) - MARKS
 ABOUT = {"has", "with", "no", "without"}
-#: Tags that a mark on an outer one doesn't reach into.
-HOLDERS = {"div", "section", "article", "main", "td", "body"}
 GOOD = set("article content main post entry story body text prose".split())
 
 # Weights of the classifier, in units of the cut: for content above zero, for boilerplate below.
-BIAS, PARAGRAPH, HEADING, IN_CONTENT, PER_WORD, MOST_WORDS, LINKED, LIST, STOPS, HINTED, NAMED_GOOD = -3, 4, 3, 12, 0.15, 8, -16, -3, 2, -10, 4
-#: A mark; its share on short blocks in an article, and on long paragraphs with few links. LONG counts words.
-MARKED, MARKED_IN_CONTENT, MARKED_LONG, LONG, FEW_LINKS = -32, 0.75, 0.2, 20, 0.2
-#: A name of marks alone or a boilerplate tag outweighs all else.
-CERTAIN = 10_000
+BIAS, PARAGRAPH, HEADING, PER_WORD, MOST_WORDS, LINKED, LIST, STOPS = -5, 3, 3, 0.3, 12, -16, -2, 2
+#: Costs of elements: articles; menus and the like, and names of marks alone; names with a mark beside other words; hints; good names.
+ARTICLE, CERTAIN, MARKED, HINTED, NAMED_GOOD = 200, -60, -14, -6, 4
+#: Charges between an element and its blocks, by what its cost is; and between an element of marks or hints and the next one out.
+HOLDS_CONTENT, HOLDS_CERTAIN, HOLDS_OTHER, WITHIN = 10, 24, 6, 6
 #: Charges for labels that differ: neighbours on the page, less for each step between them in the tree; the next block of one container.
-NEXT, STEP, SIBLING = 6, 1, 3
-#: Open tags, from the innermost, that a block's place in the tree is told by: more steps than that cost nothing.
+NEXT, STEP, SIBLING = 4, 1, 2
+#: Open block-level tags, from the innermost, that a block's place in the tree is told by: more steps than that cost nothing.
 NEAR = 24
 UNIT = 4  # capacities are whole numbers of quarters
 
@@ -61,7 +62,7 @@ _ALONE = {"head", "object"}  # their contents are tags, which are followed
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "content", "certain", "hinted", "good", "marked", "tag")
+    __slots__ = ("text", "linked", "path", "holder", "tag")
 
 
 def _names(attributes: str) -> tuple[set[str], bool, bool]:
@@ -77,14 +78,32 @@ def _names(attributes: str) -> tuple[set[str], bool, bool]:
     return words, alone, beside
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. A tag that nothing closes holds until its parent is closed, or to the end."""
+def evidence(name: str, attributes: str, in_article: bool) -> int:
+    """The cost of an element by its tag and names; 0 where they tell nothing."""
+    if name in ("html", "body"):
+        return 0
+    words, alone, beside = _names(attributes)
+    if name in CONTENT:
+        return ARTICLE
+    if alone or name in BOILERPLATE and not (name == "header" and in_article):  # an article's header has its title
+        return CERTAIN
+    if name in INLINE:
+        return 0
+    return MARKED * beside + HINTED * bool(words & HINTS) + NAMED_GOOD * bool(words & GOOD)
+
+
+def blocks(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """The blocks of a page in order, and the elements that tell something: (cost, the next one out or -1).
+
+    A tag that nothing closes holds until its parent is closed, or to the end.
+    """
     out: list[Block] = []
-    # Open tags: name, number, certain boilerplate, in content, hinted, named good, no text, linked, marked.
-    stack: list[tuple] = [("", 0, False, False, False, False, False, False, False)]
+    elements: list[tuple[int, int]] = []
+    # Open tags: name, number, no text, linked, nearest element.
+    stack: list[tuple] = [("", 0, False, False, -1)]
     parts: list[str] = []
     linked = number = 0
-    holder = stack[0]
+    holder = -1
 
     def end() -> None:
         nonlocal linked
@@ -93,10 +112,8 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             if text:
                 b = Block()
-                b.text, b.linked = text, min(1.0, linked / len(text))
-                b.path = [x[1] for x in stack[-NEAR:] if x[0] not in INLINE]
-                b.certain, b.content, b.hinted, b.good = holder[2:6]
-                b.marked = holder[8]
+                b.text, b.linked, b.holder = text, min(1.0, linked / len(text)), holder
+                b.path = [x[1] for x in stack if x[0] not in INLINE][-NEAR:]
                 b.tag = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
                 out.append(b)
         linked = 0
@@ -104,11 +121,11 @@ def blocks(page: str) -> list[Block]:
     def add(text: str) -> None:
         nonlocal linked, holder
         top = stack[-1]
-        if not top[6] and text:
+        if not top[2] and text:
             parts.append(text)
             if not text.isspace():
-                holder = top if len(parts) == 1 or top[2] else holder
-                linked += len(text) if top[7] else 0
+                holder = top[4] if len(parts) == 1 or top[4] >= 0 and elements[top[4]][0] <= CERTAIN else holder
+                linked += len(text) if top[3] else 0
 
     at = 0
     while True:
@@ -147,32 +164,28 @@ def blocks(page: str) -> list[Block]:
             close = _END[name].search(page, at)
             if name in RAW:
                 at = close.start() if close else len(page)
-        top, (names, alone, beside), number = stack[-1], _names(m[3]), number + 1
-        inside = top[3] or name in CONTENT
-        header = name == "header" and top[3] and top[0] in CONTENT  # an article's own title
-        certain = top[2] or name in BOILERPLATE and not header or alone and name not in ("html", "body", *CONTENT)
-        marked = beside and name not in ("html", "body", *CONTENT, *INLINE) or top[8] and name not in HOLDERS
-        stack.append((name, number, certain, inside, top[4] or bool(names & HINTS) and name not in ("html", "body"), top[5] or bool(names & GOOD), top[6] or name in RAW, top[7] or name == "a", marked))
+        top, number = stack[-1], number + 1
+        cost_, nearest = evidence(name, m[3], top[0] in CONTENT), top[4]
+        if cost_:
+            elements.append((cost_, nearest))
+            nearest = len(elements) - 1
+        stack.append((name, number, top[2] or name in RAW, top[3] or name == "a", nearest))
     end()
-    return out
+    return out, elements
 
 
 def cost(b: Block) -> int:
     """Above zero: what it costs to call the block boilerplate; below: to call it content."""
-    if b.certain:
-        return -CERTAIN
     words = b.text.count(" ") + 1
     s = BIAS + min(MOST_WORDS, PER_WORD * words) + LINKED * b.linked
-    s += PARAGRAPH * (b.tag in ("p", "blockquote", "pre", "")) + HEADING * (b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")) + LIST * (b.tag == "li")
-    s += IN_CONTENT * b.content + HINTED * b.hinted + NAMED_GOOD * b.good + STOPS * (b.text[-1] in ".!?…。")
-    if b.marked:
-        s += MARKED * (MARKED_LONG if words >= LONG and b.linked < FEW_LINKS else MARKED_IN_CONTENT if b.content else 1)
+    s += PARAGRAPH * (b.tag in ("p", "blockquote", "pre", "")) + HEADING * (b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")) + LIST * (b.tag == "li") + STOPS * (b.text[-1] in ".!?…。")
     return round(s * UNIT)
 
 
-def edges(found: list[Block]) -> list[tuple[int, int, int]]:
-    """(i, j, charge) between neighbours, and between a block and the next one of its container."""
-    out, last = [], {}
+def edges(found: list[Block], elements: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(i, j, charge) between neighbours, a block and the next one of its container, blocks and their elements (numbered after
+    the blocks), and elements within each other."""
+    out, last, n = [], {}, len(found)
     for i, b in enumerate(found):
         if i:
             up = {x: k for k, x in enumerate(reversed(found[i - 1].path))}
@@ -183,7 +196,10 @@ def edges(found: list[Block]) -> list[tuple[int, int, int]]:
         if holder in last and last[holder] != i - 1:
             out.append((last[holder], i, SIBLING * UNIT))
         last[holder] = i
-    return out
+        if b.holder >= 0:
+            c = elements[b.holder][0]
+            out.append((i, n + b.holder, (HOLDS_CONTENT if c >= ARTICLE else HOLDS_CERTAIN if c <= CERTAIN else HOLDS_OTHER) * UNIT))
+    return out + [(n + i, n + outer, WITHIN * UNIT) for i, (c, outer) in enumerate(elements) if outer >= 0 and CERTAIN < c < ARTICLE]
 
 
 def minimum_cut(costs: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
@@ -239,12 +255,16 @@ def minimum_cut(costs: list[int], links: list[tuple[int, int, int]]) -> list[boo
                     break
 
 
+def labelled(page: str) -> tuple[list[Block], list[int], list[bool]]:
+    """(blocks, their own costs, which of them are content)."""
+    found, elements = blocks(page)
+    costs = [cost(b) for b in found]
+    return found, costs, minimum_cut(costs + [c * UNIT for c, _ in elements], edges(found, elements))[: len(found)]
+
+
 def main_text(page: str) -> str:
     """The content blocks of a page, one a line; empty if there is none."""
-    found = blocks(page)
-    if not found:
-        return ""
-    keep = minimum_cut([cost(b) for b in found], edges(found))
+    found, _, keep = labelled(page)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
