@@ -18,8 +18,9 @@ from tidewell.llm.common import crc_mod, table, text_batches
 DICT_PIECES, DICT_CHARS = 160, 400
 #: Bytes of the pieces that a text is cut into.
 PIECE = 4096
-#: A text of SHORT bytes or fewer also counts as windows of WINDOW bytes, every STEP bytes, so that whole bytes tell enough.
-SHORT, WINDOW, STEP = 512, 40, 7
+#: A text also counts as windows of WINDOW bytes, STEP bytes apart and further where more than WINDOWS would be, so that the
+#: whole bytes of a short text tell enough.
+WINDOW, STEP, WINDOWS = 40, 7, 40
 PARAMETERS = dict(window_log=17, hash_log=15, chain_log=16, search_log=3, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_dict_id=False)
 #: Least relative distance of the second-smallest size to the smallest; below it the prediction is marked as rejected.
 MARGIN = 0.005
@@ -63,8 +64,7 @@ class Sizes:
     def __call__(self, text: str) -> np.ndarray:
         raw = normal(text).encode("utf-8", "surrogatepass")
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-        if len(raw) <= SHORT:
-            pieces += [raw[i : i + WINDOW] for i in range(0, len(raw), STEP)]
+        pieces += [raw[i : i + WINDOW] for i in range(0, len(raw), max(STEP, -(-len(raw) // WINDOWS)))]
         return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.coders])
 
 
