@@ -28,21 +28,50 @@ BASE = [
 FUZZY = [
     ("released under the mit license", "mit"),
     ("licensed under the mit license", "mit"),
+    ("permission is hereby granted free of charge", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
+    ("www apache org licenses license 2 0", "apache-2"),
     ("licensed under cc by nc", "cc-by-nc"),
     ("creative commons attribution noncommercial", "cc-by-nc"),
+    ("creative commons attribution sharealike", "cc-by-sa"),
+    ("creative commons attribution 4 0", "cc-by"),
+    ("cc0 1 0 universal", "cc0"),
     ("gnu general public license", "gpl"),
     ("gnu lesser general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
+    ("gnu free documentation license", "gfdl"),
     ("mozilla public license version", "mpl"),
+    ("eclipse public license", "epl"),
+    ("european union public licence", "eupl"),
+    ("common development and distribution license", "cddl"),
+    ("boost software license version 1 0", "bsl"),
+    ("artistic license 2 0", "artistic"),
+    ("academic free license", "afl"),
+    ("microsoft public license", "ms-pl"),
+    ("open software license", "osl"),
+    ("python software foundation license", "psf"),
+    ("sil open font license", "ofl"),
     ("redistribution and use in source and binary forms", "bsd"),
-    ("permission is hereby granted free of charge", "mit"),
+    ("bsd 3 clause license", "bsd"),
+    ("bsd 2 clause license", "bsd"),
+    ("permission to use copy modify and or distribute this software", "isc"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("dedicated to the public domain", "public-domain"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("do what the fuck you want to public license", "wtfpl"),
     ("all rights reserved", "all-rights-reserved"),
 ]
+#: Identifiers that may follow `SPDX-License-Identifier:`; their words are those of the tag, and take no edit.
+SPDX = [
+    ("mit", "mit"), ("apache 2 0", "apache-2"), ("gpl 2 0", "gpl"), ("gpl 3 0", "gpl"), ("lgpl 2 1", "lgpl"), ("lgpl 3 0", "lgpl"), ("agpl 3 0", "agpl"), ("mpl 2 0", "mpl"),
+    ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd"), ("isc", "isc"), ("unlicense", "unlicense"), ("zlib", "zlib"), ("epl 2 0", "epl"), ("bsl 1 0", "bsl"), ("cc0 1 0", "cc0"),
+    ("cc by 4 0", "cc-by"), ("cc by sa 4 0", "cc-by-sa"), ("cc by nc 4 0", "cc-by-nc"), ("ofl 1 1", "ofl"), ("artistic 2 0", "artistic"), ("wtfpl", "wtfpl"),
+]
+_TAG = "spdx license identifier "
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 12
 #: All that is searched with bounded errors: a shorter phrase of BASE has no edit to spare.
-SEARCHED = tuple(FUZZY + [n for n in BASE if len(n[0]) >= CHARS_PER_EDIT])
+SEARCHED = tuple(FUZZY + [n for n in BASE if len(n[0]) >= CHARS_PER_EDIT] + [(_TAG + i, label) for i, label in SPDX])
 
 _SPACED = bytes(
     b + 32 if 0x41 <= b <= 0x5A else 32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)
@@ -69,6 +98,8 @@ def _machine(notices: tuple[tuple[str, str], ...]):
             at = end
         name = notice.rstrip("0123456789 ")
         name = notice[: len(name) + 1]  # a version after it is another license if it differs, so it takes no edit
+        if notice.startswith(_TAG):
+            name = _TAG
         rules.append((regex.compile(rf"(?b)(?<=\s)(?:{regex.escape(name)}){{e<={edits}}}{regex.escape(notice[len(name) :])}(?=\s)"), edits, len(notice), label))
     seeds.make_automaton()
     return seeds, rules
@@ -93,17 +124,27 @@ def fuzzy_spans(words: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[
     return sorted(set(found))
 
 
+def word_places(raw: bytes, starts: list[int]) -> list[int]:
+    """The word, from 0, that begins after the space at each of the starts, in one pass."""
+    out, at, n = {}, 0, 0
+    for start in sorted(set(starts)):
+        n += raw.count(b" ", at, start)
+        at, out[start] = start, n
+    return [out[s] for s in starts]
+
+
 def scan(text: str) -> dict:
     raw = words_of(text)
     n_words = raw.count(b" ") - 1
-    places, base = [], set()
+    starts, base = [], set()
     for phrase, label in BASE:
         wanted = f" {phrase} ".encode()
         at = raw.find(wanted)
         while at >= 0:
-            places.append(raw.count(b" ", 0, at))
+            starts.append(at)
             base.add(label)
             at = raw.find(wanted, at + 1)
+    places = word_places(raw, starts)
     spans = fuzzy_spans(raw.decode("utf-8", "surrogatepass"), SEARCHED)
     labels = base | {s[2] for s in spans}
     best = 1.0 if base else max((1 - s[3] / max(1, s[1] - s[0]) for s in spans), default=0.0)
@@ -138,4 +179,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scan(table(spark, sf_dir, "documents"))
