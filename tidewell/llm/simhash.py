@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.common import partitions, prefix, same, small, table, text_batches, written
 from tidewell.llm.components import components
@@ -137,11 +138,11 @@ def _links(batches):
         yield out(held)
 
 
-def link_prints(prints: DataFrame) -> DataFrame:
+def link_prints(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """prints(fp), distinct -> links (a, b) that connect all fingerprints which differ in MAX_BITS or fewer."""
     rows = prints.select("fp").mapInArrow(_cells, "cell long, fp long, probe boolean")
     homes = rows.filter("not probe").groupBy("cell").agg(F.count("*").alias("homes"))
-    hot = written(homes.filter(F.col("homes") > CELL_ROWS).select(F.col("cell").alias("hot"), F.ceil(F.col("homes") / CELL_ROWS).cast("int").alias("parts")))
+    hot = written(homes.filter(F.col("homes") > cell_rows).select(F.col("cell").alias("hot"), F.ceil(F.col("homes") / cell_rows).cast("int").alias("parts")))
     n = partitions(prints.sparkSession)
     if not hot.isEmpty():
         return _links_of_hot(rows, small(hot, 1_000_000), n)
@@ -158,29 +159,61 @@ def _links_of_hot(rows: DataFrame, hot: DataFrame, n: int) -> DataFrame:
     return mine.unionByName(met).repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_links, "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, text_col: str, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, fp; prints: fp, first_id, root): the smallest id of each fingerprint, and its component by a fingerprint of it."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = written(text_batches(rows, _fingerprints, f"doc_id {kind}, fp long"))
+    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(link_prints(prints, cell_rows))
+    return rows, prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
 
     Null and empty texts have fingerprint zero and are linked like any other. Null ids count as larger than all
     others; a component of null ids only has a null component_id. Repeated rows are one node. No rows: none.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(text_batches(rows, _fingerprints, f"doc_id {kind}, fp long"))
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(link_prints(prints))
-    placed = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rows, placed = _placed(docs, id_col, text_col, cell_rows)
     lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = placed.join(lowest, "root").select(F.col("fp").alias("p"), "component_id")
     return rows.join(placed, rows.fp == placed.p).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _with_prints(text_col: str, name: str):
+    def run(batches):
+        for b in batches:
+            prints = b"".join([fingerprint((t or "").encode("utf-8", "surrogatepass")) for t in b.column(text_col).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.frombuffer(prints, ">i8").astype(np.int64))], [*b.schema.names, name])
+
+    return run
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their component; rows that share its id stay with it."""
+    """One row of docs for each component: the one with the smallest id, null ids last; of several texts under that id, the
+    one with the smallest fingerprint; of rows repeated under both, any one.
+
+    Ids may be null or repeated, with equal or different texts: only rows under such ids are fingerprinted a second time.
+    """
     p = prefix(docs)
-    groups = simhash_groups(docs, id_col, text_col)
-    gone = small(written(groups.filter(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias(f"{p}id")).distinct()), 1_000_000)
-    return docs.join(gone, same(docs[id_col], gone[f"{p}id"]), "left_anti")
+    rows, placed = _placed(docs, id_col, text_col, CELL_ROWS)
+    best = F.min_by(F.struct("first_id", "fp"), F.struct(F.col("first_id").isNull(), "first_id", "fp"))
+    first = written(placed.groupBy("root").agg(best.alias("k")).select(F.col("k.first_id").alias(f"{p}id"), F.col("k.fp").alias(f"{p}fp")))
+    pairs = rows.groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    pairs = pairs.join(first, same(F.col("doc_id"), F.col(f"{p}id")) & (F.col("fp") == F.col(f"{p}fp")), "left")
+    stays = F.col(f"{p}fp").isNotNull()
+    ids = pairs.groupBy("doc_id").agg(F.bool_or(stays).alias("some"), F.bool_and(stays & (F.col("n") == 1)).alias("whole"))
+    ids = written(ids.filter("not whole").select(F.col("doc_id").alias(f"{p}id"), F.col("some").alias(f"{p}some")))
+    kept = docs.join(small(ids, 1_000_000), same(docs[id_col], ids[f"{p}id"]), "left_anti")
+    mixed = ids.filter(f"{p}some").select(f"{p}id")
+    if mixed.isEmpty():
+        return kept
+    again = docs.join(mixed, same(docs[id_col], mixed[f"{p}id"]), "left_semi").withColumn(f"{p}text", F.col(text_col).cast("string"))
+    schema = T.StructType([*again.schema.fields, T.StructField(f"{p}print", T.LongType())])
+    again = text_batches(again, _with_prints(f"{p}text", f"{p}print"), schema)
+    again = again.join(first, same(again[id_col], first[f"{p}id"]) & (again[f"{p}print"] == first[f"{p}fp"]), "left_semi")
+    return kept.unionByName(again.dropDuplicates([id_col, f"{p}print"]).select(*docs.columns))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
