@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import crc_mod, prefix, table, text_batches, written
 
 FEATURES, SEED, RIDGE = 256, 7, 1e-3
+#: Groups in which the sums of tasks are added first.
+SUMS = 64
 #: Width of the kernel, in standard deviations for each root of the number of statistics.
 WIDTH = 0.7
 #: Steps of the raw score that calibration pools.
@@ -121,7 +123,7 @@ def _equations(model: Model):
 
 def _add_rows(rows: pa.Table) -> pa.Table:
     total = rows["row"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES + 2).sum(axis=0)
-    return pa.table({"i": rows["i"][:1], "row": [total.tolist()]})
+    return pa.table({"i": rows["i"][:1], "row": [total.tolist()], "part": rows["part"][:1]})
 
 
 def _raw(model: Model):
@@ -140,7 +142,10 @@ def fit(rows: DataFrame) -> Model | None:
         return None
     one = sorted(one, key=lambda r: r["k"])
     model = Model(np.array([r["m"] for r in one]), np.array([r["s"] for r in one]))
-    parts = rows.mapInArrow(_equations(model), "i long, row array<double>").groupBy("i").applyInArrow(_add_rows, "i long, row array<double>").collect()
+    parts = rows.mapInArrow(_equations(model), "i long, row array<double>").withColumn("part", F.spark_partition_id() % SUMS)
+    for keys in (["i", "part"], ["i"]):  # in two levels, as every task of the scan adds a row to each sum
+        parts = parts.groupBy(*keys).applyInArrow(_add_rows, "i long, row array<double>, part int")
+    parts = parts.collect()
     total = np.array([r["row"] for r in sorted(parts, key=lambda r: r["i"])])
     gram, right = total[:, :-1], total[:, -1]
     model.weights = np.linalg.solve(gram + RIDGE * max(1.0, gram[-1, -1]) / FEATURES * np.eye(len(gram)), right)
