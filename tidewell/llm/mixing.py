@@ -101,7 +101,12 @@ def _block_at(place: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target (of its source), taken (words that the mix takes, repeats counted) of each row."""
+    """doc_id, size, source_size, target (of its source), taken (words that the mix takes, repeats counted) of each row.
+
+    The mix plays blocks of equal size: at least BLOCK_WORDS words, at most as many that a source has SOURCE_BLOCKS of
+    them, and between those a BLOCKS-th of all words, so blocks grow with the corpus and their number doesn't. Null texts
+    have size 0 and nothing taken; a null source is one of its own; repeated rows each have their own place.
+    """
     lines, sources = laid_out(docs, id_col, text_col, source_col)
     uses = schedule(sources).groupBy("k", "block").agg(F.count("*").alias("uses")).withColumnsRenamed({"k": "uk", "block": "ub"})
     kept = ["doc_id", "size", "source_size", "target"]
