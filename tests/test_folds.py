@@ -45,3 +45,16 @@ def test_contract(spark):
     records, rejected = parsed_batches(spark.createDataFrame([(x,) for x in [good, *bad]], "value string"))
     assert records.count() == 1
     assert sorted(r.reason for r in rejected.collect()) == ["content_type", "no_content", "no_record_id", "no_record_id", "occurred_at"]
+
+
+def test_stream_drops_replays_across_batches(spark, tmp_path):
+    records = [("a", 1), ("b", 2), ("a", 3), ("c", 4), ("b", 70), ("z", 100_000), ("a", 100_050)]
+    for part in (records[:3], records[2:5], records[5:6], records[6:]):
+        rows = spark.createDataFrame(part, "id string, at long").select("id", F.timestamp_seconds("at").alias("ts")).coalesce(1)
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        out = folds.stream_deduplicated(source, ["id"], "ts", "1 hour")
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    found = sorted((r.id, int(r.at)) for r in spark.read.parquet(str(tmp_path / "out")).select("id", F.unix_timestamp("ts").alias("at")).collect())
+    assert found == [("a", 1), ("a", 100_050), ("b", 2), ("c", 4), ("z", 100_000)]

@@ -207,7 +207,7 @@ def last_n_turns(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT turn, min(conv_id) AS conv_id FROM conversations GROUP BY 1")
 def dedupe_turns(spark: SparkSession, d: str) -> DataFrame:
     """Groups in order, and of each turn number the first group's row."""
-    return L.latest(read(spark, d, "conversations"), ["turn"], [F.asc("conv_id")]).select("turn", "conv_id")
+    return read(spark, d, "conversations").groupBy("turn").agg(F.min("conv_id").alias("conv_id"))
 
 
 @query("SELECT 'conv:' || conv_id || ':turn:' || turn AS record_id, conv_id, turn, role, make_timestamp(turn * 1000000) AS occurred_at FROM conversations")

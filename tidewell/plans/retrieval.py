@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import vectors as V
 from tidewell.operators import retrieval as R
+from tidewell.plans.facts import FACTS
 from tidewell.plans.registry import query, read
 
 c = F.col
@@ -99,13 +100,13 @@ def _ranked(rows: DataFrame, channel: str) -> DataFrame:
     return rows.join(some, c("rid") == c("id"), "left").drop("rid")
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
+def _fused(spark: SparkSession, d: str, seeds: DataFrame | None = None) -> DataFrame:
     """The candidates of both seeds, fused over four channels, each text once; an entity's boost falls with its candidates."""
     from pyspark.sql import Window
 
     from tidewell.functions import text as T
 
-    seeds = _seeds(spark, d)
+    seeds = _seeds(spark, d) if seeds is None else seeds
     ids = [r["id"] for r in seeds.select("id").collect()]  # 2 K at most
     docs = read(spark, d, "documents").filter(c("doc_id").isin(ids)).select(c("doc_id").alias("k"), "source", F.coalesce("text", F.lit("")).alias("text"))
     st = _paths(spark, d).select(c("l_orderkey").alias("f"), F.round(R.structural(c("hops"), c("paths")), 6).alias("structural"))
@@ -290,3 +291,33 @@ def reader_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "events").withColumn("n", F.row_number().over(best)).filter("n <= 5")
     rows = rows.select("user_id", "n", F.when(k % 11 != 0, c("ts")).alias("observed"), F.when(k % 3 != 0, c("event_type")).alias("speaker"), F.concat(F.lit("fact "), k).alias("text"))
     return R.reader_context(rows, "user_id", top=3, today=F.when(c("user_id") % 2 == 0, "2024-02-01")).select("user_id", "context")
+
+
+NOW = 1_705_312_800  # the time of the question
+PRUNED = FUSED.replace("FROM seed LEFT JOIN st", "FROM kept AS seed LEFT JOIN st").replace(
+    ", st AS (SELECT",
+    f""", {FACTS}, kept AS (SELECT seed.* FROM seed LEFT JOIN facts ON fact_id = id WHERE fact_id IS NULL OR (NOT archived AND coalesce(valid_from <= {NOW}, true) AND coalesce(valid_to >= {NOW}, true)
+AND observed_at < (floor({NOW} / 86400) + 1) * 86400 AND coalesce(superseded_at >= {NOW}, true))), st AS (SELECT""",
+    1,
+)
+
+
+@query(PRUNED + """, best AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fused), top AS (SELECT * FROM best WHERE rank = 1)
+SELECT best.id, best.rank FROM best, top WHERE best.rank <= 20 AND NOT (top.semantic_score < 0.3 AND top.keyword_score < 0.3 AND top.structural = 0)""")
+def retrieve_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way: both seeds, what stands at the question's time (or can't be read), four channels fused, each text
+    once, the best twenty; nothing where even the first is weak."""
+    from tidewell.operators.temporal import visible
+    from tidewell.plans.facts import facts
+
+    now = F.lit(NOW)
+    seen = facts(spark, d).select("fact_id", visible(now, now, now).alias("stands"))
+    seeds = _seeds(spark, d).join(seen, c("fact_id") == c("id"), "left").filter(F.coalesce("stands", F.lit(True))).drop("fact_id", "stands")
+    best = R.top_k(_fused(spark, d, seeds), [F.desc("score"), c("id")], 20, "rank")
+    weak = best.filter("rank = 1 and semantic_score < 0.3 and keyword_score < 0.3 and structural = 0").select(c("rank").alias("weak"))
+    return _unless(best, weak)
+
+
+def _unless(best: DataFrame, weak: DataFrame) -> DataFrame:
+    """The rows of best, or none if weak has a row."""
+    return best.withColumn("_one", F.lit(1)).join(F.broadcast(weak.select(F.lit(1).alias("_one"))), "_one", "left_anti").select("id", "rank")

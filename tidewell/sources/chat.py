@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +50,7 @@ def benchmark_sessions(payloads: DataFrame) -> DataFrame:
 
 
 def parsed_batches(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(records, rejected with reason) of JSON records, one a line; a repeated id rejects all that have it."""
-    once = F.count("*").over(Window.partitionBy("r.record_id")) == 1
+    """(records, rejected with reason) of JSON records, one a line; an id that several sound records have rejects them all."""
     rows = lines.select(F.col(column).alias("raw"), F.from_json(column, RECORD).alias("r"), F.json_object_keys(column).alias("keys"))
     blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
     known = F.array(*map(F.lit, RECORD.names))
@@ -61,9 +60,11 @@ def parsed_batches(lines: DataFrame, column: str = "value") -> tuple[DataFrame,
         .when(F.col("r.content_type") != "text/plain", "content_type")
         .when(~F.coalesce(F.col("r.occurred_at").rlike(OFFSET_TIME), F.lit(False)), "occurred_at")
         .when(F.size(F.array_except("keys", known)) > 0, "unknown_key")
-        .when(~once, "repeated_id")
     )
     rows = rows.withColumn("reason", reason)
+    repeated = rows.filter("reason is null").groupBy(F.col("r.record_id").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    rows = rows.join(repeated, (F.col("r.record_id") == F.col("_id")) & F.col("reason").isNull(), "left")
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("_id").isNotNull(), "repeated_id"))).drop("_id", "_n")
     return rows.filter("reason is null").select("r.*"), rows.filter("reason is not null").select("raw", "reason")
 
 
