@@ -1,4 +1,8 @@
-"""The training-corpus pipeline: each stage reads what the one before it wrote."""
+"""The training-corpus pipeline: each stage reads what the one before it wrote.
+
+Null texts count as empty; ids, languages and sources may be null; ids may repeat, with equal or different texts. An empty
+table stays empty. All stages but the last return the columns of documents, whatever others there are.
+"""
 
 from __future__ import annotations
 
@@ -13,22 +17,28 @@ from tidewell.llm.simhash import drop_near_copies
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as 1; it learns as op10_quality does."""
+    """Documents that the quality classifier predicts as 1; it learns as op10_quality does.
+
+    Rows under one id go only if each of them is rejected; without labels nothing is.
+    """
     return drop_low_quality(docs, training_labels(spark, sf_dir))
 
 
 def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id."""
+    """Of equal texts, the row with the largest id; a null id is smaller than any, and of repeated rows one stays."""
     return drop_copies(docs)
 
 
 def dedup_nearly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, the row with the smallest id."""
+    """Of each SimHash component, the row with the smallest id, null ids last; see drop_near_copies for repeated ids."""
     return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources plays them, up to three times; some sources' rest isn't played."""
+    """Documents as often as the mix of sources plays them, up to three times; some sources' rest isn't played.
+
+    Documents of no words go; a null source is one of its own; rows under one id are repeated alike.
+    """
     return mixed(docs)
 
 
