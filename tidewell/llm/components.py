@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import written
+from tidewell.llm.common import dropped, written
 
 MAX_ROUNDS = 60
 
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct())
+        last, edges = edges, written(small.filter("u <> v").distinct())
+        dropped(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.count_if(F.col("u").isNull())).first())
         if now == before:
             break

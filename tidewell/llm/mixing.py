@@ -130,7 +130,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     firsts = lines.filter("size > 0").withColumn("block", _block_at(F.col("start")))
     firsts = firsts.join(uses, (F.col("k") == F.col("uk")) & (F.col("block") == F.col("ub")))
     copies = small(written(firsts.groupBy(F.col("doc_id").alias(f"{p}id")).agg(F.max("uses").cast("int").alias(f"{p}uses"))), 1_000_000)
-    rows = docs.join(copies, same(docs[id_col], copies[f"{p}id"])).withColumn(f"{p}n", F.explode(F.sequence(F.lit(1), F.col(f"{p}uses"))))
+    filled = docs.filter(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"))
+    rows = filled.join(copies, same(filled[id_col], copies[f"{p}id"])).withColumn(f"{p}n", F.explode(F.sequence(F.lit(1), F.col(f"{p}uses"))))
     return rows.select(*(docs[c] for c in docs.columns))
 
 
