@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,12 @@ def canonical(x: Column) -> Column:
     return F.lower(F.regexp_replace(strip(x), SPACE, " "))
 
 
+@F.pandas_udf(StringType())
+def folded(surfaces: pd.Series) -> pd.Series:
+    """canonical() for any script: compatible forms made alike (NFKC), white space as one space, case folded."""
+    return surfaces.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()).casefold(), na_action="ignore")
+
+
 def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -172,3 +172,15 @@ def semantic_of_model(spark: SparkSession, d: str) -> DataFrame:
     q = F.array(*(F.lit(float(x)) for x in e.filter("vec_id = 0").first()["embedding"]))
     near = e.filter("model = 'v2'").select(c("vec_id").alias("id"), F.round(1 - V.cosine(V.doubles(c("embedding")), q), 6).alias("distance"))
     return near.orderBy("distance", "id").limit(7)
+
+
+@query("SELECT event_id, event_type AS prediction, round(value, 3) AS metric FROM events")
+def sink_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions written as JSON Lines in two parts, the second appended, and read again."""
+    import uuid
+
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    rows = read(spark, d, "events").select("event_id", c("event_type").alias("prediction"), F.round("value", 3).alias("metric"))
+    chat.write_jsonl(rows.filter("event_id % 2 = 0"), path)
+    chat.write_jsonl(rows.filter("event_id % 2 = 1"), path, append=True)
+    return chat.read_jsonl(spark, path, rows.schema)

@@ -17,6 +17,13 @@ def fn_canonicalize(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.canonical(F.concat(F.lit("  "), "p_name", F.lit(" "))).alias("canonical"))
 
 
+@query("SELECT p_partkey, 'file ' || lower(p_name) || ' 2 strasse' AS canonical FROM part")
+def fn_canonicalize_any(spark: SparkSession, d: str) -> DataFrame:
+    """A ligature, a wide digit and a sharp s become what they stand for."""
+    surface = F.concat(F.lit(" \ufb01le\t"), F.upper("p_name"), F.lit("\u3000\uff12 Stra\u00dfe "))
+    return read(spark, d, "part").select("p_partkey", T.folded(surface).alias("canonical"))
+
+
 GRAMS = "list_distinct([substr('  ' || {0} || '  ', i::BIGINT, 3) for i in range(1, length({0}) + 3)])"
 
 
