@@ -355,6 +355,8 @@ def test_bpe(docs, awkward, empty, block):
     encoded = bpe.encode(awkward, path, block=block).cache()
     decoded = {r.row: r.text for r in bpe.decode(encoded, path).collect()}
     assert decoded == {r.row: t.decode(r.ids, skip_special_tokens=False) for r in encoded.collect()}
+    digests = sorted(r.decoded_sha256 for r in bpe.encode_digests(awkward, path, block=block).collect())
+    assert digests == sorted(sha(x) for x in decoded.values())  # the digests' pieces are those of the join
     assert bpe.encode_digests(empty, path).count() == 0
 
 
@@ -527,3 +529,51 @@ def test_pipeline(spark):
     assert df.count() <= 3 * before and all(tuple(r) in good for r in df.collect())
     last = p.STAGES[-1][1](spark, df, DATA)
     assert sorted((r.doc_id, r.ids_sha256) for r in last.collect()) == sorted((r.doc_id, r.ids_sha256) for r in p.run(spark, DATA).collect())
+
+
+def test_pipeline_stages_by_force(spark, awkward):
+    """Each stage on null and repeated ids, equal and different texts under one id, and a clashing column."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = awkward.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    twice = docs.limit(30).unionByName(odd).unionByName(docs.limit(5)).unionByName(docs.limit(5).withColumn("text", F.lit("another text under an id")))
+    df = p.written(twice.select("*", F.lit(1).alias("_tw_id")))
+    rows_ = df.collect()
+    stages = dict(p.STAGES)
+    ids = lambda r: -1 if r.doc_id is None else r.doc_id
+
+    best = {}
+    for r in rows_:
+        t = (r.text or "").translate(LOWER)
+        best[t] = max(best.get(t, -2), ids(r))
+    found = stages["exact dedup"](spark, df, DATA).collect()
+    assert sorted((ids(r), (r.text or "").translate(LOWER)) for r in found) == sorted((i, t) for t, i in best.items())
+
+    prints = sorted({print_of(r.text or "") for r in rows_})
+    root = {f: f for f in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if a < b and (a ^ b).bit_count() <= 3:
+                root[find(b)] = find(a)
+    low = {}
+    for r in rows_:
+        c_ = find(print_of(r.text or ""))
+        low[c_] = min(low.get(c_, 1 << 62), 1 << 61 if r.doc_id is None else r.doc_id)
+    found = stages["SimHash near-dedup"](spark, df, DATA).collect()
+    assert sorted((find(print_of(r.text or "")), 1 << 61 if r.doc_id is None else r.doc_id) for r in found) == sorted(low.items())
+
+    good = {r.doc_id for r in quality.quality_scores(df, quality.training_labels(spark, DATA)).filter("predicted = 1").collect()}
+    found = stages["quality classifier"](spark, df, DATA).collect()
+    assert sorted(map(repr, found)) == sorted(repr(r) for r in rows_ if r.doc_id in good)
+
+    found = collections.Counter(map(repr, stages["mixing sources"](spark, df, DATA).collect()))
+    there = collections.Counter(map(repr, rows_))
+    assert found and all(0 < n <= 3 * there[r] for r, n in found.items()) and not any(r.text is None or not r.text.split() for r in rows_ if repr(r) in found)
+    assert all(f(spark, df.limit(0), DATA).count() == 0 for f in stages.values())

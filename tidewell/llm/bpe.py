@@ -1,11 +1,11 @@
 """BPE encoding and decoding by a table of distinct words.
 
 A text's tokens are those of its white-space separated words, one after another, as the tokenizer's normaliser and
-splitter never look across white space. Texts are cut into blocks; each block lists its distinct words. The distinct
-words of all blocks are encoded once each, joined by word to the blocks that asked, and their ids go back to the
-positions of the words in the block's texts. Decoding joins each block's distinct ids to their pieces, which go to the
-positions of the ids. There is one way for words of any number: nothing is collected, and what is broadcast is the
-table of pieces, as large as the vocabulary.
+splitter never look across white space. Texts are cut into blocks; each block lists its distinct words. The lists are
+dealt and sorted by word, so that all blocks' rows of a word meet; it is encoded once, and its ids go back to the
+positions of the word in the texts of each block. Decoding joins ids to pieces: decode() does for any table of ids; the
+digests look the pieces up by id, in the same pass that places the ids. There is one way for words of any number:
+nothing is collected, and what is broadcast is the table of pieces, as large as the vocabulary.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import dropped, table, text_batches, written
-from tidewell.llm.tokens import BLOCK_BYTES, lists, runs, text_blocks
+from tidewell.llm.tokens import gathered, lists, runs, squeezed, text_blocks, unsqueezed
 
-#: Words that a task puts in order of blocks at a time.
-PACKED = 400_000
+#: Bytes of the texts of a block; words that a task encodes and puts in order of blocks at a time; words whose ids are placed at a time.
+BLOCK_BYTES, PACKED, SHARE = 16_000_000, 200_000, 250_000
 
 
 def _tokenizer(path: str):
@@ -47,47 +47,37 @@ def _asked(most: int):
     return run
 
 
-def _encoder(path: str):
-    held = []  # the tokenizer of this worker
+def _encoded(path: str, most: int):
+    """Rows (block, code, word) sorted by word: each distinct word is encoded once, and its ids go to all blocks that ask for it.
 
-    @F.arrow_udf("array<int>")
-    def encode(words: pa.Array) -> pa.Array:
-        if not held:
-            held.append(_tokenizer(path))
-        found = held[0].encode_batch_fast([w.decode() for w in words.to_pylist()], add_special_tokens=False)
-        return pa.array([e.ids for e in found], pa.list_(pa.int32()))
-
-    return encode
-
-
-def word_table(asked: DataFrame, tokenizer: str) -> DataFrame:
-    """asked(word binary, ...) -> (word, ids): each distinct word, encoded once."""
-    return asked.select("word").distinct().withColumn("ids", _encoder(tokenizer)("word"))
-
-
-def _packed(batches, most: int = PACKED):
-    """Rows (block, code, ids) as one row for each block and some of its words: codes, numbers of ids, ids."""
-    held, n = [], 0
+    Gives one row for each block and some of its words: their codes, numbers of ids and ids, packed.
+    """
 
-    def out():
-        t = pa.Table.from_batches(held)
-        t = t.take(pc.sort_indices(t, [("block", "ascending"), ("code", "ascending")])).combine_chunks()
-        blocks, codes, ids = (t.column(c).combine_chunks() for c in ("block", "code", "ids"))
-        names = blocks.to_numpy()
-        cuts = np.append(np.flatnonzero(np.append(True, names[1:] != names[:-1])), len(names))
-        lengths = pc.list_value_length(ids)
-        ends = np.append(0, np.cumsum(lengths.to_numpy()))[cuts]
-        return pa.RecordBatch.from_arrays([pa.array(names[cuts[:-1]]), lists(cuts, codes), lists(cuts, lengths), lists(ends, ids.flatten())], ["block", "codes", "lengths", "ids"])
+    def run(batches):
+        tokenizer, last = _tokenizer(path), (None, pa.array([[]], pa.list_(pa.int32())))
+
+        def make(held):
+            nonlocal last
+            t = pa.Table.from_batches(held).combine_chunks()
+            d = t.column("word").combine_chunks().dictionary_encode()
+            words = d.dictionary.to_pylist()
+            fresh = words[1:] if words[0] == last[0] else words
+            found = tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+            ids = pa.array([e.ids for e in found], pa.list_(pa.int32()))
+            ids = pa.concat_arrays([last[1], ids]) if len(fresh) < len(words) else ids
+            last = words[-1], ids.slice(len(ids) - 1)
+            order = np.lexsort((t.column("code").to_numpy(), t.column("block").to_numpy()))
+            blocks, codes = (t.column(c).to_numpy()[order] for c in ("block", "code"))
+            ids = ids.take(d.indices.take(pa.array(order)))
+            cuts = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks))
+            lengths, flat = pc.list_value_length(ids).to_numpy().astype(np.int64), ids.flatten().to_numpy()
+            ends = np.append(0, np.cumsum(lengths))[cuts]
+            packs = [squeezed(np.diff(codes[i:j], prepend=0), lengths[i:j], flat[a:b]) for i, j, a, b in zip(cuts[:-1], cuts[1:], ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1]]), pa.array(packs, pa.binary())], ["block", "pack"])
+
+        return gathered(batches, lambda b: b.num_rows, make, most)
 
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n >= most:
-            yield out()
-            held, n = [], 0
-    if held:
-        yield out()
+    return run
 
 
 _TEXT = ["block", "row", "doc_id", "ends", "codes"]
@@ -105,29 +95,37 @@ def _coded(most: int):
     return run
 
 
+def _pieces(tokenizer: str) -> list[str | None]:
+    t = _tokenizer(tokenizer)
+    return [t.id_to_token(i) for i in range(t.get_vocab_size())]
+
+
 def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
     """(id, piece): a table as large as the vocabulary."""
-    t = _tokenizer(tokenizer)
-    return spark.createDataFrame([(i, t.id_to_token(i)) for i in range(t.get_vocab_size())], "id int, piece string")
+    return spark.createDataFrame(list(enumerate(_pieces(tokenizer))), "id int, piece string")
 
 
 def _placed(left: pa.Table, right: pa.Table):
-    """(the texts of a block in order, number of ids of each, all ids, right's rows of pieces) from its codes and the ids of its words."""
+    """(some texts of a block, numbers of their ids, the ids) one after another, from the block's codes and the ids of its words."""
     left = left.take(pc.sort_indices(left.column("row"))).combine_chunks()
     raw = left.column("codes").drop_null()
     codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[0].as_py()), "<i4") if len(raw) else np.zeros(0, np.int32)
-    packs = right.filter(pc.is_valid(right.column("codes"))).combine_chunks()
-    flat = lambda name: pa.concat_arrays(packs.column(name).chunks).flatten().to_numpy() if len(packs) else np.zeros(0, np.int64)
-    at, lengths, ids = flat("codes"), flat("lengths").astype(np.int64), flat("ids")
+    parts = [unsqueezed(x.as_py(), 3) for x in right.column("pack").drop_null()]
+    at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(p[0]) for p in parts)])
+    lengths, flat = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in (1, 2))
     n = int(codes.max()) + 1 if len(codes) else 0
     if len(at) != n or len(raw) != (len(left) > 0):
         raise RuntimeError("a block's words differ between two reads of the texts: write the input to a table first")
-    starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    starts, sizes, flat = np.zeros(n, np.int64), np.zeros(n, np.int64), flat.astype(np.int32)
     starts[at], sizes[at] = np.cumsum(lengths) - lengths, lengths
-    sizes = sizes[codes]
-    ids = ids[runs(starts[codes], sizes)]
-    ends = np.append(0, np.cumsum(sizes))[left.column("ends").to_numpy()] if len(left) else np.zeros(0, np.int64)
-    return left, np.diff(ends, prepend=0), ids, right.filter(pc.is_valid(right.column("piece")))
+    ends = np.append(0, left.column("ends").to_numpy())
+    i = 0
+    while i < len(left):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SHARE, "right")) - 1)  # whole texts of about SHARE words
+        own = codes[ends[i] : ends[j]]
+        many = sizes[own]
+        yield left.slice(i, j - i), np.diff(np.append(0, np.cumsum(many))[ends[i : j + 1] - ends[i]]), flat[runs(starts[own], many)]
+        i = j
 
 
 def _joined(lengths: np.ndarray, values: pa.Array) -> list[str]:
@@ -136,48 +134,40 @@ def _joined(lengths: np.ndarray, values: pa.Array) -> list[str]:
     return [hashlib.sha256(t).hexdigest() for t in texts.cast(pa.large_binary()).to_pylist()]
 
 
-_ID_COLUMNS = ["row", "doc_id", "ids"]
-
-
 def _ids(left: pa.Table, right: pa.Table) -> pa.Table:
-    left, lengths, ids, _ = _placed(left, right)
-    return pa.Table.from_arrays([left.column("row"), left.column("doc_id"), lists(np.append(0, np.cumsum(lengths)), pa.array(ids, pa.int32()))], _ID_COLUMNS)
+    kind = pa.schema([("row", pa.int64()), ("doc_id", left.schema.field("doc_id").type), ("ids", pa.list_(pa.int32()))])
+    tables = [pa.Table.from_arrays([x.column("row"), x.column("doc_id"), lists(np.append(0, np.cumsum(lengths)), pa.array(ids))], schema=kind) for x, lengths, ids in _placed(left, right)]
+    return pa.concat_tables(tables) if tables else kind.empty_table()
 
 
-def _digests(keep_ids: bool):
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
+def _digests(shared, keep_ids: bool):
+    """Ids as decimals, and joined to their pieces: the table of pieces is at each task, in the order of ids."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, lengths, ids, found = _placed(left, right)
-        distinct, at = np.unique(ids, return_inverse=True)
-        found = found.sort_by("id").combine_chunks()
-        if not np.array_equal(found.column("id").to_numpy(), distinct):
-            raise RuntimeError("ids without a piece")
-        piece = pa.concat_arrays(found.column("piece").chunks) if len(found) else pa.array([], pa.string())
-        number = pa.array(distinct).cast(pa.string())
-        columns = [left.column("doc_id"), pa.array(lengths), *(pa.array(_joined(lengths, x.take(pa.array(at))), pa.string()) for x in (number, piece))]
-        return pa.Table.from_arrays([*columns, *([lists(np.append(0, np.cumsum(lengths)), pa.array(ids, pa.int32()))] if keep_ids else [])], names)
+        texts = pa.string()
+        kinds = [("doc_id", left.schema.field("doc_id").type), ("n_tokens", pa.int64()), ("ids_sha256", texts), ("decoded_sha256", texts)] + [("ids", pa.list_(pa.int32()))] * keep_ids
+        piece = pa.array(shared.value, texts)
+        number, tables = pa.array(range(len(piece)), pa.int32()).cast(texts), []
+        for x, lengths, ids in _placed(left, right):
+            columns = [x.column("doc_id"), pa.array(lengths), *(pa.array(_joined(lengths, t.take(pa.array(ids))), texts) for t in (number, piece))]
+            tables.append(pa.Table.from_arrays([*columns, *([lists(np.append(0, np.cumsum(lengths)), pa.array(ids))] if keep_ids else [])], schema=pa.schema(kinds)))
+            pa.default_memory_pool().release_unused()
+        return pa.concat_tables(tables) if tables else pa.schema(kinds).empty_table()
 
     return run
 
 
-def _cogrouped(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, decoded: bool, block: int):
-    """(texts by block, words with ids and pieces by block); each text is split twice, so docs must come in the same order again."""
+def _cogrouped(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block: int):
+    """(texts by block, words with ids by block); each text is split twice, so docs must come in the same order again."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     listed = written(text_batches(rows.select("row", "text"), _asked(block), "block long, words array<binary>"))
     asked = listed.select("block", F.posexplode("words").alias("code", "word"))
-    found = asked.join(word_table(asked, tokenizer), "word").select("block", "code", "ids")
-    packs = written(found.mapInArrow(_packed, "block long, codes array<int>, lengths array<int>, ids array<int>"))
+    found = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(tokenizer, PACKED), "block long, pack binary")
+    packs = written(found)
     dropped(listed)
-    right = packs.withColumns({"id": F.lit(None).cast("int"), "piece": F.lit(None).cast("string")})
-    if decoded:
-        used = packs.select("block", F.explode("ids").alias("id")).distinct()
-        none = {c: F.lit(None).cast("array<int>") for c in ("codes", "lengths", "ids")}
-        known = used.join(F.broadcast(pieces(docs.sparkSession, tokenizer)), "id")
-        right = right.unionByName(known.withColumns(none).select(right.columns))
     kind = rows.schema["doc_id"].dataType.simpleString()
     texts = text_batches(rows, _coded(block), f"block long, row long, doc_id {kind}, ends long, codes binary")
-    return texts.groupBy("block").cogroup(right.groupBy("block")), kind
+    return texts.groupBy("block").cogroup(packs.groupBy("block")), kind
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, block: int = BLOCK_BYTES) -> DataFrame:
@@ -187,14 +177,15 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     each have theirs; an empty table gives no rows. docs is read twice and must give its rows in the same order, as
     tables do; where it doesn't, the job fails.
     """
-    both, kind = _cogrouped(docs, tokenizer, id_col, text_col, decoded=False, block=block)
+    both, kind = _cogrouped(docs, tokenizer, id_col, text_col, block=block)
     return both.applyInArrow(_ids, f"row long, doc_id {kind}, ids array<int>")
 
 
 def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = False, block: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ids as decimals, and their pieces, each joined by one space; ids on demand. See encode()."""
-    both, kind = _cogrouped(docs, tokenizer, id_col, text_col, decoded=True, block=block)
-    return both.applyInArrow(_digests(keep_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    both, kind = _cogrouped(docs, tokenizer, id_col, text_col, block=block)
+    shared = docs.sparkSession.sparkContext.broadcast(_pieces(tokenizer))  # as large as the vocabulary
+    return both.applyInArrow(_digests(shared, keep_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 #: Bytes of the texts of a block.
 BLOCK_BYTES = 8_000_000
@@ -63,6 +64,27 @@ def lists(offsets: np.ndarray, values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers from 0 for the way between tasks: in planes of bytes, compressed."""
+    head, body = [], []
+    for a in arrays:
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        head += [width, len(a)]
+        body.append(a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(b"".join([np.array(head, "<i4").tobytes(), *body]))
+
+
+def unsqueezed(raw: bytes, n: int) -> list[np.ndarray]:
+    """The n arrays of squeezed()."""
+    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 8 * n, []
+    for width, size in np.frombuffer(raw, "<i4", 2 * n).reshape(-1, 2).tolist():
+        x = np.zeros((size, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size).T
+        out.append(x.view("<i8").ravel())
+        at += width * size
+    return out
+
+
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places start, start + 1, ... of each run, one run after another."""
     return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
