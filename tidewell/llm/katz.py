@@ -37,8 +37,8 @@ NONE, START, END, FIRST = 0, 1, 2, 3
 DISCOUNTED = 5
 #: Places of a bucket; places of a middle word that is split; tokens that are sorted at once; trigrams of a stored row.
 BUCKET, HOT, CUT, ROW = 600_000, 1_000_000, 600_000, 60_000
-#: Parts that a block of trigrams is cut into at once; texts of a group whose scores are added in one task.
-FAN, GROUP = 8192, 16_384
+#: Parts that a block of trigrams is cut into at once; bytes of packs that are then cut again; texts of a group whose scores are added in one task.
+FAN, SPREAD_BYTES, GROUP = 8192, 3_000_000, 16_384
 #: Scores of a part of a text are passed on in whole parts of this.
 GRAIN = 1 << 20
 SMOOTH = 0.1
@@ -408,12 +408,22 @@ def _spread(shared, deal: Deal):
 
     def run(batches):
         held: Words = shared.value
+
+        def make(packs):
+            a = merged([unpack(_PACK, x.as_py()) for x in packs])
+            a["split"] = deal.subs(held, a["v"], a["w"]) > 0
+            yield _packs(packed(deal, held, a, 1, int(a["doc"].min()) if len(a["doc"]) else 0))
+
+        waiting, n = [], 0
         for b in batches:
-            parts = [unpack(_PACK, x) for x in b.column("pack").to_pylist()]
-            if parts:
-                a = merged(parts)
-                a["split"] = deal.subs(held, a["v"], a["w"]) > 0
-                yield _packs(packed(deal, held, a, 1, int(a["doc"].min()) if len(a["doc"]) else 0))
+            for x in b.column("pack"):
+                waiting.append(x)
+                n += len(x.as_buffer())
+                if n >= SPREAD_BYTES:
+                    yield from make(waiting)
+                    waiting, n = [], 0
+        if waiting:
+            yield from make(waiting)
 
     return run
 
