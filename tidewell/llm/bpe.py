@@ -24,7 +24,7 @@ from tidewell.llm.common import dropped, table, text_batches, written
 from tidewell.llm.tokens import gathered, lists, runs, squeezed, text_blocks, unsqueezed
 
 #: Bytes of the texts of a block; words that a task encodes and puts in order of blocks at a time; words whose ids are placed at a time.
-BLOCK_BYTES, PACKED, SHARE = 16_000_000, 200_000, 250_000
+BLOCK_BYTES, PACKED, SHARE = 16_000_000, 200_000, 120_000
 
 
 def _tokenizer(path: str):
