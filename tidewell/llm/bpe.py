@@ -16,6 +16,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import dropped, table, text_batches, written
 from tidewell.llm.tokens import gathered, lists, runs, squeezed, text_blocks, unsqueezed
 
-#: Bytes of the texts of a block; words that a task encodes and puts in order of blocks at a time; words whose ids are placed at a time.
+#: Bytes of the texts of a block; words that a task puts in order of blocks at a time; words whose ids are placed at a time.
 BLOCK_BYTES, PACKED, SHARE = 16_000_000, 200_000, 120_000
+#: Words given to the library at a time: what it returns of a word takes a kilobyte.
+CALL = 10_000
 
 
 def _tokenizer(path: str):
@@ -37,11 +40,33 @@ def _tokenizer(path: str):
     return t
 
 
+def _ids_of(tokenizer, words: list[bytes]) -> pa.Array:
+    """The ids of each word."""
+    parts = [pa.array([], pa.list_(pa.int32()))]
+    for at in range(0, len(words), CALL):
+        found = tokenizer.encode_batch_fast([w.decode() for w in words[at : at + CALL]], add_special_tokens=False)
+        parts.append(pa.array([e.ids for e in found], pa.list_(pa.int32())))
+    return pa.concat_arrays(parts)
+
+
+def _key(block: int, words: pa.Array) -> int:
+    """A block's key: a hash of its first row and of its distinct words in their order.
+
+    Two reads that differ in order give other keys, which find no words: such a job fails. So does one where two blocks
+    have one hash, which is for 10^7 blocks as likely as 10^-5.
+    """
+    h = xxhash.xxh64(np.int64(block).tobytes())
+    h.update(pc.binary_length(words).to_numpy(zero_copy_only=False).tobytes())
+    h.update(pc.binary_join(lists(np.array([0, len(words)]), words), b"")[0].as_buffer() if len(words) else b"")
+    return int(np.uint64(h.intdigest()).astype(np.int64))
+
+
 def _asked(most: int):
     """The distinct words of each block."""
 
     def run(batches):
         for block, _, _, _, words in text_blocks(batches, most=most):
+            block = _key(block, words)
             yield pa.RecordBatch.from_arrays([pa.array([block]), lists(np.array([0, len(words)]), words)], ["block", "words"])
 
     return run
@@ -62,8 +87,7 @@ def _encoded(path: str, most: int):
             d = t.column("word").combine_chunks().dictionary_encode()
             words = d.dictionary.to_pylist()
             fresh = words[1:] if words[0] == last[0] else words
-            found = tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            ids = pa.array([e.ids for e in found], pa.list_(pa.int32()))
+            ids = _ids_of(tokenizer, fresh)
             ids = pa.concat_arrays([last[1], ids]) if len(fresh) < len(words) else ids
             last = words[-1], ids.slice(len(ids) - 1)
             order = np.lexsort((t.column("code").to_numpy(), t.column("block").to_numpy()))
@@ -87,7 +111,8 @@ def _coded(most: int):
     """The texts of each block: where their codes end, and on the first row of a block the codes of all, compressed for the way."""
 
     def run(batches):
-        for block, rows, offsets, codes, _ in text_blocks(batches, most=most):
+        for block, rows, offsets, codes, words in text_blocks(batches, most=most):
+            block = _key(block, words)
             raw = zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").tobytes())
             columns = [rows.column(c).combine_chunks() for c in ("row", "doc_id")]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), *columns, pa.array(offsets[1:]), pa.array([raw] + [None] * (len(rows) - 1), pa.binary())], _TEXT)
@@ -175,7 +200,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     tokenizer is the path of a tokenizers file on every machine. Null counts as empty and has no ids; repeated rows
     each have theirs; an empty table gives no rows. docs is read twice and must give its rows in the same order, as
-    tables do; where it doesn't, the job fails.
+    tables do; where a block's words or their order differ, the job fails: write such input to a table first.
     """
     both, kind = _cogrouped(docs, tokenizer, id_col, text_col, block=block)
     return both.applyInArrow(_ids, f"row long, doc_id {kind}, ids array<int>")
