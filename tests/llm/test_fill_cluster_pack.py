@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -213,3 +214,17 @@ def test_packing_keeps_documents_whole_where_they_fit(spark):
     assert packing.pack(docs.limit(0), bpe.default_tokenizer()).collect() == []
     with pytest.raises(ValueError):
         packing.pack(docs, bpe.default_tokenizer(), length=1000)
+
+
+def test_words_of_another_order_end_the_job(spark):
+    """Rows that come in another order at each read must not get the ids of other words."""
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.take(pa.array(np.random.default_rng().permutation(b.num_rows)))
+
+    docs = spark.createDataFrame([(i, f"word{i} and others{i * 7} of row {i}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    assert bpe.encode(docs, bpe.default_tokenizer()).count() == 60
+    for made in (bpe.encode, bpe.encode_digests, packing.pack):
+        with pytest.raises(Exception, match="differ between two reads"):
+            made(docs.mapInArrow(shuffled, docs.schema), bpe.default_tokenizer()).collect()

@@ -1,7 +1,6 @@
 """Packing token sequences: first-fit decreasing over randomised groups of documents, with a tournament tree.
 
-Documents are encoded where they are read, each distinct word of a block once, and cut into pieces of at most a
-sequence. Pieces are dealt at random to groups of bounded size; each group is packed by itself: pieces from the longest
+Documents are encoded by way of a table of distinct words and cut into pieces of at most a sequence. Pieces are dealt at random to groups of bounded size; each group is packed by itself: pieces from the longest
 to the shortest go to the first sequence that has room, which a tournament tree of the room left in each sequence finds
 in a logarithmic number of steps. What room is left then is filled from the emptiest sequences, and the last of these
 is cut at powers of two, so that it needs no padding either.
@@ -15,17 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.bpe import _tokenizer, default_tokenizer
+from tidewell.llm.bpe import BLOCK_BYTES, _cogrouped, _placed, _tokenizer, default_tokenizer
 from tidewell.llm.common import table
-from tidewell.llm.tokens import runs, text_blocks
+from tidewell.llm.tokens import runs
 
 LENGTH, END = 4096, 2
 #: Tokens that a group is meant to hold; what a token takes of a text, in bytes, to say how many groups that makes.
 GROUP_TOKENS, BYTES_A_TOKEN = 2_000_000, 4
 #: Room below this is left as padding, and not filled with slivers of a document.
 SLIVER = 8
-#: Bytes of the texts of a block; pieces in a batch.
-BLOCK_BYTES, PIECES = 8_000_000, 1000
 
 _PIECE = ["row", "doc_id", "start", "length", "doc_tokens", "ids"]
 
@@ -38,33 +35,25 @@ def _lengths_of(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray,
     return doc, start, np.minimum(most, tokens[doc] - start)
 
 
-def _pieces(path: str, length: int, end: int, most: int):
-    """The pieces of each document with their ids, of two bytes where that is enough, else of four."""
-
-    def run(batches):
-        tokenizer = _tokenizer(path)
-        width = "<u2" if max(tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
-        for _, rows, offsets, codes, words in text_blocks(batches, most=most):
-            found = tokenizer.encode_batch_fast([w.decode() for w in words.to_pylist()], add_special_tokens=False)
-            sizes = np.array([len(e.ids) for e in found], np.int64)
-            flat = np.array([i for e in found for i in e.ids], width)
-            del found
-            many = sizes[codes]
-            tokens = np.diff(np.append(0, np.cumsum(many))[offsets]) + 1
-            ids = np.full(int(tokens.sum()), end, width)
-            own = np.ones(len(ids), bool)
-            own[np.cumsum(tokens) - 1] = False  # there a document ends
-            ids[own] = flat[runs((np.cumsum(sizes) - sizes)[codes], many)]
-            doc, start, size = _lengths_of(tokens, length)
-            ends = np.append(0, np.cumsum(size))
-            for at in range(0, len(doc), PIECES):
-                to = min(at + PIECES, len(doc))
-                places = pa.array(doc[at:to])
-                own_ids = ids[ends[at] : ends[to]].tobytes()
-                binary = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(((ends[at : to + 1] - ends[at]) * ids.itemsize).astype(np.int32)), pa.py_buffer(own_ids)])
-                columns = [rows.column("row").take(places).combine_chunks(), rows.column("doc_id").take(places).combine_chunks(), pa.array(start[at:to]), pa.array(size[at:to]), pa.array(tokens[doc[at:to]]), binary]
-                yield pa.RecordBatch.from_arrays(columns, _PIECE)
-            pa.default_memory_pool().release_unused()
+def _pieces(length: int, end: int, width: str):
+    """The pieces of a block's documents with their ids: each document's ids and the end, cut every length ids."""
+
+    def cut(rows: pa.Table, many: np.ndarray, found: np.ndarray) -> pa.Table:
+        tokens = many + 1
+        ids = np.full(int(tokens.sum()), end, width)
+        own = np.ones(len(ids), bool)
+        own[np.cumsum(tokens) - 1] = False  # there a document ends
+        ids[own] = found
+        doc, start, size = _lengths_of(tokens, length)
+        ends = (np.append(0, np.cumsum(size)) * ids.itemsize).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+        kept = rows.select(["row", "doc_id"]).take(pa.array(doc))
+        return pa.Table.from_arrays([*kept.columns, pa.array(start), pa.array(size), pa.array(tokens[doc]), binary], _PIECE)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = [pa.int64(), left.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        none = pa.schema(list(zip(_PIECE, kinds, strict=True))).empty_table()
+        return pa.concat_tables([none, *(cut(*x) for x in _placed(left, right))])
 
     return run
 
@@ -179,15 +168,16 @@ def pack(
     A document is its ids by the tokenizers file (a path on every machine) and the end id; row tells repeated ids
     apart. length must be a power of two. In each group of about group_tokens, all sequences but a few are full or
     lack less than sliver; the others have lengths that are powers of two. Null counts as empty: such a document is
-    its end id. Texts of any length are cut; an empty table gives no rows; other columns don't matter.
+    its end id. Texts of any length are cut; docs must give its rows in the same order again, see bpe.encode(); an empty table gives no rows; other columns don't matter.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("decimal(38,0)")).alias("bytes"), F.count("*").alias("n")).first()
+    text = F.col(text_col).cast("string")
+    size = docs.agg(F.sum(F.octet_length(text).cast("decimal(38,0)")).alias("bytes"), F.count("*").alias("n")).first()
     groups = max(1, -(-(int(size["bytes"] or 0) // BYTES_A_TOKEN + size["n"]) // group_tokens))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    pieces = rows.mapInArrow(_pieces(tokenizer, length, end, BLOCK_BYTES), f"row long, doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    both, kind = _cogrouped(docs, tokenizer, id_col, text_col, block=BLOCK_BYTES)
+    width = "<u2" if max(_tokenizer(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"  # two bytes an id on the way where that is enough
+    pieces = both.applyInArrow(_pieces(length, end, width), f"row long, doc_id {kind}, start long, length long, doc_tokens long, ids binary")
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row", "start"), F.lit(groups)))
     schema = f"row long, doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return dealt.groupBy("group").applyInArrow(_packed(length, sliver), schema)
