@@ -18,6 +18,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.variants import leaves, members, put, walk
+
 ORDERINGS = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
 CONNECTIVES = ("AND", "OR", "NOT")
 #: Texts that count as numbers in orderings.
@@ -37,7 +39,7 @@ def path_of(field: str, entities: bool = True) -> str:
     parts = field.split(".")
     if entities and is_entity(parts[0]):
         parts.insert(0, "entities")
-    return "$" + "".join(f"['{p}']" for p in parts)
+    return "$" + "".join(f'["{p}"]' if "'" in p else f"['{p}']" for p in parts)
 
 
 def get(state: Column, field: str) -> Column:
@@ -45,24 +47,36 @@ def get(state: Column, field: str) -> Column:
     return F.get_json_object(state, path_of(field))
 
 
+def _parts(field: str, entities: bool = True) -> list[str]:
+    parts = field.split(".")
+    return ["entities", *parts] if entities and is_entity(parts[0]) else parts
+
+
 class State:
-    """JSON state under changes that earlier rules made: a map of fields to JSON values."""
+    """A state as one tree: JSON text, or the variant that earlier changes left."""
 
-    def __init__(self, base: Column, changes: Column | None = None):
-        self.base, self.changes = base, changes
+    def __init__(self, base: Column | None = None, tree: Column | None = None):
+        self.tree = F.try_parse_json(base) if tree is None else tree
 
     def at(self, field: str, entities: bool = True) -> Column:
-        raw = F.try_variant_get(F.try_parse_json(self.base), path_of(field, entities), "variant")
-        if self.changes is None:
-            return raw
-        return F.when(F.map_contains_key(self.changes, field), F.try_parse_json(F.try_element_at(self.changes, F.lit(field)))).otherwise(raw)
+        parts = _parts(field, entities)
+        if "'" in field and '"' in field:  # no path can be written with both
+            raw = walk(self.tree, F.array(*map(F.lit, parts)))
+        else:
+            raw = F.try_variant_get(self.tree, path_of(field, entities), "variant")
+        lone = entities and len(parts) == 2 and is_entity(field)
+        return F.coalesce(raw, F.parse_json(F.lit("{}"))) if lone else raw  # an entity that isn't there has no fields
+
+    def put(self, field: str, value: Column) -> State:
+        """The state with a value (a variant) at a field: fields above and below it see that. Its tree is null where something on the way is no object."""
+        return State(tree=put(self.tree, F.array(*map(F.lit, _parts(field))), value))
 
 
 class Value:
     """A value of the state, or a literal, with its type."""
 
-    def __init__(self, raw: Column):
-        self.raw = raw
+    def __init__(self, raw: Column, scalar: bool = False):
+        self.raw, self.scalar = raw, scalar
         self.kind = F.coalesce(F.schema_of_variant(raw), F.lit("VOID"))
         self.is_null = self.kind == "VOID"
         self.is_text = self.kind == "STRING"
@@ -79,13 +93,21 @@ class Value:
 
     @classmethod
     def of(cls, value) -> Value:
-        return cls(F.parse_json(F.lit(json.dumps(value))))
+        return cls(F.parse_json(F.lit(json.dumps(value))), not isinstance(value, (list, dict)))
+
+    @staticmethod
+    def known(raw: Column) -> Column:
+        """What Value asks of a value, worked out: a struct for Known."""
+        x = Value(raw)
+        return F.struct(raw.alias("raw"), x.kind.alias("kind"), x.text.alias("text"), x.number.alias("number"))
 
     def equals(self, other: Value) -> Column:
         nested = ~self.is_null & ~self.is_number & ~self.is_text & (self.kind.substr(1, 1) == other.kind.substr(1, 1))
         found = F.when(self.is_null | other.is_null, self.is_null & other.is_null)
         found = found.when(self.is_number & other.is_number, self.number == other.number).when(self.is_text & other.is_text, self.text == other.text)
-        return found.when(nested, F.to_json(self.raw) == F.to_json(other.raw)).otherwise(False)
+        if self.scalar or other.scalar:
+            return found.otherwise(False)
+        return found.when(nested, leaves(self.raw) == leaves(other.raw)).otherwise(False)
 
     def holds(self, other: Value) -> Column:
         """Whether other is one of the items of this list."""
@@ -97,6 +119,15 @@ class Value:
         return F.coalesce(self.number, text)
 
 
+class Known(Value):
+    """A value from a struct of Value.known(), whose parts aren't worked out again."""
+
+    def __init__(self, x: Column):
+        self.scalar, self.raw, self.kind, self.text, self.number = False, x["raw"], x["kind"], x["text"], x["number"]
+        self.is_null, self.is_text, self.is_number = self.kind == "VOID", self.kind == "STRING", x["number"].isNotNull()
+        self.items = F.try_variant_get(self.raw, "$", "array<variant>")
+
+
 def number(x: Column) -> Column:
     """A text as a number, true as 1 and false as 0; null, never NaN, where it is none."""
     return F.coalesce(F.when(x.rlike(NUMERAL), F.trim(x).try_cast("double")), F.when(x == "true", 1.0).when(x == "false", 0.0))
@@ -225,24 +256,28 @@ def _changed(changes: Column, path: str, value: Column) -> Column:
 
 
 def with_effects(df: DataFrame, state: str, conditions: list[dict], schema: dict, look: dict[str, Column] | None = None) -> DataFrame:
-    """df with active (ids of the conditions that hold, in order) and changes (field -> JSON value after all of them).
+    """df with active (ids of the conditions that hold, in order), changes (field -> JSON value it was set to last) and after (the state as JSON text).
 
-    Each condition is {"id", "tree", "mutation": {"path", "op", "value"} or None} and sees the changes of those before
-    it. A mutation that breaks the schema is left out; the condition stays active. look says, per id, whether a
-    condition is looked at at all (see must_reevaluate).
+    Each condition is {"id", "tree", "mutation": {"path", "op", "value"} or None} and sees the state that those before
+    it left, above and below the fields that they set. A mutation that breaks the schema, or sets a field of something
+    that is no object, is left out; the condition stays active. look says, per id, whether a condition is looked at at
+    all (see must_reevaluate). A state that is no JSON counts as empty.
     """
-    df = df.withColumns({"active": F.array().cast("array<string>"), "changes": F.create_map().cast("map<string,string>")})
+    tree = F.coalesce(F.try_parse_json(F.col(state)), F.parse_json(F.lit("{}")))
+    df = df.withColumns({"active": F.array().cast("array<string>"), "changes": F.create_map().cast("map<string,string>"), "_tree": tree})
     for x in conditions:
-        now = State(F.col(state), F.col("changes"))
+        now = State(tree=F.col("_tree"))
         df = df.withColumn("_holds", compile_rule(x["tree"], now) & (look or {}).get(x["id"], F.lit(True)))
         df = df.withColumn("active", F.when(F.col("_holds"), F.array_append("active", F.lit(x["id"]))).otherwise(F.col("active")))
         m = x.get("mutation")
         if m:
-            after = _changed(F.col("changes"), m["path"], mutated_value(now, m["path"], m["op"], m["value"]))
-            df = df.withColumn("_after", F.when(F.col("_holds"), after).otherwise(F.col("changes")))
-            sound = F.size(schema_errors(State(F.col(state), F.col("_after")), schema)) == 0
-            df = df.withColumn("changes", F.when(sound, F.col("_after")).otherwise(F.col("changes"))).drop("_after")
-    return df.drop("_holds")
+            df = df.withColumn("_value", F.when(F.col("_holds"), mutated_value(now, m["path"], m["op"], m["value"])))
+            df = df.withColumn("_after", F.when(F.col("_holds"), now.put(m["path"], F.parse_json("_value")).tree))
+            sound = F.col("_after").isNotNull() & (F.size(schema_errors(State(tree=F.col("_after")), schema)) == 0)
+            df = df.withColumn("_sound", _false_if_null(sound))
+            df = df.withColumn("changes", F.when(F.col("_sound"), _changed(F.col("changes"), m["path"], F.col("_value"))).otherwise(F.col("changes")))
+            df = df.withColumn("_tree", F.when(F.col("_sound"), F.col("_after")).otherwise(F.col("_tree"))).drop("_value", "_after", "_sound")
+    return df.withColumn("after", F.to_json("_tree")).drop("_holds", "_tree")
 
 
 #: Texts that count as true or false.
@@ -326,6 +361,15 @@ def outcome(timed_out: Column, binary: Column, won: Column, score: Column, tiers
     return F.when(timed_out, "timeout").when(binary, F.when(won, "win").otherwise("lose")).otherwise(tier)
 
 
+#: Fixed value: where a state says that a game is being played.
+PENDING = "_pending_minigame"
+
+
+def without_pending(state: Column) -> Column:
+    """The state (a variant) once a game has an outcome: nothing is pending, whatever the outcome is."""
+    return F.to_variant_object(F.map_filter(members(state), lambda k, _: k != PENDING))
+
+
 #: Fixed value: what only the engine keeps.
 RESERVED = ("discovered_location_ids",)
 
@@ -334,7 +378,7 @@ def mutation_error(state: Column | State, mutation: dict, schema: dict) -> Colum
     """What speaks against a change of a field, null if nothing does; the state is looked at as it would be afterwards."""
     path = mutation.get("path")
     if not path:
-        return F.lit("Missing mutation target path")
+        return F.lit("no path")
     if path in RESERVED:
         return F.lit("system-managed")
     field = dict(schema_paths(schema)).get(path)
@@ -343,9 +387,8 @@ def mutation_error(state: Column | State, mutation: dict, schema: dict) -> Colum
     if field.get("derived") is True:
         return F.lit("derived")
     state = state if isinstance(state, State) else State(state)
-    value = mutated_value(state, path, mutation["op"], mutation["value"])
-    after = F.create_map(F.lit(path), value) if state.changes is None else _changed(state.changes, path, value)
-    return F.when(F.size(schema_errors(State(state.base, after), schema)) > 0, "schema")
+    after = state.put(path, F.parse_json(mutated_value(state, path, mutation["op"], mutation["value"])))
+    return F.when(after.tree.isNull() | (F.size(schema_errors(after, schema)) > 0), "schema")
 
 
 CALL = "struct<tool_name: string, is_valid: boolean, arguments: struct<path: string, entity_id: string>, result: struct<modifier: bigint>, before: double, after: double>"

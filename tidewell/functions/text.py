@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidewell.functions.variants import canonical_json, json_value, let
+
 # Phrases that ask for a count, and for a duration.
 COUNT_QUESTION = (
     r"(?i)\bhow (many|much)\b|\btotal\b|\bcount\b|\baverage\b|\ball (of )?(the|my)\b|\bevery\b|"
@@ -132,8 +133,8 @@ def web_query(terms: Column) -> Column:
 
 
 def payload_hash(payload: Column) -> Column:
-    """SHA-256 of JSON with sorted keys and no white space, so that the order of keys doesn't count."""
-    return F.sha2(F.to_json(F.parse_json(payload)), 256)
+    """SHA-256 of JSON text in one form (see canonical_json), so that neither the order of keys nor white space counts."""
+    return F.sha2(canonical_json(F.parse_json(payload)), 256)
 
 
 def uuid5(namespace: str, name: Column) -> Column:
@@ -170,38 +171,80 @@ def setting_lines(world: Column) -> Column:
     return F.when(F.size(world) > 0, F.concat(F.array_join(F.concat(F.array(F.lit("## Setting")), lines), "\n"), F.lit("\n\n"))).otherwise("")
 
 
-@F.pandas_udf(StringType())
-def recovered_json(texts: pd.Series) -> pd.Series:
-    """The first JSON object in a noisy text, without a fence around it; the text itself where there is none."""
-
-    def first(text):
-        if text is None:
-            return None
-        body = text.strip()
-        if body.startswith("```"):
-            lines = body.splitlines()[1:]
-            body = "\n".join(lines[:-1] if lines and lines[-1].startswith("```") else lines).strip()
-        try:
-            json.loads(body)
-            return body
-        except ValueError:
-            pass
-        at = body.find("{")
-        while at >= 0:
-            try:
-                found, _ = json.JSONDecoder().raw_decode(body, at)
-                return json.dumps(found)
-            except ValueError:
-                at = body.find("{", at + 1)
-        return text
-
-    return texts.map(first, na_action="ignore")
-
-
-def opening_tag(text: Column, most: int = 60) -> tuple[Column, Column]:
-    """(tag in brackets at the start of a stream, whether that is decided): marks of emphasis may stand around it."""
-    tag = F.nullif(F.regexp_extract(text, r"^\s*[*_`]*\[([A-Za-z]+)\]", 1), F.lit(""))
+def recovered_json(text: Column) -> Column:
+    """The JSON in a noisy text: what a fence of three backticks holds, or all of it, else the first object that starts anywhere in it.
+
+    Of each opening brace, in order, the shortest span up to a closing one is taken that reads as JSON. The text itself
+    where there is none.
+    """
+    fenced = F.regexp_extract(text, r"(?s)^\s*```[^\n]*\n(.*?)(?:\n```[^\n]*)?\s*$", 1)
+    body = strip(F.when(text.rlike(r"^\s*```"), fenced).otherwise(text))
+    nothing = F.lit(None).cast("string")
+
+    def first_in(s: Column) -> Column:
+        """The shortest start of s that reads as JSON; parts are only put together until it is found."""
+        parts = F.split(s, r"(?<=\})")
+        start = lambda j: F.array_join(F.slice(parts, F.lit(1), j), "")
+        return F.aggregate(F.sequence(F.lit(1), F.size(parts)), nothing, lambda found, j: F.coalesce(found, let(start(j), lambda x: F.when(json_value(x).isNotNull(), x))))
+
+    cut = F.split(body, r"(?=\{)")
+    rest = lambda i: F.array_join(F.slice(cut, i, F.size(cut)), "")
+    inner = F.aggregate(F.sequence(F.lit(1), F.size(cut)), nothing, lambda found, i: F.coalesce(found, F.when(F.startswith(F.element_at(cut, i), F.lit("{")), first_in(rest(i)))))
+    return F.when(json_value(body).isNotNull(), body).otherwise(F.coalesce(inner, text))
+
+
+#: The moods, words that stand for them, the one of texts without a tag, and the two forms of a tag.
+MOODS = ("peaceful", "mystery", "tension", "combat", "melancholy", "triumph")
+MOOD_WORDS = {
+    "peaceful": ("calm", "exploration", "serene", "peace"),
+    "mystery": ("eerie", "creepy", "strange", "curious"),
+    "tension": ("suspense", "danger", "ominous", "dread"),
+    "combat": ("action", "battle", "fight", "boss"),
+    "melancholy": ("sorrow", "sad", "grief", "tragic"),
+    "triumph": ("victory", "triumphant", "win", "celebration"),
+}
+DEFAULT_MOOD = "peaceful"
+MOOD_TAG = r"(?i)^\s*[*_`]*(?:\[\s*mood\s*:\s*([a-zA-Z_\-]+)\s*\]|mood\s*:\s*([a-zA-Z_\-]+)\s*(?:\r?\n))\s*[*_`]*\s*(?:\r?\n)?\s*"
+MOOD_WAIT = 60
+
+
+def mood(word: Column) -> Column:
+    """The mood that a word of a tag names, by itself or by one that stands for it; else the default."""
+    table = {m: m for m in MOODS} | {w: m for m, words in MOOD_WORDS.items() for w in words}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.lower(word)), F.lit(DEFAULT_MOOD))
+
+
+def opening_tag(text: Column) -> Column:
+    """struct(mood, rest, decided) of what has come of a text: the mood of the tag it begins with, what follows it, and whether that is settled.
+
+    A text that may still become a tag is held back up to 60 characters or the end of its first line.
+    """
+    word = F.coalesce(F.nullif(F.regexp_extract(text, MOOD_TAG, 1), F.lit("")), F.nullif(F.regexp_extract(text, MOOD_TAG, 2), F.lit("")))
     start = F.regexp_replace(text, r"^\s*[*_`]*", "")
     candidate = F.startswith(start, F.lit("[")) | F.startswith(F.lower(start), F.lit("mood"))
-    waits = candidate & (F.length(text) < most) & ~F.contains(text, F.lit("\n"))
-    return F.lower(tag), tag.isNotNull() | ~waits
+    waits = candidate & (F.length(text) < MOOD_WAIT) & ~F.contains(text, F.lit("\n"))
+    found = lambda m, rest, decided: F.struct(m.alias("mood"), rest.alias("rest"), decided.alias("decided"))
+    return F.when(word.isNotNull(), found(mood(word), F.regexp_replace(text, MOOD_TAG, ""), F.lit(True))).otherwise(found(F.lit(None).cast("string"), text, ~waits))
+
+
+def streamed_tag(chunks: Column) -> Column:
+    """struct(mood, at, pieces) of a text that comes in chunks: the mood of its tag (null: none), the number of chunks that
+    had come when that was settled, and the pieces that are passed on, the first one what was held back, without the tag.
+
+    The end of a text settles it too. Null or no chunks: no mood, at 0 and no pieces.
+    """
+    start = F.struct(F.lit("").alias("held"), F.lit(False).alias("decided"), F.lit(None).cast("string").alias("mood"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+
+    def step(s: Column, chunk: Column) -> Column:
+        def settled(tag: Column) -> Column:
+            passed = F.when(tag["decided"] & (tag["rest"] != ""), F.array_append(s["pieces"], tag["rest"])).otherwise(s["pieces"])
+            held = F.when(tag["decided"], "").otherwise(F.concat(s["held"], chunk))
+            return F.struct(held.alias("held"), tag["decided"].alias("decided"), tag["mood"].alias("mood"), (s["at"] + 1).alias("at"), passed.alias("pieces"))
+
+        return F.when(s["decided"], s.withField("pieces", F.array_append(s["pieces"], chunk))).otherwise(let(opening_tag(F.concat(s["held"], chunk)), settled))
+
+    def end(s: Column) -> Column:
+        pieces = F.when(~s["decided"] & (s["held"] != ""), F.array_append(s["pieces"], s["held"])).otherwise(s["pieces"])
+        return F.struct(s["mood"].alias("mood"), s["at"].alias("at"), pieces.alias("pieces"))
+
+    return F.aggregate(F.coalesce(chunks, F.array().cast("array<string>")), start, step, end)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import rules as R
 from tidewell.functions import text as T
 from tidewell.operators import lifecycle as L
+from tidewell.functions import variants as V
 from tidewell.plans.registry import query, read
 from tidewell.sources import chat
 
@@ -64,13 +65,16 @@ def fn_state_entity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)
-SELECT event_id, CASE WHEN event_type = 'error' THEN 'timeout' WHEN event_type = 'signup' THEN CASE WHEN value > 50 THEN 'win' ELSE 'lose' END WHEN k <= 30 THEN 'poor' WHEN k <= 70 THEN 'fair' ELSE 'great' END AS outcome, event_type <> 'error' AS pending_cleared FROM e""")
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'timeout' WHEN event_type = 'signup' THEN CASE WHEN value > 50 THEN 'win' ELSE 'lose' END WHEN k <= 30 THEN 'poor' WHEN k <= 70 THEN 'fair' ELSE 'great' END AS outcome, true AS pending_cleared FROM e""")
 def outcome_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """A game's outcome: timed out, won or lost, or by tiers of its score; a timed-out game stays pending."""
+    """A game's outcome: timed out, won or lost, or by tiers of its score; whatever it is, the state has no pending game afterwards."""
     k = F.get_json_object("props", "$.k").cast("long")
     tiers = [(None, 30, "poor"), (30, 70, "fair"), (70, None, "great")]
     found = R.outcome(timed_out=c("event_type") == "error", binary=c("event_type") == "signup", won=c("value") > 50, score=k, tiers=tiers)
-    return read(spark, d, "events").select("event_id", found.alias("outcome"), (found != "timeout").alias("pending_cleared"))
+    state = F.to_json(F.struct(F.struct(c("event_id").alias("id")).alias("_pending_minigame"), k.alias("k")))
+    after = V.members(R.without_pending(F.parse_json(state)))
+    cleared = ~F.map_contains_key(after, F.lit("_pending_minigame")) & F.map_contains_key(after, F.lit("k"))
+    return read(spark, d, "events").select("event_id", found.alias("outcome"), cleared.alias("pending_cleared"))
 
 
 @query("""WITH s AS (SELECT event_id, user_id, event_type, value, json_extract_string(props, '$.k')::BIGINT AS k FROM events)
@@ -83,7 +87,7 @@ def invariant_rules(spark: SparkSession, d: str) -> DataFrame:
     return states(spark, d).select("event_id", R.first_error(*((R.compile_rule(t, c("state")), text) for t, text in rules)).alias("violated"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Missing mutation target path' WHEN 1 THEN 'system-managed' WHEN 2 THEN 'unknown' WHEN 3 THEN 'derived' ELSE CASE WHEN json_extract_string(props, '$.k')::BIGINT + 5 > 90 THEN 'schema' END END AS error FROM events""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'no path' WHEN 1 THEN 'system-managed' WHEN 2 THEN 'unknown' WHEN 3 THEN 'derived' ELSE CASE WHEN json_extract_string(props, '$.k')::BIGINT + 5 > 90 THEN 'schema' END END AS error FROM events""")
 def mutation_paths(spark: SparkSession, d: str) -> DataFrame:
     """What speaks against a proposed change: no path, a reserved, an unknown or a derived one, a value that doesn't fit."""
     from tidewell.plans.rules import states

@@ -18,10 +18,10 @@ def fn_websearch_query(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.web_query(terms).alias("query"))
 
 
-@query("""SELECT event_id, sha256('{"k":' || json_extract_string(props, '$.k') || ',"kind":{"a":1,"t":"' || event_type || '"}}') AS digest FROM events""")
+@query("""SELECT event_id, sha256('{"b":"\\u00e9\\ud83d\\ude00","k":' || json_extract_string(props, '$.k') || ',"kind":{"a":1,"t":"' || event_type || '"},"v":[' || value::VARCHAR || ',null,true]}') AS digest FROM events""")
 def fn_payload_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Keys come in another order than they are hashed in."""
-    payload = F.concat(F.lit('{ "kind": {"t": "'), "event_type", F.lit('", "a": 1}, "k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    """Keys come in another order than they are hashed in; letters beyond ASCII are escaped, fractions stay fractions."""
+    payload = F.concat(F.lit('{ "kind": {"t": "'), "event_type", F.lit('", "a": 1}, "v" : ['), c("value").cast("string"), F.lit(', null,true], "b": "é\U0001f600", "k":'), F.get_json_object("props", "$.k"), F.lit("}"))
     return read(spark, d, "events").select("event_id", T.payload_hash(payload).alias("digest"))
 
 
@@ -69,9 +69,10 @@ def dq_options(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT + 1 AS k, event_type AS kind, CASE WHEN user_id % 4 <> 0 THEN 2.5 END AS hp FROM events")
 def fn_state_set(spark: SparkSession, d: str) -> DataFrame:
-    """Fields set under a state that stays as it is: read through the changes."""
-    changes = F.create_map(F.lit("k"), (F.get_json_object("props", "$.k").cast("long") + 1).cast("string"), F.lit("stats.kind"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit("hp"), F.when(c("user_id") % 4 != 0, "2.5"))
-    now = R.State(c("props"), F.map_filter(changes, lambda _, v: v.isNotNull()))
+    """Fields set in the tree of a state: one that is there, one in an object that is made, and one only for some."""
+    new = lambda x: x.cast("variant")
+    made = R.State(c("props")).put("k", new(F.get_json_object("props", "$.k").cast("long") + 1)).put("stats", F.parse_json(F.lit("{}"))).put("stats.kind", new(c("event_type")))
+    now = R.State(tree=F.when(c("user_id") % 4 != 0, made.put("hp", new(F.lit(2.5))).tree).otherwise(made.tree))
     at = lambda f, kind: F.try_variant_get(now.at(f), "$", kind)
     return read(spark, d, "events").select("event_id", at("k", "long").alias("k"), at("stats.kind", "string").alias("kind"), at("hp", "double").alias("hp"))
 
@@ -167,15 +168,38 @@ def temporal_buffer(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", F.date_sub(day, 2).alias("valid_from"), F.date_add(end, 2).alias("valid_to"))
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN true ELSE true END AS decided, CASE event_id % 6 WHEN 0 THEN event_type WHEN 5 THEN event_type END AS tag FROM events""")
-def fn_tag_buffer(spark: SparkSession, d: str) -> DataFrame:
-    """A stream's start is held back while it may still become a mood tag: not after 60 characters or a new line."""
-    forms = [("[", "] and so"), ("[", ""), ("plain ", ""), ("[", " " + "x" * 60), ("[", "\nno tag"), ("**[", "]** then")]
-    text = F.lit("")
+_WORDS = [*T.MOODS, *(w for words in T.MOOD_WORDS.values() for w in words), "Victory", "no-such", "BATTLE"]
+_MOODS = ", ".join(f"('{w}', '{m}')" for m, words in T.MOOD_WORDS.items() for w in (m, *words))
+TAGGED = f"""WITH w AS (SELECT conv_id, turn, text, (conv_id * 7 + turn) % 5 AS form, ([{", ".join(f"'{w}'" for w in _WORDS)}])[((conv_id * 3 + turn) % {len(_WORDS)} + 1)::INT] AS word FROM conversations),
+t AS (SELECT conv_id, turn, text, form, coalesce(mood, '{T.DEFAULT_MOOD}') AS mood, CASE form WHEN 0 THEN '[mood: ' || word || '] ' || text WHEN 1 THEN '**[ Mood : ' || word || ' ]**' || chr(10) || text
+WHEN 2 THEN 'mood: ' || word || chr(10) || text WHEN 3 THEN '[' || word || '] ' || text ELSE text END AS tagged FROM w LEFT JOIN (VALUES {_MOODS}) m(known, mood) ON known = lower(word))"""
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    """Turns whose text begins with a mood tag in one of its forms, with what only looks like one, or with none."""
+    word = F.element_at(F.array(*map(F.lit, _WORDS)), ((c("conv_id") * 3 + c("turn")) % len(_WORDS) + 1).cast("int"))
+    forms = [("[mood: ", "] "), ("**[ Mood : ", " ]**\n"), ("mood: ", "\n"), ("[", "] ")]
+    tagged = c("text")
     for i, (before, after) in enumerate(forms):
-        text = F.when(c("event_id") % 6 == i, F.concat(F.lit(before), "event_type", F.lit(after))).otherwise(text)
-    tag, decided = T.opening_tag(text)
-    return read(spark, d, "events").select("event_id", decided.alias("decided"), tag.alias("tag"))
+        tagged = F.when((c("conv_id") * 7 + c("turn")) % 5 == i, F.concat(F.lit(before), word, F.lit(after), "text")).otherwise(tagged)
+    return read(spark, d, "conversations").select("conv_id", "turn", tagged.alias("tagged"))
+
+
+@query(TAGGED + " SELECT conv_id, turn, CASE WHEN form < 3 THEN mood END AS mood, CASE WHEN form < 3 THEN text ELSE tagged END AS rest FROM t")
+def fn_mood_tag(spark: SparkSession, d: str) -> DataFrame:
+    """The mood of the tag that a whole text begins with, and what follows it."""
+    return _tagged(spark, d).withColumn("tag", T.opening_tag(c("tagged"))).select("conv_id", "turn", "tag.mood", "tag.rest")
+
+
+@query(TAGGED + """, p AS (SELECT *, CASE form WHEN 0 THEN instr(tagged, ']') WHEN 1 THEN instr(tagged, ']') WHEN 2 THEN instr(tagged, chr(10)) END AS tag_end, ceil(length(tagged) / 5)::INT AS chunks, instr(tagged, chr(10)) AS line FROM t),
+a AS (SELECT *, CASE WHEN form < 3 THEN ceil(tag_end / 5)::INT WHEN form = 3 THEN least(12, chunks, CASE WHEN line > 0 THEN ceil(line / 5)::INT ELSE chunks END) WHEN text = '' THEN 0 ELSE 1 END AS "at" FROM p)
+SELECT conv_id, turn, CASE WHEN form < 3 THEN mood END AS mood, a."at" AS at_chunk,
+CASE WHEN form < 3 THEN regexp_replace(substr(tagged, tag_end + 1, 5 * a."at" - tag_end), '^\\s*[*_`]*\\s*', '') || substr(tagged, 5 * a."at" + 1) ELSE tagged END AS passed_on FROM a""")
+def fn_tag_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Whole turns in chunks of five characters: held back while they may still become a tag, then passed on without it."""
+    chunks = F.regexp_extract_all("tagged", F.lit("(?s)(.{1,5})"), F.lit(1))
+    rows = _tagged(spark, d).withColumn("s", T.streamed_tag(chunks))
+    return rows.select("conv_id", "turn", "s.mood", c("s.at").alias("at_chunk"), F.array_join("s.pieces", "").alias("passed_on"))
 
 
 @query("""WITH e AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)

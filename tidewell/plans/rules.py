@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import rules as R
+from tidewell.functions import trees as X
 from tidewell.plans.registry import query, read
 
 c = F.col
@@ -109,17 +110,55 @@ def schema_coerce(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.array_join(R.schema_errors(c("state"), SCHEMA), ",").alias("errors"))
 
 
-@query("SELECT * FROM (VALUES ('k', 'number'), ('kind', 'enum'), ('alarm', 'boolean'), ('stats.hp', 'number'), ('stats.heat', 'number')) t(path, kind)")
+@query("""SELECT p_partkey, lower(p_type) AS path, 'number' AS kind FROM part UNION ALL SELECT p_partkey, 'box.size', 'number' FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_partkey, 'box.' || lower(p_type) || '.name', 'string' FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'box.tags', 'list' FROM part WHERE p_size % 2 = 0""")
 def schema_paths(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(p, f["type"]) for p, f in R.schema_paths(SCHEMA)], "path string, kind string")
-
-
-@query("SELECT * FROM (VALUES ('fine', ''), ('unknown', 'unknown field mana.max'), ('two', 'more than one connective'), ('deep', 'unknown field gold; AND holds no tree'), ('none', 'empty')) t(rule, errors)")
+    """Fields of schemas that are data: one a part, with names from its row; only even sizes have a box."""
+    field = lambda kind: F.struct(F.lit(kind).alias("type"))
+    of = lambda fields: F.to_variant_object(F.create_map(F.lit("type"), F.lit("object").cast("variant"), F.lit("fields"), F.to_variant_object(fields)))
+    plain = lambda x: F.to_variant_object(x)
+    tags = F.struct(F.lit("list").alias("type"), F.lit("string").alias("item_type"), F.struct(field("string").alias("no")).alias("fields"))
+    kind = F.lower("p_type")
+    box = of(F.create_map(F.lit("size"), plain(field("number")), F.lit("tags"), plain(tags), kind, of(F.create_map(F.lit("name"), plain(field("string"))))))
+    top = F.create_map(kind, plain(field("number")))
+    schema = F.to_json(F.to_variant_object(F.when(c("p_size") % 2 == 0, F.map_concat(top, F.create_map(F.lit("box"), box))).otherwise(top)))
+    return read(spark, d, "part").select("p_partkey", F.inline(X.schema_fields(schema)))
+
+
+def part_rules(spark: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, tree): rules that are data, one a part, with constants from its row; some aren't there or broken."""
+    size, price = c("p_size"), c("p_retailprice")
+
+    def leaf(field: str, op: str, value: Column | str | None = None, ref: str | None = None, **below: Column) -> Column:
+        """JSON text of a node."""
+        parts = [F.lit(f'{{"field": "{field}", "op": "{op}"')]
+        parts += [F.lit(', "value": '), value if isinstance(value, Column) else F.lit(value)] if ref is None else [F.lit(f', "ref": "{ref}"')]
+        for k, tree in below.items():
+            parts += [F.lit(f', "{k}": '), tree]
+        return F.concat(*parts, F.lit("}"))
+
+    few = leaf("line.quantity", "<", size.cast("string"))
+    shapes = [
+        F.lit(None).cast("string"),
+        leaf("line.quantity", "<", size.cast("string"), OR=leaf("line.price", ">", (price * 60).cast("string"))),
+        leaf("line.quantity", ">=", F.concat(F.lit('"'), size, F.lit('"')), AND=leaf("line.flag", "==", '"R"')),
+        F.concat(F.lit('{"NOT": '), leaf("line.flag", "in", F.concat(F.lit('["A", "'), "p_brand", F.lit('"]'))), F.lit("}")),
+        leaf("line.discount", ">", ref="line.tax", OR=leaf("line.status", "==", '"F"')),
+        leaf("gold.sum", ">", size.cast("string"), AND=few, OR=few),
+        leaf("quest.done", "==", "true"),
+        leaf("line.number", "in", F.concat(F.lit("["), size % 7, F.lit(", "), size % 5, F.lit("]")), AND=leaf("line.status", "matches", '"O"', OR=F.concat(F.lit('{"NOT": '), leaf("line.discount", ">=", "0.05"), F.lit("}")))),
+    ]
+    tree = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        tree = F.when(c("p_partkey") % len(shapes) == i, shape).otherwise(tree)
+    return read(spark, d, "part").select("p_partkey", tree.alias("tree"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'empty' WHEN 5 THEN 'unknown field gold.sum; more than one connective' WHEN 6 THEN 'unknown field quest.done' ELSE '' END AS errors FROM part""")
 def dq_expr_refs(spark: SparkSession, d: str) -> DataFrame:
-    """What is wrong with rules before they run."""
-    leaf = {"field": "k", "op": ">", "value": 1}
-    rules = {"fine": leaf | {"AND": {"field": "stats.hp", "op": "<", "ref": "k"}}, "unknown": {"field": "mana.max", "op": ">", "value": 1}, "two": leaf | {"AND": leaf, "OR": leaf}, "deep": {"NOT": {"field": "gold", "op": ">", "value": 0, "AND": [leaf]}}, "none": None}
-    return spark.createDataFrame([(name, "; ".join(R.tree_errors(t, set(SCHEMA)))) for name, t in rules.items()], "rule string, errors string")
+    """What is wrong with each rule of a table of them before it runs: roots that aren't fields of the schema, broken nodes."""
+    found = X.reference_errors(X.steps(c("tree")), F.array(F.lit("line")))
+    return part_rules(spark, d).select("p_partkey", F.array_join(found, "; ").alias("errors"))
 
 
 @query(STATE + " SELECT event_id, k, 'drop' AS item FROM s WHERE user_id % 2 = 0 AND (k > 95 OR (k <= 95 AND event_type = 'signup' AND false)) UNION ALL SELECT event_id, k, 'gift' FROM s WHERE user_id % 2 = 0 AND k <= 95 AND event_type = 'signup'")
@@ -135,16 +174,50 @@ def leaf_of(field: str) -> dict:
     return {"field": field, "op": ">", "value": 0}
 
 
-@query(STATE + " SELECT event_id FROM s WHERE event_type = 'click' OR (event_type = 'view' AND k < 20)")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 8 = 5 THEN 'more than one connective' END AS rule_error FROM lineitem JOIN part ON p_partkey = l_partkey WHERE CASE l_partkey % 8
+WHEN 0 THEN true WHEN 1 THEN l_quantity < p_size OR l_extendedprice > p_retailprice * 60 WHEN 2 THEN l_quantity >= p_size AND l_returnflag = 'R' WHEN 3 THEN l_returnflag NOT IN ('A', p_brand)
+WHEN 4 THEN l_discount > l_tax OR l_linestatus = 'F' WHEN 5 THEN true WHEN 6 THEN false ELSE l_linenumber IN (p_size % 7, p_size % 5) AND (contains(l_linestatus, 'O') OR NOT l_discount >= 0.05) END""")
 def filter_when_active(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of clicks have no rule and stay; those of views stay while k < 20; others' rule reads a field that isn't there."""
-    rules = {"click": None, "view": {"field": "k", "op": "<", "value": 20}}
-    missing = {"field": "quest.done", "op": "==", "value": True}
-    keeps = lambda t: F.lit(True) if t is None else R.compile_rule(t, c("state"))
-    ladder = F.when(F.lit(False), False)
-    for kind, tree in rules.items():
-        ladder = ladder.when(c("event_type") == kind, keeps(tree))
-    return states(spark, d).filter(ladder.otherwise(keeps(missing))).select("event_id")
+    """Facts stay while the rule of their part holds on their own state; a broken rule is told beside its facts."""
+    rules = part_rules(spark, d).withColumn("rule", F.when(c("tree").isNotNull(), X.steps(c("tree")))).drop("tree")
+    line = F.struct(
+        c("l_quantity").alias("quantity"), c("l_extendedprice").alias("price"), c("l_discount").alias("discount"), c("l_tax").alias("tax"), c("l_returnflag").alias("flag"), c("l_linestatus").alias("status"),
+        c("l_linenumber").alias("number"),
+    )
+    facts = read(spark, d, "lineitem").withColumn("state", F.to_json(F.struct(line.alias("line")))).join(rules, c("p_partkey") == c("l_partkey"))
+    return X.while_active(facts, "rule", "state").select("l_orderkey", "l_linenumber", "rule_error")
+
+
+@query(STATE + """, f AS (SELECT *, event_type IN ('click', 'view') AS a, k < 50 AS d FROM s)
+SELECT event_id, array_to_string(list_filter([CASE WHEN a THEN 'a' END, CASE WHEN a OR k = 9 THEN 'b' END, CASE WHEN CASE WHEN a THEN k = 9 ELSE true END THEN 'c' END, CASE WHEN d THEN 'd' END,
+CASE WHEN d THEN 'e' END, CASE WHEN NOT d THEN 'f' END, CASE WHEN k % 2 = 0 THEN 'g' END, CASE WHEN k % 2 = 0 THEN 'h' END], lambda x: x IS NOT NULL), '') AS active,
+CASE WHEN a THEN 9 ELSE k END::BIGINT AS health, CASE WHEN d THEN 9 ELSE -1 END::BIGINT AS h, CASE WHEN k % 2 = 0 THEN 7 ELSE 5 END::BIGINT AS hp,
+array_to_string(list_filter([CASE WHEN a THEN 'player' END, CASE WHEN d THEN 'p.h' END, CASE WHEN k % 2 = 0 THEN '123e4567-e89b-12d3-a456-426614174000.hp' END], lambda x: x IS NOT NULL), ',') AS changed FROM f""")
+def effects_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions that are data, in order, on the tree that those before them left: a whole object set is seen in its fields, a field in its object."""
+    entity, k = "123e4567-e89b-12d3-a456-426614174000", F.get_json_object("props", "$.k")
+    even = F.when(k.cast("long") % 2 == 0, "true").otherwise("false")
+    state = F.concat(F.lit('{"kind": "'), "event_type", F.lit('", "k": '), k, F.lit(', "even": '), even, F.lit(', "player": {"health": '), k, F.lit('}, "p": {"h": -1}, "entities": {"' + entity + '": {"hp": 5}}}'))
+
+    def condition(name: str, tree: str, path: str | None = None, op: str | None = None, value: str | None = None) -> Column:
+        return F.struct(*(F.lit(x).cast("string").alias(n) for n, x in (("id", name), ("tree", tree), ("path", path), ("op", op), ("value", value))))
+
+    conditions = F.array(
+        condition("a", '{"field": "kind", "op": "in", "value": ["click", "view"]}', "player", "set", '{"health": 9}'),
+        condition("b", '{"field": "player.health", "op": "==", "value": 9}'),
+        condition("c", '{"field": "player.health", "op": "==", "ref": "k"}'),
+        condition("broken", '{"field": "k", "AND": [1]}', "k", "set", "0"),
+        condition("d", '{"field": "k", "op": "<", "value": 50}', "p.h", "set", "9"),
+        condition("e", '{"field": "p", "op": "==", "value": {"h": 9.0}}'),
+        condition("f", '{"field": "p", "op": "==", "value": {"h": -1}}'),
+        condition("g", '{"field": "even", "op": "==", "value": true}', f"{entity}.hp", "increment", "2"),
+        condition("h", '{"field": "' + f"entities.{entity}" + '", "op": "==", "value": {"hp": 7}}'),
+    )
+    events = read(spark, d, "events")
+    scenarios = events.select(c("event_type").alias("scenario")).distinct().select("scenario", X.compiled(conditions).alias("conditions"))  # one a type of event
+    rows = X.with_conditions(events.select("event_id", "event_type", state.alias("state")).join(scenarios, c("scenario") == c("event_type")), "state", "conditions")
+    at = lambda path: F.get_json_object("after", path).cast("long")
+    return rows.select("event_id", F.array_join("active", "").alias("active"), at("$.player.health").alias("health"), at("$.p.h").alias("h"), at(f"$.entities['{entity}'].hp").alias("hp"), F.array_join("changed", ",").alias("changed"))
 
 
 @query(STATE + " SELECT event_id, (k + 5)::BIGINT::VARCHAR AS raised, CASE WHEN k + 5 > 80 THEN 'above_max' WHEN event_type = 'error' THEN 'frozen' END AS error FROM s")

@@ -144,14 +144,6 @@ def fn_parse_benchmark_ts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select(written.alias("written"), parsed.alias("parsed"), "event_id")
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'tense' WHEN 'purchase' THEN 'joyful' WHEN 'signup' THEN 'calm' ELSE 'neutral' END AS mood FROM events")
-def fn_mood_tag(spark: SparkSession, d: str) -> DataFrame:
-    """The tag in brackets at the start of a text, through a table of synonyms, else the default."""
-    tag = F.regexp_extract(F.concat(F.lit("["), "event_type", F.lit("] text")), r"^\[([a-z]+)\]", 1)
-    moods = F.create_map(*(F.lit(x) for x in ("error", "tense", "purchase", "joyful", "signup", "calm")))
-    return read(spark, d, "events").select("event_id", F.coalesce(F.try_element_at(moods, tag), F.lit("neutral")).alias("mood"))
-
-
 @query("SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(lower(text), '\\b(the|that|with|from)\\b'))) AS names FROM conversations WHERE regexp_matches(lower(text), '\\b(the|that|with|from)\\b')")
 def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Names found as whole words, the longest first in the pattern."""
