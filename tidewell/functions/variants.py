@@ -137,29 +137,39 @@ def _quoted(text: Column) -> Column:
 def _real(x: Column) -> Column:
     """The shortest text of a double: with a point between 1e-4 and 1e16, else with an exponent of two digits at least."""
     size = F.abs(x)
-    # A cast may give more digits than it takes to say which double it is.
-    tried = (F.format_string(f"%.{n}e", size) for n in (0, 14, 15))
-    text = F.coalesce(*(F.when(t.cast("double") == size, F.upper(F.replace(t, F.lit("e+"), F.lit("e")))) for t in tried), size.cast("string"))
-    digits = F.regexp_replace(F.regexp_extract(text, r"^([0-9.]+)", 1), r"\.0$", "")
-    power = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    # The digits without their point, and how many of them stand before it.
-    head, tail = F.substring_index(digits, ".", 1), F.when(F.contains(digits, F.lit(".")), F.substring_index(digits, ".", -1)).otherwise("")
-    bare = F.regexp_replace(F.concat(head, tail), "^0+(?=.)", "")
-    led = F.length(F.concat(head, tail)) - F.length(bare)
-    point = F.length(head) - led + power
-    trimmed = F.regexp_replace(bare, "0+$", "")
-    trimmed = F.when(trimmed == "", "0").otherwise(trimmed)
-    n = F.length(trimmed)
-    fixed = (
-        F.when(trimmed == "0", "0.0")
-        .when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), trimmed))
-        .when(point >= n, F.concat(F.rpad(trimmed, point, "0"), F.lit(".0")))
-        .otherwise(F.concat(F.substring(trimmed, F.lit(1), point), F.lit("."), F.substring(trimmed, point + 1, n)))
-    )
-    e = point - 1
-    mantissa = F.when(n == 1, trimmed).otherwise(F.concat(F.substring(trimmed, 1, 1), F.lit("."), F.substring(trimmed, F.lit(2), n)))
-    far = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), "0"))
-    return F.concat(F.when(x < 0, "-").otherwise(""), F.when((trimmed == "0") | ((e >= -4) & (e < 16)), fixed).otherwise(far))
+
+    def shortest(long: Column) -> Column:
+        # A cast may give more digits than it takes to say which double it is.
+        tried = (let(F.format_string(f"%.{n}e", size), lambda t: F.when(t.cast("double") == size, F.upper(F.replace(t, F.lit("e+"), F.lit("e"))))) for n in (0, 14, 15))
+        return F.when((F.length(long) < 16) & (size > 1e-300), long).otherwise(F.coalesce(*tried, long))
+
+    def split(text: Column) -> Column:
+        """The digits before and after the point, and the power of ten."""
+        digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+        power = F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
+        return let(digits, lambda d: F.struct(F.substring_index(d, ".", 1).alias("head"), F.when(F.contains(d, F.lit(".")), F.substring_index(d, ".", -1)).otherwise("").alias("tail"), power.alias("power")))
+
+    def bare(p: Column) -> Column:
+        """All digits without zeros at either end, and where the point stands among them."""
+        all_ = F.concat(p["head"], p["tail"])
+        led = F.regexp_replace(all_, "^0+(?=.)", "")
+        digits = F.regexp_replace(led, "(?<=.)0+$", "")
+        return F.struct(digits.alias("digits"), (F.length(p["head"]) - F.length(all_) + F.length(led) + p["power"]).alias("point"))
+
+    def written(b: Column) -> Column:
+        digits, point, n = b["digits"], b["point"], F.length(b["digits"])
+        e = point - 1
+        fixed = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= n, F.concat(F.rpad(digits, point, "0"), F.lit(".0")))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+        )
+        mantissa = F.when(n == 1, digits).otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n)))
+        far = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), "0"))
+        return F.when(digits == "0", "0.0").when((e >= -4) & (e < 16), fixed).otherwise(far)
+
+    text = let(size.cast("string"), shortest)
+    return F.concat(F.when(x < 0, "-").otherwise(""), let(let(let(text, split), bare), written))
 
 
 def canonical_json(value: Column) -> Column:
@@ -176,7 +186,7 @@ def canonical_json(value: Column) -> Column:
         digits = F.regexp_extract(kind, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int")
         whole = F.try_variant_get(x, "$", "string")
         found = F.when(kind == "STRING", _quoted(F.try_variant_get(x, "$", "string"))).when((kind == "BIGINT") | (digits > 18), whole)
-        return found.when(kind.isin("BOOLEAN", "VOID"), F.to_json(x)).otherwise(_real(F.try_variant_get(x, "$", "double")))
+        return found.when(kind.isin("BOOLEAN", "VOID"), F.to_json(x)).otherwise(let(F.try_variant_get(x, "$", "double"), _real))
 
     def listed(parts: Column, first: str, last: str) -> Column:
         """What is to be written between two brackets, the last first: parts are (text before, value) in order."""
@@ -187,12 +197,16 @@ def canonical_json(value: Column) -> Column:
         rest = F.slice(state["open"], F.lit(1), F.size(state["open"]) - 1)
 
         def looked(x: Column) -> Column:
-            kind = F.coalesce(F.schema_of_variant(x["value"]), F.lit("VOID"))
-            named = F.transform(F.array_sort(F.map_keys(members(x["value"]))), lambda k: of(F.concat(_quoted(k), F.lit(":")), F.try_element_at(members(x["value"]), k)))
+            named = let(members(x["value"]), lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: of(F.concat(_quoted(k), F.lit(":")), F.try_element_at(m, k))))
             ranged = F.transform(items(x["value"]), lambda v: of(F.lit(""), v))
-            below = F.coalesce(listed(named, "{", "}"), listed(ranged, "[", "]"))
-            text = F.concat(F.coalesce(x["text"], F.lit("")), F.when(x["value"].isNotNull() & below.isNull(), scalar(x["value"], kind)).otherwise(""))
-            return F.struct(F.concat(rest, F.coalesce(below, F.array().cast(f"array<{entry}>"))).alias("open"), F.array_append(state["found"], text).alias("found"))
+            below = F.when(x["value"].isNotNull(), F.coalesce(listed(named, "{", "}"), listed(ranged, "[", "]")))
+            own = let(F.coalesce(F.schema_of_variant(x["value"]), F.lit("VOID")), lambda kind: scalar(x["value"], kind))
+
+            def grown(inner: Column) -> Column:
+                text = F.concat(F.coalesce(x["text"], F.lit("")), F.when(x["value"].isNotNull() & inner.isNull(), own).otherwise(""))
+                return F.struct(F.concat(rest, F.coalesce(inner, F.array().cast(f"array<{entry}>"))).alias("open"), F.array_append(state["found"], text).alias("found"))
+
+            return let(below, grown)
 
         return F.when(F.size(state["open"]) == 0, state).otherwise(let(F.element_at(state["open"], -1), looked))
 

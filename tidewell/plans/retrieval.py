@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as T
 from tidewell.functions import vectors as V
+from tidewell.operators import nearest as N
 from tidewell.operators import retrieval as R
+from tidewell.operators import text_index as IX
 from tidewell.plans.facts import FACTS
 from tidewell.plans.registry import query, read
 
@@ -104,8 +107,6 @@ def _fused(spark: SparkSession, d: str, seeds: DataFrame | None = None) -> DataF
     """The candidates of both seeds, fused over four channels, each text once; an entity's boost falls with its candidates."""
     from pyspark.sql import Window
 
-    from tidewell.functions import text as T
-
     seeds = _seeds(spark, d) if seeds is None else seeds
     ids = [r["id"] for r in seeds.select("id").collect()]  # 2 K at most
     docs = read(spark, d, "documents").filter(c("doc_id").isin(ids)).select(c("doc_id").alias("k"), "source", F.coalesce("text", F.lit("")).alias("text"))
@@ -187,6 +188,47 @@ def _evaluate(embeddings: DataFrame, asked: str) -> DataFrame:
     return found.select("query", F.round("recall", 6).alias("recall"), "hit_at_k", F.round("precision", 6).alias("precision"), F.round("mrr", 6).alias("mrr"))
 
 
+SWEEP = [1, 3, 5, 60]
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS query, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_distance(a.e, b.e), 6), b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= {SWEEP[-1]}),
+g AS (SELECT label, count(*) - 1 AS gold FROM v GROUP BY 1)
+SELECT query, k, round(count(*) FILTER (hit AND rank <= k) / any_value(gold), 6) AS recall, (count(*) FILTER (hit AND rank <= k) > 0)::INT AS hit_at_k, round(count(*) FILTER (hit AND rank <= k) / k, 6) AS precision,
+round(coalesce(1 / min(rank) FILTER (hit), 0), 6) AS mrr FROM p JOIN v ON v.vec_id = query JOIN g USING (label), (VALUES {", ".join(f"({k})" for k in SWEEP)}) s(k) GROUP BY query, k""")
+def eval_retrieval_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Recall, hit, precision and reciprocal rank at 1, 3, 5 and 60 of every twentieth vector against all, by blocks; gold is the label."""
+    v = read(spark, d, "embeddings")
+    ranked = N.nearest(v.filter("vec_id % 20 = 0"), v, SWEEP[-1], 64, with_self=False)
+    label = v.select(c("vec_id").alias("id"), c("label").alias("found"))
+    asked = v.filter("vec_id % 20 = 0").select(c("vec_id").alias("question"), "label")
+    judged = ranked.join(label, "id").join(asked, "question").select("question", "rank", (c("found") == c("label")).alias("hit"))
+    gold = asked.join(v.groupBy("label").agg((F.count("*") - 1).alias("gold")), "label").select("question", "gold")
+    found = N.metrics_at(judged, gold, SWEEP)
+    return found.select(c("question").alias("query"), "k", F.round("recall", 6).alias("recall"), c("hit").alias("hit_at_k"), F.round("precision", 6).alias("precision"), F.round("mrr", 6).alias("mrr"))
+
+
+_Q = r"""q AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM benchmark),
+said AS (SELECT item_id, 0 AS part, w[1:3] AS words FROM q UNION ALL SELECT item_id, 1, w[5:5] FROM q UNION ALL SELECT item_id, 2, w[6:7] FROM q)"""
+_STOPS = ", ".join(f"'{w}'" for w in IX.STOP_WORDS)
+
+
+@query(rf"""WITH {_Q}, t AS (SELECT item_id, part, unnest(words) AS word, unnest(range(len(words))) AS spot FROM said), wanted AS (SELECT item_id, part, spot, lower(word) AS word FROM t WHERE lower(word) NOT IN ({_STOPS})),
+terms AS (SELECT *, {IX.sql_stem("word")} AS term, count(*) OVER p AS size, min(spot) OVER p AS low, max(spot) OVER p AS high FROM wanted WINDOW p AS (PARTITION BY item_id, part)),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents), tok AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+idx AS (SELECT doc_id, pos, {IX.sql_stem("word")} AS term FROM tok WHERE word NOT IN ({_STOPS})),
+met AS (SELECT item_id, part, doc_id, pos - spot AS start, any_value(high - low + 1 - size) AS noise FROM terms JOIN idx USING (term) GROUP BY item_id, part, doc_id, pos - spot, size HAVING count(*) = size),
+r AS (SELECT item_id, doc_id, round(sum(0.1::DOUBLE / (1 + noise)), 6) AS r FROM met GROUP BY 1, 2)
+SELECT item_id, doc_id AS id, round(r / (1 + r), 6) AS keyword_score, row_number() OVER (PARTITION BY item_id ORDER BY r DESC, doc_id) AS keyword_rank FROM r QUALIFY keyword_rank <= {K}""")
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """Many questions at once over a positional index: of each benchmark passage a phrase, a word and another phrase, joined by OR."""
+    w = F.regexp_extract_all("text", F.lit(IX.WORD), F.lit(0))
+    phrases = F.array(*(F.array_join(F.slice(w, at, n), " ") for at, n in ((1, 3), (5, 1), (6, 2))))
+    questions = read(spark, d, "benchmark").select("item_id", T.web_query(phrases).alias("query"))
+    index = IX.postings(read(spark, d, "documents"))
+    return IX.search(index, questions, K, "item_id", "query").withColumnRenamed("question", "item_id")
+
+
 @query("SELECT string_agg('[' || turn || ' | ' || role || ']: ' || left(text, 20), chr(10) ORDER BY turn) AS context, conv_id FROM conversations GROUP BY conv_id")
 def reader_context(spark: SparkSession, d: str) -> DataFrame:
     """The start of each turn."""
