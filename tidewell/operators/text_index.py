@@ -8,6 +8,8 @@ that are moved by their place in the phrase; nothing reads the texts again.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,12 +69,22 @@ def store(index: DataFrame, path: str) -> None:
     index.repartitionByRange(parts, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
+def kept(index: DataFrame) -> DataFrame:
+    """The index stored in the folder that the cluster shares (spark.checkpoint.dir), for one search; the index itself where none is named."""
+    base = index.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return index
+    path = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    store(index, path)
+    return load(index.sparkSession, path)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 def parsed(questions: DataFrame, question: str, query: str, buckets: int = BUCKETS) -> DataFrame:
-    """(question, branch, positive, part, negative, size, first, span, at, term, bucket): a row for each term of a question.
+    """(question, branch, positive, alone, part, negative, size, first, span, at, term, bucket): a row for each term of a question.
 
     OR ends a branch; the parts of a branch must all be met, those after - must not. Stop words go, and parts of nothing
     else; a branch of negative parts only is met nowhere.
@@ -92,9 +104,9 @@ def parsed(questions: DataFrame, question: str, query: str, buckets: int = BUCKE
     rows = questions.select(F.col(question).alias("question"), F.posexplode(F.aggregate(said, F.array(none), step)).alias("branch", "said"))
     rows = rows.withColumn("parts", F.filter(F.transform("said", read), lambda p: F.size(p["terms"]) > 0)).drop("said")
     rows = rows.withColumn("positive", F.size(F.filter("parts", lambda p: ~p["negative"]))).filter("positive > 0")
-    rows = rows.select("question", "branch", "positive", F.posexplode("parts").alias("part", "p"))
+    rows = rows.select("question", "branch", "positive", (F.size("parts") == 1).alias("alone"), F.posexplode("parts").alias("part", "p"))
     first, last = F.element_at("p.terms", 1)["at"], F.element_at("p.terms", -1)["at"]
-    rows = rows.select("question", "branch", "positive", "part", "p.negative", F.size("p.terms").alias("size"), first.alias("first"), (last - first).alias("span"), F.explode("p.terms").alias("t"))
+    rows = rows.select("question", "branch", "positive", "alone", "part", "p.negative", F.size("p.terms").alias("size"), first.alias("first"), (last - first).alias("span"), F.explode("p.terms").alias("t"))
     return rows.select("*", "t.at", "t.term", _bucket(F.col("t.term"), buckets).alias("bucket")).drop("t")
 
 
@@ -127,15 +139,19 @@ def search(index: DataFrame, questions: DataFrame, k: int, question: str = "ques
     of no terms, or null, finds nothing.
     """
     wanted = parsed(questions, question, query, buckets)
-    hits = wanted.join(index, ["bucket", "term"]).withColumn("moved", F.transform("positions", lambda p: p - F.col("at")))
-    keys = ["question", "branch", "positive", "part", "negative", "size", "first", "span", "id"]
-    met = hits.groupBy(*keys).agg(F.collect_list("moved").alias("lists")).filter(F.size("lists") == F.col("size"))
+    keys = ["question", "branch", "positive", "alone", "part", "negative", "size", "first", "span", "id"]
+    words = wanted.filter("size = 1").join(index, ["bucket", "term"]).select(*keys, F.col("positions").alias("starts"))
+    hits = wanted.filter("size > 1").join(index, ["bucket", "term"]).withColumn("moved", F.transform("positions", lambda p: p - F.col("at")))
+    phrases = hits.groupBy(*keys).agg(F.collect_list("moved").alias("lists")).filter(F.size("lists") == F.col("size"))
     starts = F.aggregate(F.slice("lists", 2, F.size("lists")), F.element_at("lists", 1), F.array_intersect)
-    met = met.withColumn("starts", F.transform(starts, lambda s: s + F.col("first"))).filter(F.size("starts") > 0)
+    phrases = phrases.select(*keys, F.transform(starts, lambda s: s + F.col("first")).alias("starts")).filter(F.size("starts") > 0)
+    met = words.unionByName(phrases)
+    # A branch of one part is met wherever the part is; only other branches have to be put together.
+    alone = met.filter("alone").select("question", "id", (F.size("starts") * (PLACE / (2 + F.col("span") - F.col("size")))).alias("r"))
     part = F.when(~F.col("negative"), F.struct("part", "starts", "span", "size"))
-    branches = met.groupBy("question", "branch", "positive", "id").agg(F.collect_list(part).alias("parts"), F.bool_or("negative").alias("spoiled"))
-    branches = branches.filter(~F.col("spoiled") & (F.size("parts") == F.col("positive")))
-    ranks = branches.groupBy("question", "id").agg(F.round(F.sum(_windows(F.col("parts"), F.col("positive"))), 6).alias("r"))
+    branches = met.filter("not alone").groupBy("question", "branch", "positive", "id").agg(F.collect_list(part).alias("parts"), F.bool_or("negative").alias("spoiled"))
+    branches = branches.filter(~F.col("spoiled") & (F.size("parts") == F.col("positive"))).select("question", "id", _windows(F.col("parts"), F.col("positive")).alias("r"))
+    ranks = alone.unionByName(branches).groupBy("question", "id").agg(F.round(F.sum("r"), 6).alias("r"))
     order = Window.partitionBy("question").orderBy(F.desc("r"), "id")  # limited before the shuffle, as only k of each are asked for
     best = ranks.withColumn("keyword_rank", F.row_number().over(order)).filter(F.col("keyword_rank") <= k)
     return best.select("question", "id", F.round(F.col("r") / (1 + F.col("r")), 6).alias("keyword_score"), F.col("keyword_rank").cast("long").alias("keyword_rank"))

@@ -225,7 +225,7 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     w = F.regexp_extract_all("text", F.lit(IX.WORD), F.lit(0))
     phrases = F.array(*(F.array_join(F.slice(w, at, n), " ") for at, n in ((1, 3), (5, 1), (6, 2))))
     questions = read(spark, d, "benchmark").select("item_id", T.web_query(phrases).alias("query"))
-    index = IX.postings(read(spark, d, "documents"))
+    index = IX.kept(IX.postings(read(spark, d, "documents")))  # each of its terms' buckets is read for words and for phrases
     return IX.search(index, questions, K, "item_id", "query").withColumnRenamed("question", "item_id")
 
 
