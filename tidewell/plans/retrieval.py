@@ -35,6 +35,12 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return R.seeds(semantic, R.keyword_top_k(read(spark, d, "documents"), TERMS, K))
 
 
+def _once(seeds: DataFrame) -> tuple[DataFrame, list]:
+    """The seeds, 2 K rows at most, as rows that are there, and their ids: both channels run once."""
+    rows = seeds.collect()
+    return seeds.sparkSession.createDataFrame(rows, seeds.schema), [r["id"] for r in rows]
+
+
 @query(f"WITH {SEM} SELECT * FROM sem")
 def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.semantic_top_k(read(spark, d, "embeddings"), _query_vector(spark, d), K)
@@ -55,8 +61,7 @@ u AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN trim(text) = '' THEN i
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM u WHERE n = 1 QUALIFY rank <= 20""")
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Both channels fused by reciprocal ranks, texts once each, the best twenty."""
-    seeds = _seeds(spark, d)
-    ids = [r["id"] for r in seeds.select("id").collect()]  # 2 K at most; the scan of texts then skips what has none of them
+    seeds, ids = _once(_seeds(spark, d))  # the scan of texts then skips what has none of them
     texts = read(spark, d, "documents").filter(c("doc_id").isin(ids)).select(c("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     rows = seeds.join(F.broadcast(texts), c("k") == c("id"), "left").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("score", R.rrf(c("semantic_rank"), c("keyword_rank")))
@@ -107,8 +112,7 @@ def _fused(spark: SparkSession, d: str, seeds: DataFrame | None = None) -> DataF
     """The candidates of both seeds, fused over four channels, each text once; an entity's boost falls with its candidates."""
     from pyspark.sql import Window
 
-    seeds = _seeds(spark, d) if seeds is None else seeds
-    ids = [r["id"] for r in seeds.select("id").collect()]  # 2 K at most
+    seeds, ids = _once(_seeds(spark, d) if seeds is None else seeds)
     docs = read(spark, d, "documents").filter(c("doc_id").isin(ids)).select(c("doc_id").alias("k"), "source", F.coalesce("text", F.lit("")).alias("text"))
     st = _paths(spark, d).select(c("l_orderkey").alias("f"), F.round(R.structural(c("hops"), c("paths")), 6).alias("structural"))
     rows = seeds.join(st, c("f") == c("id"), "left").withColumn("structural", F.coalesce("structural", F.lit(0.0))).join(docs, c("k") == c("id"), "left").withColumn("text", F.coalesce("text", F.lit("")))
