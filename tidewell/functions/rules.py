@@ -76,7 +76,7 @@ class Value:
     """A value of the state, or a literal, with its type."""
 
     def __init__(self, raw: Column, scalar: bool = False):
-        self.raw, self.scalar = raw, scalar
+        self.raw, self.scalar, self.flat = raw, scalar, False
         self.kind = F.coalesce(F.schema_of_variant(raw), F.lit("VOID"))
         self.is_null = self.kind == "VOID"
         self.is_text = self.kind == "STRING"
@@ -93,7 +93,9 @@ class Value:
 
     @classmethod
     def of(cls, value) -> Value:
-        return cls(F.parse_json(F.lit(json.dumps(value))), not isinstance(value, (list, dict)))
+        x = cls(F.parse_json(F.lit(json.dumps(value))), not isinstance(value, (list, dict)))
+        x.flat = isinstance(value, list) and not any(isinstance(v, (list, dict)) for v in value)
+        return x
 
     @staticmethod
     def known(raw: Column) -> Column:
@@ -111,7 +113,7 @@ class Value:
 
     def holds(self, other: Value) -> Column:
         """Whether other is one of the items of this list."""
-        return F.coalesce(F.exists(self.items, lambda i: Value(i).equals(other)), F.lit(False))
+        return F.coalesce(F.exists(self.items, lambda i: Value(i, self.flat).equals(other)), F.lit(False))
 
     def numeral(self) -> Column:
         """What can be read as a number; else null."""
@@ -123,7 +125,8 @@ class Known(Value):
     """A value from a struct of Value.known(), whose parts aren't worked out again."""
 
     def __init__(self, x: Column):
-        self.scalar, self.raw, self.kind, self.text, self.number = False, x["raw"], x["kind"], x["text"], x["number"]
+        self.scalar, self.flat = False, False
+        self.raw, self.kind, self.text, self.number = x["raw"], x["kind"], x["text"], x["number"]
         self.is_null, self.is_text, self.is_number = self.kind == "VOID", self.kind == "STRING", x["number"].isNotNull()
         self.items = F.try_variant_get(self.raw, "$", "array<variant>")
 
