@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
-from tidewell.functions import vectors as V
+from tidewell.operators.similar import best_of, near_pairs
 
-NEAR, SHORTLIST = 0.75, 5
+NEAR, SHORTLIST, DIMENSIONS = 0.75, 5, 64
 
 
 def stable(canonical: Column) -> Column:
@@ -53,16 +53,16 @@ def nicknames(mentions: DataFrame, registry: DataFrame, groups: list[list[str]])
     return a.join(b, ["context", "g"]).filter("own <> canonical").select("mention", "entity").distinct()
 
 
-def embedded(mentions: DataFrame, registry: DataFrame, near: float = NEAR, most: int = SHORTLIST) -> DataFrame:
+def embedded(mentions: DataFrame, registry: DataFrame, near: float = NEAR, most: int = SHORTLIST, dimensions: int = DIMENSIONS) -> DataFrame:
     """(mention, entity, similarity): entities of the context with a cosine of near or more; those of the mention's kind first, the best five.
 
-    Both sides have an embedding (array<double>) and a kind. Vectors meet within a context only.
+    Both sides have an embedding (array<double>) of the same length and a kind. Vectors meet within a context only, in
+    the cells around pivots that can hold a near one.
     """
-    a = mentions.select("mention", "context", F.col("kind").alias("mk"), F.col("embedding").alias("me"))
-    b = registry.select("entity", "context", "kind", "embedding")
-    rows = a.join(b, "context").withColumn("similarity", F.round(V.cosine(F.col("me"), F.col("embedding")), 6)).filter(F.col("similarity") >= near)
-    order = Window.partitionBy("mention").orderBy((F.col("mk") == F.col("kind")).desc(), F.desc("similarity"), "entity")
-    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).select("mention", "entity", "similarity")
+    sides = [df.select(F.col(key).alias("id"), "context", F.col("embedding").alias("v")) for df, key in ((mentions, "mention"), (registry, "entity"))]
+    pairs = near_pairs(*sides, near, dimensions).withColumnsRenamed({"question": "mention", "id": "entity"})
+    kinds = pairs.join(mentions.select("mention", F.col("kind").alias("mk")), "mention").join(registry.select("entity", "kind"), "entity")
+    return best_of(kinds, "mention", [F.col("mk").eqNullSafe(F.col("kind")).desc(), F.desc("similarity"), F.col("entity")], most).select("mention", "entity", "similarity")
 
 
 def shortlist(mentions: DataFrame, registry: DataFrame, groups: list[list[str]], near: float = NEAR) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import rules as R
 from tidewell.functions import vectors as V
 from tidewell.operators import lifecycle as L
+from tidewell.operators.similar import near_pairs
 from tidewell.plans.registry import query, read
 
 c = F.col
@@ -84,10 +85,9 @@ def compensate(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.vec_id AS fresh, b.vec_id AS prior FROM v a JOIN v b USING (label) WHERE a.vec_id % 20 = 0 AND b.vec_id < a.vec_id AND round(list_inner_product(a.e, b.e), 6) >= 0.15""")
 def supersession_prefilter(spark: SparkSession, d: str) -> DataFrame:
     """Prior facts of the same subject that are near enough to a fresh one to be asked about: a dot product of 0.15."""
-    v = read(spark, d, "embeddings").select("vec_id", "label", V.doubles(c("embedding")).alias("e"))
-    fresh = v.filter("vec_id % 20 = 0").select(c("vec_id").alias("fresh"), "label", c("e").alias("q"))
-    rows = fresh.join(v.withColumnRenamed("vec_id", "prior"), "label").filter("prior < fresh")
-    return rows.filter(F.round(V.dot(c("q"), c("e")), 6) >= 0.15).select("fresh", "prior")
+    v = read(spark, d, "embeddings").select(c("vec_id").alias("id"), c("label").alias("context"), V.doubles(c("embedding")).alias("v"))
+    near = near_pairs(v.filter("id % 20 = 0"), v, 0.15, 64, plain=True).filter("id < question")
+    return near.select(c("question").alias("fresh"), c("id").alias("prior"))
 
 
 @query("""WITH f AS (SELECT event_id, user_id, event_type, ts, value, event_id % 4 = 0 AS gone FROM events), n AS (SELECT * FROM f WHERE event_id % 10 = 0)
