@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 
 def stored_ids(spark: SparkSession, folder: str) -> DataFrame | None:
-    """(key, id) of all feeds so far; None before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema("key string, id long").parquet(f"{folder}/*") if there else None
+    """(key, id) of all feeds that were stored wholly; None where there is none."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")
+    done = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    feeds = [d.getPath().getParent().toString() for d in done or []]
+    return spark.read.schema("key string, id long").parquet(*feeds) if feeds else None
 
 
 def numbered(keys: DataFrame, first: int) -> DataFrame:
@@ -37,18 +38,14 @@ def allocate(feed: DataFrame, folder: str) -> DataFrame:
     """(key, id) of each distinct key of feed(key); new keys get ids, which are stored in the shared folder.
 
     Null keys have no id. One feed is taken at a time; a feed that is sent again, or that broke off, gives no key a second id,
-    as what a feed adds is one table that is there wholly or not at all.
+    as tables of feeds that broke off are not read.
     """
     spark = feed.sparkSession
     keys = feed.select(F.col("key").cast("string").alias("key")).filter("key is not null").distinct()
     known = stored_ids(spark, folder)
-    if known is None:
-        fresh, first = keys, 0
-    else:
-        fresh = keys.join(known, "key", "left_anti")
-        first = (known.agg(F.max("id")).first()[0] or -1) + 1 if known.limit(1).count() else 0
-    target = f"{folder}/feed-{uuid.uuid4().hex}"
-    numbered(fresh, first).write.parquet(f"{folder}.new/{uuid.uuid4().hex}" if False else target)
+    last = known.agg(F.max("id")).first()[0] if known is not None else None
+    fresh = keys.join(known, "key", "left_anti") if known is not None else keys
+    numbered(fresh, 0 if last is None else last + 1).write.parquet(f"{folder}/feed-{uuid.uuid4().hex}")
     return keys.join(stored_ids(spark, folder), "key")
 
 
