@@ -178,16 +178,29 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = 0.25) -> Dat
 
     def prefixed(df: DataFrame) -> DataFrame:
         ranked = df.select("name", F.explode("grams").alias("g")).join(often, "g").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("o"))
-        ordered = ranked.select("name", F.transform("o", lambda s: s.g).alias("grams"))
+        ordered = ranked.select("name", F.transform("o", lambda s: _code(s.g)).alias("grams"))
         n = F.size("grams")
-        return ordered.withColumn("first", F.slice("grams", F.lit(1), (n - F.ceil(least * n - 1e-9) + 1).cast("int")))
-
-    x = prefixed(a).select(F.col("name").alias("left"), F.col("grams").alias("lg"), F.col("first").alias("lf"), F.explode("first").alias("g"))
-    y = prefixed(b).select(F.col("name").alias("right"), F.col("grams").alias("rg"), F.col("first").alias("rf"), F.explode("first").alias("g"))
-    sizes = (F.size("lg") >= least * F.size("rg") - 1e-9) & (F.size("rg") >= least * F.size("lg") - 1e-9)
+        first = F.slice("grams", F.lit(1), (n - F.ceil(least * n - 1e-9) + 1).cast("int"))
+        return ordered.withColumn("first", first).select("name", "grams", "first", F.posexplode("first").alias("at", "g"))
+
+    x = prefixed(a).select(F.col("name").alias("left"), F.col("grams").alias("lg"), F.col("first").alias("lf"), F.col("at").alias("la"), "g")
+    y = prefixed(b).select(F.col("name").alias("right"), F.col("grams").alias("rg"), F.col("first").alias("rf"), F.col("at").alias("ra"), "g")
+    n, m = F.size("lg"), F.size("rg")
+    # Where a pair shares its first trigram, what stands behind it on either side bounds what else they can share.
+    enough = F.least(n - F.col("la"), m - F.col("ra")) >= least / (1 + least) * (n + m) - 1e-9
+    sizes = (n >= least * m - 1e-9) & (m >= least * n - 1e-9)
     once = F.element_at(F.array_intersect("lf", "rf"), 1) == F.col("g")  # of the trigrams that a pair meets at, the rarest
-    found = x.join(y, "g").filter(sizes).filter(once)
-    return found.select("left", "right", T.jaccard(F.col("lg"), F.col("rg")).alias("similarity")).filter(F.col("similarity") >= least)
+    met = x.join(y, "g").filter(sizes & enough)
+    both = F.size(F.array_intersect("lg", "rg"))
+    found = met.filter(once).select("left", "right", (n + m).alias("total"), both.alias("both"))
+    similarity = F.col("both") / (F.col("total") - F.col("both"))
+    return found.select("left", "right", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def _code(gram: Column) -> Column:
+    """A trigram's three code points as one number."""
+    point = lambda i: F.ascii(F.substring(gram, i, 1)).cast("long")
+    return point(1) * (1 << 42) + point(2) * (1 << 21) + point(3)
 
 
 def best_of(pairs: DataFrame, question: str, order: list[Column], most: int) -> DataFrame:
