@@ -49,6 +49,44 @@ def benchmark_sessions(payloads: DataFrame) -> DataFrame:
     return rows.filter("t.content <> ''").select("question_id", F.concat("session_id", F.lit("#"), "at").alias("session_id"), "occurred_at", "turn", "t.role", "t.content")
 
 
+def benchmark_records(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected with reason) of benchmark instances, one a row; see benchmark_sessions for their columns.
+
+    Sessions go by their date, then by their place in the instance, inside the row. A record has record_id, session_id (with
+    the place), place (from 0 over the instance's turns that say something), occurred_at (UTC), source_index, turn_index, role, content
+    and skipped: how many empty turns the instance has. One fault rejects the whole instance: no id, lists of other lengths
+    or none, a blank session id, a date that isn't `yyyy/MM/dd (EEE) HH:mm`, a turn without content or of another role than user
+    and assistant, or no turn that says anything. Extra columns go; repeated instances give repeated records.
+    """
+    ids, dates, turns = (F.col(f"haystack_{name}") for name in ("session_ids", "dates", "sessions"))
+    time = lambda d: F.try_to_timestamp(F.regexp_replace(d, r" \([A-Za-z]{3}\) ", " "), F.lit("yyyy/MM/dd HH:mm"))
+    session = lambda s, i: F.struct(
+        time(s["haystack_dates"]).alias("at"), i.alias("index"), F.concat(s["haystack_session_ids"], F.lit(":source-"), F.format_string("%04d", i)).alias("id"),
+        F.transform(s["haystack_sessions"], lambda t, n: F.struct(n.alias("n"), t["role"].alias("role"), t["content"].alias("content"))).alias("turns"),
+    )
+    blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
+    said = F.flatten(turns)
+    sound_turn = lambda t: F.coalesce(t["role"].isin("user", "assistant"), F.lit(False)) & ((t["content"] == "") | ~blank(t["content"]))
+    shape = r"^\d{4}/\d{2}/\d{2} \([A-Za-z]{3}\) \d{2}:\d{2}$"
+    reason = (
+        F.when(blank(F.col("question_id")), "no_question_id")
+        .when(ids.isNull() | dates.isNull() | turns.isNull() | (F.size(ids) != F.size(dates)) | (F.size(dates) != F.size(turns)), "lengths")
+        .when(F.exists(ids, blank), "no_session_id")
+        .when(F.exists(dates, lambda d: ~F.coalesce(d.rlike(shape), F.lit(False)) | time(d).isNull()), "date")
+        .when(said.isNull() | F.exists(said, lambda t: ~F.coalesce(sound_turn(t), F.lit(False))), "turn")
+        .when(~F.exists(said, lambda t: t["content"] != ""), "no_turns")
+    )
+    rows = payloads.withColumn("reason", reason)
+    sessions = F.array_sort(F.transform(F.arrays_zip("haystack_session_ids", "haystack_dates", "haystack_sessions"), session))
+    each = F.flatten(F.transform(sessions, lambda s: F.transform(s["turns"], lambda t: F.struct(s["id"].alias("session_id"), s["at"].alias("occurred_at"), s["index"].alias("source_index"), t.alias("t")))))
+    good = rows.filter("reason is null").select("question_id", each.alias("all"))
+    kept = F.filter("all", lambda r: r["t"]["content"] != "")
+    good = good.select("question_id", (F.size("all") - F.size(kept)).alias("skipped"), F.posexplode(kept).alias("place", "r"))
+    record_id = F.concat("r.session_id", F.lit(":turn-"), F.format_string("%04d", F.col("r.t.n")))
+    good = good.select("question_id", record_id.alias("record_id"), "r.session_id", "place", "r.occurred_at", "r.source_index", F.col("r.t.n").alias("turn_index"), "r.t.role", "r.t.content", "skipped")
+    return good, rows.filter("reason is not null").select("question_id", "reason")
+
+
 def parsed_batches(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(records, rejected with reason) of JSON records, one a line; an id that several sound records have rejects them all."""
     rows = lines.select(F.col(column).alias("raw"), F.from_json(column, RECORD).alias("r"), F.json_object_keys(column).alias("keys"))
