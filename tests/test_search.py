@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,42 @@ def test_metrics_at(spark):
     found = {(r.question, r.k): tuple(r)[2:] for r in N.metrics_at(ranked, gold, [1, 2, 3]).collect()}
     assert found[1, 1] == (0.0, 0, 0.0, 0.5) and found[1, 2] == (0.25, 1, 0.5, 0.5) and found[1, 3] == (0.5, 1, 2 / 3, 0.5)
     assert found[2, 3] == (0.0, 0, 0.0, 0.0) and found[3, 1] == (0.0, 0, 0.0, 0.0) and len(found) == 9
+
+
+def odd_vectors(spark, path):
+    """Vectors of which some have no cosine, and labels that are rare, lone or missing."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (300, 64)).astype(float)
+    rows = [(i, [None, "lone", "rare", *"abc"][0 if i == 40 else 1 if i == 20 else 2 if i in (60, 299) else 3 + i % 3], v.tolist()) for i, v in enumerate(x)]
+    x[60] = 1.0
+    rows[60], rows[299] = (60, "rare", [1.0] * 64), (299, "rare", [-1.0] * 64)  # the only one of its label lies behind all others
+    rows[80], rows[81], rows[100], rows[101] = (80, "a", [0.0] * 64), (81, "a", [0.0] * 64), (100, "b", None), (101, "b", None)
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").repartition(5).write.parquet(f"{path}/embeddings.parquet")
+
+
+def test_evaluation_with_odd_vectors(spark, duck, tmp_path):
+    from conftest import rows
+    from tidewell.plans import catalog
+
+    odd_vectors(spark, tmp_path)
+    con = duck.cursor()
+    con.execute("CREATE SCHEMA odd; USE odd")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = catalog.QUERIES["eval_retrieval_twentieth"](spark, str(tmp_path)).toArrow()
+    assert rows(found) == rows(con.sql(catalog.SQL["eval_retrieval_twentieth"]).to_arrow_table())
+    assert {r["query"]: r["mrr"] for r in found.to_pylist()}[60] < 1 / 250
+
+
+def test_vectors_meet_by_parts(spark):
+    v = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    plan = N.nearest(v.filter("vec_id % 20 = 0"), v, 3, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan  # which would pack the vectors again for each task of questions
+
+
+def test_finds_of_a_block_are_one_batch():
+    unit = np.eye(4)
+    block = lambda *ids: [pa.array([list(ids)], pa.list_(pa.int64()))]
+    raw = pa.array([unit.tobytes()], pa.binary())
+    pair = lambda at: pa.RecordBatch.from_arrays(block(0, 1, 2, 3) + block(0, 0, 0, 0) + [pa.array([[0.0] * 4]), raw] + block(*range(at, at + 4)) + block(0, 0, 0, 0) + [raw], ["asked", "wanted", "edges", "q", "ids", "codes", "vectors"])
+    found = list(N._products(4, 2, True, False)(pair(10 * i) for i in range(5)))
+    assert len(found) == 1 and found[0].column("top").to_pylist()[1] == [{"distance": 0.0, "id": 1}, {"distance": 0.0, "id": 11}]

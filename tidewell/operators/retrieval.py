@@ -1,4 +1,4 @@
-"""Hybrid retrieval: vector and keyword channels, graph paths, rank fusion, abstention, evaluation."""
+"""Hybrid retrieval: vector and keyword channels, graph paths, rank fusion, abstention."""
 
 from __future__ import annotations
 
@@ -90,21 +90,6 @@ def entity_paths(edges: DataFrame, fact: str, entity: str, seeds_: DataFrame, ar
     return found.select(F.col("f").alias(fact), "hops", "paths")
 
 
-def retrieval_metrics(pairs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """pairs(query, id, distance, hit) and gold(query, gold): recall, hit, precision at k and the reciprocal rank of each query.
-
-    Only the k nearest of a query are put in order; the rank of its first hit is counted.
-    """
-    place = F.struct("distance", "id")
-    top = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).filter(F.col("rank") <= k)
-    hits = top.groupBy("query").agg(F.count_if("hit").alias("hits"))
-    first = pairs.filter("hit").groupBy(F.col("query").alias("q")).agg(F.min(place).alias("first"))
-    rank = pairs.join(F.broadcast(first), F.col("q") == F.col("query")).filter(place <= F.col("first")).groupBy("query").agg(F.count("*").alias("rank"))
-    found = gold.join(hits, "query").join(rank, "query", "left")
-    hits = F.col("hits")
-    return found.select("query", (hits / F.col("gold")).alias("recall"), (hits > 0).cast("int").alias("hit_at_k"), (hits / k).alias("precision"), F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("mrr"))
-
-
 RELATED = "[related facts from the same conversation turns]:"
 
 
