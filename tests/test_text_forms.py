@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
@@ -36,6 +37,14 @@ def test_canonical_json_is_sorted_compact_ascii(spark):
     assert spark.range(1).select(V.canonical_json(F.lit(None).cast("variant"))).first()[0] is None
 
 
+def test_payload_hash_is_of_the_text_itself(spark):
+    texts = ["[-0.0, 12345678901234567890.0]", ' {"b": 1e2, "a": [1, 1.0]}', None]
+    wanted = [t and hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")).encode()).hexdigest() for t in texts]
+    assert [r.h for r in spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1).select(T.payload_hash(F.col("s")).alias("h")).collect()] == wanted
+    with pytest.raises(Exception, match="NaN is no JSON"):
+        spark.range(1).select(T.payload_hash(F.concat(F.lit("[NaN, "), "id", F.lit("]")))).collect()
+
+
 def test_opening_tags(spark):
     told = {
         "[mood: tension] Go.": ("tension", "Go.", True), "  **[ MOOD : Victory ]**\n\nGo.": ("triumph", "Go.", True), "mood: sad\nGo": ("melancholy", "Go", True), "Mood: calm": (None, "Mood: calm", False),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidewell.functions.variants import canonical_json, json_value, let
+from tidewell.functions.variants import json_value, let
 
 # Phrases that ask for a count, and for a duration.
 COUNT_QUESTION = (
@@ -132,9 +135,31 @@ def web_query(terms: Column) -> Column:
     return F.array_join(quoted, " OR ")
 
 
+def _digest(text: str | None) -> str | None:
+    if text is None:
+        return None
+    value, _ = _DECODER.raw_decode(text.lstrip(" \t\n\r"))
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+_DECODER = json.JSONDecoder(parse_constant=_no_number)
+
+
+@F.arrow_udf(StringType())
+def _digests(texts: pa.Array) -> pa.Array:
+    return pa.array([_digest(t) for t in texts.to_pylist()], pa.string())
+
+
 def payload_hash(payload: Column) -> Column:
-    """SHA-256 of JSON text in one form (see canonical_json), so that neither the order of keys nor white space counts."""
-    return F.sha2(canonical_json(F.parse_json(payload)), 256)
+    """SHA-256 of JSON text in one form, so that neither the order of keys nor white space counts: keys sorted, no white space, ASCII only.
+
+    It is the form of canonical_json, but of the text itself: long numbers and the sign of zero keep their kind. Text that is no JSON ends the job.
+    """
+    return _digests(payload)
 
 
 def uuid5(namespace: str, name: Column) -> Column:
