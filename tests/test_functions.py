@@ -89,3 +89,11 @@ def test_text_edges(spark):
     d = lambda x: F.to_date(F.lit(x))
     assert one(spark, *(T.date_difference(d("2024-02-28"), d("2024-01-31"), u) for u in ("days", "weeks", "months", "years"))) == (28.0, 4.0, 0.0, 0.0)
     assert one(spark, T.date_difference(d(None), d("2024-01-31"), "days")) == (None,)
+
+
+def test_schema_errors_reads_the_state_once(spark):
+    schema = {f"n{i}": {"type": "number", "min": 0, "max": 5} for i in range(4)}
+    df = spark.createDataFrame([('{"n0": 9, "n2": "x"}',)], "state string")
+    found = df.select(R.schema_errors(F.col("state"), schema).alias("e"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert found.first().e == ["n0", "n2"] and plan.count("try_parse_json") == 1

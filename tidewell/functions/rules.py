@@ -12,13 +12,14 @@ there; NOT and ref mean nothing.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.variants import leaves, members, put, walk
+from tidewell.functions.variants import leaves, let, members, put, walk
 
 ORDERINGS = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
 CONNECTIVES = ("AND", "OR", "NOT")
@@ -296,12 +297,16 @@ def options(field: dict) -> list[str]:
 def _fits(x: Value, field: dict, kind: str) -> Column:
     """Whether a value that isn't null can be read as kind."""
     if kind == "number":
-        ok, n = x.numeral().isNotNull(), x.numeral()
-        if field.get("min") is not None:
-            ok = ok & (n >= field["min"])
-        if field.get("max") is not None:
-            ok = ok & (n <= field["max"])
-        return ok
+
+        def within(n: Column) -> Column:
+            ok = n.isNotNull()
+            if field.get("min") is not None:
+                ok = ok & (n >= field["min"])
+            if field.get("max") is not None:
+                ok = ok & (n <= field["max"])
+            return ok
+
+        return let(x.numeral(), within)
     if kind == "boolean":
         return (x.kind == "BOOLEAN") | _false_if_null(x.number.isin(0.0, 1.0)) | _false_if_null(F.lower(x.text).isin(*TRUE, *FALSE))
     if kind == "enum" and options(field):
@@ -324,19 +329,25 @@ def schema_paths(schema: dict, before: str = "") -> list[tuple[str, dict]]:
 
 
 def schema_errors(state: Column | State, schema: dict) -> Column:
-    """Paths of the fields whose value doesn't fit; null fits all but a list."""
-    bad = []
-    for path, field in schema_paths(schema):
-        x, kind = Value.at(state, path), field.get("type")
-        if kind == "list":
-            item = field.get("item_type", "string")
-            item = item if item in ("number", "boolean") else "string"
-            fits = F.coalesce(F.forall(x.items, _item_fits(item)), F.lit(False))
-            missing = F.schema_of_variant(x.raw).isNull()
-            bad.append(F.when(~(fits | missing), path))
-        else:
-            bad.append(F.when(~x.is_null & ~_false_if_null(_fits(x, field, kind)), path))
-    return F.filter(F.array(*bad), lambda p: p.isNotNull()) if bad else F.array().cast("array<string>")
+    """Paths of the fields whose value doesn't fit; null fits all but a list. The state is read once, and so is each field."""
+    fields = schema_paths(schema)
+    if not fields:
+        return F.array().cast("array<string>")
+
+    def bad(path: str, field: dict, known: Column) -> Column:
+        x, kind = Known(known), field.get("type")
+        if kind != "list":
+            return F.when(~x.is_null & ~_false_if_null(_fits(x, field, kind)), path)
+        item = field.get("item_type", "string")
+        fits = F.coalesce(F.forall(x.items, _item_fits(item if item in ("number", "boolean") else "string")), F.lit(False))
+        return F.when(~(fits | F.schema_of_variant(x.raw).isNull()), path)
+
+    def found(tree: Column) -> Column:
+        at = State(tree=tree).at
+        return F.array(*(let(let(at(path), Value.known), functools.partial(bad, path, field)) for path, field in fields))
+
+    read = state if isinstance(state, State) else State(state)
+    return F.filter(let(read.tree, found), lambda p: p.isNotNull())
 
 
 def tree_errors(tree: dict | None, known: set[str]) -> list[str]:
