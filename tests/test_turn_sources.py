@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidewell.operators.turn_summaries import summary_rows
-from tidewell.sources.chat import benchmark_records
+from tidewell.sources.chat import benchmark_records, benchmark_turns
 
 INSTANCE = "question_id string, haystack_session_ids array<string>, haystack_dates array<string>, haystack_sessions array<array<struct<role: string, content: string, has_answer: boolean>>>"
 ID = "0b8f3c52-9d6e-4a41-8f3a-2d5c6b7a8e90"
@@ -29,6 +29,26 @@ def test_records_in_the_order_of_dates(spark):
     assert benchmark_records(many)[0].filter("record_id = 's10000:source-10000:turn-0000'").count() == 1
 
 
+def test_instances_of_any_size(spark):
+    """A row a turn gives what a row an instance gives; the query puts no instance in a row."""
+    from conftest import DATA
+    from tidewell.plans import catalog
+
+    late, early = "2024/01/02 (Tue) 10:00", "2024/01/01 (Mon) 09:30"
+    turn = lambda *texts: [("user" if i % 2 == 0 else "assistant", x, None) for i, x in enumerate(texts)]
+    told = [
+        ("q1", ["b", "a", "c"], [late, early, late], [turn("x", ""), turn("y", "z"), turn("", "w")]), (None, ["a"], [late], [turn("x")]), ("q3", ["a", " "], [late, late], [turn("x"), turn("y")]),
+        ("q4", ["a", "b"], [late, "2024-01-02 10:00"], [turn("x"), turn("y")]), ("q5", ["a"], ["2024/13/02 (Tue) 10:00"], [turn("x")]), ("q6", ["a"], [late], [[("system", "x", None)]]),
+        ("q7", ["a"], [late], [[("user", None, None)]]), ("q8", ["a"], [late], [turn("", "")]), ("q12", ["a"], [late], [turn("  ")]),
+    ]
+    flat = [(q, i, s, d, n, t[0], t[1]) for q, *lists in told for i, (s, d, turns) in enumerate(zip(*lists, strict=True)) for n, t in enumerate(turns)]
+    found = benchmark_turns(spark.createDataFrame(flat, "question_id string, source_index int, session_id string, date string, turn_index int, role string, content string").repartition(3))
+    for ours, theirs in zip(found, benchmark_records(spark.createDataFrame(told, INSTANCE)), strict=True):
+        assert sorted(map(str, ours.collect())) == sorted(map(str, theirs.select(ours.columns).collect()))
+    plan = catalog.QUERIES["src_benchmark_records"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_summary_of_a_turn(spark):
     calls = [
         '{"tool_name": "set_field", "is_valid": true, "arguments": {"path": "player.health"}}',

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,6 +87,37 @@ def benchmark_records(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter("reason is not null").select("question_id", "reason")
 
 
+def benchmark_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected with reason) as benchmark_records gives them, of instances that come as a row a turn and may be of any size.
+
+    turns(question_id, source_index, session_id, date, turn_index, role, content); source_index tells an instance's sessions
+    apart. No row holds an instance: what is ordered as a whole is a row a session, and within a session its turns.
+    """
+    time = F.try_to_timestamp(F.regexp_replace("date", r" \([A-Za-z]{3}\) ", " "), F.lit("yyyy/MM/dd HH:mm"))
+    blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
+    said = F.coalesce(F.col("content") != "", F.lit(False))
+    rows = turns.select("question_id", "source_index", "session_id", time.alias("occurred_at"), "date", "turn_index", "role", "content")
+    dated = F.coalesce(F.col("date").rlike(r"^\d{4}/\d{2}/\d{2} \([A-Za-z]{3}\) \d{2}:\d{2}$"), F.lit(False)) & F.col("occurred_at").isNotNull()
+    sound = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)) & F.coalesce((F.col("content") == "") | ~blank(F.col("content")), F.lit(False))
+    reasons = ["no_question_id", "no_session_id", "date", "turn"]
+    fault = F.when(blank(F.col("question_id")), 0).when(blank(F.col("session_id")), 1).when(~dated, 2).when(~sound, 3)
+    instances = rows.groupBy("question_id").agg(F.min(fault).alias("fault"), F.count_if(said).alias("n"), F.count_if(F.col("content") == "").alias("skipped"))
+    named = F.coalesce(*(F.when(F.col("fault") == i, name) for i, name in enumerate(reasons)), F.when(F.col("n") == 0, "no_turns"))
+    instances = instances.withColumn("reason", named)
+
+    session = ["question_id", "source_index"]
+    good = instances.filter("reason is null").select("question_id", F.col("skipped").cast("int").alias("skipped"))
+    sessions = rows.groupBy(*session).agg(F.min("occurred_at").alias("at"), F.count_if(said).alias("n")).join(good, "question_id")
+    earlier = Window.partitionBy("question_id").orderBy("at", "source_index").rowsBetween(Window.unboundedPreceding, -1)
+    sessions = sessions.select(*session, "skipped", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = F.row_number().over(Window.partitionBy(*session).orderBy("turn_index")) - 1
+    kept = rows.filter(said).join(sessions, session).withColumn("place", (F.col("before") + placed).cast("int"))
+    kept = kept.withColumn("session_id", F.concat("session_id", F.lit(":source-"), F.format_string("%04d", "source_index")))
+    record_id = F.concat("session_id", F.lit(":turn-"), F.format_string("%04d", "turn_index"))
+    kept = kept.select("question_id", record_id.alias("record_id"), "session_id", "place", "occurred_at", "source_index", "turn_index", "role", "content", "skipped")
+    return kept, instances.filter("reason is not null").select("question_id", "reason")
+
+
 def parsed_batches(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(records, rejected with reason) of JSON records, one a line; an id that several sound records have rejects them all."""
     rows = lines.select(F.col(column).alias("raw"), F.from_json(column, RECORD).alias("r"), F.json_object_keys(column).alias("keys"))
