@@ -125,3 +125,17 @@ def test_plan_of_a_chunk(spark, tmp_path):
         ("HAS_ALIAS", "entity:ann", "alias:ann:Ann"), ("HAS_ALIAS", "entity:ann", "alias:ann:Annie"), ("HAS_TURN", "session:s", "turn:k1"), ("HAS_TURN", "session:unknown", "turn:k2"),
         ("RELATES_TO", "fact:f1", "entity:port"), ("STATED_BY", "fact:f1", "speaker:user"), ("STATED_BY", "fact:f2", "speaker:unknown"), ("SUPERSEDES", "fact:f2", "fact:f1"), ("SUPERSEDES", "fact:f2", "fact:gone"),
     ]
+
+
+def test_edges_are_not_joined_where_no_end_is_missing(spark, tmp_path):
+    from tidewell.operators import graph_store as S
+
+    folder = f"{tmp_path}/graph"
+    nodes = spark.createDataFrame([("a", "A", "c", "k", {"x": "1"}, 1), ("b", "B", "c", "l", {"x": "2"}, 1)], "id string, label string, context string, key string, properties map<string,string>, seq long")
+    edge = "id string, kind string, source_id string, source_label string, destination_id string, destination_label string, properties map<string,string>, seq long"
+    edges = spark.createDataFrame([("e", "TO", "a", "A", "b", "B", {}, 1)], edge)
+    S.merge(nodes, edges, folder, buckets=2)
+    buckets, places = S.layout(spark, folder)
+    assert S._between(spark, folder, f"{tmp_path}/none", edges, places, buckets) is edges
+    lost = edges.unionByName(spark.createDataFrame([("f", "TO", "a", "A", "b", "Other", {}, 1)], edge))
+    assert [r.id for r in S._between(spark, folder, f"{tmp_path}/one", lost, places, buckets).collect()] == ["e"]

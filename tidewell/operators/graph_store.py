@@ -112,7 +112,7 @@ def merge(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = 64) ->
         _once(rows.filter("id is not null"), side).write.parquet(path)
         plan[side] = spark.read.parquet(path)
     for side in ("nodes", "edges"):
-        rows = plan[side] if side == "nodes" else _between(spark, folder, plan[side], places, buckets)
+        rows = plan[side] if side == "nodes" else _between(spark, folder, f"{folder}/plans/{number:08d}/missing", plan[side], places, buckets)
         old = _read(spark, folder, side, places, _touched(rows, "id", buckets=buckets))
         target = f"{folder}/{side}/{number:08d}"
         _settled(old, rows, side, buckets).write.partitionBy("bucket").parquet(target)
@@ -122,12 +122,18 @@ def merge(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = 64) ->
     return number
 
 
-def _between(spark: SparkSession, folder: str, edges: DataFrame, places: dict[tuple[str, int], int], buckets: int) -> DataFrame:
-    """Edges whose ends are stored. Each end is looked up once, however many edges it has; what is missing is few or none."""
+def _between(spark: SparkSession, folder: str, path: str, edges: DataFrame, places: dict[tuple[str, int], int], buckets: int) -> DataFrame:
+    """Edges whose ends are stored. Each end is looked up once, however many edges it has; what is missing is written to path.
+
+    Nearly always that is nothing, and then edges are neither joined nor moved.
+    """
     end = lambda side: edges.select(F.col(f"{side}_id").alias("id"), F.col(f"{side}_label").alias("label"))
     ends = end("source").unionByName(end("destination")).distinct()
     nodes = _read(spark, folder, "nodes", places, _touched(edges, "source_id", "destination_id", buckets=buckets))
-    missing = ends.join(nodes.select("id", "label"), ["id", "label"], "left_anti")
+    ends.join(nodes.select("id", "label"), ["id", "label"], "left_anti").write.parquet(path)
+    missing = spark.read.parquet(path)
+    if missing.isEmpty():
+        return edges
     for side in ("source", "destination"):
         gone = missing.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
         edges = edges.join(gone, (F.col(f"{side}_id") == F.col("_id")) & (F.col(f"{side}_label") == F.col("_label")), "left_anti")
