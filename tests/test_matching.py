@@ -134,3 +134,22 @@ def test_collisions_are_found(spark):
     rows = [(1, "a"), (1, "a"), (2, "a"), (2, "b"), (2, None), (None, "c"), (None, "d")]
     found = I.collisions(spark.createDataFrame(rows, "id long, path string")).collect()
     assert [tuple(f) for f in found] == [(2, "a", "b", 2)]
+
+
+def test_shortlist_lists_pairs_once_and_resolve_lists_none(spark):
+    from tidewell.operators import entities as E
+
+    side = "{0} long, context string, canonical string, {1}kind int, embedding array<double>"
+    unit = [1.0] + [0.0] * 63
+    names = [(1, "c", "red ring", ["blue"], 0, unit), (2, "c", "red ring", ["red ring", "blue"], 0, None), (3, "c", "small ring", ["red ring", "blue"], 0, unit), (4, "d", "red ring", [], 0, None)]
+    registry = spark.createDataFrame(names, side.format("entity", "aliases array<string>, "))
+    rows = [(10, "c", "red ring", "Red ring", 0, unit), (10, "c", "red ring", "Red ring", 0, unit), (10, "c", "blue", "BLUE", 0, None), (11, "c", "blue", "blue", 0, None), (12, "c", "none", "none", 0, None)]
+    mentions = spark.createDataFrame(rows, side.format("mention", "surface string, "))
+    groups = [["small ring", "red ring"]]
+    found = sorted(map(tuple, E.shortlist(mentions, registry, groups).collect()))
+    assert found == [(m, e) for m in (10, 11) for e in (1, 2, 3)]
+    picks = spark.createDataFrame([(11, 3), (12, 1)], "mention long, entity long")
+    made = E.resolve(mentions.filter("mention > 10"), registry, groups, picks)
+    assert sorted(map(tuple, made.collect())) == [(11, "picked", 3, "blue"), (12, "new", None, None)]
+    plan = E.shortlist(mentions, registry, groups)._jdf.queryExecution().optimizedPlan().toString().strip()
+    assert plan.startswith("Union")  # nothing gathers the pairs of equal surfaces again

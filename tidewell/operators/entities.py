@@ -65,21 +65,44 @@ def embedded(mentions: DataFrame, registry: DataFrame, near: float = NEAR, most:
     return best_of(kinds, "mention", [F.col("mk").eqNullSafe(F.col("kind")).desc(), F.desc("similarity"), F.col("entity")], most).select("mention", "entity", "similarity")
 
 
-def shortlist(mentions: DataFrame, registry: DataFrame, groups: list[list[str]], near: float = NEAR) -> DataFrame:
-    """(mention, entity): ambiguous exact matches, nicknames, and near names of stable surfaces, for mentions that exact() didn't decide."""
+def _open(mentions: DataFrame, registry: DataFrame, groups: list[list[str]], near: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys, named, rest) of the mentions that exact() didn't decide: their (mention, context, canonical), the (context, canonical, entity)
+    of the registry, and the pairs (mention, entity) of nicknames and near names. Pairs of equal surfaces are keys joined to
+    named; their number is that of mentions times entities of a surface, so nothing but the result should list them."""
     open_ = exact(mentions, registry).filter("status is null").drop("entity", "status")
     close = embedded(open_.filter(stable(F.col("canonical"))), registry, near).drop("similarity")
-    return ambiguous(mentions, registry).unionByName(nicknames(open_, registry, groups)).unionByName(close).distinct()
+    keys = open_.select("mention", "context", "canonical").distinct()
+    return keys, surfaces(registry).drop("by_name").distinct(), nicknames(open_, registry, groups).unionByName(close).distinct()
+
+
+def _equal(pairs: DataFrame, keys: DataFrame, named: DataFrame) -> DataFrame:
+    """Those pairs (mention, entity) whose entity has the mention's surface, each once."""
+    return pairs.join(keys, "mention").join(named, ["context", "canonical", "entity"], "left_semi").select("mention", "entity").distinct()
+
+
+def shortlist(mentions: DataFrame, registry: DataFrame, groups: list[list[str]], near: float = NEAR) -> DataFrame:
+    """(mention, entity): ambiguous exact matches, nicknames, and near names of stable surfaces, for mentions that exact() didn't decide.
+
+    Each pair once. Exact matches of a mention of one surface are so by themselves and aren't shuffled.
+    """
+    keys, named, rest = _open(mentions, registry, groups, near)
+    met = lambda k: k.join(named, ["context", "canonical"]).select("mention", "entity")
+    several = keys.groupBy("mention").agg(F.count("*").alias("n")).filter("n > 1").select("mention")
+    equal = met(keys.join(several, "mention", "left_anti")).unionByName(met(keys.join(several, "mention", "left_semi")).distinct())
+    return equal.unionByName(rest.join(_equal(rest, keys, named), ["mention", "entity"], "left_anti").select("mention", "entity"))
 
 
 def resolve(mentions: DataFrame, registry: DataFrame, groups: list[list[str]], picks: DataFrame | None = None) -> DataFrame:
     """(mention, status, entity, alias): the exact match; a pick(mention, entity) that is on the shortlist, which takes the
     surface as an alias; unresolved with candidates but no valid pick; new without candidates."""
-    listed = shortlist(mentions, registry, groups)
-    some = listed.select("mention").distinct().withColumn("_some", F.lit(True))
+    # The shortlist itself isn't made: whether a mention has one, and whether a pick is on it, is looked up by surface.
+    keys, named, rest = _open(mentions, registry, groups, NEAR)
+    some = keys.join(named, ["context", "canonical"], "left_semi").select("mention").unionByName(rest.select("mention")).distinct().withColumn("_some", F.lit(True))
     rows = exact(mentions, registry).join(some, "mention", "left")
     if picks is not None:
-        rows = rows.join(picks.select("mention", F.col("entity").alias("pick")).join(listed.withColumnRenamed("entity", "pick"), ["mention", "pick"], "left_semi"), "mention", "left")
+        asked = picks.select("mention", "entity")
+        valid = _equal(asked, keys, named).unionByName(rest).distinct()
+        rows = rows.join(asked.join(valid, ["mention", "entity"], "left_semi").withColumnRenamed("entity", "pick"), "mention", "left")
     else:
         rows = rows.withColumn("pick", F.lit(None).cast(registry.schema["entity"].dataType))
     picked = F.col("status").isNull() & F.col("pick").isNotNull()
