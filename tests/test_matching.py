@@ -153,3 +153,21 @@ def test_shortlist_lists_pairs_once_and_resolve_lists_none(spark):
     assert sorted(map(tuple, made.collect())) == [(11, "picked", 3, "blue"), (12, "new", None, None)]
     plan = E.shortlist(mentions, registry, groups)._jdf.queryExecution().optimizedPlan().toString().strip()
     assert plan.startswith("Union")  # nothing gathers the pairs of equal surfaces again
+
+
+def test_namesakes_meet_in_blocks(spark):
+    """All pairs of parts of one name and brand, also where these take several blocks; the join itself has no row a pair."""
+    from tidewell.plans.retrieval import _namesakes
+
+    rng = random.Random(5)
+    names = ["Hot Bolt", "hot bolt", "HOT BOLT", "old ring", None]
+    rows = [(i, rng.choice(names), rng.choice(["A", "B", None])) for i in range(150)] + [(3, "hot bolt", "A"), (None, "old ring", "A")]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string")
+    same = lambda a, b: None not in (*a, *b) and a[1].lower() == b[1].lower() and a[2] == b[2] and a[0] != b[0]
+    wanted = sorted((a[0], a[1], b[0]) for a in rows for b in rows if same(a, b))
+    for most in (1, 7, 256):
+        assert sorted(map(tuple, _namesakes(part, "true", most).collect())) == wanted
+    assert sorted(map(tuple, _namesakes(part, "p_partkey < 30", 7).collect())) == [w for w in wanted if w[0] < 30]
+    plan = _namesakes(part, "true")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    generated = [i for i, line in enumerate(plan) if "Generate" in line]
+    assert len(generated) == 2 and max(generated) < min(i for i, line in enumerate(plan) if "Join" in line)

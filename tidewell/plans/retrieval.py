@@ -286,12 +286,21 @@ def entity_exact_all(spark: SparkSession, d: str) -> DataFrame:
     return _namesakes(read(spark, d, "part"), "true")
 
 
-def _namesakes(part: DataFrame, asked: str) -> DataFrame:
+def _namesakes(part: DataFrame, asked: str, most: int = 256) -> DataFrame:
+    """Each part with the others of its name and brand: both sides meet as lists of at most `most`, dealt over tasks before they become pairs (a task holds the pairs of two lists)."""
+    from pyspark.sql import Window
+
     from tidewell.functions.text import canonical
 
-    p = part.withColumn("key", canonical(c("p_name")))
-    q = p.select(c("p_partkey").alias("candidate"), "key", "p_brand")
-    return p.filter(asked).join(q, ["key", "p_brand"]).filter("p_partkey <> candidate").select("p_partkey", "p_name", "candidate")
+    keys = ["key", "p_brand"]
+    block = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("p_partkey")) - 1) / most).alias("block")
+    p = part.select("p_partkey", "p_name", canonical(c("p_name")).alias("key"), "p_brand").filter("key is not null and p_brand is not null")
+    own = p.filter(asked).select("*", block).groupBy(*keys, "block").agg(F.collect_list(F.struct("p_partkey", "p_name")).alias("own"))
+    others = p.select("*", block).groupBy(*keys, c("block").alias("other")).agg(F.collect_list("p_partkey").alias("others"))
+    met = own.join(others, keys)
+    met = met.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "block", "other")  # a name that is in many blocks isn't one task's
+    each = met.select(F.inline("own"), "others")
+    return each.select("p_partkey", "p_name", F.explode("others").alias("candidate")).filter("p_partkey <> candidate")
 
 
 SITUATION = """SELECT event_id, user_id, event_type, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events
