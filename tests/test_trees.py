@@ -216,3 +216,11 @@ def test_a_thousand_trees_are_one_plan(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert found.filter("rule_error is not null").count() > 0
+
+
+def test_a_rule_runs_once_a_fact(spark):
+    """No filter on a rule's outcome is asked of what lies below: it would run the rule again."""
+    from tidewell.plans import catalog
+
+    plan = catalog.QUERIES["filter_when_active"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert max(len(line) for line in plan if "Join" in line or "Filter" in line) < 2000

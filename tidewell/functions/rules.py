@@ -25,6 +25,8 @@ ORDERINGS = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=":
 CONNECTIVES = ("AND", "OR", "NOT")
 #: Texts that count as numbers in orderings.
 NUMERAL = r"(?i)^\s*[+-]?(\d+(\.\d*)?([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf(inity)?)\s*$"
+KNOWN = "struct<raw: variant, kind: string, text: string, number: double>"
+CONSTANT = f"struct<items: array<{KNOWN}>, leaves: array<string>>"
 
 
 def is_entity(root: str) -> bool:
@@ -76,9 +78,9 @@ class State:
 class Value:
     """A value of the state, or a literal, with its type."""
 
-    def __init__(self, raw: Column, scalar: bool = False):
+    def __init__(self, raw: Column, scalar: bool = False, kind: Column | None = None):
         self.raw, self.scalar, self.flat = raw, scalar, False
-        self.kind = F.coalesce(F.schema_of_variant(raw), F.lit("VOID"))
+        self.kind = F.coalesce(F.schema_of_variant(raw), F.lit("VOID")) if kind is None else kind
         self.is_null = self.kind == "VOID"
         self.is_text = self.kind == "STRING"
         self.is_list = self.kind.startswith("ARRAY")
@@ -100,9 +102,13 @@ class Value:
 
     @staticmethod
     def known(raw: Column) -> Column:
-        """What Value asks of a value, worked out: a struct for Known."""
-        x = Value(raw)
-        return F.struct(raw.alias("raw"), x.kind.alias("kind"), x.text.alias("text"), x.number.alias("number"))
+        """What Value asks of a value, worked out: a struct for Known. Its kind, which all else hangs on, is asked for once."""
+
+        def made(kind: Column) -> Column:
+            x = Value(raw, kind=kind)
+            return F.struct(raw.alias("raw"), x.kind.alias("kind"), x.text.alias("text"), x.number.alias("number")).cast(KNOWN)
+
+        return let(F.coalesce(F.schema_of_variant(raw), F.lit("VOID")), made)
 
     def equals(self, other: Value) -> Column:
         nested = ~self.is_null & ~self.is_number & ~self.is_text & (self.kind.substr(1, 1) == other.kind.substr(1, 1))
@@ -110,7 +116,10 @@ class Value:
         found = found.when(self.is_number & other.is_number, self.number == other.number).when(self.is_text & other.is_text, self.text == other.text)
         if self.scalar or other.scalar:
             return found.otherwise(False)
-        return found.when(nested, leaves(self.raw) == leaves(other.raw)).otherwise(False)
+        return found.when(nested, self.leaves() == other.leaves()).otherwise(False)
+
+    def leaves(self) -> Column:
+        return leaves(self.raw)
 
     def holds(self, other: Value) -> Column:
         """Whether other is one of the items of this list."""
@@ -123,13 +132,27 @@ class Value:
 
 
 class Known(Value):
-    """A value from a struct of Value.known(), whose parts aren't worked out again."""
+    """A value from a struct of Value.known(), whose parts aren't worked out again; of one of constant(), neither its items nor its leaves."""
 
-    def __init__(self, x: Column):
-        self.scalar, self.flat = False, False
+    def __init__(self, x: Column, constant: Column | None = None):
+        self.scalar, self.flat, self.constant = False, False, constant
         self.raw, self.kind, self.text, self.number = x["raw"], x["kind"], x["text"], x["number"]
         self.is_null, self.is_text, self.is_number = self.kind == "VOID", self.kind == "STRING", x["number"].isNotNull()
-        self.items = F.try_variant_get(self.raw, "$", "array<variant>")
+        own = F.when(self.kind.startswith("ARRAY"), F.transform(F.try_variant_get(self.raw, "$", "array<variant>"), Value.known))
+        self.items = own if constant is None else F.coalesce(constant["items"], own)
+
+    @staticmethod
+    def constant(known: Column) -> Column:
+        """Items and leaves of a value that many others are compared with; null where it has none."""
+        x = Known(known)
+        nested = ~x.is_null & ~x.is_number & ~x.is_text
+        return F.struct(x.items.alias("items"), F.when(nested, leaves(x.raw)).alias("leaves")).cast(CONSTANT)
+
+    def holds(self, other: Value) -> Column:
+        return F.coalesce(F.exists(self.items, lambda i: Known(i).equals(other)), F.lit(False))
+
+    def leaves(self) -> Column:
+        return leaves(self.raw) if self.constant is None else F.coalesce(self.constant["leaves"], leaves(self.raw))
 
 
 def number(x: Column) -> Column:

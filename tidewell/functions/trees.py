@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.rules import CONNECTIVES, ORDERINGS, Known, Value
+from tidewell.functions.rules import CONNECTIVES, CONSTANT, KNOWN, ORDERINGS, Known, Value
 from tidewell.functions.variants import json_value, let, members, put, segments, walk
 
 #: A node without what is below it: where its leaf looks, what with, which connectives it has, what is wrong with it.
-STEP = "struct<path: array<string>, op: string, value: variant, ref: array<string>, fields: array<string>, kids: array<string>, always: boolean, errors: array<string>>"
+STEP = f"struct<path: array<string>, op: string, value: {KNOWN}, constant: {CONSTANT}, ref: array<string>, fields: array<string>, kids: array<string>, always: boolean, errors: array<string>>"
 OPS = {"turn": (*ORDERINGS, "==", "!=", "in", "contains", "matches"), "memory": (*ORDERINGS, "==", "!=")}
 
 
@@ -47,10 +47,12 @@ def _node(node: Column, m: Column, dialect: str, top: Column) -> Column:
     else:
         told = F.coalesce(_text(op), F.lit(""))
         errors = _texts(F.when(~always, F.when(m.isNull(), "no tree").when(field.isNull() | op.isNull(), "field or op is missing").when(~told.isin(*OPS["memory"]), "unknown operator")))
+    value = let(F.try_element_at(m, F.lit("value")), Value.known)  # worked out with the rule, not with each fact
     return F.struct(
         segments(_text(field), turn).alias("path"),
         F.coalesce(_text(op), F.lit("==") if turn else F.lit(None)).alias("op"),
-        F.try_element_at(m, F.lit("value")).alias("value"),
+        value.alias("value"),
+        let(value, Known.constant).alias("constant"),
         (segments(_text(ref)) if turn else F.lit(None).cast("array<string>")).alias("ref"),
         _texts(_text(field), *([_text(ref)] if turn else [])).alias("fields"),
         F.coalesce(kids, F.array().cast("array<string>")).alias("kids"),
@@ -102,9 +104,10 @@ def _at(state: Column, path: Column) -> Column:
 
 
 def _leaf(step: Column, state: Column, dialect: str) -> Column:
-    right = F.when(step["ref"].isNotNull(), _at(state, step["ref"])).otherwise(step["value"])
-    known = lambda raw, body: let(raw, lambda x: let(Value.known(x), lambda k: body(Known(k))))
-    return known(_at(state, step["path"]), lambda a: known(right, lambda b: _compared(step["op"], a, b, dialect)))
+    known = lambda path: let(_at(state, path), Value.known)
+    right = F.when(step["ref"].isNotNull(), known(step["ref"])).otherwise(step["value"])
+    constant = F.when(step["ref"].isNull(), step["constant"])
+    return let(known(step["path"]), lambda a: let(right, lambda b: _compared(step["op"], Known(a), Known(b, constant), dialect)))
 
 
 def _result(step: Column, stack: Column, state: Column, dialect: str) -> Column:
@@ -169,8 +172,10 @@ def while_active(facts: DataFrame, rule: str, state: str, dialect: str = "turn")
     on = let(F.try_parse_json(F.col(state)), lambda s: holds(F.col(program), s, dialect))
     told = let(on, lambda h: F.when(h.isNull(), F.array(error)).when(h, F.array(none)).otherwise(F.array().cast("array<string>")))
     # A list of one error or null for each fact that stays, of nothing for the others: a filter would work it out again.
+    # An inner explode too, as Spark then asks the join below for lists that aren't empty: the rule would be run three times a fact.
     made = made.withColumn(kept, F.when(F.col(program).isNull(), F.array(none)).otherwise(told))
-    return made.select(*facts.columns, F.explode(kept).alias("rule_error"))
+    one = F.transform(kept, lambda e: F.struct(e.alias("error")))
+    return made.select(*facts.columns, F.explode_outer(one).alias(kept)).filter(F.col(kept).isNotNull()).select(*facts.columns, F.col(f"{kept}.error").alias("rule_error"))
 
 
 def schema_fields(schema: Column) -> Column:
@@ -197,8 +202,8 @@ def schema_fields(schema: Column) -> Column:
 
 
 def compiled(conditions: Column) -> Column:
-    """Conditions with the steps of their trees: for a table of conditions, before it is joined to states."""
-    return F.transform(conditions, lambda x: x.withField("steps", steps(x["tree"])))
+    """Conditions with the steps of their trees, where they set and what: for a table of conditions, before it is joined to states."""
+    return F.transform(conditions, lambda x: x.withField("steps", steps(x["tree"])).withField("at", segments(x["path"])).withField("given", F.try_parse_json(x["value"])))
 
 
 def with_conditions(df: DataFrame, state: str, conditions: str) -> DataFrame:
@@ -222,15 +227,16 @@ def with_conditions(df: DataFrame, state: str, conditions: str) -> DataFrame:
                     F.when(after.isNotNull(), F.array_append(acc["changed"], x["path"])).otherwise(acc["changed"]).alias("changed"),
                 )
 
-            path = segments(x["path"])
-            new = let(walk(acc["state"], path), lambda now: changed_value(now, x["op"], F.try_parse_json(x["value"])))
-            after = let(new, lambda v: F.when(v.isNotNull(), let(path, lambda p: put(acc["state"], p, v))))
+            # What is there now is only asked for where a change builds on it.
+            grown = let(walk(acc["state"], x["at"]), lambda now: changed_value(now, x["op"], x["given"]))
+            new = F.when(x["op"] == "set", x["given"]).otherwise(grown)
+            after = let(new, lambda v: F.when(v.isNotNull(), put(acc["state"], x["at"], v)))
             return F.when(on, let(F.when(x["path"].isNotNull(), after), set_)).otherwise(acc)
 
         return let(F.coalesce(holds(x["steps"], acc["state"]), F.lit(False)), merged)
 
     names = df.schema[conditions].dataType.elementType.fieldNames()
-    ready = F.col(conditions) if "steps" in names else compiled(F.col(conditions))
+    ready = F.col(conditions) if {"steps", "at", "given"} <= set(names) else compiled(F.col(conditions))
     done = df.withColumn("_done", F.aggregate(ready, start, step))
     return done.select(*df.columns, F.col("_done.active").alias("active"), F.to_json("_done.state").alias("after"), F.array_distinct("_done.changed").alias("changed"))
 
