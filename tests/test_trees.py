@@ -224,3 +224,22 @@ def test_a_rule_runs_once_a_fact(spark):
 
     plan = catalog.QUERIES["filter_when_active"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert max(len(line) for line in plan if "Join" in line or "Filter" in line) < 2000
+
+
+def test_equal_states_are_worked_out_once(spark, tmp_path):
+    """Conditions run below the join of their ends to the events, on distinct states; events of no state keep theirs."""
+    import duckdb
+
+    from tidewell.plans import catalog
+
+    rows = [(i, "view" if i % 3 else "click", 1.0, i % 5, '{"k": %d}' % (i % 4)) for i in range(40)] + [(98, "view", 1.0, 1, "{}"), (99, "view", 1.0, 1, None)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, value double, user_id long, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = catalog.QUERIES["effects_paths"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("_done") and "Aggregate [scenario" in plan[plan.index("_done") :]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    wanted = {r["event_id"]: r for r in con.sql(catalog.SQL["effects_paths"]).to_arrow_table().to_pylist()}
+    got = {r.event_id: r.asDict() for r in found.collect()}
+    assert len(got) == 42 and all(got[i] == wanted[i] for i in range(40)) and got[98] == {**got[99], "event_id": 98}

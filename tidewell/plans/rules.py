@@ -213,11 +213,13 @@ def effects_paths(spark: SparkSession, d: str) -> DataFrame:
         condition("g", '{"field": "even", "op": "==", "value": true}', f"{entity}.hp", "increment", "2"),
         condition("h", '{"field": "' + f"entities.{entity}" + '", "op": "==", "value": {"hp": 7}}'),
     )
-    events = read(spark, d, "events")
-    scenarios = events.select(c("event_type").alias("scenario")).distinct().select("scenario", X.compiled(conditions).alias("conditions"))  # one a type of event
-    rows = X.with_conditions(events.select("event_id", "event_type", state.alias("state")).join(scenarios, c("scenario") == c("event_type")), "state", "conditions")
+    events = read(spark, d, "events").select("event_id", c("event_type").alias("scenario"), state.alias("state"))
+    scenarios = events.select("scenario").distinct().select("scenario", X.compiled(conditions).alias("conditions"))  # one a type of event
+    states = events.select("scenario", "state").distinct()  # equal states of a scenario end alike, so each is worked out once
+    rows = X.with_conditions(states.join(scenarios, "scenario"), "state", "conditions")
     at = lambda path: F.get_json_object("after", path).cast("long")
-    return rows.select("event_id", F.array_join("active", "").alias("active"), at("$.player.health").alias("health"), at("$.p.h").alias("h"), at(f"$.entities['{entity}'].hp").alias("hp"), F.array_join("changed", ",").alias("changed"))
+    ends = rows.select(c("scenario").alias("of"), c("state").alias("before"), F.array_join("active", "").alias("active"), at("$.player.health").alias("health"), at("$.p.h").alias("h"), at(f"$.entities['{entity}'].hp").alias("hp"), F.array_join("changed", ",").alias("changed"))
+    return events.join(ends, (c("scenario") == c("of")) & c("state").eqNullSafe(c("before"))).select("event_id", "active", "health", "h", "hp", "changed")
 
 
 @query(STATE + " SELECT event_id, (k + 5)::BIGINT::VARCHAR AS raised, CASE WHEN k + 5 > 80 THEN 'above_max' WHEN event_type = 'error' THEN 'frozen' END AS error FROM s")
