@@ -150,3 +150,17 @@ def test_finds_of_a_block_are_one_batch():
     pair = lambda at: pa.RecordBatch.from_arrays(block(0, 1, 2, 3) + block(0, 0, 0, 0) + [pa.array([[0.0] * 4]), raw] + block(*range(at, at + 4)) + block(0, 0, 0, 0) + [raw], ["asked", "wanted", "edges", "q", "ids", "codes", "vectors"])
     found = list(N._products(4, 2, True, False)(pair(10 * i) for i in range(5)))
     assert len(found) == 1 and found[0].column("top").to_pylist()[1] == [{"distance": 0.0, "id": 1}, {"distance": 0.0, "id": 11}]
+
+
+def test_postings_without_a_row_a_word(spark):
+    """Terms of a document are put together before anything is shuffled; rows of one id are one document, and stems are those of the questions."""
+    words = ["storming", "the", "ponies", "İstanbul", "ness", "agreements", "𐐨ing", "𐐨𐐨𐐨ing", "glass", "s"]
+    docs = spark.createDataFrame([(1, " ".join(words)), (1, "storms storm"), (2, None), (3, "the of"), (None, "storm")], "doc_id long, text string")
+    index = IX.postings(docs)
+    assert "Generate" not in index._jdf.queryExecution().optimizedPlan().toString()
+    wanted = collections.defaultdict(list)
+    rows = docs.select("doc_id", F.posexplode(IX._words(F.col("text"))).alias("at", "word")).filter(~IX.stop(F.col("word"))).select("doc_id", IX.stem(F.col("word")).alias("term"), "at")
+    for r in rows.collect():
+        wanted[r.term, r.doc_id].append(r["at"])
+    found = {(r.term, r.id): r.positions for r in index.collect()}
+    assert found == {k: sorted(v) for k, v in wanted.items()} and found["storm", 1] == [0, 0, 1]

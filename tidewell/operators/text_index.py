@@ -9,9 +9,13 @@ that are moved by their place in the phrase; nothing reads the texts again.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 WORD = r"[\p{L}\p{N}]+"
@@ -29,6 +33,9 @@ ENDINGS = [
     ("ings", "", 3), ("ing", "", 3), ("edly", "", 3), ("ed", "", 3), ("ly", "", 3), ("y", "i", 2), ("ss", "ss", 0), ("s", "", 3),
 ]
 BUCKETS = 64
+#: Files of a bucket, by documents; documents that are indexed at once.
+SLICES, ROWS = 4, 512
+_STOPS = frozenset(STOP_WORDS)
 #: The weight of a place where a question is met, and what words between its parts take off it.
 PLACE = 0.1
 
@@ -58,15 +65,44 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
 
     Words are counted from 0, stop words too. No key is hotter than a term in one document.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(_words(F.col(text_col))).alias("at", "word")).filter(~stop(F.col("word")))
-    rows = words.select("id", stem(F.col("word")).alias("term"), "at").groupBy("term", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    words = docs.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words"))
+    one = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("term", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    rows = words.mapInArrow(_terms, one).groupBy("term", "id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("positions"))
     return rows.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "id", "positions")
 
 
+def _term(word: str) -> str | None:
+    """stem() of a word that is no stop word."""
+    if word in _STOPS:
+        return None
+    return next((word[: len(word) - len(ending)] + kept for ending, kept, least in ENDINGS if word.endswith(ending) and len(word) >= least + len(ending)), word)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, term, places): a row for each term of a row of (id, words); a different word of a batch is stemmed once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            ids, words = batch.slice(at, ROWS).columns
+            coded = words.flatten().dictionary_encode()
+            terms = pa.array(map(_term, coded.dictionary.to_pylist()), pa.string()).dictionary_encode()
+            sizes = words.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = terms.indices.fill_null(-1).to_numpy()[coded.indices.to_numpy()] if len(row) else row
+            row, place, code = (x[code >= 0] for x in (row, place, code))
+            key = row * len(terms.dictionary) + code
+            order = np.argsort(key, kind="stable")  # places of a term stay in order
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+            picked = order[first]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[picked])), terms.dictionary.take(pa.array(code[picked])), places], ["id", "term", "places"])
+
+
 def store(index: DataFrame, path: str) -> None:
-    """Writes an index: a folder a bucket, files sorted by term; the postings of a frequent term go to several files."""
+    """Writes an index: a folder a bucket, files sorted by term; a bucket goes to several files, by documents, so that a frequent term isn't one task's."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index.repartitionByRange(parts, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    dealt = index.repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(SLICES)))  # by ranges, all would be worked out once more to find them
+    dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def kept(index: DataFrame) -> DataFrame:
