@@ -281,6 +281,57 @@ def test_words_of_slices_and_of_many_batches(spark):
     assert {r.doc_id: r.n_tokens for r in bpe.encode_digests(df, path).collect()} == wanted
 
 
+def test_blocks_hold_no_texts():
+    """What is held of a block's texts is their codes: 20 MB of texts in one block once took 20 MB before they were split."""
+    import pyarrow as pa
+
+    base, most, parts = pa.total_allocated_bytes(), 0, [[f"{chr(97 + i)}{j} {'y' * 1000}" for j in range(2)] * 500 for i in range(20)]
+
+    def batches():
+        nonlocal most
+        for i, part in enumerate(parts):
+            yield pa.RecordBatch.from_arrays([pa.array(range(i * 1000, i * 1000 + 1000)), pa.array(part)], ["row", "text"])
+            most = max(most, pa.total_allocated_bytes() - base)
+
+    ((first, rows_, offsets, codes, found),) = tokens.text_blocks(batches(), most=30_000_000)
+    assert (first, rows_.column("row").to_pylist(), offsets.tolist()) == (0, list(range(20_000)), list(range(0, 40_001, 2)))
+    said = [w.encode() for part in parts for t in part for w in t.split()]
+    code = {w: k for k, w in enumerate(dict.fromkeys(said))}
+    assert found.to_pylist() == list(code) and codes.tolist() == [code[w] for w in said]
+    assert most < 10_000_000
+
+
+@pytest.mark.parametrize("most", [1, 50, 400, 10**6])
+def test_blocks_end_at_the_same_rows_in_any_batches(most):
+    import pyarrow as pa
+
+    table = pa.table({"row": list(range(200)), "text": [None if i % 17 == 0 else "w" * (i % 40) + f" x{i % 5}" for i in range(200)]})
+    found = [[(b, r.column("row").to_pylist(), o.tolist(), c.tolist(), w.to_pylist()) for b, r, o, c, w in tokens.text_blocks(iter(table.to_batches(n)), most=most)] for n in (200, 64, 7, 1)]
+    assert found[0] == found[1] == found[2] == found[3] and [i for x in found[0] for i in x[1]] == list(range(200))
+    assert len(found[0]) == {1: 200, 10**6: 1}.get(most, len(found[0]))
+
+
+def test_bpe_where_the_two_reads_have_other_batches(docs, monkeypatch):
+    path = bpe.default_tokenizer()
+    wanted = sorted(map(tuple, bpe.encode_digests(docs, path, block=50_000).collect()))
+    monkeypatch.setattr("tidewell.llm.common.BATCH_BYTES", 7_000)
+    assert sorted(map(tuple, bpe.encode_digests(docs, path, block=50_000).collect())) == wanted
+
+
+def test_texts_come_in_batches_of_few_bytes(spark):
+    import pyarrow as pa
+
+    from tidewell.llm.common import BATCH_BYTES, BATCH_CONF, written
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "b"])
+
+    docs_, before = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("text "), 1000).alias("text")), spark.conf.get(BATCH_CONF)
+    found = written(docs_.mapInArrow(sizes, "n long, b long"), texts=True).agg(F.sum("n"), F.max("b")).first()
+    assert found[0] == 4000 and found[1] < 1.1 * BATCH_BYTES and spark.conf.get(BATCH_CONF) == before
+
+
 class KatzByForce:
     """Orders 1 to 3 over token lists, by dictionaries."""
 

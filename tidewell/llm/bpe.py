@@ -113,7 +113,7 @@ def _coded(most: int):
     def run(batches):
         for block, rows, offsets, codes, words in text_blocks(batches, most=most):
             block = _key(block, words)
-            raw = zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").tobytes())
+            raw = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes, "<i4"))
             columns = [rows.column(c).combine_chunks() for c in ("row", "doc_id")]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), *columns, pa.array(offsets[1:]), pa.array([raw] + [None] * (len(rows) - 1), pa.binary())], _TEXT)
 
@@ -185,7 +185,7 @@ def _digests(shared, keep_ids: bool):
 def _cogrouped(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block: int):
     """(texts by block, words with ids by block); each text is split twice, so docs must come in the same order again."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    listed = written(text_batches(rows.select("row", "text"), _asked(block), "block long, words array<binary>"))
+    listed = written(text_batches(rows.select("row", "text"), _asked(block), "block long, words array<binary>"), texts=True)
     asked = listed.select("block", F.posexplode("words").alias("code", "word"))
     found = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(tokenizer, PACKED), "block long, pack binary")
     packs = written(found)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of whole texts that a function is given at a time; Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
+#: Bytes of the Arrow batches of whole texts: Spark's default of 64 MB is as much again in Python, and more in the JVM's buffers.
+BATCH_BYTES, BATCH_CONF = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -39,18 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *, texts: bool = False) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage and is read as often as needed.
 
-    The files of its shuffles go when it is written.
+    The files of its shuffles go when it is written. texts: Python functions in it are given whole texts, in batches of BATCH_BYTES.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true"} | ({BATCH_CONF: str(BATCH_BYTES)} if texts else {})
+    before = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
     return out

@@ -118,7 +118,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     """docs(row, doc_id, train, text) -> the table of blocks."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"block long, row long, doc_id {kind}, train boolean, length long, codes binary, words array<binary>, n array<long>, places array<long>"
-    return written(text_batches(docs.select("row", "doc_id", "train", "text"), _split, schema))
+    return written(text_batches(docs.select("row", "doc_id", "train", "text"), _split, schema), texts=True)
 
 
 def ranked_words(blocks: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Null and empty texts are scored like any other, by their statistics. Labels without a document, and null labels,
     teach nothing; without any, every score is 0.5. A repeated label or document counts as often as it is there.
     """
-    stats = written(document_statistics(docs, id_col, text_col))
+    stats = written(document_statistics(docs, id_col, text_col), texts=True)
     taught = labels.select(F.col("doc_id").alias("label_id"), F.col("y").cast("double").alias("y")).filter("y is not null")
     model = fit(stats.join(taught, stats.doc_id == taught.label_id).select("stats", "y"))
     return stats.mapInArrow(_predict(model), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")

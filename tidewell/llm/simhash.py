@@ -163,7 +163,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, cell_rows: int) -> tupl
     """(rows: doc_id, fp; prints: fp, first_id, root): the smallest id of each fingerprint, and its component by a fingerprint of it."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(text_batches(rows, _fingerprints, f"doc_id {kind}, fp long"))
+    rows = written(text_batches(rows, _fingerprints, f"doc_id {kind}, fp long"), texts=True)
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(link_prints(prints, cell_rows))
     return rows, prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))

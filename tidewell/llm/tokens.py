@@ -23,20 +23,21 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Ar
     return seen[offsets], words.filter(filled)
 
 
-def joined(parts: list[tuple[np.ndarray, pa.Array]]) -> tuple[np.ndarray, pa.Array]:
-    """Split batches as one."""
+def joined(parts: list[tuple[np.ndarray, pa.DictionaryArray]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(offsets, codes, distinct words by code) of split and coded batches as one; words in the order in which they come first."""
     lengths = np.concatenate([np.diff(offsets) for offsets, _ in parts])
-    return np.concatenate(([0], np.cumsum(lengths))), pa.concat_arrays([words for _, words in parts])
+    coded = pa.chunked_array([words for _, words in parts]).unify_dictionaries().chunks
+    return np.concatenate(([0], np.cumsum(lengths))), np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded]), coded[0].dictionary
 
 
-def gathered(batches, size, make, most: int):
-    """make(batches) for runs of input batches in which size adds up to most or more, and for the rest."""
+def gathered(batches, size, make, most: int, keep=lambda b: b):
+    """make(batches) for runs of input batches in which size adds up to most or more, and for the rest; keep(batch) is what is held of each."""
     held, n = [], 0
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(b)
         n += size(b)
+        held.append(keep(b))
         if n >= most:
             yield from make(held)
             held, n = [], 0
@@ -45,19 +46,42 @@ def gathered(batches, size, make, most: int):
         yield from make(held)
 
 
+def _ends(b: pa.RecordBatch) -> np.ndarray:
+    """Bytes up to the end of each row's text, four a row included."""
+    return np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 4)
+
+
+def _cut(batches, most: int):
+    """The batches, cut behind the rows at which blocks of most bytes are full: where a block ends doesn't depend on the batches."""
+    n = 0
+    for b in batches:
+        ends, at = np.append(0, _ends(b)), 0
+        while at < b.num_rows:
+            stop = min(b.num_rows, int(np.searchsorted(ends, ends[at] + most - n)))
+            n += int(ends[stop] - ends[at])
+            n = 0 if n >= most else n
+            yield b if stop - at == b.num_rows else b.take(pa.array(range(at, stop)))
+            at = stop
+
+
 def text_blocks(batches, lower: bool = False, most: int = BLOCK_BYTES):
     """Rows (row, ..., text) as blocks: (block, its rows without text, offsets, codes, distinct words by code).
 
-    A block is named by the first of its rows; codes are places in its distinct words.
+    A block is named by the first of its rows; codes are places in its distinct words. Each batch is split as it comes: what
+    is held of it are codes and distinct words, not texts.
     """
 
+    def keep(b):
+        offsets, words = split_words(b.column("text"), lower)
+        return pa.Table.from_batches([b]).drop_columns(["text"]), (offsets, words.dictionary_encode())
+
     def make(held):
-        offsets, words = joined([split_words(b.column("text"), lower) for b in held])
-        d = words.dictionary_encode()
-        rows = pa.Table.from_batches(held).drop_columns(["text"]).combine_chunks()
-        yield rows.column("row")[0].as_py(), rows, offsets, d.indices.to_numpy(zero_copy_only=False), d.dictionary.cast(pa.binary())
+        offsets, codes, words = joined([coded for _, coded in held])
+        rows = pa.concat_tables([rows for rows, _ in held]).combine_chunks()
+        held.clear()
+        yield rows.column("row")[0].as_py(), rows, offsets, codes, words.cast(pa.binary())
 
-    return gathered(batches, lambda b: b.column("text").nbytes, make, most)
+    return gathered(_cut(batches, most), lambda b: int(_ends(b)[-1]), make, most, keep)
 
 
 def lists(offsets: np.ndarray, values) -> pa.Array:
