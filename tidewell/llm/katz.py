@@ -1,7 +1,8 @@
 """LM scoring by Katz backoff over trigrams, from plain tables of n-grams, in buckets by the middle word.
 
-Texts are cut into blocks of words. All words are counted and ranked by count into a table (word, n, places, id); a
-join by word gives each block the ids of its words, and the texts become a table of ids. Every trigram (u, v, w) of a
+Texts are cut into blocks of words. The distinct words of each block are dealt by word, packed, so that a part has all
+there is of its words: their counts, and their ranks by count in that part. What each part has of each count then gives
+every word an id, rising as counts fall; the ids go back to the blocks, and the texts become a table of ids. Every trigram (u, v, w) of a
 text is dealt by its middle word v, so that a bucket holds all that the backoff of v and of (u, v) needs, and the places
 where it is asked for. Buckets are stored as a table of lists: trigrams, their training counts, their places. From it
 come the counts of counts of both orders, then every text's log-probability:
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import crc_mod, dropped, partitions, table, text_batches, written
-from tidewell.llm.tokens import Lookup, lists, runs, text_blocks
+from tidewell.llm.tokens import Lookup, lists, runs, squeezed, text_blocks, unsqueezed
 
 #: Ids: what stands before the first words of a text, the token after its last; words have the following ones. NONE is no word.
 NONE, START, END, FIRST = 0, 1, 2, 3
@@ -37,8 +38,12 @@ NONE, START, END, FIRST = 0, 1, 2, 3
 DISCOUNTED = 5
 #: Places of a bucket; places of a middle word that is split; tokens that are sorted at once; trigrams of a stored row.
 BUCKET, HOT, CUT, ROW = 600_000, 1_000_000, 600_000, 60_000
+#: Words, and bytes of words, of a part of the words of all blocks; parts at most, which leaves each block some words a part.
+PART, PART_BYTES, MOST_PARTS = 100_000, 4_000_000, 4096
 #: Parts that a block of trigrams is cut into at once; bytes of packs that are then cut again; texts of a group whose scores are added in one task.
 FAN, SPREAD_BYTES, GROUP = 8192, 3_000_000, 16_384
+#: Parts of the histories of hot words at most, which leaves each bucket some histories a part.
+HISTORIES = 1024
 #: Scores of a part of a text are passed on in whole parts of this.
 GRAIN = 1 << 20
 SMOOTH = 0.1
@@ -64,7 +69,7 @@ class Words:
     """Counts of all words by id: ids rise as counts fall, so there are at most sqrt(2 N) steps. And the hot words."""
 
     ends: np.ndarray  # first id beyond each step
-    values: np.ndarray  # count of each step
+    values: np.ndarray  # count of each step, falling
     end_count: int
     hot: np.ndarray  # ids with more than HOT places, ascending
     hot_places: np.ndarray
@@ -80,6 +85,10 @@ class Words:
         n = np.append(self.values, 0)[np.searchsorted(self.ends, ids, "right")]
         return np.where(ids == END, self.end_count, np.where(ids < FIRST, 0, n))
 
+    def first(self, counts: np.ndarray) -> np.ndarray:
+        """First ids of the steps of these counts."""
+        return np.append(FIRST, self.ends)[np.searchsorted(-self.values, -counts)]
+
     def places(self, ids: np.ndarray) -> np.ndarray:
         """Places of hot words, 0 for the others."""
         at = Lookup(self.hot)(ids)
@@ -96,66 +105,132 @@ class Words:
         return np.where(c > 0, d[np.minimum(c, DISCOUNTED + 1)] * c / total, (left or 1) / total / unseen)
 
 
-_BLOCK = ["block", "row", "doc_id", "train", "length", "codes", "words", "n", "places"]
+_BLOCK = ["block", "row", "doc_id", "train", "length", "codes", "distinct", "size", "words"]
 
 
 def _split(batches):
-    """A row for each text; and one for each block, with its words, their counts, and where they stand in its texts (compressed for the way)."""
+    """A row for each text; and one for each block, with where words stand in its texts, and its distinct words with their counts (compressed for the way)."""
     for block, rows, offsets, codes, words in text_blocks(batches, lower=True):
         train = rows.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         every = np.bincount(codes, minlength=len(words))
         taught = np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(words))
         raw = zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").tobytes())
-        n, none = len(rows), lambda kind, n: pa.nulls(n, kind)
-        one = lambda values: lists(np.array([0, len(values)]), pa.array(values))
-        kinds = pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())
+        text = np.frombuffer(pc.binary_join(lists(np.array([0, len(words)]), words), b"")[0].as_buffer() if len(words) else b"", np.uint8)
+        listed = squeezed(pc.binary_length(words).to_numpy(zero_copy_only=False), taught, every, text)
+        n, own = len(rows), ((raw, pa.binary()), (len(words), pa.int64()), (len(text), pa.int64()), (listed, pa.binary()))
         columns = [*(rows.column(c).combine_chunks() for c in ("row", "doc_id", "train")), pa.array(np.diff(offsets))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *columns, *(none(k, n) for k in kinds)], _BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), *(none(c.type, 1) for c in columns), pa.array([raw], pa.binary()), one(words), one(taught), one(every)], _BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *columns, *(pa.nulls(n, kind) for _, kind in own)], _BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.nulls(1, c.type) for c in columns), *(pa.array([x], kind) for x, kind in own)], _BLOCK)
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
     """docs(row, doc_id, train, text) -> the table of blocks."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, row long, doc_id {kind}, train boolean, length long, codes binary, words array<binary>, n array<long>, places array<long>"
+    schema = f"block long, row long, doc_id {kind}, train boolean, length long, codes binary, distinct long, size long, words binary"
     return written(text_batches(docs.select("row", "doc_id", "train", "text"), _split, schema), texts=True)
 
 
-def ranked_words(blocks: DataFrame) -> DataFrame:
-    """The table (word, n, places, id): all words, ids by falling training count."""
-    each = blocks.filter("words is not null").select(F.inline(F.arrays_zip("words", "n", "places")))
-    counted = each.groupBy(F.col("words").alias("word")).agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
-    at = F.monotonically_increasing_id()
-    ordered = counted.orderBy(F.desc("n"), F.desc("places"), "word").select("word", "n", "places", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND((1 << 33) - 1).alias("at"))
-    ordered = written(ordered)
-    start, starts = FIRST, []
-    for r in sorted(ordered.groupBy("part").count().collect()):  # one row a task
-        starts.append((r["part"], start))
-        start += r["count"]
-    offsets = blocks.sparkSession.createDataFrame(starts, "part int, start long")
-    return ordered.join(F.broadcast(offsets), "part").select("word", "n", "places", (F.col("at") + F.col("start")).alias("id"))
+def word_hash(lengths: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A hash of each word; text has the bytes of all, none of them empty."""
+    starts = np.cumsum(lengths) - lengths
+    weights = mix(np.arange(1 << 16))[runs(np.zeros(len(lengths), np.int64), lengths) & 0xFFFF]
+    return mix(np.add.reduceat(weights * text.astype(np.uint64), starts).view(np.int64), lengths) if len(lengths) else weights
+
+
+def _dealt_words(parts: int):
+    """The words of blocks by part: codes, lengths, counts and bytes."""
+
+    def run(batches):
+        for b in batches:
+            for block, raw in zip(b.column("block").to_pylist(), b.column("words").to_pylist(), strict=True):
+                lengths, taught, every, text = unsqueezed(raw, 4)
+                part = (word_hash(lengths, text) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                text = text[runs((np.cumsum(lengths) - lengths)[order], lengths[order])]
+                part, lengths, taught, every = (x[order] for x in (part, lengths, taught, every))
+                ends, cuts = np.append(0, np.cumsum(lengths)), [*changes(part).tolist(), len(part)] if len(part) else [0]
+                packs = [squeezed(np.diff(order[i:j], prepend=0), lengths[i:j], taught[i:j], every[i:j], text[ends[i] : ends[j]]) for i, j in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(np.full(len(packs), block)), pa.array(packs, pa.binary())], ["bucket", "block", "pack"])
+
+    return run
+
+
+_COUNTED = ["part", "block", "pack", "n", "words", "hot_n", "hot_at", "hot_places"]
+
 
+def _count(hot: int):
+    """Counts and ranks of the words of a part: a row with how many words have each count, and its hot words (their places among
+    those of their count); and one for each block, with the ranks of its words."""
 
-def held_words(words: DataFrame, texts: int, taught: int, hot: int) -> Words:
+    def finish(part, packs):
+        each = [unsqueezed(raw, 5) for _, raw in packs]
+        codes, (lengths, taught, every, text) = [e[0] for e in each], (np.concatenate([e[k] for e in each]) for k in (1, 2, 3, 4))
+        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths))), pa.py_buffer(text.astype(np.uint8))])
+        of = words.dictionary_encode().indices.to_numpy()
+        n, places = (np.bincount(of, x).astype(np.int64) for x in (taught, every))
+        order = np.lexsort((-places, -n))
+        n, places, rank = n[order], places[order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        firsts, crowded = changes(n), np.flatnonzero(places > hot)
+        own = (n[firsts], np.diff(np.append(firsts, len(n))), n[crowded], crowded - firsts[np.searchsorted(firsts, crowded, "right") - 1], places[crowded])
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *(lists(np.array([0, len(x)]), pa.array(x)) for x in own)], _COUNTED)
+        ends = np.append(0, np.cumsum([len(x) for x in codes])).tolist()
+        ranks = [squeezed(x, rank[of[i:j]]) for x, i, j in zip(codes, ends, ends[1:], strict=False)]
+        m = len(ranks)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part)), pa.array([b for b, _ in packs]), pa.array(ranks, pa.binary()), *(pa.nulls(m, pa.list_(pa.int64())) for _ in own)], _COUNTED)
+
+    return lambda batches: _by_bucket(batches, finish, "block")
+
+
+def counted_words(blocks: DataFrame, parts: int, hot: int) -> DataFrame:
+    """The table of words by part: how many have each training count, and the ranks that a block's words have in the part."""
+    dealt = blocks.filter("words is not null").select("block", "words").mapInArrow(_dealt_words(parts), "bucket long, block long, pack binary")
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return written(dealt.mapInArrow(_count(hot), "part long, block long, pack binary, " + ", ".join(f"{k} array<long>" for k in _COUNTED[3:])))
+
+
+def steps_of(counted: DataFrame) -> DataFrame:
+    """The table (part, n, words, before): words of each count in a part, and in the parts before it."""
+    each = counted.filter("n is not null").select("part", F.inline(F.arrays_zip("n", "words")))
+    window = Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    return written(each.withColumn("before", F.coalesce(F.sum("words").over(window), F.lit(0))))
+
+
+def held_words(counted: DataFrame, steps: DataFrame, places: int, texts: int, taught: int, hot: int) -> Words:
     """What tasks hold of the words: steps of counts, at most sqrt(2 N) rows, and hot words, at most sqrt(N)."""
-    steps = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
-    places = (words.agg(F.sum("places")).first()[0] or 0) + texts
-    hot = max(hot, math.isqrt(places)) if places > hot**2 else hot
-    crowded = sorted((r["id"], r["places"]) for r in words.filter(F.col("places") > hot).select("id", "places").collect())
-    crowded = [(i, texts) for i in (START, END) if texts > hot] + crowded
+    total = sorted(((r["n"], r["words"]) for r in steps.groupBy("n").agg(F.sum("words").alias("words")).collect()), reverse=True)
     whole = lambda values: np.array(values, np.int64)
-    held = Words(FIRST + np.cumsum(whole([n for _, n in steps])), whole([c for c, _ in steps]), taught, whole([i for i, _ in crowded]), whole([n for _, n in crowded]))
+    held = Words(FIRST + np.cumsum(whole([n for _, n in total])), whole([c for c, _ in total]), taught, whole([]), whole([]))
+    crowded = counted.select("part", F.inline(F.arrays_zip("hot_n", "hot_at", "hot_places"))).withColumnRenamed("hot_n", "n")
+    crowded = steps.join(F.broadcast(crowded), ["part", "n"]).select("n", "before", "hot_at", "hot_places")
+    found = [(int(held.first(whole([r["n"]]))[0]) + r["before"] + r["hot_at"], r["hot_places"]) for r in crowded.collect()]
+    found = [(i, texts) for i in (START, END) if texts > hot] + sorted(found)
+    held.hot, held.hot_places = whole([i for i, _ in found]), whole([n for _, n in found])
     held.all_places, held.least_hot = places, hot
     return held
 
 
+def _named(shared):
+    """The ids of the words of each block in a part."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, words, before = (right.sort_by([("n", "descending")]).column(k).to_numpy() for k in ("n", "words", "before"))
+        ids, packs = runs(shared.value.first(n) + before, words), []
+        for raw in left.column("pack").to_pylist():
+            codes, rank = unsqueezed(raw, 2)
+            packs.append(squeezed(codes, ids[rank]))
+        return pa.Table.from_arrays([left.column("block"), pa.array(packs, pa.binary())], ["asked_by", "pack"])
+
+    return run
+
+
 _TEXT = ["row", "doc_id", "n_tokens", "n_known", "base_score", "pack"]
 #: Numbers of a block of texts.
-_TOKENS = ("doc", "train", "length", "token")
+_TOKENS = ("doc", "train", "length", "token", "id")
 
 
 def _with_ids(shared):
-    """The texts of a block with what they score by counts of words alone; and a row with the ids of all their tokens, END last in each."""
+    """The texts of a block with what they score by counts of words alone; and a row with all their tokens, END last in each, as places among the block's ids."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held: Words = shared.value
@@ -163,16 +238,20 @@ def _with_ids(shared):
         left = left.filter(pc.is_valid(left.column("row")))
         left = left.take(pc.sort_indices(left.column("row"))).combine_chunks()
         codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(whole), "<i4")
-        ids = np.zeros(len(right), np.int64)
-        ids[right.column("code").to_numpy()] = right.column("id").to_numpy()
+        each = [unsqueezed(x, 2) for x in right.column("pack").to_pylist()]
+        ids = np.zeros(sum(len(x) for x, _ in each), np.int64)
+        for steps, own in each:
+            ids[np.cumsum(steps)] = own
         docs, lengths = left.column("row").to_numpy(), left.column("length").to_numpy()
-        tokens = np.full(lengths.sum() + len(left), END, np.int64)
+        names = np.unique(np.append(ids, (START, END)))
+        at = np.searchsorted(names, ids)
+        local = np.full(lengths.sum() + len(left), np.searchsorted(names, END), np.int64)
         starts = np.cumsum(lengths + 1) - lengths - 1
-        tokens[runs(starts, lengths)] = ids[codes]
-        c = held.count(tokens)
-        sums = [lengths + 1, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(held.base(c), starts)]
+        local[runs(starts, lengths)] = at[codes]
+        c = held.count(names)
+        sums = [lengths + 1, np.add.reduceat((c > 0).astype(np.int64)[local], starts), np.add.reduceat(held.base(c)[local], starts)]
         train = left.column("train").to_numpy().astype(np.int64)
-        raw = pack(int(docs[0]), _TOKENS, {"doc": docs, "train": train, "length": lengths + 1, "token": tokens})
+        raw = pack(int(docs[0]), _TOKENS, {"doc": docs, "train": train, "length": lengths + 1, "token": local, "id": np.diff(names, prepend=0)})
         n = len(left)
         texts = pa.Table.from_arrays([left.column("row"), left.column("doc_id"), *map(pa.array, sums), pa.nulls(n, pa.binary())], _TEXT)
         block = pa.Table.from_arrays([*(pa.nulls(1, texts.schema.field(i).type) for i in range(5)), pa.array([raw], pa.binary())], _TEXT)
@@ -181,11 +260,11 @@ def _with_ids(shared):
     return run
 
 
-def texts_of(blocks: DataFrame, words: DataFrame, shared) -> DataFrame:
+def texts_of(blocks: DataFrame, counted: DataFrame, steps: DataFrame, shared) -> DataFrame:
     """The table of texts (row, doc_id, n_tokens, n_known, base_score), and of blocks of their tokens (pack)."""
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    asked = blocks.filter("words is not null").select("block", F.posexplode("words").alias("code", "word"))
-    found = asked.join(words.select("word", "id"), "word").select(F.col("block").alias("asked_by"), "code", "id")
+    packs = counted.filter("block is not null").select("part", "block", "pack")
+    found = packs.groupBy("part").cogroup(steps.groupBy("part")).applyInArrow(_named(shared), "asked_by long, pack binary")
     texts = blocks.select("block", "row", "doc_id", "train", "length", "codes")
     schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, pack binary"
     return written(texts.groupBy("block").cogroup(found.groupBy("asked_by")).applyInArrow(_with_ids(shared), schema))
@@ -204,10 +283,25 @@ def mix(*keys: np.ndarray) -> np.ndarray:
 def changes(*keys: np.ndarray) -> np.ndarray:
     """Places where a run of equal keys begins."""
     new = np.ones(len(keys[0]), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0) if len(new) > 1 else new[1:]
+    np.not_equal(keys[0][1:], keys[0][:-1], out=new[1:])
+    for k in keys[1:]:
+        new[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(new)
 
 
+def order_of(first: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Places in order of the keys, whole numbers from 0: by one number where they fit, the first by its place among its values."""
+    high = [int(k.max()) + 1 if len(k) else 1 for k in (first, *keys)]
+    if math.prod(high) >= 1 << 63:
+        names = np.unique(first)
+        first, high[0] = np.searchsorted(names, first), len(names)
+    if math.prod(high) >= 1 << 63:
+        return np.lexsort((*keys[::-1], first))
+    for k, n in zip(keys, high[1:], strict=True):
+        first = first * n + k
+    return np.argsort(first)
+
+
 @dataclasses.dataclass
 class Deal:
     """How trigrams fall into buckets: the first by v, the rest for hot v by (v, w), or by (v, w, sub) where w is hot too."""
@@ -243,9 +337,16 @@ _GRAM = ("v", "u", "w", "c", "m", "sub")
 _PACK = (*_GRAM, "doc")
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """From 0 to the first, and from each to the next."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    return out
+
+
 def _planes(a: np.ndarray) -> tuple[int, bytes]:
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    return width, a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return width, a.astype(np.uint8).tobytes() if width == 1 else a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def pack(low: int, names: tuple[str, ...], a: dict[str, np.ndarray]) -> bytes:
@@ -254,9 +355,11 @@ def pack(low: int, names: tuple[str, ...], a: dict[str, np.ndarray]) -> bytes:
     for k in names:
         x = a[k]
         if k == "v":
-            x = np.diff(x, prepend=0)
+            x = _steps(x)
         elif k == "u":
-            x = np.where(np.diff(a["v"], prepend=-1) != 0, x, np.diff(x, prepend=0))
+            firsts, own = changes(a["v"]), x
+            x = _steps(own)
+            x[firsts] = own[firsts]
         elif k == "doc":
             x = x - low
         width, raw = _planes(x)
@@ -283,31 +386,35 @@ def unpack(names: tuple[str, ...], raw: bytes) -> dict[str, np.ndarray]:
     return a
 
 
-def trigrams(u, v, w, doc, train) -> dict[str, np.ndarray]:
+def trigrams(names, u, v, w, doc, train) -> dict[str, np.ndarray]:
     """Distinct trigrams in order of v, u, w with their training counts c and numbers m of places; the places (doc, once for each time), in order.
 
-    doc ascends; train tells of each place whether it teaches.
+    u, v and w are places among the ascending ids names. doc ascends; train tells of each place whether it teaches.
     """
-    names = np.unique(np.concatenate((w, u[:1], v[:1], [START])))
-    k = len(names)
-    docs = np.unique(doc)
-    d = len(docs)
-    if k**3 * d >= 1 << 63:  # too many for one number: halves are
+    own = changes(doc)
+    k, d, docs = len(names), len(own), doc[own]
+    if k**3 * d >= 1 << 63:  # too many for one number: names that aren't here are left out, then halves are taken
+        here = np.zeros(k, bool)
+        here[u] = here[v] = here[w] = True
+        if not here.all():
+            at = np.cumsum(here) - 1
+            return trigrams(names[here], at[u], at[v], at[w], doc, train)
         if len(w) == 1:
             raise OverflowError("a single place can't have that many words")
         half = len(w) // 2
-        return _appended([trigrams(*(x[i] for x in (u, v, w, doc, train))) for i in (slice(None, half), slice(half, None))])
-    uc, vc, wc = (np.searchsorted(names, x) for x in (u, v, w))
-    at = np.searchsorted(docs, doc)
-    taught = np.zeros(d, bool)
-    taught[at] = train > 0
-    key = ((vc * k + uc) * k + wc) * d + at
+        return _appended([trigrams(names, *(x[i] for x in (u, v, w, doc, train))) for i in (slice(None, half), slice(half, None))])
+    key = ((v * k + u) * k + w) * d + np.repeat(np.arange(d), np.diff(np.append(own, len(doc))))
     key.sort()
-    gram, at = key // d, key % d
+    gram = key // d
+    at = key - gram * d
     firsts = changes(gram)
     g = gram[firsts]
-    m = np.diff(np.append(firsts, len(gram)))
-    return {"v": names[g // (k * k)], "u": names[g // k % k], "w": names[g % k], "c": np.add.reduceat(taught[at].astype(np.int64), firsts), "m": m, "doc": docs[at]}
+    vu = g // k
+    first = vu // k
+    return {
+        "v": names[first], "u": names[vu - first * k], "w": names[g - vu * k], "c": np.add.reduceat((train[own] > 0).astype(np.int64)[at], firsts),
+        "m": np.diff(np.append(firsts, len(gram))), "doc": docs[at],
+    }
 
 
 def _appended(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -360,15 +467,15 @@ def _deal(shared, deal: Deal, fan: int):
         for b in batches:
             for raw in b.column("pack"):
                 a = unpack(_TOKENS, raw.as_py())
-                w, lengths = a["token"], a["length"]
-                starts = np.cumsum(lengths) - lengths
-                v = np.append(START, w[:-1])
-                v[starts] = START
-                u = np.append(START, v[:-1])
-                u[starts] = START
+                w, lengths, names = a["token"], a["length"], np.cumsum(a["id"])
+                starts, before = np.cumsum(lengths) - lengths, np.searchsorted(names, START)
+                v = np.append(before, w[:-1])
+                v[starts] = before
+                u = np.append(before, v[:-1])
+                u[starts] = before
                 low, doc, train = int(a["doc"][0]), np.repeat(a["doc"], lengths), np.repeat(a["train"], lengths)
                 for i in range(0, len(w), CUT):
-                    yield _packs(packed(deal, held, parted(held, deal, trigrams(*(x[i : i + CUT] for x in (u, v, w, doc, train)))), fan, low))
+                    yield _packs(packed(deal, held, parted(held, deal, trigrams(names, *(x[i : i + CUT] for x in (u, v, w, doc, train)))), fan, low))
 
     return run
 
@@ -376,24 +483,19 @@ def _deal(shared, deal: Deal, fan: int):
 def merged(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Trigrams of many packs, each (and each part) once, in order of v, u, w, sub, with all places."""
     a = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    names = np.unique(a["v"])
-    high = [int(a[k].max()) + 1 if len(a[k]) else 1 for k in ("u", "w", "sub")]
-    if len(names) * math.prod(high) < 1 << 63:
-        key = ((np.searchsorted(names, a["v"]) * high[0] + a["u"]) * high[1] + a["w"]) * high[2] + a["sub"]
-        order = np.argsort(key)
-    else:
-        order = np.lexsort((a["sub"], a["w"], a["u"], a["v"]))
+    order = order_of(*(a[k] for k in ("v", "u", "w", "sub")))
     at = runs((np.cumsum(a["m"]) - a["m"])[order], a["m"][order])
     keys = {k: a[k][order] for k in ("v", "u", "w", "sub")}
     firsts = changes(*keys.values())
     return {k: x[firsts] for k, x in keys.items()} | {k: np.add.reduceat(a[k][order], firsts) for k in ("c", "m")} | {"doc": a["doc"][at]}
 
 
-def _by_bucket(batches, finish):
-    """Rows (bucket, pack) sorted by bucket: finish(bucket, its packs) for each."""
+def _by_bucket(batches, finish, *more: str):
+    """Rows (bucket, pack) sorted by bucket: finish(bucket, its packs) for each; with more columns, tuples of those and the pack."""
     now, held = None, []
     for b in batches:
-        for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("pack").to_pylist(), strict=True):
+        packs = b.column("pack").to_pylist()
+        for bucket, raw in zip(b.column("bucket").to_pylist(), zip(*(b.column(k).to_pylist() for k in more), packs, strict=True) if more else packs, strict=True):
             if bucket != now and held:
                 yield from finish(now, held)
                 held = []
@@ -428,14 +530,17 @@ def _spread(shared, deal: Deal):
     return run
 
 
-_STORED = ["bucket", "v", "grams", "u", "w", "c", "sub", "places"]
+_STORED = ["bucket", "v", "grams", "u", "w", "c", "sub", "spectra", "places"]
 
 
 def _store(batches):
-    """A bucket in rows of whole middle words, about ROW trigrams each."""
+    """A bucket in rows of whole middle words, about ROW trigrams each; the first has how many pairs, and trigrams, have each low count."""
 
     def finish(bucket, raw):
         a = merged([unpack(_PACK, x) for x in raw])
+        p, _ = pairs(a)
+        count = lambda c: np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
+        spectra = np.concatenate((count(p["c"][p["sub"] == 0]), count(a["c"][a["u"] != NONE])))
         ends, n = np.append(0, np.cumsum(a["m"])), len(a["v"])
         firsts = changes(a["v"])
         heads = firsts[changes(firsts // ROW)]
@@ -446,14 +551,15 @@ def _store(batches):
             sub = one(a["sub"][i:j]) if a["sub"][i:j].any() else pa.nulls(1, pa.list_(pa.int64()))
             doc = a["doc"][ends[i] : ends[j]]
             places = pack(int(doc.min()) if len(doc) else 0, ("m", "doc"), {"m": a["m"][i:j], "doc": doc})
-            yield pa.RecordBatch.from_arrays([pa.array([bucket]), one(a["v"][own]), one(grams), *(one(a[k][i:j]) for k in ("u", "w", "c")), sub, pa.array([places], pa.binary())], _STORED)
+            first = pa.nulls(1, pa.list_(pa.int64())) if i else one(spectra)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket]), one(a["v"][own]), one(grams), *(one(a[k][i:j]) for k in ("u", "w", "c")), sub, first, pa.array([places], pa.binary())], _STORED)
 
     return _by_bucket(batches, finish)
 
 
 def store(texts: DataFrame, held: Words, shared, deal: Deal, most_parts: int) -> DataFrame:
     """The table of trigrams, some middle words a row: lists of v and their numbers of trigrams; of u, w, training count c, and
-    part sub (null for 0); places is packed: how many each trigram has (m), and the texts (doc)."""
+    part sub (null for 0); spectra of a bucket; places is packed: how many each trigram has (m), and the texts (doc)."""
     fan = -(-deal.all // most_parts)  # where a block can't be cut into as many parts as there are buckets, it is cut twice
     schema = "bucket long, pack binary"
     dealt = texts.filter("pack is not null").select("pack").mapInArrow(_deal(shared, deal, fan), schema)
@@ -476,9 +582,9 @@ def _rows(batches):
             yield a | {"bucket": row["bucket"].as_py()}
 
 
-def pairs(held: Words, a: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def pairs(a: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The pairs v, w (and parts of them) of a bucket in order of v, with training counts; and the pair of each trigram."""
-    order = np.lexsort((a["sub"], a["w"], a["v"]))
+    order = order_of(a["v"], a["w"], a["sub"])
     keys = {k: a[k][order] for k in ("v", "w", "sub")}
     firsts = changes(*keys.values())
     of = np.empty(len(order), np.int64)
@@ -490,21 +596,6 @@ def pairs(held: Words, a: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray],
     return p | {"c": c}, of
 
 
-def _spectra(shared):
-    """Trigrams and pairs by training count."""
-
-    def run(batches):
-        total = np.zeros((2, DISCOUNTED + 2), np.int64)
-        count = lambda c: np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
-        for a in _rows(batches):
-            p, _ = pairs(shared.value, a)
-            total += [count(p["c"][p["sub"] == 0]), count(a["c"][a["u"] != NONE])]
-        for order in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([order + 2] * (DISCOUNTED + 1)), pa.array(np.arange(1, DISCOUNTED + 2)), pa.array(total[order, 1:])], ["ngram", "r", "n"])
-
-    return run
-
-
 @dataclasses.dataclass
 class Backoff:
     """What scoring needs beside the buckets: discounts of pairs and trigrams; count, discounted mass and lower mass of hot words."""
@@ -538,7 +629,7 @@ def _run_ids(firsts: np.ndarray, n: int) -> np.ndarray:
 
 def pair_probabilities(held: Words, model: Backoff, a: dict[str, np.ndarray]) -> np.ndarray:
     """P(w|v) of each trigram of a bucket."""
-    p, of = pairs(held, a)
+    p, of = pairs(a)
     lower = held.probability(held.count(p["w"]))
     firsts = changes(p["v"])
     sums = history_sums(model.pair, p["c"], lower, firsts, p["sub"] == 0)
@@ -555,7 +646,7 @@ def _hot_sums(shared, d: np.ndarray):
     def run(batches):
         held: Words = shared.value
         for a in _rows(batches):
-            p, _ = pairs(held, a)
+            p, _ = pairs(a)
             firsts = changes(p["v"])
             sums = history_sums(d, p["c"], held.probability(held.count(p["w"])), firsts, p["sub"] == 0)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p["v"][firsts], *sums)], ["v", "c", "mass", "lower"])
@@ -563,20 +654,51 @@ def _hot_sums(shared, d: np.ndarray):
     return run
 
 
-def _history_parts(shared, model: Backoff):
-    """For hot v, what a bucket adds to the sums of its (u, v)."""
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0.0 as whole numbers, or back."""
+    return x.view(np.int64 if x.dtype == np.float64 else np.float64)
+
+
+def _history_parts(shared, model: Backoff, parts: int):
+    """For hot v, what a bucket adds to the sums of its (u, v): packs by part, from the stored row that begins with v = head."""
 
     def run(batches):
         held: Words = shared.value
         for a in _rows(batches):
             firsts = changes(a["v"], a["u"])
             sums = history_sums(model.trigram, a["c"], pair_probabilities(held, model, a), firsts, a["u"] != NONE)
-            real = a["u"][firsts] != NONE
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(real.sum(), a["bucket"])), *(pa.array(x[real]) for x in (a["u"][firsts], a["v"][firsts], *sums))], ["bucket", "u", "v", "c", "mass", "lower"])
+            firsts, sums = firsts[real := a["u"][firsts] != NONE], [x[real] for x in sums]
+            part = (mix(a["u"][firsts], a["v"][firsts]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            all_of = [a["u"][firsts[order]], a["v"][firsts[order]], sums[0][order], *(_bits(x[order]) for x in sums[1:])]
+            part = part[order]
+            cuts = [*changes(part).tolist(), len(part)] if len(part) else [0]
+            packs = [squeezed(_steps(order[i:j]), *(x[i:j] for x in all_of)) for i, j in zip(cuts, cuts[1:], strict=False)]
+            own = (np.full(len(packs), x) for x in (a["bucket"], a["v"][0]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), *map(pa.array, own), pa.array(packs, pa.binary())], ["bucket", "owner", "head", "pack"])
 
     return run
 
 
+def _sum_histories(batches):
+    """Sums of the histories of a part over all buckets, back to each of them."""
+
+    def finish(_, packs):
+        packs.sort()
+        each = [unsqueezed(raw, 6) for _, _, raw in packs]
+        u, v, *sums = (np.concatenate([e[k] for e in each]) for k in range(1, 6))
+        order = order_of(v, u)
+        firsts = changes(v[order], u[order])
+        of = np.empty(len(order), np.int64)
+        of[order] = _run_ids(firsts, len(order))
+        c, mass, lower = (np.add.reduceat(x[order], firsts)[of] for x in (sums[0], _bits(sums[1]), _bits(sums[2])))
+        ends = np.append(0, np.cumsum([len(e[0]) for e in each])).tolist()
+        back = [squeezed(e[0], c[i:j], _bits(mass[i:j]), _bits(lower[i:j])) for e, i, j in zip(each, ends, ends[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packs]), pa.array([p[1] for p in packs]), pa.array(back, pa.binary())], ["owner", "head", "pack"])
+
+    return _by_bucket(batches, finish, "owner", "head")
+
+
 def log_probabilities(held: Words, model: Backoff, a: dict[str, np.ndarray], given: list[np.ndarray] | None = None) -> np.ndarray:
     """log10 P(w|u,v) of each trigram of a bucket; given has the sums of its histories in order where they go beyond it."""
     lower = pair_probabilities(held, model, a)
@@ -640,12 +762,16 @@ def _score_hot(shared, model: Backoff, groups: int):
     """One bucket, and the sums of all its histories."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by([("v", "ascending"), ("u", "ascending")])
-        given, v = [right.column(k).to_numpy() for k in ("c", "mass", "lower")], right.column("v").to_numpy()
-        scores = _Scores(groups)
+        packs, scores = {}, _Scores(groups)
+        for head, raw in zip(right.column("head").to_pylist(), right.column("pack").to_pylist(), strict=True):
+            packs.setdefault(head, []).append(raw)
         for a in _rows(left.to_batches()):
-            own = slice(*np.searchsorted(v, [a["v"][0], a["v"][-1] + 1]))
-            scores.add(a, log_probabilities(shared.value, model, a, [x[own] for x in given]))
+            each = [unsqueezed(raw, 4) for raw in packs.pop(int(a["v"][0]), [])]
+            given = [np.zeros(sum(len(e[0]) for e in each), kind) for kind in (np.int64, np.float64, np.float64)]
+            for at, c, mass, lower in each:
+                for x, own in zip(given, (c, _bits(mass), _bits(lower)), strict=True):
+                    x[np.cumsum(at)] = own
+            scores.add(a, log_probabilities(shared.value, model, a, given))
         return pa.Table.from_batches([scores.out()] if scores.parts else [], pa.schema([("group", pa.int64()), ("pack", pa.binary())]))
 
     return run
@@ -682,30 +808,34 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = blocks_of(rows)
-    n, taught = blocks.filter("row is not null").agg(F.count("*"), F.count_if("train")).first()
-    words = ranked_words(blocks)
-    held = held_words(words, n, taught, hot)
+    n, taught, places, distinct, size = (x or 0 for x in blocks.agg(F.count("row"), F.count_if("train"), *(F.sum(c) for c in ("length", "distinct", "size"))).first())
+    places += n
+    hot = max(hot, math.isqrt(places)) if places > hot**2 else hot
+    counted = counted_words(blocks, min(MOST_PARTS, max(partitions(spark), -(-distinct // PART), -(-size // PART_BYTES))), hot)
+    steps = steps_of(counted)
+    held = held_words(counted, steps, places, n, taught, hot)
     shared, deal = spark.sparkContext.broadcast(held), Deal.of(held, bucket, partitions(spark))
-    texts = texts_of(blocks, words, shared)
-    dropped(blocks)
+    texts = texts_of(blocks, counted, steps, shared)
+    dropped(blocks, counted, steps)
     grams = store(texts, held, shared, deal, most_parts)
     kept = written(texts.filter("row is not null").drop("pack"))
     dropped(texts)
-    keys = grams.drop("places")
-    counts = {(r["ngram"], r["r"]): r["n"] for r in keys.mapInArrow(_spectra(shared), "ngram long, r long, n long").groupBy("ngram", "r").agg(F.sum("n").alias("n")).collect()}
-    of_order = lambda k: discounts([counts.get((k, r), 0) for r in range(1, DISCOUNTED + 2)])
-    model, groups = Backoff(of_order(2), of_order(3), {}), max(partitions(spark), -(-n // GROUP))
+    keys = grams.drop("places", "spectra")
+    counts = {r["pos"]: r["n"] for r in grams.select(F.posexplode("spectra")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
+    of_order = lambda k: discounts([counts.get(k * (DISCOUNTED + 1) + r, 0) for r in range(DISCOUNTED + 1)])
+    model, groups = Backoff(of_order(0), of_order(1), {}), max(partitions(spark), -(-n // GROUP))
     kinds = "group long, pack binary"
+    grams = grams.drop("spectra")
     plain = grams.filter(F.col("bucket") < deal.buckets)
     parts = plain.mapInArrow(_score(shared, model, groups), kinds)
     if deal.hot_buckets:
         crowded = F.col("bucket") >= deal.buckets
         sums = keys.filter(crowded).mapInArrow(_hot_sums(shared, model.pair), "v long, c long, mass double, lower double")
         model.hot = {r[0]: (r[1], r[2], r[3]) for r in sums.groupBy("v").agg(F.sum("c"), F.sum("mass"), F.sum("lower")).collect()}  # one row a hot word
-        history = Window.partitionBy("u", "v")  # as many rows as v has buckets
-        each = keys.filter(crowded).mapInArrow(_history_parts(shared, model), "bucket long, u long, v long, c long, mass double, lower double")
-        each = written(each.select("bucket", "u", "v", *(F.sum(c).over(history).alias(c) for c in ("c", "mass", "lower"))))
-        hot_scores = grams.filter(crowded).groupBy("bucket").cogroup(each.groupBy("bucket")).applyInArrow(_score_hot(shared, model, groups), kinds)
+        histories = min(deal.hot_buckets, HISTORIES)
+        each = keys.filter(crowded).mapInArrow(_history_parts(shared, model, histories), "bucket long, owner long, head long, pack binary")
+        each = each.repartition(histories, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_histories, "owner long, head long, pack binary")
+        hot_scores = grams.filter(crowded).groupBy("bucket").cogroup(each.groupBy("owner")).applyInArrow(_score_hot(shared, model, groups), kinds)
         parts = parts.unionByName(hot_scores)
     parts = written(parts)
     texts = kept.mapInArrow(_groups(groups), f"group long, row long, doc_id {kind}, n_tokens long, n_known long, base_score double")
