@@ -758,6 +758,14 @@ def _score(shared, model: Backoff, groups: int):
     return run
 
 
+def _for_the_way(batches):
+    """Stored rows, their lists packed."""
+    for b in batches:
+        for i, a in enumerate(_rows([b.drop_columns(["places"])])):
+            raw = squeezed(_steps(a["v"]), *(a[k] for k in _GRAM[1:4]), a["sub"])
+            yield pa.RecordBatch.from_arrays([pa.array([a["bucket"]]), pa.array([raw], pa.binary()), b.column("places").slice(i, 1)], ["bucket", "grams", "places"])
+
+
 def _score_hot(shared, model: Backoff, groups: int):
     """One bucket, and the sums of all its histories."""
 
@@ -765,7 +773,9 @@ def _score_hot(shared, model: Backoff, groups: int):
         packs, scores = {}, _Scores(groups)
         for head, raw in zip(right.column("head").to_pylist(), right.column("pack").to_pylist(), strict=True):
             packs.setdefault(head, []).append(raw)
-        for a in _rows(left.to_batches()):
+        for grams, places in zip(left.column("grams").to_pylist(), left.column("places").to_pylist(), strict=True):
+            a = dict(zip(("v", "u", "w", "c", "sub"), unsqueezed(grams, 5), strict=True)) | unpack(("m", "doc"), places)
+            a["v"] = np.cumsum(a["v"])
             each = [unsqueezed(raw, 4) for raw in packs.pop(int(a["v"][0]), [])]
             given = [np.zeros(sum(len(e[0]) for e in each), kind) for kind in (np.int64, np.float64, np.float64)]
             for at, c, mass, lower in each:
@@ -835,7 +845,8 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         histories = min(deal.hot_buckets, HISTORIES)
         each = keys.filter(crowded).mapInArrow(_history_parts(shared, model, histories), "bucket long, owner long, head long, pack binary")
         each = each.repartition(histories, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_histories, "owner long, head long, pack binary")
-        hot_scores = grams.filter(crowded).groupBy("bucket").cogroup(each.groupBy("owner")).applyInArrow(_score_hot(shared, model, groups), kinds)
+        full = grams.filter(crowded).mapInArrow(_for_the_way, "bucket long, grams binary, places binary")
+        hot_scores = full.groupBy("bucket").cogroup(each.groupBy("owner")).applyInArrow(_score_hot(shared, model, groups), kinds)
         parts = parts.unionByName(hot_scores)
     parts = written(parts)
     texts = kept.mapInArrow(_groups(groups), f"group long, row long, doc_id {kind}, n_tokens long, n_known long, base_score double")
